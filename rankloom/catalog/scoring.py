@@ -259,8 +259,8 @@ SELECT vec_id, {r('m[native]', 'native_value')}, {r('list_max(m)', 'top_value')}
 WITH {S.LONG_SCORERS}, p AS (SELECT a.scorer AS left_out, a.label, a.vec_id, avg(b.logp[b.native]) AS v FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.scorer <> b.scorer GROUP BY ALL)
 SELECT left_out, label, {r('avg(v)', 'mean_native')} FROM p GROUP BY ALL""",
     "agreement_gate": f"""
-WITH {S.SCORERS}, t AS (SELECT label, (vec_id % 19 + 1)::int AS mut, {_anchor('base', 'native')} AS x, {_anchor('sa', 'native')} AS y, {_anchor('sb', 'native')} AS z FROM s),
-g AS (SELECT label, {_spear('x', 'y')} AS r1, {_spear('x', 'z')} AS r2, {_spear('y', 'z')} AS r3, least(x[mut], y[mut], z[mut]) > 0 OR greatest(x[mut], y[mut], z[mut]) < 0 AS sgn FROM t),
+WITH {S.SCORERS}, t AS (SELECT label, (vec_id % 19 + 1)::int AS mut, {_anchor('base', 'native')} AS va, {_anchor('sa', 'native')} AS vb, {_anchor('sb', 'native')} AS vc FROM s),
+g AS (SELECT label, {_spear('va', 'vb')} AS r1, {_spear('va', 'vc')} AS r2, {_spear('vb', 'vc')} AS r3, least(va[mut], vb[mut], vc[mut]) > 0 OR greatest(va[mut], vb[mut], vc[mut]) < 0 AS sgn FROM t),
 h AS (SELECT label, sgn, r1 + r2 + r3 - greatest(r1, r2, r3) - least(r1, r2, r3) AS rho FROM g)
 SELECT label, {r('avg((sgn AND rho >= 0.0)::int)', 'gate_fraction')}, {r('avg(rho)', 'rank_agreement')}, count(*) FILTER (sgn) AS n_same_sign FROM h GROUP BY label""",
     "rank_normal_consensus": f"""

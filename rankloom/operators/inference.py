@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.ordering import ordinals, value_ranks
+from rankloom.session import settle
 
 # Fixed values of the integer mixing function.
 PRIME = 2147483647
@@ -108,7 +109,7 @@ def cluster_bootstrap(
     A single cluster, or fewer than two replicates, gives no interval.
     """
     df, keys = _group(df, by)
-    items = cluster_means(df, keys, value, [cl])
+    items = settle(cluster_means(df, keys, value, [cl]))
     point = items.groupBy(*keys).agg(
         F.avg("value").alias("estimate"),
         F.sum("n_rows").alias("n_rows"),
@@ -150,7 +151,7 @@ def stratified_bootstrap(
 ) -> DataFrame:
     """Equal-cluster mean; clusters are redrawn inside their stratum, keeping its count."""
     df, keys = _group(df, by)
-    items = cluster_means(df, keys, value, [cl, st])
+    items = settle(cluster_means(df, keys, value, [cl, st]))
     point = items.groupBy(*keys).agg(
         F.avg("value").alias("estimate"),
         F.avg((F.col("value") > 0).cast("double")).alias("positive_fraction"),
@@ -167,7 +168,7 @@ def wild_cluster(
 ) -> DataFrame:
     """Jackknife error, sign-flip interval of the deviations, and sign counts."""
     df, keys = _group(df, by)
-    items = cluster_means(df, keys, value, [cl])
+    items = settle(cluster_means(df, keys, value, [cl]))
     n = F.count(F.lit(1))
     point = items.groupBy(*keys).agg(
         F.avg("value").alias("estimate"),
@@ -203,7 +204,7 @@ def cluster_draws(df: DataFrame, by: Sequence[str], cl: str, replicates: int, se
     Replicate 0 is the data as it is. Clusters are numbered by their key.
     """
     keys = list(by)
-    names = df.select(*keys, cl).where(F.col(cl).isNotNull()).distinct()
+    names = settle(df.select(*keys, cl).where(F.col(cl).isNotNull()).distinct())
     o = ordinals(names, keys, [cl], pos="_j", total="_n", **kw)
     drawn = _mixed(
         o.select(*keys, "_j", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")),
@@ -256,7 +257,7 @@ def weighted_mean_stat(value: str) -> Statistic:
 
 def weighted_spearman(rows: DataFrame, keys: list[str], x: str, y: str, w: str, **kw) -> DataFrame:
     """Rank correlation where a row counts ``w`` times (column ``stat``)."""
-    pairs = (
+    pairs = settle(
         rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, x, y)
         .agg(F.sum(w).alias("_w"))

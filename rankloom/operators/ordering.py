@@ -41,7 +41,8 @@ def ordinals(
     """Add the 1-based position of each row in its group and the group total.
 
     ``order`` must be a total order. With ``weight``, ``pos`` is the sum of the
-    weights of the earlier rows and ``total`` the sum over the group.
+    weights of the earlier rows and ``total`` the sum over the group. Counts the
+    groups first: only if one is too large for a task does the plan split.
     """
     base = df
     keys = list(by)
@@ -55,6 +56,14 @@ def ordinals(
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > rows_per_split)
     )
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    if large.isEmpty():
+        group = W.partitionBy(*keys)
+        if weight:
+            place = F.coalesce(F.sum(weight).over(group.orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        else:
+            place = F.row_number().over(group.orderBy("_key")).cast("long")
+        return base.withColumns({pos: place, total: amount.over(group)}).select(*df.columns, pos, total)
     cuts = (
         base.select(*keys, "_key")
         .join(large, keys)
@@ -75,7 +84,6 @@ def ordinals(
         )
         .drop("_cuts")
     )
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
     earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         part.groupBy(*keys, "_b")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.inference import weighted_spearman
-from rankloom.operators.ordering import desc, ordinals, value_ranks
+from rankloom.operators.ordering import desc, ordinals
+from rankloom.session import settle
 
 
 def corr_column(x: Column | str, y: Column | str) -> Column:
@@ -108,16 +109,18 @@ def entity_metrics(
     of its metrics come from that one ranking.
     """
     entity = list(entity)
-    rows = df.select(*entity, *key, finite(y).alias("_y"), *[finite(m).alias(m) for m in methods]).dropna(subset=["_y"])
+    rows = settle(
+        df.select(*entity, *key, finite(y).alias("_y"), *[finite(m).alias(m) for m in methods]).dropna(subset=["_y"])
+    )
     ranked = ordinals(rows, entity, [desc("_y"), *key], pos="_py", total="_ny", **kw)
     # Equal outcomes share a rank.
     shared = ranked.groupBy(*entity, "_y").agg(
         (F.max("_ny") / 2 + 0.5 - F.avg("_py")).alias("_ry")
     )
     low = rows.groupBy(*entity).agg(F.min("_y").alias("_low"))
+    ranked = settle(ranked.join(shared, [*entity, "_y"]))
     long = (
-        ranked.join(shared, [*entity, "_y"])
-        .unpivot([*entity, *key, "_y", "_ry"], list(methods), "method", "_s")
+        ranked.unpivot([*entity, *key, "_y", "_ry"], list(methods), "method", "_s")
         .dropna(subset=["_s"])
     )
     o = ordinals(long, [*entity, "method"], [desc("_s"), *key], pos="_p", total="_n", **kw)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", *, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -33,3 +34,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None and not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    Used where several branches of a plan read one intermediate: it is computed
+    once, later scans are pruned by column, and a lost executor costs a re-read
+    instead of the whole lineage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
