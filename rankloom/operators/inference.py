@@ -22,29 +22,18 @@ ROUND_CONSTANTS = (374761393, 668265263, 1274126177)
 MULTIPLIER = 48271
 
 
-def mix(b: Column, j: Column, seed: int) -> Column:
+def mix_value(b: Column, j: Column, seed: int) -> Column:
     """Integer in [0, 2^31 - 1) for replicate ``b`` and item ``j``."""
     b, j = b.cast("long"), j.cast("long")
-    x = F.pmod(b * 1000003 + j * 7919 + F.lit(seed).cast("long"), F.lit(PRIME).cast("long"))
-    for k in ROUND_CONSTANTS:
-        x = (x * x + k) % PRIME
-        x = (x * MULTIPLIER + j * 31 + b * 17) % PRIME
-    return x
+    start = F.pmod(b * 1000003 + j * 7919 + F.lit(seed).cast("long"), F.lit(PRIME).cast("long"))
+    rounds = F.array(*[F.lit(k).cast("long") for k in ROUND_CONSTANTS])
+    return F.aggregate(
+        rounds, start, lambda a, k: (((a * a + k) % PRIME) * MULTIPLIER + j * 31 + b * 17) % PRIME
+    )
 
 
 def _mixed(df: DataFrame, name: str, b: str, j: str, seed: int) -> DataFrame:
-    """``mix`` with each round in its own projection, so rounds do not nest."""
-    lb, lj = F.col(b).cast("long"), F.col(j).cast("long")
-    x = F.pmod(lb * 1000003 + lj * 7919 + F.lit(seed).cast("long"), F.lit(PRIME).cast("long"))
-    rounds = F.array(*[F.lit(k).cast("long") for k in ROUND_CONSTANTS])
-    return df.withColumn(
-        name,
-        F.aggregate(
-            rounds,
-            x,
-            lambda a, k: (((a * a + k) % PRIME) * MULTIPLIER + lj * 31 + lb * 17) % PRIME,
-        ),
-    )
+    return df.withColumn(name, mix_value(F.col(b), F.col(j), seed))
 
 
 def _bounds(value: Column | str, level: float) -> list[Column]:
