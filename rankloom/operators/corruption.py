@@ -30,22 +30,27 @@ def _edited(seq: Column | str, key: Column, seed: int, count: Callable[[Column],
     The highest chosen hash is found once; each letter then compares with it.
     """
 
-    def build(cs: Column) -> Column:
+    def build(cs: Column, may: Column | None) -> Column:
+        allowed = lambda i: F.coalesce(F.get(may, i), F.lit(False))
         draws = F.transform(F.sequence(F.lit(0), F.size(cs) - 1), lambda i: F.struct(mix_value(key, i, seed).alias("h"), i.alias("i")))
-        pool = draws if eligible is None else F.filter(draws, lambda s: F.coalesce(F.get(eligible, s["i"]), F.lit(False)))
-        n = count(F.size(cs))
-        limit = F.get(F.array_sort(pool), n - 1)
 
         def letter(d: Column, c: Column, lim: Column) -> Column:
-            ok = d <= lim
-            if eligible is not None:
-                ok = ok & F.coalesce(F.get(eligible, d["i"]), F.lit(False))
+            ok = d <= lim if may is None else (d <= lim) & allowed(d["i"])
             return F.when(ok, edit(c, d["i"])).otherwise(c)
 
-        return let(limit, lambda lim: F.array_join(F.zip_with(draws, cs, lambda d, c: letter(d, c, lim)), ""))
+        def placed(ds: Column) -> Column:
+            pool = ds if may is None else F.filter(ds, lambda s: allowed(s["i"]))
+            limit = F.get(F.array_sort(pool), count(F.size(cs)) - 1)
+            return let(limit, lambda lim: F.array_join(F.zip_with(ds, cs, lambda d, c: letter(d, c, lim)), ""))
+
+        return let(draws, placed)
 
     s = _col(seq)
-    return F.when(F.length(s) > 0, let(letters(s), build)).otherwise(s)
+    if eligible is None:
+        built = let(letters(s), lambda cs: build(cs, None))
+    else:
+        built = let(letters(s), lambda cs: let(eligible, lambda may: build(cs, may)))
+    return F.when(F.length(s) > 0, built).otherwise(s)
 
 
 def mask_random(seq: Column | str, key: Column, ratio: Column | float, seed: int = 0, mask: str = MASK) -> Column:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions import vectors as V
 from rankloom.functions.classes import edge_signature
@@ -157,8 +159,6 @@ def superpose(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     Spark folds each entity to means and nine cross-moments; only those 3 x 3
     matrices meet NumPy, in Arrow batches.
     """
-    import pandas as pd
-
     m = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(s + a).alias(f"c{s}{a}") for s in "ab" for a in AXES],
@@ -168,8 +168,6 @@ def superpose(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
     @F.pandas_udf("rotation array<double>, trace double")
     def rotate(h: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         u, s, vt = np.linalg.svd(np.stack(h.to_numpy()).reshape(-1, 3, 3))
         d = np.sign(np.linalg.det(u @ vt))
         d[d == 0] = 1.0
