@@ -315,13 +315,13 @@ def _bb(src: int, out: str) -> str:
     at = lambda k: f"embedding[{src + 3 * k}:{src + 3 * k + 2}]::double[]"
     return f"""
 {out}1 AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, {at(0)} AS n, {at(1)} AS ca, {at(2)} AS c, {at(3)} AS o FROM embeddings),
-{out}2 AS (SELECT *, lead(n) OVER w AS n2, lead(ca) OVER w AS ca2, {_v('n', 'ca')} AS u, {_v('c', 'ca')} AS v, {_v('o', 'ca')} AS w3 FROM {out}1 WINDOW w AS (PARTITION BY label ORDER BY position)),
-{out}3 AS (SELECT *, {_v('ca', 'c')} AS b0, CASE WHEN n2 IS NOT NULL THEN {_v('n2', 'c')} END AS br, CASE WHEN n2 IS NOT NULL THEN {_v('ca2', 'n2')} END AS b2 FROM {out}2),
+{out}2 AS (SELECT *, lead(n) OVER w IS NULL AS last, coalesce(lead(n) OVER w, ca) AS n2, coalesce(lead(ca) OVER w, o) AS ca2, {_v('n', 'ca')} AS u, {_v('c', 'ca')} AS v, {_v('o', 'ca')} AS w3 FROM {out}1 WINDOW w AS (PARTITION BY label ORDER BY position)),
+{out}3 AS (SELECT *, {_v('ca', 'c')} AS b0, {_v('n2', 'c')} AS br, {_v('ca2', 'n2')} AS b2 FROM {out}2),
 {out}4 AS (SELECT *, list_transform(br, lambda x: x / {_nrm('br')}) AS b1 FROM {out}3),
-{out}5 AS (SELECT *, CASE WHEN n2 IS NOT NULL THEN list_transform(range(1, 4), lambda i: b0[i] - list_inner_product(b0, b1) * b1[i]) END AS rv, CASE WHEN n2 IS NOT NULL THEN list_transform(range(1, 4), lambda i: b2[i] - list_inner_product(b2, b1) * b1[i]) END AS rw FROM {out}4),
+{out}5 AS (SELECT *, list_transform(range(1, 4), lambda i: b0[i] - list_inner_product(b0, b1) * b1[i]) AS rv, list_transform(range(1, 4), lambda i: b2[i] - list_inner_product(b2, b1) * b1[i]) AS rw FROM {out}4),
 {out} AS (SELECT label, vec_id, position, {_nrm('u')} AS n_ca, {_nrm('v')} AS ca_c, {_nrm(_v('c', 'o'))} AS c_o,
- degrees(acos(least(greatest(list_inner_product(u, v) / ({_nrm('u')} * {_nrm('v')}), -1), 1))) AS n_ca_c_angle, {_nrm('br')} AS peptide_cn,
- degrees(atan2(CASE WHEN n2 IS NOT NULL THEN list_inner_product({_cross('b1', 'rv')}, rw) END, list_inner_product(rv, rw))) AS omega, list_inner_product({_cross('u', 'v')}, w3) AS pseudochirality, {_nrm('br')} > 0.3 AS chain_break FROM {out}5)"""
+ degrees(acos(least(greatest(list_inner_product(u, v) / ({_nrm('u')} * {_nrm('v')}), -1), 1))) AS n_ca_c_angle, CASE WHEN NOT last THEN {_nrm('br')} END AS peptide_cn,
+ CASE WHEN NOT last THEN degrees(atan2(list_inner_product({_cross('b1', 'rv')}, rw), list_inner_product(rv, rw))) END AS omega, list_inner_product({_cross('u', 'v')}, w3) AS pseudochirality, CASE WHEN NOT last THEN {_nrm('br')} > 0.3 END AS chain_break FROM {out}5)"""
 
 
 def _frame(src: int, out: str) -> str:

@@ -17,6 +17,7 @@ from rankloom.functions.sequences import letters
 from rankloom.functions.vectors import _col, let
 from rankloom.operators.inference import PRIME, mix_value
 from rankloom.operators.ordering import ordinals
+from rankloom.session import settle
 
 
 def edit_count(length: Column, ratio: Column | float, least: int = 1) -> Column:
@@ -174,8 +175,8 @@ def span_positions(df: DataFrame, id: str, length: str, key: Column, ratio: floa
     )
     hit = spans.select(id, length, "_count", "_s", F.explode(F.sequence(F.col("_a"), F.least(n, F.col("_a") + F.col("_w")) - 1)).alias("position"))
     rest = base.select(id, length, "_count", (2 * F.col("_count") + 1).alias("_s"), F.explode(F.sequence(F.lit(0), n - 1)).alias("position"))
-    first = hit.unionByName(rest).groupBy(id, "_count", "position").agg(F.min("_s").alias("_s"))
-    o = ordinals(first, [id], ["_s", "position"], pos="_p", total="_n")
+    first = settle(hit.unionByName(rest).groupBy(id, "_count", "position").agg(F.min("_s").alias("_s")))
+    o = settle(ordinals(first, [id], ["_s", "position"], pos="_p", total="_n"))
     last = o.where(F.col("_p") == F.col("_count")).select(id, F.col("_s").alias("_last"))
     covered = o.join(last, id).where(F.col("_s") <= F.col("_last")).drop("_p", "_n")
     low = ordinals(covered, [id], ["position"], pos="_p", total="_n")
