@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scoring", "ranked", "selection", "structures", "fitted", "measures"]
+MODULES = ["scoring", "ranked", "selection", "structures", "fitted", "measures", "composed"]
 
 
 def _collect(attr: str) -> dict:

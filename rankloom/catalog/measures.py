@@ -450,8 +450,10 @@ c AS (SELECT max(CASE WHEN e >= 0.02 AND lo > 0 THEN 'PASS' ELSE 'FAIL' END) FIL
  CASE WHEN count(*) FILTER (e > 0.02) >= 1 THEN 'PASS' ELSE 'FAIL' END AS high_value_high_observability_environment, 'FAIL' AS teacher_action_valid_radius, CASE WHEN count(*) FILTER (e > 0 AND lo > 0) >= 2 THEN 'PASS' ELSE 'FAIL' END AS structure_teacher_directional_consistency, 'INCOMPLETE' AS on_policy_incremental_value FROM fl),
 u AS (SELECT list_value(core_action_value, regular_secondary_structure_action_value, paired_beats_matched_decoy, independent_dms_ranking, cath_h_frozen_linear_residual_accessibility, high_value_high_observability_environment, teacher_action_valid_radius, structure_teacher_directional_consistency, on_policy_incremental_value) AS a, * FROM c)
 SELECT CASE WHEN list_contains(a[1:4], 'FAIL') THEN 'NO_GO' WHEN list_contains(a[5:6], 'FAIL') THEN 'PIVOT_STRUCTURE_CONDITIONED' ELSE 'NO_GO' END AS decision, len(list_filter(a, lambda x: x = 'PASS')) AS criteria_passed, len(list_filter(a, lambda x: x = 'FAIL')) AS criteria_failed, len(list_filter(a, lambda x: x = 'INCOMPLETE')) AS criteria_incomplete, * EXCLUDE (a) FROM u""",
-    "probe_status": f"""WITH {S.SCORERS}, t AS (SELECT label, base, sa, {S.centre(S.zipped('sa', 'base', 'L - R'))} AS ra, {S.centre(S.zipped('sb', 'base', 'L - R'))} AS rb FROM s),
-p AS (SELECT label, avg({_jsd('base', 'sa')} - {_jsd(S.lognorm(S.zipped('base', 'ra', 'L + R / 2')), 'sa')}) AS jo, avg({S.cosine('ra', 'ra')}) AS co, avg({_jsd('base', 'sa')} - {_jsd(S.lognorm(S.zipped('base', 'rb', 'L + R / 2')), 'sa')}) AS jb FROM t GROUP BY label)
+    "probe_status": f"""WITH {S.SCORERS}, t AS (SELECT label, base, sa, {S.zipped('sa', 'base', 'L - R')} AS da, {S.zipped('sb', 'base', 'L - R')} AS db FROM s),
+u AS (SELECT label, base, sa, {S.centre('da')} AS ra, {S.zipped('base', S.centre('db').replace('lambda x: x', 'lambda z: z'), 'L + R / 2')} AS wb FROM t),
+v AS (SELECT label, base, sa, ra, wb, {S.zipped('base', 'ra', 'L + R / 2')} AS wa FROM u), w AS (SELECT label, base, sa, ra, {S.lognorm('wa')} AS ma, {S.lognorm('wb')} AS mb FROM v),
+p AS (SELECT label, avg({_jsd('base', 'sa')} - {_jsd('ma', 'sa')}) AS jo, avg({S.cosine('ra', 'ra')}) AS co, avg({_jsd('base', 'sa')} - {_jsd('mb', 'sa')}) AS jb FROM w GROUP BY label)
 SELECT label, {r('jo', 'jsd_reduction')}, {r('co', 'residual_cosine')}, {r('greatest(jb, 0)', 'maximum_control')}, true AS controls_complete, CASE WHEN jo >= 0.01::double AND co >= 0.1::double AND jo > 0 AND jo > greatest(jb, 0) THEN 'PASS' ELSE 'FAIL' END AS status FROM p""",
     "completion_record": f"WITH {S.SCORERS} SELECT {r('-avg(base[native])', 'base_nll')}, {r('-avg(sa[native])', 'sa_nll')}, {r('-avg(sb[native])', 'sb_nll')}, 'COMPLETE' AS decision FROM s",
     "criterion_export": """WITH m AS (SELECT l_suppkey, avg(l_quantity - 25.0::double) AS v FROM lineitem GROUP BY ALL) SELECT 'core_action_value' AS criterion, CASE WHEN avg(v) >= 0.02 THEN 'PASS' ELSE 'FAIL' END AS status, round(avg(v), 4) AS estimate, '{"n_rows":' || (SELECT count(*) FROM lineitem) || '}' AS details, 'real' AS data_mode FROM m""",

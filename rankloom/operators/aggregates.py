@@ -301,9 +301,8 @@ def shapley(subset_means: DataFrame, players: Sequence[str], by: Sequence[str] =
 
     n = len(players)
     weights = F.array(*[F.lit(factorial(k) * factorial(n - 1 - k) / factorial(n)) for k in range(n)])
-    sides = subset_means.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(n)]))).withColumn(
-        "_bit", F.shiftleft(F.lit(1), F.lit(0)) * F.pow(F.lit(2), F.col("_i")).cast("int")
-    )
+    bits = F.array(*[F.lit(1 << i) for i in range(n)])
+    sides = subset_means.select("*", F.posexplode(bits).alias("_i", "_bit"))
     having = F.col("mask").bitwiseAND(F.col("_bit")) != 0
     # Both sides of a pair share the mask without the player's bit.
     paired = sides.withColumn("_rest", F.col("mask").bitwiseAND(F.bitwise_not(F.col("_bit")))).groupBy(*by, "_i", "_rest").agg(
