@@ -251,8 +251,8 @@ def weighted_spearman(rows: DataFrame, keys: list[str], x: str, y: str, w: str,
         .groupBy(*keys, x, y)
         .agg(F.sum(w).alias("_w"))
     )
-    rx = value_ranks(pairs, keys, x, weight="_w", **kw).select(*keys, x, F.col("rank_centred").alias("_rx"))
-    ry = value_ranks(pairs, keys, y, weight="_w", **kw).select(*keys, y, F.col("rank_centred").alias("_ry"))
+    rx = value_ranks(pairs, keys, x, weight="_w", **kw).select(*keys, x, F.col("_rank_centred").alias("_rx"))
+    ry = value_ranks(pairs, keys, y, weight="_w", **kw).select(*keys, y, F.col("_rank_centred").alias("_ry"))
     half = (
         pairs.join(ry, [*keys, y])
         .groupBy(*keys, x)
@@ -301,7 +301,7 @@ def group_bootstrap_diff(
 
 def with_scopes(df: DataFrame, st: str, *, scope: str = "scope", everything: str = "all") -> DataFrame:
     """Each row once under ``all`` and once under its stratum."""
-    return df.withColumn(scope, F.explode(F.array(F.lit(everything), F.col(st))))
+    return df.withColumn(scope, F.explode(F.array(F.lit(everything), F.col(st).cast("string"))))
 
 
 def summarize(

@@ -113,13 +113,13 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str | N
     """One row per distinct value of a group: its average rank, centred on zero.
 
     Equal rows collapse before the ranking, so a value shared by a third of
-    the table costs one row. Gives (by, value, rank, rank_centred, n_equal, n_group).
+    the table costs one row. Gives (by, value, _rank, _rank_centred, _n_equal, _n_total).
     """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    v = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("n_equal"))
-    o = ordinals(v, by, [value], pos="_before", weight="n_equal", **kw)
-    return o.withColumn("rank", F.col("_before") + (F.col("n_equal") + 1) / 2).withColumn(
-        "rank_centred", F.col("rank") - (F.col("n_group") + 1) / 2
+    v = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(amount.alias("_n_equal"))
+    o = ordinals(v, by, [value], pos="_before", total="_n_total", weight="_n_equal", **kw)
+    return o.withColumn("_rank", F.col("_before") + (F.col("_n_equal") + 1) / 2).withColumn(
+        "_rank_centred", F.col("_rank") - (F.col("_n_total") + 1) / 2
     ).drop("_before")
 
 
