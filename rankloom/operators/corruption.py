@@ -17,7 +17,7 @@ from rankloom.functions.sequences import letters
 from rankloom.functions.vectors import _col, let
 from rankloom.operators.inference import PRIME, mix_value
 from rankloom.operators.ordering import ordinals
-from rankloom.session import settle
+from rankloom.session import settle, spread
 
 
 def edit_count(length: Column, ratio: Column | float, least: int = 1) -> Column:
@@ -186,13 +186,13 @@ def span_positions(df: DataFrame, id: str, length: str, key: Column, ratio: floa
 def build_bank(entities: DataFrame, id: str, seq: str, numeric: Column, levels: Sequence[float], replicates: int, seed: int = 0, symbols: str = SYMBOLS, mask: str = MASK) -> DataFrame:
     """Native state plus masked and substituted states for every level and replicate.
 
-    The plan is an array of structs exploded per entity, so nothing is shuffled.
+    The plan is an array of structs exploded per entity, so states are not shuffled.
     """
     plan = [("native", 0.0, 0)] + [
         (kind, lv, r) for kind in ("random_mask", "random_substitution") for lv in levels for r in range(replicates)
     ]
     rows = F.array(*[F.struct(F.lit(k).alias("state_kind"), F.lit(lv).alias("level"), F.lit(r).alias("replicate")) for k, lv, r in plan])
-    out = entities.select(id, F.col(seq).alias("reference_sequence"), numeric.alias("_k"), F.explode(rows).alias("_p")).select(
+    out = spread(entities, id).select(id, F.col(seq).alias("reference_sequence"), numeric.alias("_k"), F.explode(rows).alias("_p")).select(
         id, "reference_sequence", "_k", "_p.*"
     )
     draw = F.col("_k") * 97 + F.rint(F.col("level") * 1000).cast("long") * 7 + F.col("replicate")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.sequences import shingles
 from rankloom.operators.ordering import first_per, ordinals
-from rankloom.session import settle
+from rankloom.session import settle, spread
 
 
 def _known(c: str) -> Column:
@@ -101,7 +101,7 @@ def similarity_join(
     only those meet the targets: common words never generate pairs.
     """
     words = (
-        queries.select(F.col(qid).alias("_q"), F.explode(shingles(qseq, k)).alias("_s"))
+        spread(queries, qid).select(F.col(qid).alias("_q"), F.explode(shingles(qseq, k)).alias("_s"))
         .groupBy("_q", F.col("_s.word").alias("word"))
         .agg(F.min("_s.at").alias("qat"), F.count(F.lit(1)).alias("_c"))
         .where("_c = 1")
@@ -109,14 +109,14 @@ def similarity_join(
     )
     # A target's repeats of a word keep their places in one row.
     places = (
-        targets.select(F.col(tid).alias("_t"), F.explode(shingles(tseq, k)).alias("_s"))
+        spread(targets, tid).select(F.col(tid).alias("_t"), F.explode(shingles(tseq, k)).alias("_s"))
         .select("_t", F.col("_s.word").alias("word"), F.col("_s.at").alias("tat"))
         .join(words.select("word").distinct(), "word", "left_semi")
     )
     seeds, places = settle(words), settle(places)
-    spread = places.groupBy("word").agg(F.count_distinct("_t").alias("_df"))
+    breadth = places.groupBy("word").agg(F.count_distinct("_t").alias("_df"))
     ranked = ordinals(
-        seeds.join(spread, "word", "left").fillna(0, ["_df"]), ["_q"], ["_df", "word"], pos="_r", total="_n"
+        seeds.join(breadth, "word", "left").fillna(0, ["_df"]), ["_q"], ["_df", "word"], pos="_r", total="_n"
     ).withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_n") * min_fraction)))
     rare = ranked.where(F.col("_r") <= F.col("_n") - F.col("_m") + 1).select("_q", "word")
     # A target may repeat a rare word; the pair is needed once.

@@ -9,10 +9,12 @@ Rows with a NULL group key are left out, as in a pandas groupby.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rankloom.session import settle
+
 ROWS_PER_SPLIT = 1_000_000
 MAX_SPLITS = 512
 
@@ -123,6 +125,29 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str | N
     ).drop("_before")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, float], **kw) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one column per name.
+
+    The ``percentile`` aggregate holds all distinct values of a group in one
+    task; here values are folded with their counts, placed by ``ordinals`` and
+    only the two neighbours of each quantile reach the final aggregate.
+    """
+    v = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_q")).agg(F.count(F.lit(1)).alias("_w"))
+    o = ordinals(settle(v), by, ["_q"], pos="_before", total="_tot", weight="_w", **kw)
+    aggs = []
+    for i, q in enumerate(qs.values()):
+        at = (F.col("_tot") - 1) * q
+        for side, pos in (("lo", F.floor(at)), ("hi", F.least(F.floor(at) + 1, F.col("_tot") - 1))):
+            hit = (F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_w"))
+            aggs.append(F.max(F.when(hit, F.col("_q"))).alias(f"_{side}{i}"))
+    out = o.groupBy(*by).agg(F.max("_tot").alias("_tot"), *aggs)
+    cols = []
+    for i, (name, q) in enumerate(qs.items()):
+        part = (F.col("_tot") - 1) * q - F.floor((F.col("_tot") - 1) * q)
+        cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(name))
+    return out.select(*by, *cols)
+
+
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row of each group; an aggregate with map-side combine, not a sort."""
     key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rankloom.functions import vectors as V
 from rankloom.functions.classes import SYMBOLS
 from rankloom.functions.sequences import align_stats, aligned_pairs, letters
+from rankloom.session import spread
 
 
 def aligned_columns(hits: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
@@ -16,7 +17,7 @@ def aligned_columns(hits: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
     index in the remaining array. ``qstart`` is 1-based.
     """
     kept = F.filter(aligned_pairs("qaln", "taln"), lambda s: (s["q"] != "-") & (s["q"] != ""))
-    cols = hits.select("query", "qstart", F.posexplode(kept).alias("_i", "_s"))
+    cols = spread(hits, "query", "target").select("query", "qstart", F.posexplode(kept).alias("_i", "_s"))
     sym = F.col("_s.t")
     return cols.where((F.instr(F.lit(symbols), sym) > 0) & (sym != "")).select(
         "query", (F.col("qstart") - 1 + F.col("_i")).alias("position"), sym.alias("symbol")

@@ -48,3 +48,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a table over all cores before heavy per-row work, if its scan has too
+    few partitions (one small file is one task); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
