@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.catalog import sqlkit as S
+from rankloom.catalog.ranked import _strat, entity_metrics_ctes
+from rankloom.catalog.scoring import _jsd, _spear
 from rankloom.catalog.data import long_scorers, r6, rounded, scorers, table
 from rankloom.catalog.fitted import P, Q, _rows
 from rankloom.functions import vectors as V
@@ -155,4 +158,28 @@ QUERIES = {f.__name__: f for f in (
     registry_job, teacher_value_job, scorer_agreement_job, observability_job, on_policy_job, foundation_job, panel_job, transfer_job, counterfactual_job,
     action_validation_job, stability_job, external_job, structure_job,
 )}
-SQL: dict = {}
+r = S.rnd
+_EXT = f"""p AS (SELECT l_suppkey, l_partkey, avg(l_quantity) AS q, avg(l_discount) AS d, quantile_cont(l_extendedprice, 0.5) AS y FROM lineitem GROUP BY ALL),
+ml AS (SELECT l_suppkey, l_partkey, 0 AS l_orderkey, 0 AS l_linenumber, 0 AS l_shipdate, 0 AS l_tax, y, method, CASE method WHEN 'q' THEN q ELSE q + d * 100 END AS s FROM p, (VALUES ('q'), ('qd')) v(method)),
+{entity_metrics_ctes('ml', 'l_suppkey')},
+mg AS (SELECT a.l_suppkey, 'all' AS st, a.spearman - b.spearman AS sp, a.top_ndcg - b.top_ndcg AS tn FROM em a JOIN em b ON a.l_suppkey = b.l_suppkey AND a.method = 'qd' AND b.method = 'q'),
+lm AS (SELECT metric, l_suppkey, st, value FROM (SELECT 'spearman' AS metric, l_suppkey, st, sp AS value FROM mg UNION ALL SELECT 'top_ndcg', l_suppkey, st, tn FROM mg) WHERE value IS NOT NULL),
+{_strat('lm', 'metric', 'l_suppkey', 'st', 50, 1)}"""
+_ENVROWS = """ps AS (SELECT vec_id, label, vec_id % 3 * 0.05::double + 0.05::double AS level, CASE WHEN vec_id % 2 = 0 THEN 'on_policy' ELSE 'model_aware' END AS state_kind, ['buried', 'intermediate', 'exposed'][vec_id % 3 + 1] AS burial, ['helix', 'strand', 'turn_or_coil', 'helix'][vec_id % 4 + 1] AS ss FROM embeddings)"""
+
+SQL = {
+    "registry_job": """WITH t AS (SELECT doc_id, text, lang || source AS h, n_chars FROM documents), k AS (SELECT * FROM t WHERE n_chars >= 300), b AS (SELECT t.* FROM t JOIN labels USING (doc_id) WHERE toxic = 1),
+rl AS (SELECT DISTINCT k.doc_id, b.doc_id::varchar AS b, 'exact_sequence' AS reason FROM k JOIN b ON k.text = b.text WHERE trim(k.text) <> '' UNION ALL SELECT doc_id, '*', 'same_class' FROM k WHERE h IN (SELECT h FROM b))
+SELECT 'total' AS measure, count(*) AS n FROM k UNION ALL SELECT 'excluded', count(DISTINCT doc_id) FROM rl UNION ALL SELECT 'eligible', (SELECT count(*) FROM k) - (SELECT count(DISTINCT doc_id) FROM rl) UNION ALL SELECT 'relations_' || reason, count(*) FROM rl GROUP BY reason""",
+    "teacher_value_job": f"""WITH {S.LONG_SCORERS}, {_ENVROWS}, a AS (SELECT l.scorer AS teacher_id, l.vec_id, l.label, l.logp[l.native] - b.logp[b.native] AS adv FROM long l JOIN long b ON l.vec_id = b.vec_id AND b.scorer = 'base' WHERE l.scorer <> 'base'),
+x AS (SELECT a.*, level, state_kind, ax AS environment_axis, CASE ax WHEN 'burial' THEN burial ELSE ss END AS environment FROM a JOIN ps USING (vec_id), (VALUES ('burial'), ('secondary_structure')) v(ax)),
+m AS (SELECT teacher_id || '|' || state_kind || '|' || round(level, 2) || '|' || environment_axis || '|' || environment AS g, teacher_id, state_kind, round(level, 2) AS lv, environment_axis, environment, label, avg(adv) AS value, count(*) AS k FROM x GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 50, 1)}
+SELECT 'main' AS analysis_role, teacher_id, 'paired' AS structure_role, state_kind, {r('lv', 'level')}, environment_axis, environment, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters,
+ CASE WHEN count(*) > 1 THEN {r('any_value(ci_low)', 'x').rsplit(' AS ', 1)[0]} END AS ci_low, CASE WHEN count(*) > 1 THEN {r('any_value(ci_high)', 'x').rsplit(' AS ', 1)[0]} END AS ci_high FROM m JOIN ci USING (g) GROUP BY teacher_id, state_kind, lv, environment_axis, environment""",
+    "scorer_agreement_job": f"""WITH {S.LONG_SCORERS}, x AS (SELECT l.scorer AS left_teacher_id, p.scorer AS right_teacher_id, l.label, {_jsd('l.logp', 'p.logp')} AS jsd, {_spear('l.logp', 'p.logp')} AS rank_agreement FROM long l JOIN long p ON l.vec_id = p.vec_id AND l.scorer < p.scorer),
+u AS (UNPIVOT x ON jsd, rank_agreement INTO NAME metric VALUE v), m AS (SELECT left_teacher_id || right_teacher_id || metric AS g, left_teacher_id, right_teacher_id, metric, label, avg(v) AS value, count(*) AS k FROM u GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 50, 1)}
+SELECT left_teacher_id, right_teacher_id, metric, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters, {r('any_value(ci_low)', 'ci_low')}, {r('any_value(ci_high)', 'ci_high')} FROM m JOIN ci USING (g) GROUP BY ALL""",
+    "external_job": f"""WITH {_EXT}, gt AS (SELECT * FROM (VALUES ('minimum_evaluable_domains', 'spearman', 'n_clusters', '>=', 10.0::double), ('spearman_margin_ci_lower_positive', 'spearman', 'ci_low', '>', 0.0), ('positive_spearman_domain_fraction', 'spearman', 'positive_fraction', '>=', 0.5), ('ndcg10_margin_point_positive', 'top_ndcg', 'estimate', '>', 0.0)) v(gate, metric, field, op, threshold)),
+gv AS (SELECT gt.*, CASE field WHEN 'n_clusters' THEN n_clusters WHEN 'ci_low' THEN ci_low WHEN 'positive_fraction' THEN positive_fraction ELSE estimate END AS value FROM gt JOIN pt USING (metric) JOIN ci USING (metric))
+SELECT gate, 'd_over_q' AS contrast, metric, field, op, {r('threshold', 'threshold')}, {r('value', 'value')}, CASE op WHEN '>' THEN value > threshold ELSE value >= threshold END AS passed FROM gv""",
+}

@@ -68,15 +68,19 @@ def structure_descriptors(res: DataFrame, edges: DataFrame, by: Sequence[str], p
     }).drop("_gap", "_e")
 
 
-def window_descriptors(res: DataFrame, edges: DataFrame, by: Sequence[str], position: str, lengths: DataFrame, ss: str) -> DataFrame:
+def window_descriptors(
+    res: DataFrame, edges: DataFrame, by: Sequence[str], position: str, lengths: DataFrame, ss: str, max_excess: int | None = None
+) -> DataFrame:
     """Descriptors of every crop of the wanted ``lengths`` (column ``crop_length``).
 
-    Rows and edges are copied to the crops that contain them, then folded; only
-    lengths not above the entity's are made.
+    Rows and edges are copied to the crops that contain them, then folded. An
+    entity is cropped to lengths not above its own, and at most ``max_excess`` below.
     """
-    size = res.groupBy(*by).agg(F.max(position).alias("_last"))
-    # Distinct target lengths are few and bounded by the longest sequence.
-    crops = size.join(lengths.select("crop_length").distinct(), F.col("crop_length") <= F.col("_last") + 1)
+    size = res.groupBy(*by).agg(F.max(position).cast("int").alias("_last"))
+    shortest = F.lit(1) if max_excess is None else F.greatest(F.lit(1), F.col("_last") + 1 - max_excess)
+    crops = size.withColumn("crop_length", F.explode(F.sequence(shortest, F.col("_last") + 1))).join(
+        lengths.select(F.col("crop_length").cast("int").alias("crop_length")).distinct(), "crop_length", "left_semi"
+    )
     inside = lambda lo, hi: F.sequence(
         F.greatest(F.lit(0), hi - F.col("crop_length") + 1), F.least(lo, F.col("_last") + 1 - F.col("crop_length"))
     )

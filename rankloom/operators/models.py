@@ -526,7 +526,8 @@ def physchem_model(df: DataFrame, action: str, wild: str, props: DataFrame, matr
     symbol properties, a substitution score and an identity flag, by ridge.
 
     Rows of one wild type share their features, so the table first folds to one
-    row per symbol pair. ``props`` has (symbol, values array).
+    row per symbol pair. ``props`` has (symbol, values array), ``matrix`` one row
+    per ordered symbol pair (wild, mut, score).
     """
     n = len(symbols)
     letter = lambda i: F.substring(F.lit(symbols), i, F.lit(1))
@@ -535,7 +536,7 @@ def physchem_model(df: DataFrame, action: str, wild: str, props: DataFrame, matr
     a = props.select(F.col("symbol").alias("wild"), F.col("values").alias("_a"))
     b = props.select(F.col("symbol").alias("mut"), F.col("values").alias("_b"))
     # Alphabet-sized from here on.
-    grid = a.select("wild").join(b.select("mut"), F.lit(True)).join(a, "wild").join(b, "mut").join(matrix, ["wild", "mut"], "left").fillna(0.0, ["score"])
+    grid = matrix.select("wild", "mut", "score").join(a, "wild").join(b, "mut")
     d = V.subtract("_b", "_a")
     x = F.concat(d, F.transform(d, lambda v: F.abs(v)), F.array(F.col("score"), (F.col("wild") == F.col("mut")).cast("double")))
     table = grid.select("wild", "mut", x.alias("x")).join(folded, ["wild", "mut"], "left").toPandas()
