@@ -162,10 +162,10 @@ def window_descriptors(spark, sf):
 def match_windows(spark, sf):
     p, size, w = _windows(spark, sf)
     w = settle(w)
-    # One letter per position; an entity's sequence is as long as its chain.
-    seqs = p.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", (F.col("vec_id") % 7).cast("string").alias("c")))), lambda s: s["c"]), "").alias("whole"))
     names = ["radius_of_gyration", "helix_fraction", "strand_fraction", "mean_contact_order", "mean_contact_degree"]
-    full = w.join(seqs, "label").withColumn("sequence", F.substring("whole", F.col("crop_start") + 1, F.col("crop_length"))).withColumn("stratum", F.col("label") % 2)
+    # The letter at a position follows from the label, so a crop's sequence is made in its own row.
+    spell = F.expr("array_join(transform(sequence(crop_start, crop_start + crop_length - 1), i -> cast((i * (label % 3 + 1) + label) % 7 AS string)), '')")
+    full = w.withColumns({"sequence": spell, "stratum": F.col("label") % 2})
     targets = full.join(size, ["label", "crop_length"]).select(F.col("label").alias("target_id"), "stratum", "sequence", *names)
     windows = full.select(F.col("label").alias("donor_id"), "crop_start", "stratum", "sequence", *names)
     return rounded(X.match_windows(targets, windows, descriptors=names, scales={n: 0.1 for n in names}, n=2))
@@ -399,8 +399,8 @@ SELECT label, count(*) AS length, {r('sqrt(var_pop(x) + var_pop(y) + var_pop(z))
  {r('coalesce(any_value(gap) / count(*), 0)', 'mean_contact_order')}, {r('coalesce(2 * any_value(k) / count(*), 0)', 'mean_contact_degree')} FROM po LEFT JOIN e USING (label) GROUP BY label""",
     "window_descriptors": f"""WITH {_WD} SELECT ws.label, ws.crop_length, ws.crop_start, {r('radius_of_gyration', 'radius_of_gyration')}, {r('helix_fraction', 'helix_fraction')}, {r('strand_fraction', 'strand_fraction')},
  {r('coalesce(gap / ws.crop_length, 0)', 'mean_contact_order')}, {r('coalesce(2 * k / ws.crop_length, 0)', 'mean_contact_degree')} FROM ws LEFT JOIN we ON ws.label = we.label AND ws.crop_length = we.crop_length AND ws.crop_start = we.crop_start""",
-    "match_windows": f"""WITH {_WD}, sq AS (SELECT label, string_agg((vec_id % 7)::varchar, '' ORDER BY position) AS whole FROM po GROUP BY label),
-fu AS (SELECT ws.*, coalesce(gap / ws.crop_length, 0) AS co, coalesce(2 * k / ws.crop_length, 0) AS cd, substr(whole, ws.crop_start + 1, ws.crop_length) AS sequence, ws.label % 2 AS stratum, length(whole) AS n FROM ws LEFT JOIN we ON ws.label = we.label AND ws.crop_length = we.crop_length AND ws.crop_start = we.crop_start JOIN sq ON sq.label = ws.label),
+    "match_windows": f"""WITH {_WD}, sq AS (SELECT label, n AS whole_n FROM sz),
+fu AS (SELECT ws.*, coalesce(gap / ws.crop_length, 0) AS co, coalesce(2 * k / ws.crop_length, 0) AS cd, array_to_string(list_transform(range(ws.crop_start::bigint, (ws.crop_start + ws.crop_length)::bigint), lambda i: ((i * (ws.label % 3 + 1) + ws.label) % 7)::varchar), '') AS sequence, ws.label % 2 AS stratum, whole_n AS n FROM ws LEFT JOIN we ON ws.label = we.label AND ws.crop_length = we.crop_length AND ws.crop_start = we.crop_start JOIN sq ON sq.label = ws.label),
 pa AS (SELECT t.label AS target_id, w.label AS donor_id, w.crop_start, len(list_filter(range(1, t.crop_length + 1), lambda i: substr(t.sequence, i, 1) = substr(w.sequence, i, 1))) / t.crop_length AS si,
  sqrt(((w.radius_of_gyration - t.radius_of_gyration) / 0.1) ^ 2 + ((w.helix_fraction - t.helix_fraction) / 0.1) ^ 2 + ((w.strand_fraction - t.strand_fraction) / 0.1) ^ 2 + ((w.co - t.co) / 0.1) ^ 2 + ((w.cd - t.cd) / 0.1) ^ 2) AS dd, CASE WHEN t.stratum = w.stratum THEN 0.0::double ELSE 0.25 END AS pen
  FROM fu t JOIN fu w ON t.n = t.crop_length AND w.crop_length = t.crop_length AND w.label <> t.label),

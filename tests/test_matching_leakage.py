@@ -50,6 +50,14 @@ def test_caliper_match_equals_greedy(spark, digits):
         assert len(got) == len(want) and got["left_id"].is_unique and got["right_id"].is_unique
 
 
+def test_equal_rows_pair_by_id(spark):
+    """Many equal rows pair off in id order without meeting as all pairs."""
+    l = pd.DataFrame({"id": range(300), "st": 0, "u": 1.0})
+    r = pd.DataFrame({"id": range(1000, 1250), "st": 0, "u": [1.0] * 200 + [1.5] * 50})
+    got = X.caliper_match(spark.createDataFrame(l), spark.createDataFrame(r), "id", ["st"], ["u"], 5.0).toPandas().sort_values("left_id")
+    assert got["right_id"].tolist() == list(range(1000, 1250)) and got["left_id"].tolist() == list(range(250))
+
+
 def test_select_independent_equals_scan(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"id": range(60), "st": ["n"] * 60, "cl": rng.integers(0, 25, 60), "o": rng.integers(0, 10, 60)})
