@@ -111,3 +111,11 @@ def test_rolling_mean_blocks(spark):
 def test_strict_quota_fails(spark):
     with pytest.raises(Exception, match="quota of 4"):
         O.quota_head(spark.range(3).withColumn("g", F.lit(1)), ["g"], ["id"], 4, strict=True).collect()
+
+
+@pytest.mark.parametrize("kw", [{}, {"rows_per_split": 10}])
+def test_quantiles_match_numpy(table, kw):
+    pdf, df = table
+    got = O.quantiles(df, ["g"], "y", {"a": 0.25, "b": 0.5, "c": 0.9}, **kw).toPandas().set_index("g")
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got.loc[g, ["a", "b", "c"]].to_numpy(dtype=float), np.quantile(part["y"], [0.25, 0.5, 0.9]))
