@@ -27,7 +27,17 @@ from rankloom.operators import ranking as R
 from rankloom.session import settle
 
 Tables = dict[str, DataFrame]
+# Environment axes and final state names.
 AXES = ("burial", "secondary_structure", "contact_class", "conservation_class")
+ACTION_STATES = (
+    "MULTI_TEACHER_STRUCTURE_UNIQUE_ACTION_CONFIRMED",
+    "TEACHER_SPECIFIC_STRUCTURE_INCREMENT_WITHOUT_CONSENSUS",
+    "NO_STABILITY_RELEVANT_UNIQUE_STRUCTURE_ACTION_AFTER_GC",
+)
+EXTERNAL_STATES = (
+    "CROSS_PLATFORM_STRUCTURE_ACTION_BEYOND_CPLUS_CONFIRMED",
+    "CROSS_PLATFORM_STRUCTURE_ACTION_BEYOND_CPLUS_NOT_CONFIRMED",
+)
 
 
 def job_registry(
@@ -250,8 +260,7 @@ def job_action_validation(
     passed = settle(D.gate_table(summary, gates, ["contrast", "scope", "metric"], ["estimate", "ci_low"]))
     return {
         "selection": grid, "checks": checks, "metrics": metrics, "summary": summary, "gates": passed,
-        "decision": D.gate_decision(passed, "MULTI_TEACHER_STRUCTURE_UNIQUE_ACTION_CONFIRMED", "TEACHER_SPECIFIC_STRUCTURE_INCREMENT_WITHOUT_CONSENSUS",
-                                    "NO_STABILITY_RELEVANT_UNIQUE_STRUCTURE_ACTION_AFTER_GC", ["rank_margin_ci_positive", "gain_margin_ci_positive"]),
+        "decision": D.gate_decision(passed, *ACTION_STATES, ["rank_margin_ci_positive", "gain_margin_ci_positive"]),
     }
 
 
@@ -296,9 +305,8 @@ def job_external(
         ("minimum_evaluable_domains", primary, "spearman", "n_clusters", ">=", float(min_entities)), ("spearman_margin_ci_lower_positive", primary, "spearman", "ci_low", ">", 0.0),
         ("positive_spearman_domain_fraction", primary, "spearman", "positive_fraction", ">=", 0.5), ("ndcg10_margin_point_positive", primary, "top_ndcg", "estimate", ">", 0.0)])
     passed = settle(D.gate_table(summary, gates, ["contrast", "metric"], ["estimate", "ci_low", "positive_fraction", "n_clusters"]))
-    name = "CROSS_PLATFORM_STRUCTURE_ACTION_BEYOND_CPLUS"
     return {"metrics": metrics, "margins": margins, "summary": summary, "gates": passed,
-            "decision": D.gate_decision(passed, f"{name}_CONFIRMED", f"{name}_NOT_CONFIRMED", f"{name}_NOT_CONFIRMED")}
+            "decision": D.gate_decision(passed, EXTERNAL_STATES[0], EXTERNAL_STATES[1], EXTERNAL_STATES[1])}
 
 
 def job_structure(
