@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from rankloom.llm.texts import map_texts
 
 #: Above this many trie nodes a task starts a new trie and word table.
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 #: Code points below this have neither combining marks nor case rules of context.
 PLAIN_END = 0x250
 
@@ -44,6 +44,7 @@ class WordTrie:
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], end: str) -> None:
         self.vocab, self.end, self.letters = vocab, end, byte_letters()
+        self.packed = {t: struct.pack("<I", i) for t, i in vocab.items()}
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         made = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
         self.right = {t: self._spine(t, made, 1) for t in vocab}
@@ -97,9 +98,9 @@ class WordTrie:
         got = self.grown[tail, symbol] = (whole, ends)
         return got
 
-    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Token ids of each distinct word."""
-        vocab, child, last, back, tail, fits, grown, end = self.vocab, self.child, self.last, self.back, self.tail, self.fits, self.grown, self.end
+    def encode(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Packed token ids of each distinct word."""
+        packed, child, last, back, tail, fits, grown, end = self.packed, self.child, self.last, self.back, self.tail, self.fits, self.grown, self.end
 
         def state(nodes: list[int], ends: list[tuple[str, int]]) -> tuple[str, int]:
             """Last token of a prefix and the node where it begins."""
@@ -115,7 +116,7 @@ class WordTrie:
                     return token, node
             raise ValueError("the merges give no encoding")
 
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         # In sorted order a walk from word to word is a depth-first walk of the trie.
         nodes, path = [0], ""
         for word in sorted(words):
@@ -140,11 +141,10 @@ class WordTrie:
                 nodes.append(node)
             grew = tail[node], word[-1] + end
             token, node = state(nodes, (grown.get(grew) or self.grow(*grew))[1])
-            ids = [vocab[token]]
+            ids = packed[token]
             while node:
-                ids.append(vocab[last[node]])
+                ids = packed[last[node]] + ids
                 node = back[node]
-            ids.reverse()
             out[word] = ids
         return out
 
@@ -197,14 +197,19 @@ class WordBpe:
     def learn(self, words: set[str]) -> None:
         """Encode byte-level words that are new to the task, all at once."""
         fresh = words.difference(self.known)
-        self.known.update({w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in self.trie.encode(fresh).items()})
+        self.known.update(self.trie.encode(fresh))
 
     def learn_runs(self, fresh: set[str]) -> None:
         """Encode runs of plain text without white space; no word crosses their ends."""
-        level, cut = self.byte_level, self.cut
-        spelt = {r: [level(w) for w in cut(r.lower())] for r in fresh}
-        self.learn({w for ws in spelt.values() for w in ws})
+        level, cut, spelt, whole = self.byte_level, self.cut, {}, {}
+        for run in fresh:
+            if run.isascii() and run.isalpha():
+                whole[run] = run.lower()
+            else:
+                spelt[run] = [w if w.isascii() and w.isprintable() else level(w) for w in cut(run.lower())]
+        self.learn({w for ws in spelt.values() for w in ws}.union(whole.values()))
         look = self.known.__getitem__
+        self.runs.update({r: look(w) for r, w in whole.items()})
         self.runs.update({r: b"".join(map(look, ws)) for r, ws in spelt.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
