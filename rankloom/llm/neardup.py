@@ -14,10 +14,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from rankloom.llm.graphs import components
-from rankloom.llm.texts import map_texts, mix, seeds, text_bytes, word_hashes
+from rankloom.llm.texts import dense, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
 from rankloom.session import settle
 
 SHINGLE = 5
@@ -28,8 +28,14 @@ SKETCHES = 16
 SAMPLED = 3
 #: Buckets up to this size are compared pair by pair.
 SMALL = 8
-#: Centres of a larger bucket in the first round; the number doubles by round.
-CENTRES = 2
+#: Centres of a larger bucket in the third round; four times as many in each next.
+CENTRES = 16
+#: Sketch entries whose buckets the first round looks at.
+FIRST_ENTRIES = 4
+#: Bytes of the bitmap of texts that have candidates.
+BITMAP = 1 << 18
+
+MARKS = ("m0", "m1", "m2", "m3")
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = seeds(SKETCHES) | np.uint64(1)
@@ -77,6 +83,18 @@ def order_minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """64 nibbles in four words: of the hashes with equal first six bits, the
+    least one's trace from 1 to 15, or 0 if there is none."""
+    ranked = np.sort(shingles)
+    bins = np.arange(64, dtype=np.uint64) << np.uint64(58)
+    at = np.searchsorted(ranked, bins)
+    least = ranked[np.minimum(at, len(ranked) - 1)] if len(ranked) else bins
+    there = (at < len(ranked)) & (least >> np.uint64(58) == np.arange(64, dtype=np.uint64))
+    nibble = np.where(there, (least >> np.uint64(8)) % np.uint64(15) + np.uint64(1), np.uint64(0))
+    return (nibble.reshape(4, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(1, dtype=np.uint64).astype(np.int64)
+
+
 def rising(values: list[int]) -> int:
     """Length of the longest strictly rising subsequence."""
     tails: list[int] = []
@@ -113,28 +131,60 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketch_texts(docs: DataFrame, text: str) -> DataFrame:
-    """Add content (a digest of the words), sketch, and words as packed hashes."""
-    fields = [T.StructField("content", T.BinaryType(), False), T.StructField("sketch", T.ArrayType(T.LongType(), False), False), T.StructField("words", T.BinaryType(), False)]
+    """Add content (a digest of the words), n (shingles), sketch and marks."""
+    fields = [T.StructField("content", T.BinaryType(), False), T.StructField("n", T.LongType(), False), T.StructField("sketch", T.ArrayType(T.LongType(), False), False)]
+    fields += [T.StructField(m, T.LongType(), False) for m in MARKS]
 
     def make():
         def fn(column):
-            data, offsets = text_bytes(column)
-            hashes, rows = word_hashes(data, offsets)
-            content, sketch, words = [], [], []
+            hashes, rows = word_hashes(*text_bytes(column))
+            content, sizes, sketch, traces = [], [], [], []
             for a, b in zip(rows[:-1], rows[1:]):
-                w = hashes[a:b]
-                small = w.astype(np.uint32)
-                content.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
-                words.append(small.tobytes())
-                sketch.append(order_minhash(labelled_shingles(small)).astype(np.int64) if b > a else np.zeros(0, np.int64))
+                shingles = labelled_shingles(hashes[a:b].astype(np.uint32))
+                content.append(_digest(hashes[a:b]))
+                sizes.append(len(shingles))
+                traces.append(marks(shingles))
+                sketch.append(order_minhash(shingles).astype(np.int64) if b > a else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, sketch)], dtype=np.int32)
-            return [pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketch))), pa.array(words, pa.binary())]
+            return [pa.array(content, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketch))), *(pa.array(c) for c in np.array(traces).T)]
 
         return fn
 
     return map_texts(docs, text, make, fields)
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def packed_words(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(content, words as packed hashes) of the wanted contents, once each.
+
+    A bitmap of fixed size over the digests keeps most other texts from being
+    shuffled; the join decides.
+    """
+    slot = F.conv(F.substring(F.hex("content"), 1, 8), 16, 10).cast("long") % (8 * BITMAP)
+    filled = wanted.select(F.floor(slot / 8).cast("long").alias("slot"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("n"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(dense(filled, BITMAP).astype(np.uint8).tobytes())
+
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            for part in text_slices(batch, text):
+                hashes, rows = word_hashes(*text_bytes(part.column(text)))
+                content, words = [], []
+                for a, b in zip(rows[:-1], rows[1:]):
+                    d = _digest(hashes[a:b])
+                    at = int.from_bytes(d[:4], "big") % (8 * BITMAP)
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        content.append(d)
+                        words.append(hashes[a:b].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(words, pa.binary())], names=["content", "words"])
+
+    some = docs.select(text).mapInArrow(run, "content binary, words binary")
+    return some.join(wanted, "content", "left_semi").groupBy("content").agg(F.first("words").alias("words"))
+
+
 def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the similarity."""
 
@@ -156,58 +206,104 @@ def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return joined.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _pairs(left, right):
+def _pair(left, right):
     return F.struct(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
 
 
-def linked_contents(sketched: DataFrame) -> DataFrame:
+def _promising(x, y):
+    """Can two texts of unlike content be similar, and do their marks allow it?
+
+    Fewer shingles than ``SIMILARITY`` of the other text's rule a pair out. So do
+    marks that agree less often than four standard deviations below what that
+    similarity makes them: of pairs just similar, 3 in 100,000 do.
+    """
+    ones = F.lit(0x1111111111111111)
+
+    def filled(v):
+        any_bit = v
+        for k in (1, 2, 3):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(v, k))
+        return F.bit_count(any_bit.bitwiseAND(ones))
+
+    used = sum((filled(x[m].bitwiseOR(y[m])) for m in MARKS), F.lit(0))
+    unlike = sum((filled(x[m].bitwiseXOR(y[m])) for m in MARKS), F.lit(0))
+    spread = 4 * (SIMILARITY * (1 - SIMILARITY)) ** 0.5
+    n, m = x["n"], y["n"]
+    return (F.least(n, m) >= F.greatest(n, m) * (SIMILARITY - 1e-9)) & (used - unlike >= SIMILARITY * used - spread * F.sqrt(used))
+
+
+def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(node, comp): contents that share a class with another content.
 
-    Texts meet in the buckets of their sketch entries. A bucket of any size is
-    compared in rounds: a few texts become centres, from the smallest classes
-    first, and every other text of another class is compared with them. Then the
-    classes are joined, the centres leave, and buckets that still hold two
-    classes go on, with more centres. So each pair of a bucket is compared
-    unless links already put it into one class, and no bucket is one task.
+    Texts meet in the buckets of their sketch entries. Buckets of any size are
+    compared in rounds, each of which joins the classes that its links connect:
+
+    1. Buckets of the first entries take one text as centre for all others.
+       This joins the bulk of a large group of copies.
+    2. In every bucket that still holds several classes, the text with most
+       links is the centre for the texts of other classes.
+    3. Small buckets compare all pairs of unlike class. In others some texts,
+       not of the largest class, are centres for all texts of other classes, and
+       leave; there are four times as many centres in each round.
+
+    So in the end each pair of a bucket is compared unless links put it into one
+    class, and no bucket is one task's work. Pairs that lengths and marks rule
+    out are not aligned.
     """
-    texts = sketched.select("content", "sketch").groupBy("content").agg(F.first("sketch").alias("sketch"))
-    entries = settle(texts.select(F.explode("sketch").alias("bucket"), "content"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = settle(entries.join(shared, "bucket"))
-    wanted = members.select("content").distinct()
-    words = settle(sketched.select("content", "words").join(wanted, "content", "left_semi").groupBy("content").agg(F.first("words").alias("words")))
-    edges, linked, centres = None, None, CENTRES
+    traits = ["n", *MARKS]
+    texts = sketched.groupBy("content").agg(*[F.first(c).alias(c) for c in ("sketch", *traits)])
+    entries = settle(texts.select(F.posexplode("sketch").alias("entry", "bucket"), "content"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    shared = settle(entries.join(shared, "bucket"))
+    wanted = settle(shared.select("content").distinct())
+    members = settle(shared.join(sketched.select("content", *traits).join(wanted, "content", "left_semi").dropDuplicates(["content"]), "content"))
+    words = settle(packed_words(docs, text, wanted))
+    edges = tested = linked = None
+    turn, centres = 1, CENTRES
+    seat = ("content", "comp", *traits)
     while True:
-        held = members.withColumn("comp", F.col("content")) if linked is None else members.join(linked, members["content"] == linked["node"], "left").select("bucket", "content", F.coalesce("comp", "content").alias("comp"))
-        sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        tag = F.struct(F.col("n"), F.xxhash64("bucket", "comp").alias("h"), F.col("comp"))
-        # The largest class of a bucket needs no centres: all others are compared with it.
-        open_ = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"), F.max(tag).alias("largest")).where("classes > 1")
-        held = settle(held.join(open_.select("bucket", "total", F.col("largest.comp").alias("largest")), "bucket"))
-        if held.isEmpty():
+        held = members if turn > 1 else members.where(F.col("entry") < FIRST_ENTRIES)
+        held = held.withColumn("comp", F.col("content")) if linked is None else held.join(linked, held["content"] == linked["node"], "left").withColumn("comp", F.coalesce("comp", "content")).drop("node")
+        sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+        open_ = sizes.groupBy("bucket").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("classes"), F.max_by("comp", F.struct("k", "comp")).alias("largest")).where("classes > 1")
+        held = settle(held.join(open_.drop("classes"), "bucket"))
+        if held.isEmpty() and turn > 2:
             break
-        small = held.where(F.col("total") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("comp", "content")).alias("m"))
-        by_pair = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["content"] > x["content"]) & (y["comp"] != x["comp"])), lambda y: _pairs(x["content"], y["content"]))))).alias("p"))
-        large = held.where(F.col("total") > SMALL)
-        turn = F.struct(F.xxhash64("bucket", "content", F.lit(centres)).alias("h"), F.col("content"), F.col("comp"))
-        chosen = settle(_few(large.where(F.col("comp") != F.col("largest")).select("bucket", turn.alias("t")), centres))
-        seats = chosen.select("bucket", F.col("t.content").alias("centre"), F.col("t.comp").alias("own"))
-        by_centre = large.join(seats, "bucket").where(F.col("comp") != F.col("own")).select(_pairs(F.col("content"), F.col("centre")).alias("p"))
-        found = similar_pairs(by_pair.unionByName(by_centre).select("p.*").distinct(), words)
+        if turn <= 2:
+            rank = F.struct(F.lit(0).alias("d"), F.xxhash64("bucket", "content").alias("h"), *seat)
+            if edges is not None:
+                degree = edges.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("d"))
+                held = held.join(degree, held["content"] == degree["of"], "left").drop("of")
+                rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), *[rank[c].alias(c) for c in ("h", *seat)])
+            seats = held.groupBy("bucket").agg(F.max(rank).alias("c"))
+            by_pair, large = None, held
+        else:
+            small = held.where(F.col("total") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct(*seat)).alias("m"))
+            unlike = lambda x, y: (y["content"] > x["content"]) & (y["comp"] != x["comp"]) & _promising(x, y)
+            by_pair = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: unlike(x, y)), lambda y: _pair(x["content"], y["content"]))))).alias("p"))
+            large = held.where(F.col("total") > SMALL)
+            seats = _few(large.where(F.col("comp") != F.col("largest")).select("bucket", F.struct(F.xxhash64("bucket", "content", F.lit(turn)).alias("h"), *seat).alias("c")), centres)
+            centres *= 4
+        seats = settle(seats)
+        pairs = large.join(seats, "bucket").where((F.col("comp") != F.col("c.comp")) & _promising({m: F.col(m) for m in traits}, {m: F.col(f"c.{m}") for m in traits})).select(_pair(F.col("content"), F.col("c.content")).alias("p"))
+        pairs = (pairs if by_pair is None else pairs.unionByName(by_pair)).select("p.*").distinct()
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        found = similar_pairs(pairs, words)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         edges = settle(found if edges is None else edges.unionByName(found))
         linked = settle(components(edges))
-        members = settle(large.join(seats.select("bucket", F.col("centre").alias("content")), ["bucket", "content"], "left_anti").select("bucket", "content"))
-        centres *= 2
-    return linked if linked is not None else sketched.sparkSession.createDataFrame([], "node binary, comp binary")
-
+        if turn > 2:
+            members = settle(large.join(seats.select("bucket", F.col("c.content").alias("content")), ["bucket", "content"], "left_anti").select("entry", "bucket", "content", *traits))
+        turn += 1
+    return linked
 
-def _few(df: DataFrame, n: int) -> DataFrame:
-    """Up to n rows of each bucket, those with the least t; tasks pass on n at most."""
-    from pyspark.sql import Window as W
 
-    some = df.withColumn("_part", F.pmod(F.xxhash64("t"), F.lit(64)))
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` rows of each bucket, those with the least c; a bucket is first
+    cut down in parts."""
+    some = df.withColumn("_part", F.pmod(F.xxhash64("c"), F.lit(64)))
     for by in (["bucket", "_part"], ["bucket"]):
-        some = some.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("t"))).where(F.col("_r") <= n).drop("_r")
+        some = some.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("c"))).where(F.col("_r") <= most).drop("_r")
     return some.drop("_part")
 
 
@@ -220,13 +316,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     it has no other id. Repeated rows stay and count. No rows give no rows.
     """
     sketched = settle(sketch_texts(docs.select(doc_id, text), text).drop(text))
-    return sketched.select(doc_id, "content").join(classes(sketched, doc_id), "content").select(doc_id, "class_id", "n_class")
+    return sketched.select(doc_id, "content").join(classes(sketched, docs, doc_id, text), "content").select(doc_id, "class_id", "n_class")
 
 
-def classes(sketched: DataFrame, doc_id: str) -> DataFrame:
+def classes(sketched: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(content, comp, class_id, n_class) for each distinct content of settled sketches."""
     contents = sketched.groupBy("content").agg(F.min(doc_id).alias("least"), F.count(F.lit(1)).alias("n"))
-    linked = linked_contents(sketched)
+    linked = linked_contents(sketched, docs, text)
     comps = settle(contents.join(linked, contents["content"] == linked["node"], "left").select("content", F.coalesce("comp", "content").alias("comp"), "least", "n"))
     whole = comps.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
     return comps.select("content", "comp").join(whole, "comp")
@@ -238,7 +334,7 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     both, one stays. Texts without words are one class."""
     sketched = settle(sketch_texts(docs.select(doc_id, text), text).drop(text))
     own = sketched.groupBy("content").agg(F.min(doc_id).alias("_id"))
-    ranked = own.join(classes(sketched, doc_id), "content").groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "content")).alias("best"))
+    ranked = own.join(classes(sketched, docs, doc_id, text), "content").groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "content")).alias("best"))
     chosen = settle(ranked.select(F.col("best._id").alias("_id"), F.col("best.content").alias("_content")))
     single = sketched.groupBy(doc_id, "content").count().where("count > 1").isEmpty()
     marked = content_digests(docs, text)
@@ -252,7 +348,7 @@ def content_digests(docs: DataFrame, text: str) -> DataFrame:
     def make():
         def fn(column):
             hashes, rows = word_hashes(*text_bytes(column))
-            return [pa.array([hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(rows[:-1], rows[1:])], pa.binary())]
+            return [pa.array([_digest(hashes[a:b]) for a, b in zip(rows[:-1], rows[1:])], pa.binary())]
 
         return fn
 
