@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankloom.functions.vectors import let
+
 #: Rounds of the network; even, so the halves end where they began.
 ROUNDS = 8
 #: Classes of characters that a string's pseudonym keeps, place by place.
@@ -58,13 +60,13 @@ def permute_number(value: Column, high: int | Column, low: int | Column, key: st
         start,
         lambda s, i: F.struct(s["y"].alias("x"), F.pmod(s["x"] + F.pmod(_number(keyed(key, tweak, i, s["y"].cast("string"))), s["m"]), s["m"]).alias("y"), s["n"].alias("m"), s["m"].alias("n")),
     )
-    return end["x"] * low + end["y"]
+    return let(end, lambda e: e["x"] * e["n"] + e["y"])
 
 
 def _shift(text: Column, digest: Column) -> Column:
     """Move each character along its class by what the digest says for its place."""
 
-    def one(j: Column) -> Column:
+    def one(digest: Column, j: Column) -> Column:
         c = F.substr(text, j, F.lit(1))
         by = F.conv(F.substr(digest, F.pmod(j - 1, F.lit(16)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         out = c
@@ -73,15 +75,20 @@ def _shift(text: Column, digest: Column) -> Column:
             out = F.when(at > 0, F.substr(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.when(F.length(text) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
+    return F.when(F.length(text) == 0, "").otherwise(let(digest, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda j: one(d, j)), "")))
 
 
 def permute_string(value: Column, key: str, tweak: str) -> Column:
     """Keyed permutation of the strings with the same classes of characters."""
+    # Bound once: a lambda's body is evaluated for every entry.
+    return let(value, lambda v: _permute_bound(v, key, tweak))
+
+
+def _permute_bound(value: Column, key: str, tweak: str) -> Column:
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), half).alias("x"), F.substr(value, half + 1, F.length(value)).alias("y"))
     end = F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, lambda s, i: F.struct(s["y"].alias("x"), _shift(s["x"], keyed(key, tweak, i, s["y"])).alias("y")))
-    return F.concat(end["x"], end["y"])
+    return let(end, lambda e: F.concat(e["x"], e["y"]))
 
 
 def digits_of(value: Column) -> Column:
@@ -90,6 +97,10 @@ def digits_of(value: Column) -> Column:
 
 def refill(shape: Column, digits: Column) -> Column:
     """Put digits in the places that ``shape`` has digits in."""
+    return let(digits, lambda d: _refill_bound(shape, d))
+
+
+def _refill_bound(shape: Column, digits: Column) -> Column:
     place = lambda j: F.length(digits_of(F.substr(shape, F.lit(1), j)))
     one = lambda j: F.when(F.substr(shape, j, F.lit(1)).rlike("[0-9]"), F.substr(digits, place(j), F.lit(1))).otherwise(F.substr(shape, j, F.lit(1)))
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
@@ -97,6 +108,10 @@ def refill(shape: Column, digits: Column) -> Column:
 
 def luhn_digit(payload: Column) -> Column:
     """Check digit of a card number's other digits."""
+    return let(payload, _luhn_bound)
+
+
+def _luhn_bound(payload: Column) -> Column:
 
     def add(s: Column, j: Column) -> Column:
         d = F.substr(payload, F.length(payload) - j + 1, F.lit(1)).cast("int") * F.when(F.pmod(j, F.lit(2)) == 1, 2).otherwise(1)
@@ -108,6 +123,10 @@ def luhn_digit(payload: Column) -> Column:
 
 def mod97(text: Column) -> Column:
     """Remainder of a string of digits and capitals, A as 10, read as one number."""
+    return let(text, _mod97_bound)
+
+
+def _mod97_bound(text: Column) -> Column:
 
     def add(r: Column, j: Column) -> Column:
         at = F.call_function("locate", F.substr(text, j, F.lit(1)), F.lit(ALPHABETS[0] + ALPHABETS[2])) - 1
@@ -124,16 +143,18 @@ def _card(m: Column, key: str) -> Column:
     power = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("long")
     new = F.lpad(permute_number(payload.cast("long"), power(n - 1 - low), power(low), key, F.concat(F.lit("card"), n.cast("string"))).cast("string"), n - 1, F.lit("0"))
     valid = luhn_digit(payload) == F.substr(number, n, F.lit(1)).cast("int")
-    return F.when(valid, refill(m, F.concat(new, luhn_digit(new).cast("string"))))
+    return F.when(valid, refill(m, let(new, lambda p: F.concat(p, luhn_digit(p).cast("string")))))
 
 
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
-    new = permute_string(account, key, "iban")
-    check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(country, check, new)
-    spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda j: F.when(F.substr(m, j, F.lit(1)) == " ", " ").otherwise(F.substr(whole, F.length(F.replace(F.substr(m, F.lit(1), j), F.lit(" "), F.lit(""))), F.lit(1)))), "")
+    checked = lambda a: F.concat(country, F.lpad((98 - mod97(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+    shown = lambda j: F.length(F.replace(F.substr(m, F.lit(1), j), F.lit(" "), F.lit("")))
+    spaced = let(
+        let(permute_string(account, key, "iban"), checked),
+        lambda whole: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda j: F.when(F.substr(m, j, F.lit(1)) == " ", " ").otherwise(F.substr(whole, shown(j), F.lit(1)))), ""),
+    )
     return F.when(mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1, spaced)
 
 
@@ -142,26 +163,32 @@ def _phone(m: Column, key: str) -> Column:
     ten = F.right(number, F.lit(10))
     part = lambda a, k: F.substr(ten, F.lit(a), F.lit(k)).cast("long")
     value = ((part(1, 3) - 200) * 800 + part(4, 3) - 200) * 10_000 + part(7, 4)
-    new = permute_number(value, 800, 8_000_000, key, "phone")
-    line = F.pmod(new, F.lit(10_000))
-    rest = ((new - line) / 10_000).cast("long")
-    exchange = F.pmod(rest, F.lit(800))
-    area = ((rest - exchange) / 800).cast("long")
-    text = F.concat((area + 200).cast("string"), (exchange + 200).cast("string"), F.lpad(line.cast("string"), 4, "0"))
-    return refill(m, F.concat(F.substr(number, F.lit(1), F.length(number) - 10), text))
+
+    def spelt(new: Column) -> Column:
+        line = F.pmod(new, F.lit(10_000))
+        rest = ((new - line) / 10_000).cast("long")
+        exchange = F.pmod(rest, F.lit(800))
+        area = ((rest - exchange) / 800).cast("long")
+        return F.concat((area + 200).cast("string"), (exchange + 200).cast("string"), F.lpad(line.cast("string"), 4, "0"))
+
+    new = let(permute_number(value, 800, 8_000_000, key, "phone"), spelt)
+    return refill(m, F.concat(F.substr(number, F.lit(1), F.length(number) - 10), new))
 
 
 def _ssn(m: Column, key: str) -> Column:
     part = lambda a, k: F.substr(m, F.lit(a), F.lit(k)).cast("long")
     area = part(1, 3) - 1 - F.when(part(1, 3) > 666, 1).otherwise(0)
-    new = permute_number((area * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1, 898 * 99, 9999, key, "ssn")
-    serial = F.pmod(new, F.lit(9999))
-    rest = ((new - serial) / 9999).cast("long")
-    group = F.pmod(rest, F.lit(99))
-    area = ((rest - group) / 99).cast("long") + 1
-    area = area + F.when(area >= 666, 1).otherwise(0)
-    padded = lambda c, k: F.lpad(c.cast("string"), k, "0")
-    return F.concat_ws("-", padded(area, 3), padded(group + 1, 2), padded(serial + 1, 4))
+
+    def spelt(new: Column) -> Column:
+        serial = F.pmod(new, F.lit(9999))
+        rest = ((new - serial) / 9999).cast("long")
+        group = F.pmod(rest, F.lit(99))
+        first = ((rest - group) / 99).cast("long") + 1
+        first = first + F.when(first >= 666, 1).otherwise(0)
+        padded = lambda c, k: F.lpad(c.cast("string"), k, "0")
+        return F.concat_ws("-", padded(first, 3), padded(group + 1, 2), padded(serial + 1, 4))
+
+    return let(permute_number((area * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1, 898 * 99, 9999, key, "ssn"), spelt)
 
 
 def _date(m: Column, key: str, pattern: str | Column) -> Column:
@@ -175,7 +202,7 @@ def _date(m: Column, key: str, pattern: str | Column) -> Column:
 def _ip(m: Column, key: str) -> Column:
     value = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
     new = permute_number(value, 1 << 16, 1 << 16, key, "ip")
-    return F.concat_ws(".", *[F.shiftright(new, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+    return let(new, lambda v: F.concat_ws(".", *[F.shiftright(v, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)]))
 
 
 def pseudonym(m: Column, key: str) -> Column:
