@@ -32,6 +32,10 @@ SMALL = 8
 CENTRES = 16
 #: Sketch entries whose buckets the first round looks at.
 FIRST_ENTRIES = 4
+#: A shingle is rare if at most so many texts of the unmerged buckets hold it.
+RARE = 16
+#: Rare shingles that a text lists; one with more is compared without the list.
+LISTED = 128
 #: Bytes of the bitmap of texts that have candidates.
 BITMAP = 1 << 18
 
@@ -232,6 +236,32 @@ def _promising(x, y):
     return (F.least(n, m) >= F.greatest(n, m) * (SIMILARITY - 1e-9)) & (used - unlike >= SIMILARITY * used - spread * F.sqrt(used))
 
 
+def shared_shingles(open_: DataFrame, words: DataFrame) -> DataFrame:
+    """(content, common, rare): what a text shares with the texts of ``open_``.
+
+    ``common`` counts its shingles that more than ``RARE`` of the texts hold;
+    ``rare`` lists those that from two to ``RARE`` hold, null if it would be long.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for content, packed in zip(batch.column("content"), batch.column("words")):
+                held = labelled_shingles(np.frombuffer(packed.as_py(), np.uint32)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([content.as_py()] * len(held), pa.binary()), pa.array(held)], names=["content", "shingle"])
+
+    held = words.join(open_, "content", "left_semi").mapInArrow(run, "content binary, shingle long")
+    known = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    of = held.join(known, "shingle").groupBy("content").agg(F.count_if(F.col("k") > RARE).alias("common"), F.collect_list(F.when(F.col("k") <= RARE, F.col("shingle"))).alias("rare"))
+    return of.withColumn("listed", F.size("rare")).withColumn("rare", F.when(F.col("listed") <= LISTED, F.col("rare")))
+
+
+def _overlapping(x, y):
+    """Can the shingles that the two share be as many as a similar pair needs?"""
+    needed = (x["n"] + y["n"]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    common = F.least(x["common"], y["common"])
+    return (common >= needed) | F.coalesce(common + F.size(F.array_intersect(x["rare"], y["rare"])) >= needed, F.lit(True))
+
+
 def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(node, comp): contents that share a class with another content.
 
@@ -248,7 +278,10 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
 
     So in the end each pair of a bucket is compared unless links put it into one
     class, and no bucket is one task's work. Pairs that lengths and marks rule
-    out are not aligned.
+    out are not aligned. Nor are, from the third round on, pairs of large buckets
+    that share too few shingles: the shingles that both can share are bounded by
+    those which many open texts hold and by the rare ones both list. A text that
+    shares too few with all open texts together leaves.
     """
     traits = ["n", *MARKS]
     texts = sketched.groupBy("content").agg(*[F.first(c).alias(c) for c in ("sketch", *traits)])
@@ -258,7 +291,7 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
     wanted = settle(shared.select("content").distinct())
     members = settle(shared.join(sketched.select("content", *traits).join(wanted, "content", "left_semi").dropDuplicates(["content"]), "content"))
     words = settle(packed_words(docs, text, wanted))
-    edges = tested = linked = None
+    edges = tested = linked = bounds = None
     turn, centres = 1, CENTRES
     seat = ("content", "comp", *traits)
     while True:
@@ -282,10 +315,16 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
             unlike = lambda x, y: (y["content"] > x["content"]) & (y["comp"] != x["comp"]) & _promising(x, y)
             by_pair = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: unlike(x, y)), lambda y: _pair(x["content"], y["content"]))))).alias("p"))
             large = held.where(F.col("total") > SMALL)
-            seats = _few(large.where(F.col("comp") != F.col("largest")).select("bucket", F.struct(F.xxhash64("bucket", "content", F.lit(turn)).alias("h"), *seat).alias("c")), centres)
+            if bounds is None:
+                bounds = settle(shared_shingles(large.select("content").distinct(), words))
+            large = large.join(bounds, "content").where(F.col("common") + F.col("listed") >= SIMILARITY * F.col("n") - 1e-6).drop("listed")
+            seats = _few(large.where(F.col("comp") != F.col("largest")).select("bucket", F.struct(F.xxhash64("bucket", "content", F.lit(turn)).alias("h"), *seat, "common", "rare").alias("c")), centres)
             centres *= 4
         seats = settle(seats)
-        pairs = large.join(seats, "bucket").where((F.col("comp") != F.col("c.comp")) & _promising({m: F.col(m) for m in traits}, {m: F.col(f"c.{m}") for m in traits})).select(_pair(F.col("content"), F.col("c.content")).alias("p"))
+        fields = traits if turn <= 2 else [*traits, "common", "rare"]
+        own, centre = {m: F.col(m) for m in fields}, {m: F.col(f"c.{m}") for m in fields}
+        fits = _promising(own, centre) if turn <= 2 else _promising(own, centre) & _overlapping(own, centre)
+        pairs = large.join(seats, "bucket").where((F.col("comp") != F.col("c.comp")) & fits).select(_pair(F.col("content"), F.col("c.content")).alias("p"))
         pairs = (pairs if by_pair is None else pairs.unionByName(by_pair)).select("p.*").distinct()
         pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = similar_pairs(pairs, words)
