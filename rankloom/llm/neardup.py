@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from rankloom.llm.graphs import components
+from rankloom.llm.graphs import labels, settle_rows, stars
 from rankloom.llm.texts import dense, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
 from rankloom.session import settle
 
@@ -28,14 +28,16 @@ SKETCHES = 16
 SAMPLED = 3
 #: Buckets up to this size are compared pair by pair.
 SMALL = 8
-#: Centres of a larger bucket in the third round; four times as many in each next.
-CENTRES = 16
+#: Centres of a larger bucket in the third round, the next, and the growth after it.
+HUBS, CENTRES, GROWTH = 4, 256, 16
 #: Sketch entries whose buckets the first round looks at.
 FIRST_ENTRIES = 4
 #: A shingle is rare if at most so many texts of the unmerged buckets hold it.
 RARE = 16
-#: Rare shingles that a text lists; one with more is compared without the list.
-LISTED = 128
+#: Words of 64 bits that show which slots a text's shingles fill.
+FILLS = tuple(f"f{i}" for i in range(16))
+#: Pairs that one task aligns.
+TASK_PAIRS = 5_000
 #: Bytes of the bitmap of texts that have candidates.
 BITMAP = 1 << 18
 
@@ -190,7 +192,8 @@ def packed_words(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the similarity."""
+    """The pairs (a, b) whose alignment reaches the similarity, written."""
+    n = pairs.count()
 
     def run(batches):
         for batch in batches:
@@ -207,7 +210,8 @@ def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(words.select(F.col("content").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("content").alias("b"), F.col("words").alias("wb")), "b")
-    return joined.select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    few = joined.select("a", "b", "wa", "wb").coalesce(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_PAIRS)))
+    return settle(few.mapInArrow(run, "a binary, b binary"))
 
 
 def _pair(left, right):
@@ -236,30 +240,70 @@ def _promising(x, y):
     return (F.least(n, m) >= F.greatest(n, m) * (SIMILARITY - 1e-9)) & (used - unlike >= SIMILARITY * used - spread * F.sqrt(used))
 
 
-def shared_shingles(open_: DataFrame, words: DataFrame) -> DataFrame:
-    """(content, common, rare): what a text shares with the texts of ``open_``.
+def filled_slots(shingles: np.ndarray) -> np.ndarray:
+    """The slots of hash values that the shingles fill, as bits of ``FILLS`` words."""
+    bits = np.zeros(64 * len(FILLS), np.uint8)
+    bits[(shingles >> np.uint64(16)) % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
-    ``common`` counts its shingles that more than ``RARE`` of the texts hold;
-    ``rare`` lists those that from two to ``RARE`` hold, null if it would be long.
+
+def shingle_bounds(open_: DataFrame, words: DataFrame) -> DataFrame:
+    """(content, common, rarest, slots) of each (content, n) in ``open_``.
+
+    ``common`` counts the shingles that more than ``RARE`` of these texts hold.
+    ``rarest`` holds the shingles that 2 to ``RARE`` texts hold, of those among the
+    rarest fifth of the text's shingles and one more. Similar texts share a
+    shingle among these, by rareness: a listed one, or a common one, which is
+    among them only if at least ``SIMILARITY`` of the text's shingles are common.
     """
+    mine = words.join(open_.select("content"), "content", "left_semi")
 
-    def run(batches):
+    def spread_out(batches):
         for batch in batches:
             for content, packed in zip(batch.column("content"), batch.column("words")):
                 held = labelled_shingles(np.frombuffer(packed.as_py(), np.uint32)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([content.as_py()] * len(held), pa.binary()), pa.array(held)], names=["content", "shingle"])
 
-    held = words.join(open_, "content", "left_semi").mapInArrow(run, "content binary, shingle long")
-    known = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    of = held.join(known, "shingle").groupBy("content").agg(F.count_if(F.col("k") > RARE).alias("common"), F.collect_list(F.when(F.col("k") <= RARE, F.col("shingle"))).alias("rare"))
-    return of.withColumn("listed", F.size("rare")).withColumn("rare", F.when(F.col("listed") <= LISTED, F.col("rare")))
+    def fill(batches):
+        for batch in batches:
+            slots = [filled_slots(labelled_shingles(np.frombuffer(packed.as_py(), np.uint32))) for packed in batch.column("words")]
+            if slots:
+                yield pa.RecordBatch.from_arrays([batch.column("content"), *(pa.array(c) for c in np.array(slots).T)], names=["content", *FILLS])
+
+    held = mine.mapInArrow(spread_out, "content binary, shingle long")
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("content").alias("content")).where(F.col("k") <= RARE)
+    # Per text the number of shingles that it alone holds, and per other rare shingle its count.
+    counts = settle(counts.groupBy(F.when(F.col("k") == 1, F.col("content")).alias("of"), F.when(F.col("k") > 1, F.col("shingle")).alias("shingle"), "k").agg(F.count(F.lit(1)).alias("single")))
+    rare = held.join(counts.where("k > 1").select("shingle", "k"), "shingle").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("rare"))
+    single = counts.where("k = 1").select(F.col("of").alias("content"), "single")
+    least = F.ceil(F.col("n") * SIMILARITY - 1e-6)
+    out = open_.join(mine.mapInArrow(fill, "content binary, " + ", ".join(f"{f} long" for f in FILLS)), "content").join(single, "content", "left").join(rare, "content", "left")
+    out = out.withColumn("single", F.coalesce("single", F.lit(0))).withColumn("rare", F.coalesce("rare", F.expr("cast(array() as array<struct<k: bigint, shingle: bigint>>)")))
+    taken = F.greatest(F.col("n") - least + 1 - F.col("single"), F.lit(0)).cast("int")
+    return out.select("content", (F.col("n") - F.col("single") - F.size("rare")).alias("common"), F.slice("rare", F.lit(1), taken)["shingle"].alias("rarest"), *FILLS)
+
+
+def _alike_slots(x, y):
+    """Each slot that only one of two texts fills is a shingle the other lacks; similar
+    texts lack at most a ninth of both together."""
+    unlike = sum((F.bit_count(x[f].bitwiseXOR(y[f])) for f in FILLS), F.lit(0))
+    return (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * (SIMILARITY - 1e-9)) & (unlike <= (x["n"] + y["n"]) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
 
 
 def _overlapping(x, y):
-    """Can the shingles that the two share be as many as a similar pair needs?"""
-    needed = (x["n"] + y["n"]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
-    common = F.least(x["common"], y["common"])
-    return (common >= needed) | F.coalesce(common + F.size(F.array_intersect(x["rare"], y["rare"])) >= needed, F.lit(True))
+    """Can the common shingles of two texts be as many as a similar pair shares?"""
+    return (F.least(x["common"], y["common"]) >= (x["n"] + y["n"]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6) & _alike_slots(x, y)
+
+
+def rare_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of texts of unlike class that list one rare shingle; at most ``RARE`` list one."""
+    fields = ["content", "comp", "n", *FILLS]
+    listed = texts.select(F.explode("rarest").alias("shingle"), "content", "comp")
+    other = listed.select("shingle", F.col("content").alias("b"), F.col("comp").alias("other"))
+    pairs = listed.join(other, "shingle").where((F.col("content") < F.col("b")) & (F.col("comp") != F.col("other"))).select(F.col("content").alias("a"), "b").distinct()
+    x, y = texts.select(F.struct(*fields).alias("x")), texts.select(F.struct(*fields).alias("y"))
+    met = pairs.join(x, F.col("a") == F.col("x.content")).join(y, F.col("b") == F.col("y.content"))
+    return met.where(_alike_slots({f: F.col(f"x.{f}") for f in fields}, {f: F.col(f"y.{f}") for f in fields})).select("a", "b")
 
 
 def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -272,34 +316,36 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
        This joins the bulk of a large group of copies.
     2. In every bucket that still holds several classes, the text with most
        links is the centre for the texts of other classes.
-    3. Small buckets compare all pairs of unlike class. In others some texts,
-       not of the largest class, are centres for all texts of other classes, and
-       leave; there are four times as many centres in each round.
+    3. Small buckets compare all pairs of unlike class. Texts of larger buckets
+       meet by the rare shingles that they list. What is left of these buckets are
+       texts of mostly common shingles, and pairs that share common ones alone;
+       those with most are centres, and leave.
+    4. Further texts, not of the largest class, are centres and leave; there are
+       more in each round.
 
     So in the end each pair of a bucket is compared unless links put it into one
     class, and no bucket is one task's work. Pairs that lengths and marks rule
-    out are not aligned. Nor are, from the third round on, pairs of large buckets
-    that share too few shingles: the shingles that both can share are bounded by
-    those which many open texts hold and by the rare ones both list. A text that
-    shares too few with all open texts together leaves.
+    out are not aligned. Nor are, from the third round on, pairs of larger buckets
+    whose common shingles or filled slots show that they share too few.
     """
     traits = ["n", *MARKS]
     texts = sketched.groupBy("content").agg(*[F.first(c).alias(c) for c in ("sketch", *traits)])
     entries = settle(texts.select(F.posexplode("sketch").alias("entry", "bucket"), "content"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     shared = settle(entries.join(shared, "bucket"))
-    wanted = settle(shared.select("content").distinct())
-    members = settle(shared.join(sketched.select("content", *traits).join(wanted, "content", "left_semi").dropDuplicates(["content"]), "content"))
+    rows = shared.count()
+    wanted = settle_rows(shared.select("content").distinct(), rows)
+    members = settle_rows(shared.join(sketched.select("content", *traits).join(wanted, "content", "left_semi").dropDuplicates(["content"]), "content"), rows)
     words = settle(packed_words(docs, text, wanted))
-    edges = tested = linked = bounds = None
-    turn, centres = 1, CENTRES
+    edges = tested = links = linked = bounds = None
+    turn, centres = 1, HUBS
     seat = ("content", "comp", *traits)
     while True:
         held = members if turn > 1 else members.where(F.col("entry") < FIRST_ENTRIES)
         held = held.withColumn("comp", F.col("content")) if linked is None else held.join(linked, held["content"] == linked["node"], "left").withColumn("comp", F.coalesce("comp", "content")).drop("node")
         sizes = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
         open_ = sizes.groupBy("bucket").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("classes"), F.max_by("comp", F.struct("k", "comp")).alias("largest")).where("classes > 1")
-        held = settle(held.join(open_.drop("classes"), "bucket"))
+        held = settle_rows(held.join(open_.drop("classes"), "bucket"), rows)
         if held.isEmpty() and turn > 2:
             break
         if turn <= 2:
@@ -316,25 +362,32 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
             by_pair = small.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: unlike(x, y)), lambda y: _pair(x["content"], y["content"]))))).alias("p"))
             large = held.where(F.col("total") > SMALL)
             if bounds is None:
-                bounds = settle(shared_shingles(large.select("content").distinct(), words))
-            large = large.join(bounds, "content").where(F.col("common") + F.col("listed") >= SIMILARITY * F.col("n") - 1e-6).drop("listed")
-            seats = _few(large.where(F.col("comp") != F.col("largest")).select("bucket", F.struct(F.xxhash64("bucket", "content", F.lit(turn)).alias("h"), *seat, "common", "rare").alias("c")), centres)
-            centres *= 4
-        seats = settle(seats)
-        fields = traits if turn <= 2 else [*traits, "common", "rare"]
+                texts = settle_rows(large.select("content", "comp", "n").distinct(), rows)
+                bounds = settle(shingle_bounds(texts.select("content", "n"), words))
+                by_pair = by_pair.select("p.*").unionByName(rare_pairs(texts.join(bounds, "content"))).select(F.struct("a", "b").alias("p"))
+            large = large.join(bounds.drop("rarest"), "content").where(F.col("common") >= SIMILARITY * F.col("n") - 1e-6)
+            rivals = large if turn == 3 else large.where(F.col("comp") != F.col("largest"))
+            first = (F.col("n") - 2 * F.col("common")).alias("first")
+            seats = _few(rivals.select("bucket", F.struct(first, F.xxhash64("bucket", "content").alias("h"), *seat, "common", *FILLS).alias("c")), centres)
+            centres = CENTRES if turn == 3 else centres * GROWTH
+        seats = settle_rows(seats, rows)
+        fields = traits if turn <= 2 else ["n", "common", *FILLS]
         own, centre = {m: F.col(m) for m in fields}, {m: F.col(f"c.{m}") for m in fields}
-        fits = _promising(own, centre) if turn <= 2 else _promising(own, centre) & _overlapping(own, centre)
+        fits = _promising(own, centre) if turn <= 2 else _overlapping(own, centre)
         pairs = large.join(seats, "bucket").where((F.col("comp") != F.col("c.comp")) & fits).select(_pair(F.col("content"), F.col("c.content")).alias("p"))
         pairs = (pairs if by_pair is None else pairs.unionByName(by_pair)).select("p.*").distinct()
-        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = settle_rows(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows)
         found = similar_pairs(pairs, words)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = settle(found if edges is None else edges.unionByName(found))
-        linked = settle(components(edges))
+        edges = found if edges is None else edges.unionByName(found)
+        # A part of the merging may wait for the last round: unlike labels only cost further pairs.
+        both = found if links is None else found.unionByName(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        links = stars(both, rows, rounds=1)
+        linked = settle_rows(labels(links), rows)
         if turn > 2:
-            members = settle(large.join(seats.select("bucket", F.col("c.content").alias("content")), ["bucket", "content"], "left_anti").select("entry", "bucket", "content", *traits))
+            members = settle_rows(large.join(seats.select("bucket", F.col("c.content").alias("content")), ["bucket", "content"], "left_anti").select("entry", "bucket", "content", *traits), rows)
         turn += 1
-    return linked
+    return labels(stars(links.select(F.col("u").alias("a"), F.col("v").alias("b")), rows))
 
 
 def _few(df: DataFrame, most: int) -> DataFrame:
