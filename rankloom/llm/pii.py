@@ -23,20 +23,58 @@ FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])",
     "iso": r"(?<![A-Za-z0-9/-])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![A-Za-z0-9/-])",
     "dotted": r"(?<![A-Za-z0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![A-Za-z0-9])",
-    "slashed": r"(?<![A-Za-z0-9/-])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
+    "monthfirst": r"(?<![A-Za-z0-9/-])(?:(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/|(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])-)(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
+    "dayfirst": r"(?<![A-Za-z0-9/-])(?:(?:1[3-9]|2[0-9]|3[01])/(?:0[1-9]|1[0-2])/|(?:1[3-9]|2[0-9]|3[01])-(?:0[1-9]|1[0-2])-)(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9]|\.[0-9])",
 }
 #: Of 1900 to 2099, all days count: 17 x 4297.
 DAY_PARTS = (17, 4297)
 
 
+#: Formats that only a check digit tells from their neighbours: runs that hold them, and all their lengths.
+CHECKED = {
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){8,}+", [rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{q}}}" + (rf" ?[A-Z0-9]{{{r}}}" if r else "") for q in range(7, 1, -1) for r in (3, 2, 1, 0)]),
+    "card": (r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,}+", [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]),
+}
+#: How card numbers are written: groups of four digits or more, of which the last may be shorter, with one separator.
+GROUPED = r"^[0-9]{4,}(?:([ -])[0-9]{4,}(?:\1[0-9]{4,})*(?:\1[0-9]{1,3})?)?$"
+#: Steps in which a day-first date is looked for; each fails with 0.4.
+WALK = 64
+
+
 def any_format() -> str:
-    """One pattern for all formats; the back-reference of iso is its only group."""
-    return "|".join(FORMATS.values())
+    """One pattern for the formats without a check digit; the back-reference of iso is its only group."""
+    return "|".join(v for k, v in FORMATS.items() if k not in CHECKED)
+
+
+def checked_values(text: Column) -> Column:
+    """The IBANs and card numbers of a text that pass their check, whatever digits
+    stand beside them: all lengths are tried from each start of a group. Values of
+    one group come first, then long before short. A card number holds no other
+    format, and is grouped like one or stands alone, lest tables of numbers match.
+    """
+
+    def values(name: str) -> Column:
+        run, sizes = CHECKED[name]
+        # Matches of no width find spans that overlap.
+        spans = lambda runs: F.flatten(F.array(*[F.regexp_extract_all(runs, F.lit(f"(?<![A-Za-z0-9])(?=({p})(?![A-Za-z0-9]))"), F.lit(1)) for p in sizes]))
+        card = lambda m, runs: (m.rlike(GROUPED) | F.array_contains(runs, m)) & _card_fits(digits_of(m)) & ~m.rlike(any_format())
+        fits = card if name == "card" else lambda m, _: _iban_fits(F.replace(m, F.lit(" "), F.lit("")))
+        found = lambda runs: F.filter(F.array_distinct(spans(F.array_join(runs, "|"))), lambda m: fits(m, runs))
+        return F.when(text.rlike(run), let(F.regexp_extract_all(text, F.lit(run), F.lit(0)), found)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.concat(values("iban"), values("card")), lambda v: F.concat(F.filter(v, lambda m: ~m.rlike("[ -]")), F.filter(v, lambda m: m.rlike("[ -]"))))
+
+
+def format_with(values: Column) -> Column:
+    """Pattern of all formats in a text with these checked values. E-mail addresses go first."""
+    email, others = FORMATS["email"], any_format().removeprefix(FORMATS["email"] + "|")
+    own = F.concat(F.lit(f"{email}|(?<![A-Za-z0-9])(?:"), F.array_join(values, "|"), F.lit(f")(?![A-Za-z0-9])|{others}"))
+    return F.when(F.size(values) > 0, own).otherwise(any_format())
 
 
 def keyed(key: str, tweak: str | Column, turn: Column, value: Column) -> Column:
@@ -135,6 +173,15 @@ def _mod97_bound(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), add)
 
 
+def _card_fits(number: Column) -> Column:
+    n = F.length(number)
+    return luhn_digit(F.substr(number, F.lit(1), n - 1)) == F.substr(number, n, F.lit(1)).cast("int")
+
+
+def _iban_fits(plain: Column) -> Column:
+    return mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+
 def _card(m: Column, key: str) -> Column:
     number = digits_of(m)
     n = F.length(number)
@@ -142,8 +189,7 @@ def _card(m: Column, key: str) -> Column:
     low = F.floor((n - 1) / 2).cast("int")
     power = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("long")
     new = F.lpad(permute_number(payload.cast("long"), power(n - 1 - low), power(low), key, F.concat(F.lit("card"), n.cast("string"))).cast("string"), n - 1, F.lit("0"))
-    valid = luhn_digit(payload) == F.substr(number, n, F.lit(1)).cast("int")
-    return F.when(valid, refill(m, let(new, lambda p: F.concat(p, luhn_digit(p).cast("string")))))
+    return F.when(_card_fits(number), refill(m, let(new, lambda p: F.concat(p, luhn_digit(p).cast("string")))))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -155,23 +201,13 @@ def _iban(m: Column, key: str) -> Column:
         let(permute_string(account, key, "iban"), checked),
         lambda whole: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda j: F.when(F.substr(m, j, F.lit(1)) == " ", " ").otherwise(F.substr(whole, shown(j), F.lit(1)))), ""),
     )
-    return F.when(mod97(F.concat(account, F.substr(plain, F.lit(1), F.lit(4)))) == 1, spaced)
+    return F.when(_iban_fits(plain), spaced)
 
 
 def _phone(m: Column, key: str) -> Column:
     number = digits_of(m)
-    ten = F.right(number, F.lit(10))
-    part = lambda a, k: F.substr(ten, F.lit(a), F.lit(k)).cast("long")
-    value = ((part(1, 3) - 200) * 800 + part(4, 3) - 200) * 10_000 + part(7, 4)
-
-    def spelt(new: Column) -> Column:
-        line = F.pmod(new, F.lit(10_000))
-        rest = ((new - line) / 10_000).cast("long")
-        exchange = F.pmod(rest, F.lit(800))
-        area = ((rest - exchange) / 800).cast("long")
-        return F.concat((area + 200).cast("string"), (exchange + 200).cast("string"), F.lpad(line.cast("string"), 4, "0"))
-
-    new = let(permute_number(value, 800, 8_000_000, key, "phone"), spelt)
+    ten = F.right(number, F.lit(10)).cast("long")
+    new = F.lpad(permute_number(ten, 100_000, 100_000, key, "phone").cast("string"), 10, "0")
     return refill(m, F.concat(F.substr(number, F.lit(1), F.length(number) - 10), new))
 
 
@@ -191,12 +227,16 @@ def _ssn(m: Column, key: str) -> Column:
     return let(permute_number((area * 99 + part(5, 2) - 1) * 9999 + part(8, 4) - 1, 898 * 99, 9999, key, "ssn"), spelt)
 
 
-def _date(m: Column, key: str, pattern: str | Column) -> Column:
-    day = F.try_to_date(m, pattern) if isinstance(pattern, str) else F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "yyyy/MM/dd"))
+def _date(m: Column, key: str, *patterns: str, late: bool = False) -> Column:
+    """``late`` dates have a day above 12 and keep one, so that day-first and
+    month-first pseudonyms cannot meet: the permutation is repeated until it gives one."""
     first = F.lit("1900-01-01").cast("date")
-    new = F.date_add(first, permute_number(F.date_diff(day, first), *DAY_PARTS, key, "date").cast("int"))
-    text = F.date_format(new, pattern) if isinstance(pattern, str) else F.when(m.contains("-"), F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "yyyy/MM/dd"))
-    return F.when(day.isNotNull(), text)
+    read = [F.try_to_date(m, p) for p in patterns]
+    moved = lambda n: permute_number(n, *DAY_PARTS, key, "date")
+    shown = lambda n: F.date_add(first, n.cast("int"))
+    start = F.date_diff(F.coalesce(*read), first).cast("long")
+    walk = lambda: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(start), lambda n, _: F.when(F.dayofmonth(shown(n)) > 12, n).otherwise(moved(n)))
+    return let(shown(walk() if late else moved(start)), lambda new: F.coalesce(*[F.when(r.isNotNull(), F.date_format(new, p)) for r, p in zip(read, patterns)]))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -216,9 +256,10 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole("card"), _card(m, key))
         .when(whole("phone"), _phone(m, key))
         .when(whole("ssn"), _ssn(m, key))
-        .when(whole("iso"), _date(m, key, F.lit("iso")))
+        .when(whole("iso"), _date(m, key, "yyyy-MM-dd", "yyyy/MM/dd"))
         .when(whole("dotted"), _date(m, key, "dd.MM.yyyy"))
-        .when(whole("slashed"), _date(m, key, "MM/dd/yyyy"))
+        .when(whole("monthfirst"), _date(m, key, "MM/dd/yyyy", "MM-dd-yyyy"))
+        .when(whole("dayfirst"), _date(m, key, "dd/MM/yyyy", "dd-MM-yyyy", late=True))
         .otherwise(_ip(m, key))
     )
     return F.coalesce(new, m)
@@ -232,12 +273,13 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", changed: str
     replaced, which takes the place of an input column of that name. A permutation
     may leave single values as they are. Whoever holds the key can invert it.
     """
-    found = any_format()
-    has = F.col(text).rlike("[0-9@]") & F.col(text).rlike(found)
-    matches = F.when(has, F.regexp_extract_all(F.col(text), F.lit(found), F.lit(0)))
-    out = docs.withColumn("_matches", matches).withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))
-    gaps = F.split(F.col(text), found, -1)
+    out = docs.withColumn("_checked", F.when(F.col(text).rlike("[0-9]"), checked_values(F.col(text))))
+    out = out.withColumn("_format", F.coalesce(format_with(F.col("_checked")), F.lit(any_format())))
+    has = F.col(text).rlike("[0-9@]") & ((F.size("_checked") > 0) | F.col(text).rlike(any_format()))
+    matches = F.when(has, F.regexp_extract_all(F.col(text), F.col("_format"), F.lit(0)))
+    out = out.withColumn("_matches", matches).withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))
+    gaps = F.split(F.col(text), F.col("_format"), -1)
     pieces = F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
     if changed:
         out = out.withColumn(changed, F.coalesce(F.size(F.filter(F.arrays_zip(F.col("_matches").alias("a"), F.col("_new").alias("b")), lambda p: p["a"] != p["b"])), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_matches").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).drop("_matches", "_new")
+    return out.withColumn(text, F.when(F.col("_matches").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).drop("_checked", "_format", "_matches", "_new")

@@ -143,6 +143,18 @@ def test_pseudonyms(spark):
     assert [r.text for r in pseudonymise(df, "other").collect()][1] != got[1]
 
 
+def test_pseudonyms_of_neighbours(spark):
+    card, iban, late = "4111111111111111", "BE68 5390 0754 7034", "25/12/2021"
+    alone = ["+1 (017) 555-7713", "055 123-4567", card, "4111 1111 1111 1111", "555-223-4567", "555-987-6543", "2021-03-04", "2021-03-05", "123-45-6789", "123-45-6780", iban, late, "25-12-2021", "03-04-2021"]
+    both = [(card, " 123"), ("4111 1111 1111 1111", " 12/27"), ("4111 1111 1111 1111", " 123"), ("555-223-4567", " ", "555-987-6543"), ("2021-03-04", " ", "2021-03-05"), ("123-45-6789", " ", "123-45-6780"), (iban, " 1234"), (card, " ", card), ("2021-03-04", " ", card), ("12 ", card, " 123abc"), (card, " ", "555-223-4567"), (" ".join(map(str, range(40))),)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(alone + ["".join(b) for b in both])], "doc_id long, text string")
+    rows = [r.text for r in pseudonymise(df, "k").orderBy("doc_id").collect()]
+    new = dict(zip(alone, rows))
+    assert all(v != n and len(v) == len(n) for v, n in new.items())
+    assert new["+1 (017) 555-7713"].startswith("+1 (") and new[late].replace("/", "-") == new["25-12-2021"] and int(new[late][:2]) > 12
+    assert rows[len(alone) :] == ["".join(new.get(p, p) for p in b) for b in both]
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(17 * 43)
     assert n.select(permute_number(F.col("id"), 17, 43, "k", "t").alias("p")).distinct().where("p >= 0 and p < 731").count() == 731
