@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rankloom.llm.ngrams import LABELLED, UNIT, fit_ratio, labelled_sample
+from rankloom.llm.ngrams import LABELLED, UNIT, fit_ratio, labelled_ids, labelled_sample
 from rankloom.llm.texts import gram_sums, map_texts, text_bytes
 from rankloom.session import settle
 
@@ -62,8 +62,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, *, k: int | None = Non
 
     ``log_weight`` is the log ratio of the whole text under the target and the
     raw model; the ``k`` largest sums with Gumbel noise are a sample without
-    replacement by weight. By default k is the trusted share of the labelled
-    documents, of all documents. A null or empty text has weight 0. Rows with
+    replacement by weight. By default k is the trusted share of all labelled
+    ids, of all documents; only the target is fitted on a sample of them. A null or empty text has weight 0. Rows with
     null ids share the noise of null and go last among ties.
     """
     sample = labelled_sample(labels, doc_id, quality, toxic, most_labelled)
@@ -83,7 +83,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, *, k: int | None = Non
         .withColumn("_key", F.round(F.col("gumbel_key") * KEY_UNIT).cast("long"))
     )
     if k is None:
-        share = sample.agg(F.avg("_trusted")).first()[0]
+        share = labelled_ids(labels, doc_id, quality, toxic).agg(F.avg("_trusted")).first()[0]
         k = round(keyed.count() * (1.0 if share is None else share))
     tie = doc_id if isinstance(docs.schema[doc_id].dataType, T.IntegralType) else "_tie"
     if tie == "_tie":

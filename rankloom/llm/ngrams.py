@@ -17,21 +17,17 @@ UNIT = 1 << 16
 LABELLED = 40_000
 
 
-def labelled_sample(labels: DataFrame, doc_id: str, quality: str, toxic: str | None, most: int) -> DataFrame:
-    """At most ``most`` labelled ids, chosen by hash: (doc_id, _trusted).
-
-    Trusted are ids whose every label says quality 1 and not toxic.
-    """
+def labelled_ids(labels: DataFrame, doc_id: str, quality: str, toxic: str | None) -> DataFrame:
+    """All labelled ids: (_id, _trusted). Trusted are ids whose every label says quality 1 and not toxic."""
     good = F.col(quality) == 1
     if toxic:
         good = good & (F.coalesce(F.col(toxic), F.lit(0)) == 0)
-    return (
-        labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull())
-        .groupBy(F.col(doc_id).alias("_id"))
-        .agg(F.min(good.cast("int")).alias("_trusted"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(most)
-    )
+    return labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(good.cast("int")).alias("_trusted"))
+
+
+def labelled_sample(labels: DataFrame, doc_id: str, quality: str, toxic: str | None, most: int) -> DataFrame:
+    """At most ``most`` labelled ids, chosen by hash: (_id, _trusted)."""
+    return labelled_ids(labels, doc_id, quality, toxic).orderBy(F.xxhash64("_id"), "_id").limit(most)
 
 
 @dataclass

@@ -70,7 +70,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    out = importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxic="toxic")
     return out.withColumn("kept", F.col("selected"))
 
 

@@ -14,7 +14,7 @@ from rankloom.llm.neardup import aligned_similarity, drop_near_duplicates, label
 from rankloom.llm.packing import pack_texts, sequences
 from rankloom.llm.pii import permute_number, permute_string, pseudonymise
 from rankloom.llm.quality import quality_rules
-from rankloom.llm.queries import URL_RULES, vocabulary
+from rankloom.llm.queries import URL_RULES, op7_importance, vocabulary
 from rankloom.llm.secrets import find_secrets
 from rankloom.llm.topk import exact_top_k
 from rankloom.llm.urls import filter_urls
@@ -112,6 +112,19 @@ def test_importance(docs, labels):
     assert {r.log_weight for r in importance_sample(docs, empty(labels)).collect()} == {0.0}
 
 
+def test_importance_share_of_all_labels(docs, labels):
+    for most in (1, 2, 3):
+        # Five of the six labelled ids are trusted, whichever the sample holds: 12 of 14 rows.
+        assert importance_sample(docs, labels, most_labelled=most).where("selected").count() == 12
+
+
+def test_importance_trusts_no_toxic_document(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 1, 1), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op7_importance(spark, str(tmp_path)).collect()
+    assert sum(r.selected for r in got) == round(14 / 3)
+
+
 def test_language(spark):
     rng = random.Random(7)
     rows = []
