@@ -2,8 +2,8 @@
 
 Strong patterns are findings by themselves. Weak parts, an account name, a
 random-looking string or an endpoint, are findings only where parts that
-complete each other lie near each other in one scope: an interval join on
-sorted starts, per text.
+complete each other lie in one scope: an interval join on sorted starts, per
+text.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak patterns.
 WEAK = {
-    "identifier": re.compile(r"""(?ai:\b(?:user(?:name)?|login|account|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,})|\bAKIA[A-Z0-9]{8,15}\b"""),
+    "identifier": re.compile(r"""(?<![A-Za-z0-9])(?ai:(?:user(?:name)?|login|account|client_?id|(?:access_?)?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,})|\bAKIA[A-Z0-9]{8,15}\b"""),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"),
     "endpoint": re.compile(r"\b(?ai:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+"),
 }
-#: Parts further apart than this, in code points, do not complete each other.
+#: Default of the text function: parts further apart, in code points, do not complete each other.
 REACH = 200
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 
@@ -59,8 +59,9 @@ def strong_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def linked_spans(text: str, strong: list[Span]) -> list[Span]:
-    """Weak parts that a complementary part, weak or strong, lies near in their scope.
+def linked_spans(text: str, strong: list[Span], reach: int | None = REACH) -> list[Span]:
+    """Weak parts that a complementary part, weak or strong, lies near in their scope,
+    anywhere in it if ``reach`` is None.
 
     A scope ends at an empty line. A weak part inside a strong one is that part.
     """
@@ -84,8 +85,9 @@ def linked_spans(text: str, strong: list[Span]) -> list[Span]:
 
     def completed(s: Span) -> bool:
         at = bisect_right(breaks, s.start)
-        lo = max(s.start - REACH, breaks[at - 1] if at else 0)
-        hi = min(s.end + REACH, breaks[at] if at < len(breaks) else len(text))
+        lo, hi = breaks[at - 1] if at else 0, breaks[at] if at < len(breaks) else len(text)
+        if reach is not None:
+            lo, hi = max(s.start - reach, lo), min(s.end + reach, hi)
         for role in PARTNERS[ROLES[s.kind]]:
             if role in edges:
                 first, last = edges[role]
@@ -97,9 +99,10 @@ def linked_spans(text: str, strong: list[Span]) -> list[Span]:
     return sorted(s for s in weak if completed(s))
 
 
-def find_secrets(docs: DataFrame, *, text: str = "text", name: str = "secrets") -> DataFrame:
+def find_secrets(docs: DataFrame, *, text: str = "text", name: str = "secrets", reach: int | None = None) -> DataFrame:
     """Add the spans of a text's secrets: kind, start, end (code points, end
-    exclusive) and whether the pattern is strong, by start, then kind.
+    exclusive) and whether the pattern is strong, by start, then kind. Complementary
+    parts link across their whole scope, or within ``reach`` code points.
 
     A null or empty text has none; each row is judged alone, so ties and repeated
     rows fare alike. An input column of the same name gives way.
@@ -112,7 +115,7 @@ def find_secrets(docs: DataFrame, *, text: str = "text", name: str = "secrets")
             out = []
             for t in column.to_pylist():
                 strong = strong_spans(t or "")
-                both = sorted(strong + linked_spans(t or "", strong))
+                both = sorted(strong + linked_spans(t or "", strong, reach))
                 out.append([{"kind": s.kind, "start": s.start, "end": s.end, "strong": s.rank < 3} for s in both])
             return [pa.array(out, arrow)]
 

@@ -197,6 +197,15 @@ def test_secrets(docs, spark):
     assert find_secrets(empty(docs)).count() == 0
 
 
+def test_secrets_far_apart_and_prefixed(spark):
+    value = "Zm9vYmFyMTIzNDU2Nzg5MAxyz"
+    texts = ["username: alice" + " x" * 2000 + f" {value}", f"DB_USER=admin {value}", f"aws_access_key_id = ASIAIOSFODNN7EXAMPLE\n{value}", "username: alice\n\n" + value, f"superuser=admin {value}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in find_secrets(df).collect()}
+    assert got == {0: ["identifier", "secret"], 1: ["identifier", "secret"], 2: ["identifier", "secret"], 3: [], 4: []}
+    assert find_secrets(df, reach=200).where("doc_id = 0 AND size(secrets) > 0").count() == 0
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)] + [(120, [0.0] * 5), (121, None), (122, [None, 1.0]), (123, [float("nan")]), (124, [0.5]), (3, [0.25] * 5), (None, [1.0])]
