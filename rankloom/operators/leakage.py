@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.sequences import shingles
 from rankloom.operators.ordering import first_per, ordinals
@@ -89,19 +89,29 @@ def near_duplicates(hits: DataFrame, t: float = 0.80, c: float = 0.90) -> DataFr
 
 
 def similarity_join(
-    queries: DataFrame, targets: DataFrame, *, qid: str, tid: str, qseq: str, tseq: str, k: int = 5, min_fraction: float = 0.5
+    queries: DataFrame, targets: DataFrame, *, qid: str, tid: str, qseq: str, tseq: str, k: int = 5, min_fraction: float = 0.5, repeats: bool = False
 ) -> DataFrame:
     """Sequence pairs that share enough words, with their ungapped alignment.
 
-    Seeds are the words that occur once in a query. A pair is reported when it
+    Seeds are the words that occur once in a query; with ``repeats`` all words with
+    their number among equal ones of the text, and a text below k as a whole. A pair is reported when it
     shares at least ``min_fraction`` of the seeds; the diagonal with most shared
     seeds (lowest on a tie) gives identity and both coverages.
 
     A pair with m shared seeds of n must share one of the n - m + 1 rarest, so
     only those meet the targets: common words never generate pairs.
     """
+
+    def spots(df: DataFrame, own: str, seq: str, name: str) -> DataFrame:
+        if not repeats:
+            return spread(df, own).select(F.col(own).alias(name), F.explode(shingles(seq, k)).alias("_s"))
+        whole = F.array(F.struct(F.col(seq).alias("word"), F.lit(0).alias("at")))
+        each = spread(df, own).select(F.col(own).alias(name), F.explode(F.when(F.length(seq).between(1, k - 1), whole).otherwise(shingles(seq, k))).alias("_s"))
+        turn = F.row_number().over(Window.partitionBy(name, "_s.word").orderBy("_s.at"))
+        return each.withColumn("_i", turn).select(name, F.struct(F.concat("_s.word", F.lit("#"), F.col("_i").cast("string")).alias("word"), F.col("_s.at").alias("at")).alias("_s"))
+
     words = (
-        spread(queries, qid).select(F.col(qid).alias("_q"), F.explode(shingles(qseq, k)).alias("_s"))
+        spots(queries, qid, qseq, "_q")
         .groupBy("_q", F.col("_s.word").alias("word"))
         .agg(F.min("_s.at").alias("qat"), F.count(F.lit(1)).alias("_c"))
         .where("_c = 1")
@@ -109,7 +119,7 @@ def similarity_join(
     )
     # A target's repeats of a word keep their places in one row.
     places = (
-        spread(targets, tid).select(F.col(tid).alias("_t"), F.explode(shingles(tseq, k)).alias("_s"))
+        spots(targets, tid, tseq, "_t")
         .select("_t", F.col("_s.word").alias("word"), F.col("_s.at").alias("tat"))
         .join(words.select("word").distinct(), "word", "left_semi")
     )

@@ -108,6 +108,13 @@ def test_similarity_join_brute_force(spark):
         assert np.allclose((r.shared_seeds, r.diagonal, r.sequence_identity, r.query_coverage, r.target_coverage), want[(r.q, r.t)])
 
 
+def test_similarity_join_of_repeated_and_short_texts(spark):
+    q = spark.createDataFrame([(1, "ABABABABABABAB"), (2, "ABC"), (3, "")], "q int, qs string")
+    t = q.selectExpr("q AS t", "qs AS ts")
+    got = L.similarity_join(q, t, qid="q", tid="t", qseq="qs", tseq="ts", k=5, repeats=True).collect()
+    assert sorted((r.q, r.t, r.shared_seeds, r.n_seeds, r.diagonal, r.sequence_identity) for r in got) == [(1, 1, 10, 10, 0, 1.0), (2, 2, 1, 1, 0, 1.0)]
+
+
 def test_best_hit_and_percent_rescale(spark):
     rows = [("D1", "B1", 42.0, 90.0, 80.0), ("D1", "B1", 35.0, 100.0, 100.0), ("D2", "B2", 0.5, 0.7, 0.6)]
     out = normalize_hits(spark.createDataFrame(rows, "domain_id string, benchmark_id string, sequence_identity double, query_coverage double, target_coverage double")).toPandas()
