@@ -1,5 +1,6 @@
 """Operators for preparing training text at scale, apart from the rest of the library."""
 
-from rankloom.llm.queries import QUERIES, SQL
+from rankloom.llm.oracle import SQL
+from rankloom.llm.queries import QUERIES
 
 __all__ = ["QUERIES", "SQL"]

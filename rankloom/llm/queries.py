@@ -9,13 +9,17 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.llm.bpe import encode_digests
+from rankloom.llm.contamination import contamination
 from rankloom.llm.importance import importance_sample
 from rankloom.llm.language import identify_languages, markup_language
+from rankloom.llm.merkle import audit
 from rankloom.llm.neardup import near_duplicates
 from rankloom.llm.packing import pack_texts
 from rankloom.llm.pii import pseudonymise
 from rankloom.llm.quality import quality_rules
+from rankloom.llm.runs import periodic_runs
 from rankloom.llm.secrets import find_secrets
+from rankloom.llm.texts import WORDS
 from rankloom.llm.topk import exact_top_k
 from rankloom.llm.urls import Rule, filter_urls
 
@@ -88,6 +92,45 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("accepted"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Plant periodic words: where h = crc32(doc_id) ends in 0, the words from place
+    a = g % n on, g = h // 10, repeat the first 1 + (n - a) // (3 + g % 8) of them.
+    Other texts, and those of null ids, stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    cut = docs.withColumn("_g", F.when(h % 10 == 0, g)).withColumn("_w", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))))
+    n = F.size("_w")
+    cut = cut.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+    period = (F.lit(1) + F.floor((n - F.col("_a")) / (F.lit(3) + F.col("_g") % 8))).cast("int")
+    block = F.slice("_w", F.col("_a") + 1, period)
+    times = F.ceil((n - F.col("_a")) / period).cast("int")
+    again = F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.flatten(F.array_repeat(block, times))), F.lit(1), n)
+    return cut.withColumn("text", F.when(F.col("_a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Runs come by start, then period: the first of the greatest exponents stays.
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda b, r: F.when(more(b, r), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * best.length) div best.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return audit(docs, changed={"n_chars": F.try_add(F.col("n_chars"), F.lit(1))}, where=tampered)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_url_filter": op2_url_filter,
@@ -99,20 +142,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_contamination": op12_contamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-
-#: Exact search in SQL: every pair of a query and a candidate, then the ranks.
-_TOP_K = """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-SQL = {"op3_top_k": _TOP_K}

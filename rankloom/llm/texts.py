@@ -17,6 +17,8 @@ SLICE_BYTES = 1 << 20
 #: The white space that bounds a word: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same words as a pattern.
+WORDS = r"[^\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
