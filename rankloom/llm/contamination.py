@@ -121,7 +121,7 @@ def _scanned(words: DataFrame, bitmap: Column, sizes: Sequence[int], bits: int)
     return settle(some.select("id", F.when(first, F.col("row")).alias("row"), "n", start.alias("start"), size.alias("size"), F.when(~first, window).alias("window")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast: int = BROADCAST) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast: int = BROADCAST, keep: Sequence[str] | None = None) -> DataFrame:
     """Add n_words, n_hit, hits (word spans, end exclusive) and items to each row.
 
     A document word is hit if it lies in any occurrence of ``window`` consecutive
@@ -130,9 +130,10 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     but is not listed, one whose id is repeated is listed once. Null and empty
     texts have no words. Repeated rows are judged one by one; input columns named
     as the new ones give way. No items or no documents give no hits. One text's
-    words and hashes are held at once (some 200 bytes a word).
+    words and hashes are held at once (some 200 bytes a word). With ``keep``, only these input columns
+    are written and returned.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
     rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("t"))
     windows = window_set(items, item_id, item_text, window)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` numbers
