@@ -233,22 +233,40 @@ rel AS (SELECT DISTINCT t.doc_id, b.doc_id::varchar AS bench_id, 'exact_sequence
 el AS (SELECT t.doc_id, rel.doc_id IS NULL AS eligible_for_training, coalesce(rs, '') AS reasons FROM t LEFT JOIN (SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS rs FROM rel GROUP BY doc_id) rel ON t.doc_id = rel.doc_id)"""
 
 
-def _similar(q: str, t: str, k: int, f: float) -> str:
+#: Letters beyond ASCII, for an edit distance that counts bytes.
+_WIDE = "ÍéèêíçÇñÑÈÊÄäóÓüÖöÜÉßáúàâî"
+_NARROW = "||".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)])
+
+
+def _similar(q: str, t: str, k: int, f: float, band: int = 32) -> str:
     """CTEs ending in ``hit``; q and t are (id, text) tables."""
-    return f"""
-qw AS (SELECT id AS q, substr(text, i + 1, {k}) AS word, i AS qat FROM (SELECT id, text, unnest(range(0, length(text) - {k} + 1)) AS i FROM {q})),
-qs AS (SELECT q, word, min(qat) AS qat FROM qw GROUP BY ALL HAVING count(*) = 1),
-tw AS (SELECT id AS t, substr(text, i + 1, {k}) AS word, i AS tat FROM (SELECT id, text, unnest(range(0, length(text) - {k} + 1)) AS i FROM {t})),
-nq AS (SELECT q, count(*) AS n FROM qs GROUP BY q),
-h AS (SELECT q, t, word, tat - qat AS dg FROM qs JOIN tw USING (word)),
-sh AS (SELECT q, t, count(DISTINCT word) AS shared_seeds FROM h GROUP BY ALL),
-dk AS (SELECT q, t, dg, row_number() OVER (PARTITION BY q, t ORDER BY count(*) DESC, dg) AS rn FROM h GROUP BY q, t, dg),
-pr AS (SELECT sh.q, sh.t, shared_seeds, n, dg, a.text AS qt, b.text AS tt, greatest(-dg, 0) AS q0, greatest(dg, 0) AS t0 FROM sh JOIN nq USING (q) JOIN dk ON sh.q = dk.q AND sh.t = dk.t AND rn = 1 JOIN {q} a ON a.id = sh.q JOIN {t} b ON b.id = sh.t
-  WHERE shared_seeds >= greatest(1, ceil(n * {f}::double))),
-pz AS (SELECT *, least(length(qt) - q0, length(tt) - t0) AS sz FROM pr),
-hit AS (SELECT q, t, shared_seeds, n AS n_seeds, dg AS diagonal, len(list_filter(range(1, sz + 1), lambda i: substr(qt, (q0 + i)::bigint, 1) = substr(tt, (t0 + i)::bigint, 1))) / sz AS sequence_identity, sz / length(qt) AS query_coverage, sz / length(tt) AS target_coverage FROM pz)"""
 
+    def words(name: str, side: str) -> str:
+        shifted = ", ".join(f"cs[{j}:]" for j in range(1, k + 1))
+        cut = f"list_transform(list_zip({shifted})[:greatest(len(cs) - {k - 1}, 1)], lambda z: concat({', '.join(f'z[{j}]' for j in range(1, k + 1))}))"
+        lists = f"SELECT id, {cut} AS ws FROM (SELECT id, string_split(text, '') AS cs FROM {name} WHERE length(text) > 0)"
+        return f"SELECT id AS {side}, unnest(ws) AS word, unnest(range(0, len(ws))) AS {side}at FROM ({lists})"
 
+    narrow = lambda e: f"translate({e}, '{_WIDE}', {_NARROW})"
+    return f"""
+qr AS ({words(q, "q")}), tr AS ({words(t, "t")}),
+qw AS (SELECT *, row_number() OVER (PARTITION BY q, word ORDER BY qat) AS o FROM qr),
+tw AS (SELECT *, row_number() OVER (PARTITION BY t, word ORDER BY tat) AS o FROM tr WHERE word IN (SELECT word FROM qr)),
+nq AS (SELECT q, count(*) AS n FROM qw GROUP BY q),
+h AS (SELECT q, t, qat, tat, tat - qat AS dg FROM qw JOIN tw USING (word, o)),
+sh AS (SELECT q, t, shared_seeds, n FROM (SELECT q, t, count(*) AS shared_seeds FROM h GROUP BY ALL) JOIN nq USING (q) WHERE shared_seeds >= greatest(1, ceil(n * {f}::double - 1e-9))),
+hh AS (SELECT h.* FROM h JOIN sh USING (q, t)),
+dk AS (SELECT q, t, dg AS diagonal FROM (SELECT a.q, a.t, a.dg, count(*) AS k FROM (SELECT DISTINCT q, t, dg FROM hh) a JOIN hh b ON a.q = b.q AND a.t = b.t AND b.dg BETWEEN a.dg AND a.dg + {band} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY k DESC, dg) = 1),
+ch AS (SELECT q, t, diagonal, qat, tat, coalesce(qat - lag(qat) OVER (PARTITION BY q, t ORDER BY qat) > {band}, false) AS jump FROM hh JOIN dk USING (q, t) WHERE dg BETWEEN diagonal AND diagonal + {band}),
+st AS (SELECT *, sum(jump::int) OVER (PARTITION BY q, t ORDER BY qat) AS part FROM ch),
+sp AS (SELECT q, t, diagonal, count(*) AS chained_seeds, min(qat) AS query_start, max(qat) AS last_q, min(tat) AS target_start, max(tat) AS last_t FROM st GROUP BY q, t, diagonal, part QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY count(*) DESC, part) = 1),
+al AS (SELECT sp.*, shared_seeds, n AS n_seeds, a.text AS qt, b.text AS tt, last_q + least({k}, length(a.text)) AS query_end, last_t + least({k}, length(b.text)) AS target_end FROM sp JOIN sh USING (q, t) JOIN {q} a ON a.id = sp.q JOIN {t} b ON b.id = sp.t),
+ed AS (SELECT *, levenshtein({narrow("substr(qt, query_start + 1, query_end - query_start)")}, {narrow("substr(tt, target_start + 1, target_end - target_start)")}) AS edits FROM al),
+hit AS (SELECT q, t, shared_seeds, n_seeds, diagonal, chained_seeds, query_start, query_end, target_start, target_end, edits, 1 - edits / greatest(query_end - query_start, target_end - target_start) AS sequence_identity,
+  (query_end - query_start) / length(qt) AS query_coverage, (target_end - target_start) / length(tt) AS target_coverage FROM ed)"""
+
+
+_HIT = "shared_seeds, n_seeds, diagonal, chained_seeds, query_start, query_end, target_start, target_end, edits"
 _SIM = ", ".join(r(c, c) for c in ("sequence_identity", "query_coverage", "target_coverage"))
 _SIDES = """o AS (SELECT *, date_diff('day', DATE '1992-01-01', o_orderdate::date)::double AS day FROM orders)"""
 
@@ -263,8 +281,8 @@ SELECT doc_id, grp, n_chars FROM c WHERE k = 1 AND n_chars >= 100 AND grp NOT IN
     "leakage_summary": f"WITH {_BENCH} SELECT 'total' AS measure, count(*) AS n FROM el UNION ALL SELECT 'eligible', count(*) FILTER (eligible_for_training) FROM el UNION ALL SELECT 'excluded', count(*) FILTER (NOT eligible_for_training) FROM el UNION ALL SELECT 'relations_' || reason, count(*) FROM rel GROUP BY reason",
     "train_bench_overlap": """WITH t AS (SELECT lang || source AS class_h, quality FROM documents JOIN labels USING (doc_id)), s AS (SELECT class_h, bool_or(quality = 1) AS g, bool_or(quality = 0) AS b FROM t GROUP BY ALL)
 SELECT class_h, CASE WHEN g AND b THEN 'both' WHEN g THEN 'left' ELSE 'right' END AS side FROM s""",
-    "kmer_similarity": f"WITH bq AS (SELECT item_id AS id, text FROM benchmark), dt AS (SELECT doc_id AS id, text FROM documents), {_similar('bq', 'dt', 8, 0.3)} SELECT q AS item_id, t AS doc_id, shared_seeds, n_seeds, diagonal, {_SIM} FROM hit",
-    "near_duplicates": f"WITH bq AS (SELECT item_id AS id, text FROM benchmark), dt AS (SELECT doc_id AS id, text FROM documents), {_similar('bq', 'dt', 8, 0.3)} SELECT q AS item_id, t AS doc_id, shared_seeds, n_seeds, diagonal, {_SIM} FROM hit WHERE sequence_identity >= 0.8 AND least(query_coverage, target_coverage) >= 0.05",
+    "kmer_similarity": f"WITH bq AS (SELECT item_id AS id, text FROM benchmark), dt AS (SELECT doc_id AS id, text FROM documents), {_similar('bq', 'dt', 8, 0.3)} SELECT q AS item_id, t AS doc_id, {_HIT}, {_SIM} FROM hit",
+    "near_duplicates": f"WITH bq AS (SELECT item_id AS id, text FROM benchmark), dt AS (SELECT doc_id AS id, text FROM documents), {_similar('bq', 'dt', 8, 0.3)} SELECT q AS item_id, t AS doc_id, {_HIT}, {_SIM} FROM hit WHERE sequence_identity >= 0.8 AND least(query_coverage, target_coverage) >= 0.05",
     "matched_controls": f"""WITH p AS (SELECT *, length(p_name) AS nl FROM part), c AS (SELECT a.p_partkey AS target_id, b.p_partkey AS source_id, abs(a.p_retailprice - b.p_retailprice) AS d1, abs(a.nl - b.nl) AS d2
  FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_type <> b.p_type AND a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 200 AND abs(a.nl - b.nl) <= 3)
 SELECT target_id, source_id, {r('d1', 'd_p_retailprice')}, d2 AS d_name_len, row_number() OVER (PARTITION BY target_id ORDER BY d1, d2, source_id) AS match_rank FROM c QUALIFY match_rank <= 3""",

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rankloom.functions.sequences import shingles
-from rankloom.operators.ordering import first_per, ordinals
-from rankloom.session import settle, spread
+from rankloom.operators.ordering import first_per
+from rankloom.operators.similarity import similarity_join
+
+__all__ = ["best_hits", "leakage_eligibility", "leakage_relations", "leakage_summary", "near_duplicates", "similarity_join"]
 
 
 def _known(c: str) -> Column:
@@ -86,74 +87,3 @@ def best_hits(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def near_duplicates(hits: DataFrame, t: float = 0.80, c: float = 0.90) -> DataFrame:
     return hits.where((F.col("sequence_identity") >= t) & (F.least("query_coverage", "target_coverage") >= c))
-
-
-def similarity_join(
-    queries: DataFrame, targets: DataFrame, *, qid: str, tid: str, qseq: str, tseq: str, k: int = 5, min_fraction: float = 0.5, repeats: bool = False
-) -> DataFrame:
-    """Sequence pairs that share enough words, with their ungapped alignment.
-
-    Seeds are the words that occur once in a query; with ``repeats`` all words with
-    their number among equal ones of the text, and a text below k as a whole. A pair is reported when it
-    shares at least ``min_fraction`` of the seeds; the diagonal with most shared
-    seeds (lowest on a tie) gives identity and both coverages.
-
-    A pair with m shared seeds of n must share one of the n - m + 1 rarest, so
-    only those meet the targets: common words never generate pairs.
-    """
-
-    def spots(df: DataFrame, own: str, seq: str, name: str) -> DataFrame:
-        if not repeats:
-            return spread(df, own).select(F.col(own).alias(name), F.explode(shingles(seq, k)).alias("_s"))
-        whole = F.array(F.struct(F.col(seq).alias("word"), F.lit(0).alias("at")))
-        each = spread(df, own).select(F.col(own).alias(name), F.explode(F.when(F.length(seq).between(1, k - 1), whole).otherwise(shingles(seq, k))).alias("_s"))
-        turn = F.row_number().over(Window.partitionBy(name, "_s.word").orderBy("_s.at"))
-        return each.withColumn("_i", turn).select(name, F.struct(F.concat("_s.word", F.lit("#"), F.col("_i").cast("string")).alias("word"), F.col("_s.at").alias("at")).alias("_s"))
-
-    words = (
-        spots(queries, qid, qseq, "_q")
-        .groupBy("_q", F.col("_s.word").alias("word"))
-        .agg(F.min("_s.at").alias("qat"), F.count(F.lit(1)).alias("_c"))
-        .where("_c = 1")
-        .drop("_c")
-    )
-    # A target's repeats of a word keep their places in one row.
-    places = (
-        spots(targets, tid, tseq, "_t")
-        .select("_t", F.col("_s.word").alias("word"), F.col("_s.at").alias("tat"))
-        .join(words.select("word").distinct(), "word", "left_semi")
-    )
-    seeds, places = settle(words), settle(places)
-    breadth = places.groupBy("word").agg(F.count_distinct("_t").alias("_df"))
-    ranked = ordinals(
-        seeds.join(breadth, "word", "left").fillna(0, ["_df"]), ["_q"], ["_df", "word"], pos="_r", total="_n"
-    ).withColumn("_m", F.greatest(F.lit(1), F.ceil(F.col("_n") * min_fraction)))
-    rare = ranked.where(F.col("_r") <= F.col("_n") - F.col("_m") + 1).select("_q", "word")
-    # A target may repeat a rare word; the pair is needed once.
-    pairs = rare.join(places.select("_t", "word").distinct(), "word").select("_q", "_t").distinct()
-    need = ranked.groupBy("_q").agg(F.max("_m").alias("_m"), F.max("_n").alias("_n"))
-    hits = pairs.join(seeds, "_q").join(places, ["_t", "word"])
-    per_word = hits.groupBy("_q", "_t", (F.col("tat") - F.col("qat")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("_k")
-    )
-    shared = hits.groupBy("_q", "_t").agg(F.count_distinct("word").alias("shared_seeds"))
-    best = per_word.groupBy("_q", "_t").agg(F.min_by("diagonal", F.struct(-F.col("_k"), F.col("diagonal"))).alias("diagonal"))
-    kept = shared.join(need, "_q").where(F.col("shared_seeds") >= F.col("_m")).join(best, ["_q", "_t"])
-    q = queries.select(F.col(qid).alias("_q"), F.col(qseq).alias("_qs"))
-    t = targets.select(F.col(tid).alias("_t"), F.col(tseq).alias("_ts"))
-    full = kept.join(q, "_q").join(t, "_t")
-    d = F.col("diagonal")
-    q0, t0 = F.greatest(-d, F.lit(0)), F.greatest(d, F.lit(0))
-    size = F.least(F.length("_qs") - q0, F.length("_ts") - t0)
-    equal = F.aggregate(
-        F.zip_with(
-            F.split(F.substring("_qs", q0 + 1, size), ""), F.split(F.substring("_ts", t0 + 1, size), ""),
-            lambda a, b: F.when(a == b, 1).otherwise(0),
-        ),
-        F.lit(0), lambda a, x: a + x,
-    )
-    return full.select(
-        F.col("_q").alias(qid), F.col("_t").alias(tid), "shared_seeds", F.col("_n").alias("n_seeds"), "diagonal",
-        (equal / size).alias("sequence_identity"), (size / F.length("_qs")).alias("query_coverage"),
-        (size / F.length("_ts")).alias("target_coverage"),
-    )

@@ -1,9 +1,14 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from rankloom.operators import leakage as L
 from rankloom.operators import matching as X
+from rankloom.operators import similarity
 from rankloom.sources.texts import normalize_hits
 
 
@@ -83,36 +88,92 @@ def test_select_independent_equals_scan(spark):
     assert sorted(got) == sorted(chosen[:12])
 
 
-def test_similarity_join_brute_force(spark):
-    rng = np.random.default_rng(3)
-    word = lambda n: "".join(rng.choice(list("abcd"), n))
-    q = [(i, word(30)) for i in range(6)]
-    t = [(i, word(10) + q[i % 6][1][: 20 + i] + word(15)) for i in range(12)]
-    got = L.similarity_join(spark.createDataFrame(q, "q int, qs string"), spark.createDataFrame(t, "t int, ts string"), qid="q", tid="t", qseq="qs", tseq="ts", k=4, min_fraction=0.3).toPandas()
-    want = {}
-    for qi, qs in q:
-        words = [qs[i:i + 4] for i in range(len(qs) - 3)]
-        seeds = {w: words.index(w) for w in words if words.count(w) == 1}
-        for ti, ts in t:
-            hits = [(w, j - seeds[w]) for j in range(len(ts) - 3) if (w := ts[j:j + 4]) in seeds]
-            shared = len({w for w, _ in hits})
-            if shared >= max(1, int(np.ceil(len(seeds) * 0.3))):
-                diag = pd.Series([d for _, d in hits]).value_counts()
-                d = min(diag[diag == diag.max()].index)
-                q0, t0 = max(-d, 0), max(d, 0)
-                n = min(len(qs) - q0, len(ts) - t0)
-                same = sum(a == b for a, b in zip(qs[q0:q0 + n], ts[t0:t0 + n]))
-                want[(qi, ti)] = (shared, d, same / n, n / len(qs), n / len(ts))
-    assert len(want) >= 10 and set(zip(got["q"], got["t"])) == set(want)
-    for r in got.itertuples():
-        assert np.allclose((r.shared_seeds, r.diagonal, r.sequence_identity, r.query_coverage, r.target_coverage), want[(r.q, r.t)])
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def _seeds(text, k):
+    out, seen = {}, Counter()
+    for i in range(max(len(text) - k + 1, 1) if text else 0):
+        w = text[i:i + k]
+        out[w, seen[w]] = i
+        seen[w] += 1
+    return out
+
+
+def _brute_pairs(queries, targets, k, fraction, band=32):
+    out = []
+    for qi, qs in queries:
+        own = _seeds(qs, k)
+        for ti, ts in targets:
+            other = _seeds(ts, k)
+            shared = sorted((own[s], other[s]) for s in own if s in other)
+            if not shared or len(shared) < max(1, math.ceil(len(own) * fraction - 1e-9)):
+                continue
+            support = lambda d: sum(d <= t - q <= d + band for q, t in shared)
+            d = max(sorted({t - q for q, t in shared}), key=support)
+            parts = [[]]
+            for q, t in shared:
+                if d <= t - q <= d + band:
+                    if parts[-1] and q - parts[-1][-1][0] > band:
+                        parts.append([])
+                    parts[-1].append((q, t))
+            best = max(parts, key=len)
+            q0, q1 = best[0][0], best[-1][0] + min(k, len(qs))
+            t0, t1 = min(t for _, t in best), max(t for _, t in best) + min(k, len(ts))
+            e = _edits(qs[q0:q1], ts[t0:t1])
+            out.append((qi, ti, len(shared), len(own), d, len(best), q0, q1, t0, t1, e, 1 - e / max(q1 - q0, t1 - t0), (q1 - q0) / len(qs), (t1 - t0) / len(ts)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_similarity_join_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK_SEEDS", block)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+
+    def edited(s):
+        s = list(s)
+        for _ in range(3):
+            i = rng.randrange(len(s))
+            s[i:i + rng.choice([0, 1])] = word(rng.choice([0, 1, 2]))
+        return "".join(s)
+
+    q = [(i, word(rng.choice([2, 3, 30, 60]))) for i in range(12)] + [(20, "ab" * 30), (21, "a" * 40), (20, "ba" * 20)]
+    t = [(i, word(rng.randrange(40)) + edited(q[i % 12][1]) + word(15)) for i in range(40)] + [(90, "x" * 9 + "ab" * 25), (91, "a" * 33), (92, q[0][1]), (93, "ab"), (94, None), (95, "")]
+    got = L.similarity_join(spark.createDataFrame([*q, (30, None), (31, "")], "q int, qs string"), spark.createDataFrame(t, "t int, ts string"), qid="q", tid="t", qseq="qs", tseq="ts", k=4, min_fraction=0.3)
+    want = _brute_pairs(q, [(i, s) for i, s in t if s], 4, 0.3)
+    assert len(want) >= 25 and any(r[-4] > 0 for r in want)
+    for a, b in zip(sorted(tuple(r) for r in got.collect()), want, strict=True):
+        assert a[:11] == b[:11] and np.allclose(a[11:], b[11:])
 
 
 def test_similarity_join_of_repeated_and_short_texts(spark):
     q = spark.createDataFrame([(1, "ABABABABABABAB"), (2, "ABC"), (3, "")], "q int, qs string")
     t = q.selectExpr("q AS t", "qs AS ts")
-    got = L.similarity_join(q, t, qid="q", tid="t", qseq="qs", tseq="ts", k=5, repeats=True).collect()
+    got = L.similarity_join(q, t, qid="q", tid="t", qseq="qs", tseq="ts", k=5).collect()
     assert sorted((r.q, r.t, r.shared_seeds, r.n_seeds, r.diagonal, r.sequence_identity) for r in got) == [(1, 1, 10, 10, 0, 1.0), (2, 2, 1, 1, 0, 1.0)]
+    assert L.similarity_join(q.where("q > 5"), t, qid="q", tid="t", qseq="qs", tseq="ts").count() == 0
+
+
+def test_insertion_keeps_the_hit(spark):
+    text = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQ"
+    q = spark.createDataFrame([(1, text)], "q int, qs string")
+    t = spark.createDataFrame([(1, text[:30] + "W" + text[30:])], "t int, ts string")
+    r = L.similarity_join(q, t, qid="q", tid="t", qseq="qs", tseq="ts", k=5).first()
+    assert r.edits == 1 and r.query_coverage == 1.0 and r.target_coverage == 1.0 and abs(r.sequence_identity - len(text) / (len(text) + 1)) < 1e-12
+    assert L.near_duplicates(spark.createDataFrame([r])).count() == 1
+
+
+def test_edit_costs_of_any_distance():
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("ab") for _ in range(rng.randrange(0, 90))), "".join(rng.choice("ab") for _ in range(rng.randrange(0, 90)))) for _ in range(150)] + [("", "abc"), ("abc", ""), ("", ""), ("a" * 300, "b" * 200)]
+    assert similarity.edit_costs([(similarity.letters(a), similarity.letters(b)) for a, b in pairs]).tolist() == [_edits(a, b) for a, b in pairs]
 
 
 def test_best_hit_and_percent_rescale(spark):
