@@ -113,13 +113,13 @@ def wild_cluster(spark, sf):
 
 def group_bootstrap(spark, sf):
     li = table(spark, sf, "lineitem")
-    return rounded(I.group_bootstrap_diff(li, ["l_returnflag"], "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", 20, 0.9, 2))
+    return rounded(I.group_bootstrap_diff(li, ["l_returnflag"], "l_suppkey", "l_quantity", "l_discount", "l_extendedprice", 500, 0.9, 2))
 
 
 def bootstrap_spearman(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderstatus", "c_nationkey", "o_totalprice", "c_acctbal")
-    return rounded(I.cluster_bootstrap_stat(o, ["o_orderstatus"], "c_nationkey", I.spearman_stat("c_acctbal", "o_totalprice"), 40, 0.9, 4))
+    return rounded(I.cluster_bootstrap_stat(o, ["o_orderstatus"], "c_nationkey", I.spearman_stat("c_acctbal", "o_totalprice"), 500, 0.9, 4))
 
 
 def environment_summary(spark, sf):
@@ -252,13 +252,13 @@ jk AS (SELECT l_returnflag, sqrt((count(*) - 1) * var_pop(v)) AS se, min(v) AS a
 SELECT l_returnflag, {r('avg(value)', 'estimate')}, {r('any_value(se)', 'jackknife_se')}, {r('any_value(a)', 'loo_min')}, {r('any_value(b)', 'loo_max')}, {r('any_value(lo)', 'wild_ci_low')}, {r('any_value(hi)', 'wild_ci_high')},
  count(*) FILTER (value > 0) AS positive_clusters, count(*) FILTER (value < 0) AS negative_clusters, count(*) FILTER (value = 0) AS zero_clusters, count(*) AS n_clusters, sum(k)::bigint AS n_rows
 FROM m JOIN ci USING (l_returnflag) JOIN jk USING (l_returnflag) GROUP BY l_returnflag""",
-    "group_bootstrap": f"""WITH {_draws('lineitem', 'l_returnflag', 'l_suppkey', 20, 2)},
+    "group_bootstrap": f"""WITH {_draws('lineitem', 'l_returnflag', 'l_suppkey', 500, 2)},
 rw AS (SELECT l.l_returnflag, replicate, l_quantity, l_discount, l_extendedprice, w FROM lineitem l JOIN dw USING (l_returnflag, l_suppkey)),
 {_wspear('rw', 'l_returnflag', 'l_quantity', 'l_extendedprice', 'sa')}, {_wspear('rw', 'l_returnflag', 'l_discount', 'l_extendedprice', 'sb')},
 d AS (SELECT l_returnflag, replicate, sa.stat - sb.stat AS v FROM sa JOIN sb USING (l_returnflag, replicate))
 SELECT l_returnflag, {r('max(v) FILTER (replicate = 0)', 'estimate')}, {r('quantile_cont(v, 0.05) FILTER (replicate > 0)', 'ci_low')}, {r('quantile_cont(v, 0.95) FILTER (replicate > 0)', 'ci_high')},
  any_value(n) AS n_rows, any_value(c) AS n_clusters FROM d JOIN (SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY ALL) USING (l_returnflag) GROUP BY l_returnflag""",
-    "bootstrap_spearman": f"""WITH o AS (SELECT o_orderstatus, c_nationkey, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey), {_draws('o', 'o_orderstatus', 'c_nationkey', 40, 4)},
+    "bootstrap_spearman": f"""WITH o AS (SELECT o_orderstatus, c_nationkey, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey), {_draws('o', 'o_orderstatus', 'c_nationkey', 500, 4)},
 rw AS (SELECT o.*, replicate, w FROM o JOIN dw USING (o_orderstatus, c_nationkey)), {_wspear('rw', 'o_orderstatus', 'c_acctbal', 'o_totalprice', 'sa')}
 SELECT o_orderstatus, {r('max(stat) FILTER (replicate = 0)', 'estimate')}, {r('quantile_cont(stat, 0.05) FILTER (replicate > 0)', 'ci_low')}, {r('quantile_cont(stat, 0.95) FILTER (replicate > 0)', 'ci_high')},
  any_value(n) AS n_rows, any_value(c) AS n_clusters FROM sa JOIN (SELECT o_orderstatus, count(*) AS n, count(DISTINCT c_nationkey) AS c FROM o GROUP BY ALL) USING (o_orderstatus) GROUP BY o_orderstatus""",

@@ -13,14 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import finite
-from rankloom.operators.ordering import ordinals, value_ranks
+from rankloom.operators.ordering import ROWS_PER_SPLIT, ordinals, value_ranks
+from rankloom.operators.resampling import MULTIPLIER, PRIME, ROUND_CONSTANTS, RankTerms, array_bounds, rank_sweeps, replicate_means
 from rankloom.session import settle
 
-# Fixed values of the integer mixing function.
-PRIME = 2147483647
-ROUND_CONSTANTS = (374761393, 668265263, 1274126177)
-MULTIPLIER = 48271
-
 
 def mix_value(b: Column, j: Column, seed: int) -> Column:
     """Integer in [0, 2^31 - 1) for replicate ``b`` and item ``j``."""
@@ -90,6 +86,31 @@ def _resampled_means(items: DataFrame, keys: list[str], strata: list[str], cl: l
     )
 
 
+def _largest(items: DataFrame, parts: Sequence[str]) -> int:
+    return items.groupBy(*parts).count().agg(F.max("count")).first()[0] or 0
+
+
+def _interval(items: DataFrame, keys: list[str], strata: list[str], cl: list[str], kind: str, replicates: int, level: float, seed: int, rows_per_split: int = ROWS_PER_SPLIT, **kw) -> DataFrame:
+    """(keys, ci_low, ci_high) of the replicate means.
+
+    Replicates are arrays while every stratum's values fit a task; beyond
+    ``rows_per_split`` clusters each draw is a row. Both give the same draws.
+    """
+    if _largest(items, [*keys, *strata]) <= rows_per_split:
+        return replicate_means(items, keys, strata, cl, kind, replicates, seed).select(*keys, *array_bounds("means", level))
+    means = _resampled_means if kind == "drawn" else _flipped_means
+    return means(items, keys, strata, cl, replicates, seed, rows_per_split=rows_per_split, **kw).groupBy(*keys).agg(*_bounds("_mean", level))
+
+
+def _flipped_means(items: DataFrame, keys: list[str], strata: list[str], cl: list[str], replicates: int, seed: int, **kw) -> DataFrame:
+    """Replicate means of deviations from the group's mean, with random signs."""
+    o = ordinals(items, keys, cl, pos="_j", total="_n", **kw)
+    centred = o.join(items.groupBy(*keys).agg(F.avg("value").alias("_m")), keys)
+    flips = _mixed(centred.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))), "_x", "_r", "_j", seed)
+    sign = F.when(F.col("_x") % 2 == 0, 1.0).otherwise(-1.0)
+    return flips.groupBy(*keys, "_r").agg(F.avg(sign * (F.col("value") - F.col("_m"))).alias("_mean"))
+
+
 def cluster_bootstrap(
     df: DataFrame, by: Sequence[str], value: str, cl: str, replicates: int = 500, level: float = 0.95, seed: int = 0, **kw
 ) -> DataFrame:
@@ -108,7 +129,7 @@ def cluster_bootstrap(
         return point.withColumn("ci_low", F.lit(None).cast("double")).withColumn(
             "ci_high", F.lit(None).cast("double")
         ).drop("_all")
-    ci = _resampled_means(items, keys, [], [cl], replicates, seed, **kw).groupBy(*keys).agg(*_bounds("_mean", level))
+    ci = _interval(items, keys, [], [cl], "drawn", replicates, level, seed, **kw)
     known = F.col("n_clusters") > 1
     return (
         point.join(ci, keys, "left")
@@ -148,7 +169,7 @@ def stratified_bootstrap(
         F.count(F.lit(1)).alias("n_clusters"),
         *_leave_one_out(),
     )
-    ci = _resampled_means(items, keys, [st], [cl], replicates, seed, **kw).groupBy(*keys).agg(*_bounds("_mean", level))
+    ci = _interval(items, keys, [st], [cl], "drawn", replicates, level, seed, **kw)
     return point.join(ci, keys, "left").drop("_all")
 
 
@@ -168,20 +189,10 @@ def wild_cluster(
         n.alias("n_clusters"),
         F.sum("n_rows").alias("n_rows"),
     )
-    o = ordinals(items, keys, [cl], pos="_j", total="_n", **kw)
-    centred = o.join(point.select(*keys, "estimate"), keys)
-    flips = _mixed(
-        centred.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))), "_x", "_r", "_j", seed
-    )
-    sign = F.when(F.col("_x") % 2 == 0, 1.0).otherwise(-1.0)
-    ci = (
-        flips.groupBy(*keys, "_r")
-        .agg((F.max("estimate") + F.avg(sign * (F.col("value") - F.col("estimate")))).alias("_mean"))
-        .groupBy(*keys)
-        .agg(*_bounds("_mean", level))
-    )
+    ci = _interval(items, keys, [], [cl], "signed", replicates, level, seed, **kw)
     return (
         point.join(ci, keys, "left")
+        .withColumns({c: F.col("estimate") + F.col(c) for c in ("ci_low", "ci_high")})
         .withColumnsRenamed({"ci_low": "wild_ci_low", "ci_high": "wild_ci_high"})
         .drop("_all")
     )
@@ -204,29 +215,41 @@ def cluster_draws(df: DataFrame, by: Sequence[str], cl: str, replicates: int, se
     return counted.join(o.select(*keys, "_j", cl), [*keys, "_j"]).select(*keys, "replicate", cl, "weight").unionByName(real)
 
 
+#: Distinct rows of a group that one task sorts for all replicates.
+SWEEP_ROWS = 2_000_000
+
 Statistic = Callable[[DataFrame, list[str], str], DataFrame]
 
 
 def cluster_bootstrap_stat(
-    df: DataFrame, by: Sequence[str], cl: str, stat: Statistic, replicates: int = 500, level: float = 0.95, seed: int = 0, **kw
+    df: DataFrame, by: Sequence[str], cl: str, stat: Statistic | RankTerms, replicates: int = 500, level: float = 0.95, seed: int = 0, **kw
 ) -> DataFrame:
     """Interval of any pooled statistic over resampled clusters.
 
+    Rank correlations (``spearman_stat``) sort each group once for all replicates
+    while its distinct rows are at most ``SWEEP_ROWS``; NaN counts as missing there.
+
     ``stat(rows, keys, weight)`` returns one row per ``keys`` with a column
     ``stat``; ``weight`` counts the copies of a row. Rows that agree in all
     columns are folded into one before they meet the replicates.
     """
     df, keys = _group(df, by)
-    cols = df.columns
-    folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    draws = cluster_draws(df, keys, cl, replicates, seed, **kw)
-    rows = folded.join(draws, [*keys, cl]).withColumn("_w", F.col("_copies") * F.col("weight")).drop("weight", "_copies")
-    values = stat(rows, [*keys, "replicate"], "_w")
-    resampled = F.when(F.col("replicate") > 0, finite("stat"))
-    out = values.groupBy(*keys).agg(
-        F.max(F.when(F.col("replicate") == 0, finite("stat"))).alias("estimate"),
-        *_bounds(resampled, level),
-    )
+    if isinstance(stat, RankTerms):
+        value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        df = df.select(*keys, cl, *[value(c).alias(c) for c in stat.columns])
+    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    if isinstance(stat, RankTerms):
+        folded = settle(folded)
+    largest = _largest(folded, keys) if isinstance(stat, RankTerms) else None
+    if largest is not None and largest <= kw.get("rows_per_split", SWEEP_ROWS):
+        swept = rank_sweeps(folded, keys, cl, stat, "_copies", replicates, seed, largest)
+        out = swept.select(*keys, "estimate", *array_bounds("stats", level))
+    else:
+        draws = cluster_draws(df, keys, cl, replicates, seed, **kw)
+        rows = folded.join(draws, [*keys, cl]).withColumn("_w", F.col("_copies") * F.col("weight")).drop("weight", "_copies")
+        values = (rank_terms_stat(stat) if isinstance(stat, RankTerms) else stat)(rows, [*keys, "replicate"], "_w")
+        resampled = F.when(F.col("replicate") > 0, finite("stat"))
+        out = values.groupBy(*keys).agg(F.max(F.when(F.col("replicate") == 0, finite("stat"))).alias("estimate"), *_bounds(resampled, level))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(cl).alias("n_clusters"))
     known = F.col("n_clusters") > 1
     return (
@@ -279,8 +302,21 @@ def weighted_spearman(rows: DataFrame, keys: list[str], x: str, y: str, w: str,
     )
 
 
-def spearman_stat(x: str, y: str) -> Statistic:
-    return lambda rows, keys, w: weighted_spearman(rows, keys, x, y, w)
+def spearman_stat(x: str, y: str) -> RankTerms:
+    return RankTerms(((1.0, x, y),))
+
+
+def rank_terms_stat(terms: RankTerms) -> Statistic:
+    """The same statistic over rows that meet their replicates, for groups of any size."""
+
+    def stat(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
+        out = None
+        for i, (factor, x, y) in enumerate(terms.terms):
+            one = weighted_spearman(rows, keys, x, y, w).select(*keys, (F.lit(factor) * F.col("stat")).alias(f"_s{i}"))
+            out = one if out is None else out.join(one, keys)
+        return out.select(*keys, sum((F.col(f"_s{i}") for i in range(len(terms.terms))), F.lit(0.0)).alias("stat"))
+
+    return stat
 
 
 def group_bootstrap_diff(
@@ -289,14 +325,8 @@ def group_bootstrap_diff(
 ) -> DataFrame:
     """Interval of the rank-correlation gain of ``method`` over ``comparator``,
     resampling the groups (positions) of each entity."""
-
-    def stat(rows: DataFrame, keys: list[str], w: str) -> DataFrame:
-        a = weighted_spearman(rows, keys, method, observed, w).select(*keys, F.col("stat").alias("_a"))
-        b = weighted_spearman(rows, keys, comparator, observed, w).select(*keys, F.col("stat").alias("_b"))
-        return a.join(b, keys).select(*keys, (F.col("_a") - F.col("_b")).alias("stat"))
-
-    cols = [*by, group, method, comparator, observed]
-    return cluster_bootstrap_stat(df.select(*cols), by, group, stat, replicates, level, seed, **kw)
+    terms = RankTerms(((1.0, method, observed), (-1.0, comparator, observed)))
+    return cluster_bootstrap_stat(df.select(*by, group, method, comparator, observed), by, group, terms, replicates, level, seed, **kw)
 
 
 def with_scopes(df: DataFrame, st: str, *, scope: str = "scope", everything: str = "all") -> DataFrame:

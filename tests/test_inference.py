@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import aggregates as A
 from rankloom.operators import inference as I
+from rankloom.operators import resampling as R
 
 
 def test_equal_cluster_mean_case(spark):
@@ -89,3 +91,46 @@ def test_radius_takes_largest_passing_level(spark, lo, want):
     rows = [("r", "x", "e", 0.05, 0.1, lo), ("r", "x", "e", 0.15, 0.0, lo), ("r", "x", "e", 0.3, 0.1, lo)]
     df = spark.createDataFrame(rows, "a string, axis string, env string, level double, estimate double, ci_low double")
     assert A.valid_radius(df, ["a", "axis", "env"]).first()["valid_radius"] == want
+
+
+@pytest.mark.parametrize("strata", [False, True])
+def test_array_replicates_equal_row_replicates(spark, strata):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 3, 400), "c": rng.integers(0, 25, 400), "v": rng.normal(size=400).round(3)}))
+    df = df.selectExpr("IF(g = 2, NULL, g) AS g", "c", "c % 3 AS st", "v")
+    whole = (lambda **k: I.stratified_bootstrap(df, ["g"], "v", "c", "st", 60, 0.9, 3, **k)) if strata else (lambda **k: I.cluster_bootstrap(df, ["g"], "v", "c", 60, 0.9, 3, **k))
+    for f in (whole, lambda **k: I.wild_cluster(df, ["g"], "v", "c", 60, 0.9, 3, **k)):
+        a, b = (f(**k).toPandas().sort_values("g").reset_index(drop=True) for k in ({}, {"rows_per_split": 2}))
+        pd.testing.assert_frame_equal(a, b, atol=1e-9)
+
+
+def test_sums_of_draws_split_anywhere():
+    values = np.arange(1.0, 41.0)
+    for add in (R.drawn_sums, R.signed_sums):
+        whole = add(values, 1, 40, 30, 5)
+        assert np.allclose(add(values, 1, 13, 30, 5) + add(values, 14, 40, 30, 5), whole) and len(whole) == 30
+    assert (R.mixed(np.arange(1, 4), np.arange(1, 6), -7) < R.PRIME).all()
+
+
+def test_rank_sweep_equals_row_replicates(spark):
+    rng = np.random.default_rng(7)
+    n = 300
+    pdf = pd.DataFrame({"e": rng.integers(0, 3, n), "p": rng.integers(0, 9, n), "a": rng.integers(0, 6, n).astype(float), "b": rng.normal(size=n).round(1), "y": rng.integers(0, 12, n).astype(float)})
+    pdf.loc[::17, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("p", F.when(F.col("p") > 0, F.col("p")))
+    for f in (lambda **k: I.group_bootstrap_diff(df, ["e"], "p", "a", "b", "y", 40, 0.9, 2, **k), lambda **k: I.cluster_bootstrap_stat(df, [], "p", I.spearman_stat("a", "y"), 40, 0.9, 2, **k)):
+        a, b = (f(**k).toPandas().sort_values("n_rows").reset_index(drop=True) for k in ({}, {"rows_per_split": 5}))
+        pd.testing.assert_frame_equal(a[b.columns], b, atol=1e-9)
+        assert (a["ci_low"] < a["ci_high"]).all()
+
+
+def test_replicates_of_large_groups_are_dealt_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"c": range(50), "x": rng.normal(size=50), "y": rng.normal(size=50)}))
+    f = lambda: (I.cluster_bootstrap(df, [], "x", "c", 30), I.cluster_bootstrap_stat(df, [], "c", I.spearman_stat("x", "y"), 30))
+    want = [x.first() for x in f()]
+    for name, value in (("SLOTS", 7), ("SWEEP_CELLS", 100), ("STEP_CELLS", 60), ("TASK_DRAWS", 50), ("HELD_KEYS", 1)):
+        monkeypatch.setattr(R, name, value)
+    for x, y in zip(f(), want, strict=True):
+        got = x.first().asDict()
+        assert all(np.isclose(got[k], v) for k, v in y.asDict().items())
