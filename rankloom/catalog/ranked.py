@@ -62,6 +62,13 @@ def method_metrics(spark, sf):
     return rounded(_metrics(spark, sf))
 
 
+def sparse_method_metrics(spark, sf):
+    """Each method lacks the scores of other rows."""
+    rows = _method_rows(spark, sf)
+    rows = rows.withColumns({m: F.when((F.col("l_linenumber") + len(m)) % 3 != 0, F.col(m)) for m in METHODS})
+    return rounded(R.entity_metrics(rows, ENTITY, list(METHODS), "y", KEY))
+
+
 def metric_increments(spark, sf):
     return rounded(R.metric_increments(_metrics(spark, sf), ENTITY, "q"))
 
@@ -133,7 +140,7 @@ def supplier_order(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    supplier_spearman, supplier_pearson, supplier_ndcg, supplier_topk_recall, supplier_slope, method_metrics, metric_increments,
+    supplier_spearman, supplier_pearson, supplier_ndcg, supplier_topk_recall, supplier_slope, method_metrics, sparse_method_metrics, metric_increments,
     contrast_summary, subgroup_metrics, role_concordance, assay_spearman, correlation_table, cluster_means, stratified_bootstrap,
     wild_cluster, group_bootstrap, bootstrap_spearman, environment_summary, supplier_order,
 )}
@@ -172,11 +179,11 @@ em AS (SELECT {g}, count(*) AS n_rows, {S.corr('rs', 'ry')} AS spearman, sum(d *
 """
 
 
-_METHOD_SQL = S.OBSERVED + """,
+_ALL_METHODS = S.OBSERVED + """,
 comp AS (SELECT *, l_quantity AS cq, l_discount * 100 AS cd, l_tax * 100 AS ct FROM obs),
 ml AS (SELECT l_suppkey, y, l_orderkey, l_linenumber, l_partkey, l_shipdate, l_tax, m.method, CASE m.method WHEN 'q' THEN cq WHEN 'q+d' THEN cq + cd WHEN 'q+t' THEN cq + ct ELSE cq + cd * 0.5::double + ct * 0.5::double END AS s
- FROM comp, (VALUES ('q'), ('q+d'), ('q+t'), ('q+d+t')) m(method)),
-""" + entity_metrics_ctes("ml", "l_suppkey")
+ FROM comp, (VALUES ('q'), ('q+d'), ('q+t'), ('q+d+t')) m(method))"""
+_METHOD_SQL = _ALL_METHODS + "," + entity_metrics_ctes("ml", "l_suppkey")
 _COLS = ("spearman", "full_ndcg", "top_ndcg", "top_recall")
 
 
@@ -222,6 +229,7 @@ SELECT l_suppkey, {r('count(*) FILTER (p <= k AND y > 0) / nullif(least(max(k),
     "supplier_slope": f"""WITH {S.OBSERVED}, t AS (SELECT l_suppkey, regr_slope(y, l_quantity) AS a, regr_slope(y, l_quantity * (1 - l_discount)) AS b, {S.corr('l_quantity', 'y')} AS c FROM obs GROUP BY l_suppkey)
 SELECT l_suppkey, {r('a', 'slope', 4)}, {r('c', 'standardized_slope', 4)}, {r('b', 'other_slope', 4)}, {r('abs(a - 1) - abs(b - 1)', 'error_reduction', 4)} FROM t""",
     "method_metrics": f"WITH {_METHOD_SQL} SELECT l_suppkey, method, n_rows, {', '.join(r(c, c) for c in (*_COLS, 'slope'))} FROM em",
+    "sparse_method_metrics": f"WITH {_ALL_METHODS}, sl AS (SELECT * FROM ml WHERE (l_linenumber + length(method)) % 3 <> 0), {entity_metrics_ctes('sl', 'l_suppkey')} SELECT l_suppkey, method, n_rows, {', '.join(r(c, c) for c in (*_COLS, 'slope'))} FROM em",
     "metric_increments": f"WITH {_METHOD_SQL} SELECT a.l_suppkey, a.method, {', '.join(r(f'a.{c} - b.{c}', c) for c in _COLS)} FROM em a JOIN em b ON a.l_suppkey = b.l_suppkey AND b.method = 'q' WHERE a.method <> 'q'",
     "contrast_summary": f"""WITH {_METHOD_SQL},
 reg AS (SELECT * FROM (VALUES ('d_over_base', 'q+d', 'q'), ('t_over_base', 'q+t', 'q'), ('both_over_d', 'q+d+t', 'q+d')) t(contrast, method, comparator)),

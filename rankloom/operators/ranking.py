@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.inference import weighted_spearman
-from rankloom.operators.ordering import desc, ordinals
+from rankloom.operators.ordering import ROWS_PER_SPLIT, desc, ordinals
+from rankloom.operators.resampling import rank_correlations
 from rankloom.session import settle
 
+METRICS = ("spearman", "full_ndcg", "top_ndcg", "top_recall")
+
 
 def corr_column(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation, NULL when a side is constant."""
@@ -105,88 +111,118 @@ def entity_metrics(
 ) -> DataFrame:
     """Long table (entity, method): rank correlation, full and top gain, recall, slope.
 
-    The outcome is ranked once per entity; every method is ranked once, and all
-    of its metrics come from that one ranking.
+    A method is measured on the rows that have its score and the outcome: ranks,
+    lowest outcome, ideal gain and cut all come from these, so a missing score
+    counts for that method alone. ``key`` orders rows of equal value. Entities
+    of up to ``rows_per_split`` rows are measured by one task each, with one sort
+    per method; larger ones are ranked over many tasks.
     """
-    entity = list(entity)
-    rows = settle(
-        df.select(*entity, *key, finite(y).alias("_y"), *[finite(m).alias(m) for m in methods]).dropna(subset=["_y"])
+    entity, key, methods = list(entity), list(key), list(methods)
+    known = df.select(*entity, *key, finite(y).alias("_y"), *[finite(m).alias(m) for m in methods]).dropna(subset=["_y", *entity])
+    rows = settle(known)
+    largest = rows.groupBy(*entity).count().agg(F.max("count")).first()[0] or 0
+    if largest > kw.get("rows_per_split", ROWS_PER_SPLIT):
+        return _ranked_metrics(rows, entity, methods, key, fraction, **kw)
+    schema = T.StructType([*[rows.schema[e] for e in entity], T.StructField("method", T.StringType(), False), T.StructField("n_rows", T.LongType(), False), *[T.StructField(m, T.DoubleType()) for m in (*METRICS, "slope")]])
+
+    def measure(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, sort_keys=[(k, "ascending") for k in key], null_placement="at_start").to_numpy() if key else np.arange(group.num_rows)
+        outcome = group.column("_y").to_numpy()[order]
+        out = []
+        for m in methods:
+            score = group.column(m).to_numpy().astype(float)[order]
+            there = ~np.isnan(score)
+            if there.any():
+                out.append((m, int(there.sum()), *measures(score[there], outcome[there], fraction)))
+        columns = [pa.array([group.column(e)[0].as_py()] * len(out), group.schema.field(e).type) for e in entity]
+        values = list(zip(*out)) or [()] * (len(METRICS) + 3)
+        kinds = [pa.string(), pa.int64(), *[pa.float64()] * (len(METRICS) + 1)]
+        return pa.Table.from_arrays([*columns, *(pa.array(v, k) for v, k in zip(values, kinds))], names=schema.names)
+
+    return rows.groupBy(*entity).applyInArrow(measure, schema)
+
+
+def measures(score: np.ndarray, outcome: np.ndarray, fraction: float) -> tuple[float | None, ...]:
+    """The metrics of one method in one entity, then its slope; rows come in key order."""
+    n = len(score)
+    place = np.empty(n, np.int64)
+    order = np.argsort(-score, kind="stable")
+    place[order] = np.arange(1, n + 1)
+    cut = max(1, int(np.ceil(n * fraction)))
+    top = place <= cut
+    discount = 1.0 / np.log2(place + 1)
+    low = outcome.min()
+    # Rows of equal score share their discounts and their gains.
+    _, which = np.unique(score, return_inverse=True)
+    share = np.bincount(which)
+    gain = np.bincount(which, outcome - low) / share
+    ordered = 1.0 / np.log2(np.arange(2, n + 2)) * (np.sort(outcome)[::-1] - low)
+
+    def part(gained: float, most: float) -> float | None:
+        return float(gained / most) if most > 0 else None
+
+    positive = outcome > 0
+    varies = score.max() > score.min()
+    rho = rank_correlations(score, outcome, np.ones((1, n)))[0]
+    return (
+        None if np.isnan(rho) else float(rho),
+        part((np.bincount(which, discount) * gain).sum(), ordered.sum()),
+        part((np.bincount(which, np.where(top, discount, 0.0)) * gain).sum(), ordered[:cut].sum()),
+        part((top & positive).sum(), min(cut, positive.sum())),
+        float(((score - score.mean()) * (outcome - outcome.mean())).mean() / score.var()) if varies else None,
     )
-    ranked = ordinals(rows, entity, [desc("_y"), *key], pos="_py", total="_ny", **kw)
+
+
+def _ranked_metrics(rows: DataFrame, entity: list[str], methods: list[str], key: list[str], fraction: float, **kw) -> DataFrame:
+    """The same metrics for entities of any size: every method's rows are ranked by
+    score and by outcome over many tasks."""
+    by = [*entity, "method"]
+    long = settle(rows.unpivot([*entity, *key, "_y"], methods, "method", "_s").dropna(subset=["_s"]))
+    low = long.groupBy(*by).agg(F.min("_y").alias("_low"))
+    ranked = settle(ordinals(long, by, [desc("_y"), *key], pos="_py", total="_ny", **kw))
     # Equal outcomes share a rank.
-    shared = ranked.groupBy(*entity, "_y").agg(
-        (F.max("_ny") / 2 + 0.5 - F.avg("_py")).alias("_ry")
-    )
-    low = rows.groupBy(*entity).agg(F.min("_y").alias("_low"))
-    ranked = settle(ranked.join(shared, [*entity, "_y"]))
-    long = (
-        ranked.unpivot([*entity, *key, "_y", "_ry"], list(methods), "method", "_s")
-        .dropna(subset=["_s"])
-    )
-    o = ordinals(long, [*entity, "method"], [desc("_s"), *key], pos="_p", total="_n", **kw)
+    shared = ranked.groupBy(*by, "_y").agg((F.max("_ny") / 2 + 0.5 - F.avg("_py")).alias("_ry"))
+    o = ordinals(long.join(shared, [*by, "_y"]), by, [desc("_s"), *key], pos="_p", total="_n", **kw)
     top = F.col("_p") <= _cut(F.col("_n"), fraction)
     disc = _discount("_p")
     # One row per distinct score keeps every sum the metrics need.
-    ties = o.groupBy(*entity, "method", "_s").agg(
+    ties = o.groupBy(*by, "_s").agg(
         F.count(F.lit(1)).alias("_w"),
         F.max("_n").alias("_n"),
         (F.max("_n") / 2 + 0.5 - F.avg("_p")).alias("_rs"),
         F.sum(disc).alias("_d"),
         F.sum(F.when(top, disc).otherwise(0.0)).alias("_dk"),
         F.avg("_y").alias("_g"),
-        F.sum("_y").alias("_sy"),
         F.sum("_ry").alias("_sry"),
         F.sum(F.col("_ry") * F.col("_ry")).alias("_sryy"),
         F.count_if(top & (F.col("_y") > 0)).alias("_hits"),
         F.count_if(F.col("_y") > 0).alias("_pos"),
     )
-    ideal = (
-        ranked.join(low, entity)
-        .groupBy(*entity)
-        .agg(
-            F.sum(_discount("_py") * (F.col("_y") - F.col("_low"))).alias("_ideal"),
-            F.sum(
-                F.when(F.col("_py") <= _cut(F.col("_ny"), fraction), _discount("_py") * (F.col("_y") - F.col("_low")))
-            ).alias("_ideal_k"),
-        )
-    )
-    slopes = long.groupBy(*entity, "method").agg(
-        (F.covar_pop("_s", "_y") / F.when(F.var_pop("_s") > 0, F.var_pop("_s"))).alias("slope")
-    )
-    sums = (
-        ties.join(low, entity)
-        .groupBy(*entity, "method")
-        .agg(
-            F.sum("_w").alias("n_rows"),
-            F.sum(F.col("_rs") * F.col("_sry")).alias("_xy"),
-            F.sum(F.col("_w") * F.col("_rs") * F.col("_rs")).alias("_xx"),
-            F.sum("_sryy").alias("_yy"),
-            F.sum(F.col("_d") * (F.col("_g") - F.col("_low"))).alias("_dcg"),
-            F.sum(F.col("_dk") * (F.col("_g") - F.col("_low"))).alias("_dcg_k"),
-            F.sum("_hits").alias("_hits"),
-            F.least(F.max(_cut(F.col("_n"), fraction)), F.sum("_pos")).alias("_most"),
-        )
+    gain = _discount("_py") * (F.col("_y") - F.col("_low"))
+    ideal = ranked.join(low, by).groupBy(*by).agg(F.sum(gain).alias("_ideal"), F.sum(F.when(F.col("_py") <= _cut(F.col("_ny"), fraction), gain)).alias("_ideal_k"))
+    slopes = long.groupBy(*by).agg((F.covar_pop("_s", "_y") / F.when(F.var_pop("_s") > 0, F.var_pop("_s"))).alias("slope"))
+    sums = ties.join(low, by).groupBy(*by).agg(
+        F.sum("_w").alias("n_rows"),
+        F.sum(F.col("_rs") * F.col("_sry")).alias("_xy"),
+        F.sum(F.col("_w") * F.col("_rs") * F.col("_rs")).alias("_xx"),
+        F.sum("_sryy").alias("_yy"),
+        F.sum(F.col("_d") * (F.col("_g") - F.col("_low"))).alias("_dcg"),
+        F.sum(F.col("_dk") * (F.col("_g") - F.col("_low"))).alias("_dcg_k"),
+        F.sum("_hits").alias("_hits"),
+        F.least(F.max(_cut(F.col("_n"), fraction)), F.sum("_pos")).alias("_most"),
     )
     norm = F.sqrt(F.col("_xx") * F.col("_yy"))
-    return (
-        sums.join(ideal, entity)
-        .join(slopes, [*entity, "method"])
-        .select(
-            *entity,
-            "method",
-            "n_rows",
-            (F.col("_xy") / F.when(norm > 0, norm)).alias("spearman"),
-            (F.col("_dcg") / F.when(F.col("_ideal") > 0, F.col("_ideal"))).alias("full_ndcg"),
-            (F.col("_dcg_k") / F.when(F.col("_ideal_k") > 0, F.col("_ideal_k"))).alias("top_ndcg"),
-            (F.col("_hits") / F.when(F.col("_most") > 0, F.col("_most"))).alias("top_recall"),
-            "slope",
-        )
+    return sums.join(ideal, by).join(slopes, by).select(
+        *by,
+        "n_rows",
+        (F.col("_xy") / F.when(norm > 0, norm)).alias("spearman"),
+        (F.col("_dcg") / F.when(F.col("_ideal") > 0, F.col("_ideal"))).alias("full_ndcg"),
+        (F.col("_dcg_k") / F.when(F.col("_ideal_k") > 0, F.col("_ideal_k"))).alias("top_ndcg"),
+        (F.col("_hits") / F.when(F.col("_most") > 0, F.col("_most"))).alias("top_recall"),
+        "slope",
     )
 
 
-METRICS = ("spearman", "full_ndcg", "top_ndcg", "top_recall")
-
-
 def metric_increments(metrics: DataFrame, keys: Sequence[str], baseline: str, cols: Sequence[str] = METRICS) -> DataFrame:
     """Every method minus the baseline method of the same entity."""
     base = metrics.where(F.col("method") == baseline).select(*keys, *[F.col(c).alias("_b_" + c) for c in cols])

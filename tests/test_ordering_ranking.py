@@ -76,6 +76,19 @@ def test_entity_metrics_brute_force(table, kw):
     assert np.allclose(alone.sort_index(), got["full_ndcg"].sort_index())
 
 
+@pytest.mark.parametrize("kw", [{}, {"rows_per_split": 25}])
+def test_missing_scores_count_for_their_method_alone(table, kw):
+    pdf, df = table
+    df = df.withColumns({"t": F.when(F.col("k") % 3 > 0, F.col("s")), "u": F.when(F.col("k") % 4 > 1, -F.col("s")), "none": F.lit(None).cast("double")})
+    got = R.entity_metrics(df, ["g"], ["s", "t", "u", "none"], "y", ["k"], 0.1, **kw).toPandas().set_index(["g", "method"])
+    assert set(got.index.get_level_values("method")) == {"s", "t", "u"}
+    for g, part in pdf.groupby("g"):
+        for m, rows in (("s", part), ("t", part[part["k"] % 3 > 0]), ("u", part[part["k"] % 4 > 1].assign(s=lambda p: -p["s"]))):
+            assert got.loc[(g, m), "n_rows"] == len(rows)
+            for name, want in brute_metrics(rows, 0.1).items():
+                assert np.isclose(got.loc[(g, m), name], want), (g, m, name)
+
+
 def test_perfect_beats_reversed(spark):
     df = spark.createDataFrame([(0, i, float(i), float(-i), float(i) - 3) for i in range(10)], "g int, k int, good double, bad double, y double")
     m = {r["method"]: r for r in R.entity_metrics(df, ["g"], ["good", "bad"], "y", ["k"]).collect()}
