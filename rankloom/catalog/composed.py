@@ -70,7 +70,7 @@ def observability_job(spark, sf):
 
 
 def _on_policy(spark, sf):
-    pos = Jb._scored_positions(_scores(spark, sf).where("structure_role = 'paired'"), _positions(spark, sf), "base").where("teacher_id = 'sa'").withColumn("student_top1_margin", V.top_margin("logp"))
+    pos = Jb._scored_positions(_scores(spark, sf).where("structure_role = 'paired'"), _positions(spark, sf), "base").where("teacher_id = 'sa'").withColumn("student_top1_gap", V.top_gap("logp"))
     st = scorers(spark, sf).select(F.col("vec_id").alias("state_id"), F.col("label").alias("domain_id"), F.when(F.col("vec_id") % 2 == 0, "on_policy").otherwise("model_aware").alias("state_kind"),
                                    F.lit(0.05).alias("level"), V.entropy("base").alias("student_entropy"))
     return Jb.job_on_policy(pos, st, treat_kind="on_policy", control_kind="model_aware", match=["student_entropy"], edited=F.lit(True), **FAST)
@@ -180,7 +180,7 @@ SELECT 'main' AS analysis_role, teacher_id, 'paired' AS structure_role, state_ki
     "scorer_agreement_job": f"""WITH {S.LONG_SCORERS}, x AS (SELECT l.scorer AS left_teacher_id, p.scorer AS right_teacher_id, l.label, {_jsd('l.logp', 'p.logp')} AS jsd, {_spear('l.logp', 'p.logp')} AS rank_agreement FROM long l JOIN long p ON l.vec_id = p.vec_id AND l.scorer < p.scorer),
 u AS (UNPIVOT x ON jsd, rank_agreement INTO NAME metric VALUE v), m AS (SELECT left_teacher_id || right_teacher_id || metric AS g, left_teacher_id, right_teacher_id, metric, label, avg(v) AS value, count(*) AS k FROM u GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 50, 1)}
 SELECT left_teacher_id, right_teacher_id, metric, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters, {r('any_value(ci_low)', 'ci_low')}, {r('any_value(ci_high)', 'ci_high')} FROM m JOIN ci USING (g) GROUP BY ALL""",
-    "external_job": f"""WITH {_EXT}, gt AS (SELECT * FROM (VALUES ('minimum_evaluable_domains', 'spearman', 'n_clusters', '>=', 10.0::double), ('spearman_margin_ci_lower_positive', 'spearman', 'ci_low', '>', 0.0), ('positive_spearman_domain_fraction', 'spearman', 'positive_fraction', '>=', 0.5), ('ndcg10_margin_point_positive', 'top_ndcg', 'estimate', '>', 0.0)) v(gate, metric, field, op, threshold)),
+    "external_job": f"""WITH {_EXT}, gt AS (SELECT * FROM (VALUES ('minimum_evaluable_domains', 'spearman', 'n_clusters', '>=', 10.0::double), ('spearman_gap_ci_lower_positive', 'spearman', 'ci_low', '>', 0.0), ('positive_spearman_domain_fraction', 'spearman', 'positive_fraction', '>=', 0.5), ('ndcg10_gap_point_positive', 'top_ndcg', 'estimate', '>', 0.0)) v(gate, metric, field, op, threshold)),
 gv AS (SELECT gt.*, CASE field WHEN 'n_clusters' THEN n_clusters WHEN 'ci_low' THEN ci_low WHEN 'positive_fraction' THEN positive_fraction ELSE estimate END AS value FROM gt JOIN pt USING (metric) JOIN ci USING (metric))
 SELECT gate, 'd_over_q' AS contrast, metric, field, op, {r('threshold', 'threshold')}, {r('value', 'value')}, CASE op WHEN '>' THEN value > threshold ELSE value >= threshold END AS passed FROM gv""",
 }

@@ -168,8 +168,8 @@ def routing_diagnostic(spark, sf):
 
 
 def state_metrics(spark, sf):
-    s = scorers(spark, sf).withColumns({"gain": F.element_at("sa", F.col("native")) - F.element_at("base", F.col("native")), "margin": V.top_margin("base")})
-    return rounded(A.state_metrics(s, ["label"], V.argmax("base") != F.col("native"), "gain", "margin", 0.1))
+    s = scorers(spark, sf).withColumns({"gain": F.element_at("sa", F.col("native")) - F.element_at("base", F.col("native")), "gap": V.top_gap("base")})
+    return rounded(A.state_metrics(s, ["label"], V.argmax("base") != F.col("native"), "gain", "gap", 0.1))
 
 
 def cost_audit(spark, sf):
@@ -195,9 +195,9 @@ def condition_validity(spark, sf):
     return rounded(A.condition_validity(long, ["condition"], "label", "rho", 0.1, 0.25, 0.8, -0.5))
 
 
-def control_margins(spark, sf):
+def control_gaps(spark, sf):
     m = settle(_metrics(spark, sf)).select("l_suppkey", F.when(F.col("method") == "q", "observed").otherwise(F.col("method")).alias("control"), "full_ndcg", (F.length("method") % 2).alias("rep"), F.lit("all").alias("model"))
-    return rounded(A.control_margins(m, ["model"], "l_suppkey", "control", "observed", "full_ndcg", "rep"))
+    return rounded(A.control_gaps(m, ["model"], "l_suppkey", "control", "observed", "full_ndcg", "rep"))
 
 
 def geometry_summary(spark, sf):
@@ -339,7 +339,7 @@ QUERIES = {f.__name__: f for f in (
     contract_violations, repeated_keys, sequence_rows, key_coverage, request_coverage, coverage_audit, resume_requests, decoy_rules, request_roles,
     table_differences, table_digest, paired_lift, role_deltas, star_assembly, split_overlap, opened_registry, request_fanout, variant_actions,
     lookup_actions, conservation_attach, remapped_effects, routing_diagnostic, state_metrics, cost_audit, variant_coverage, collapse_measurements,
-    condition_validity, control_margins, geometry_summary, role_availability, figure_source, shapley, distillability_map, valid_radius,
+    condition_validity, control_gaps, geometry_summary, role_availability, figure_source, shapley, distillability_map, valid_radius,
     identity_checks, action_gates, gate_outcome, branch_outcome, probe_status, environment_overview, completion_record, criterion_export, assay_scan,
     packed_scores, scope_filter, state_keys,
 )}
@@ -427,8 +427,8 @@ FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL""",
 e AS (SELECT condition, label, avg({_jsd('p', 'q')}) AS j, avg(abs({_ENT.format(v='q')} - {_ENT.format(v='p')})) AS h, avg({S.cosine(S.centre(S.avg_rank('p')), S.centre(S.avg_rank('q')))}) AS rho FROM x GROUP BY ALL),
 t AS (SELECT condition, quantile_cont(j, 0.5) AS mj, quantile_cont(h, 0.5) AS mh, avg((j <= 0.1::double AND h <= 0.25::double)::int) AS f, quantile_cont(rho, 0.5) AS mr, count(DISTINCT label) AS n_entities FROM e GROUP BY ALL)
 SELECT condition, {r('mj', 'median_jsd')}, {r('mh', 'median_entropy_shift')}, {r('f', 'passing_fraction')}, {r('mr', 'median_reliability')}, n_entities, mj <= 0.1 AND mh <= 0.25 AND f >= 0.8 AND mr >= -0.5 AS valid FROM t""",
-    "control_margins": f"""WITH {_METHOD_SQL}, b AS (SELECT method FROM em WHERE method <> 'q' GROUP BY method ORDER BY avg(full_ndcg) DESC, method LIMIT 1)
-SELECT 'all' AS model, a.l_suppkey, c.method AS strongest_control, {r('a.full_ndcg', 'observed_value')}, {r('c.full_ndcg', 'control_value')}, {r('a.full_ndcg - c.full_ndcg', 'margin')} FROM em a JOIN em c ON a.l_suppkey = c.l_suppkey AND c.method = (SELECT method FROM b) WHERE a.method = 'q'""",
+    "control_gaps": f"""WITH {_METHOD_SQL}, b AS (SELECT method FROM em WHERE method <> 'q' GROUP BY method ORDER BY avg(full_ndcg) DESC, method LIMIT 1)
+SELECT 'all' AS model, a.l_suppkey, c.method AS strongest_control, {r('a.full_ndcg', 'observed_value')}, {r('c.full_ndcg', 'control_value')}, {r('a.full_ndcg - c.full_ndcg', 'gap')} FROM em a JOIN em c ON a.l_suppkey = c.l_suppkey AND c.method = (SELECT method FROM b) WHERE a.method = 'q'""",
     "geometry_summary": f"""WITH x AS (SELECT l_returnflag || '|' || metric AS g, l_returnflag, metric, l_suppkey, v FROM (SELECT l_returnflag, l_suppkey, 'l_quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT l_returnflag, l_suppkey, 'l_tax', l_tax FROM lineitem)),
 m AS (SELECT g, l_returnflag, metric, l_suppkey, avg(v) AS value, count(*) AS k FROM x GROUP BY ALL), {S.bootstrap('m', 'g', 'l_suppkey', 50, 6)}, pq AS (SELECT g, quantile_cont(v, 0.5) AS p5, quantile_cont(v, 0.9) AS p9 FROM x GROUP BY g)
 SELECT l_returnflag, metric, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters, {r('any_value(ci_low)', 'ci_low')}, {r('any_value(ci_high)', 'ci_high')}, {r('any_value(p5)', 'pooled_p50')}, {r('any_value(p9)', 'pooled_p90')} FROM m JOIN ci USING (g) JOIN pq USING (g) GROUP BY ALL""",

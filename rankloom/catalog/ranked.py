@@ -76,9 +76,9 @@ def metric_increments(spark, sf):
 def contrast_summary(spark, sf):
     reg = M.registry(spark, [("d_over_base", "q+d", "q"), ("t_over_base", "q+t", "q"), ("both_over_d", "q+d+t", "q+d")],
                      ["contrast", "method", "comparator"])
-    margins = J.contrast_margins(_metrics(spark, sf), reg, ENTITY, ["spearman", "full_ndcg"]).withColumn(
+    gaps = J.contrast_gaps(_metrics(spark, sf), reg, ENTITY, ["spearman", "full_ndcg"]).withColumn(
         "stratum", F.concat(F.lit("s"), F.col("l_suppkey") % 3))
-    scoped = I.with_scopes(margins, "stratum")
+    scoped = I.with_scopes(gaps, "stratum")
     return rounded(I.summarize(scoped, ["contrast", "scope"], ["spearman", "full_ndcg"], "l_suppkey",
                                method="stratified", st="stratum", replicates=200, seed=11))
 

@@ -68,7 +68,7 @@ def score_canonical(spark, sf):
     out = V.canonical_scores(raw, 30.0, 2.0)
     return s.select("vec_id", r6(F.element_at(out, F.col("native")), "native_logp"), r6(F.exp(V.logsumexp(out)), "mass"),
                     r6(F.element_at(V.temper("sa", 0.5), F.col("native")), "sharp_logp"),
-                    r6(V.argmax("sa"), "best"), r6(V.top_margin("sa"), "margin"),
+                    r6(V.argmax("sa"), "best"), r6(V.top_gap("sa"), "gap"),
                     r6(V.entry_rank("sa", "native"), "native_rank"))
 
 
@@ -232,7 +232,7 @@ SELECT vec_id, {r(_norm('z'), 'ilr_norm')}, {r('z[5]', 'ilr_5')}, 1.0::double AS
     "score_canonical": f"""
 WITH {S.SCORERS}, t AS (SELECT *, {S.lognorm('list_transform(sa, lambda x: least(greatest(x * 10, -30), 30) / 2)')} AS c, {S.lognorm('list_transform(sa, lambda x: x / 0.5::double)')} AS h FROM s)
 SELECT vec_id, {r('c[native]', 'native_logp')}, 1.0::double AS mass, {r('h[native]', 'sharp_logp')},
- {r('list_position(sa, list_max(sa))', 'best')}, {r('list_reverse_sort(sa)[1] - list_reverse_sort(sa)[2]', 'margin')},
+ {r('list_position(sa, list_max(sa))', 'best')}, {r('list_reverse_sort(sa)[1] - list_reverse_sort(sa)[2]', 'gap')},
  {r('1 + len(list_filter(sa, lambda x: x > sa[native]))', 'native_rank')} FROM t""",
     "native_metrics_by_entity": f"""
 WITH {S.LONG_SCORERS}

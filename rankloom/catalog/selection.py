@@ -321,7 +321,7 @@ x AS (SELECT a.label, a.rep, a.vec_id, b.sa FROM o a JOIN o b ON a.label = b.lab
 w AS (SELECT x.label, rep, sa[mut] - sa[native] AS p, seen FROM x JOIN v USING (label, vec_id)),
 k AS (SELECT label, rep, rank() OVER (PARTITION BY label, rep ORDER BY p) + (count(*) OVER (PARTITION BY label, rep, p) - 1) / 2 AS rx, rank() OVER (PARTITION BY label, rep ORDER BY seen) + (count(*) OVER (PARTITION BY label, rep, seen) - 1) / 2 AS ry FROM w),
 c AS (SELECT label, rep, {S.corr('rx', 'ry')} AS rho FROM k GROUP BY ALL)
-SELECT label, {r('max(rho) FILTER (rep = 0)', 'actual')}, {r('avg(rho) FILTER (rep > 0)', 'shuffled')}, count(rho) FILTER (rep > 0) AS n_repeats, {r('max(rho) FILTER (rep = 0) - avg(rho) FILTER (rep > 0)', 'margin')} FROM c GROUP BY label""",
+SELECT label, {r('max(rho) FILTER (rep = 0)', 'actual')}, {r('avg(rho) FILTER (rep > 0)', 'shuffled')}, count(rho) FILTER (rep > 0) AS n_repeats, {r('max(rho) FILTER (rep = 0) - avg(rho) FILTER (rep > 0)', 'gap')} FROM c GROUP BY label""",
     "rolling_composition": f"""SELECT user_id, event_id, {r("avg((event_type = 'click')::int) OVER w", 'is_click_mean')}, {r("avg((event_type = 'error')::int) OVER w", 'is_error_mean')} FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
     "context_features": f"""WITH t AS (SELECT conv_id * 100 + turn AS id, text, length(text) AS n, unnest(range(0, length(text))) AS p FROM conversations),

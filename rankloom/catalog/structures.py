@@ -386,7 +386,7 @@ l AS (SELECT id, k AS lk FROM o WHERE rn = cnt) SELECT o.id, position FROM o JOI
 w AS (SELECT *, list_transform(range(1, 21), lambda i: CASE WHEN i = native THEN 0.0::double ELSE exp(sa[i]) END) AS v FROM a),
 c AS (SELECT *, len(list_filter(range(1, 21), lambda i: list_sum(v[1:i]) < u * list_sum(v))) + 1 AS k FROM w)
 SELECT label, vec_id, substr('{K.SYMBOLS}', native, 1) AS nat, substr('{K.SYMBOLS}', (CASE WHEN p <= {_CNT.format(n='n', f='0.3')} THEN k ELSE native END)::bigint, 1) AS current FROM c""",
-    "state_scores": f"""WITH {S.LONG_SCORERS} SELECT scorer, label, {r('avg(-list_sum(list_transform(logp, lambda x: exp(x) * x)))', 'student_entropy')}, {r('avg(exp(list_reverse_sort(logp)[1]) - exp(list_reverse_sort(logp)[2]))', 'student_top1_margin')} FROM long GROUP BY ALL""",
+    "state_scores": f"""WITH {S.LONG_SCORERS} SELECT scorer, label, {r('avg(-list_sum(list_transform(logp, lambda x: exp(x) * x)))', 'student_entropy')}, {r('avg(exp(list_reverse_sort(logp)[1]) - exp(list_reverse_sort(logp)[2]))', 'student_top1_gap')} FROM long GROUP BY ALL""",
     "mutation_parse": f"""WITH {_T}, p AS (SELECT id, i - 1 AS p, upper(substr(seq, i, 1)) AS w, CASE WHEN (i - 1) % 2 = 0 THEN 'A' ELSE 'G' END AS m FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM tt)),
 g AS (SELECT * FROM p WHERE w ~ '^[A-Z]$' AND w <> m)
 SELECT id, CASE WHEN w IN ('G', 'P') OR m IN ('G', 'P') THEN 'involves_glycine_or_proline' WHEN w IN ('A','V','I','L','M','F','W','Y') AND m = 'A' THEN 'within_hydrophobic' WHEN w IN ('A','V','I','L','M','F','W','Y') THEN 'hydrophobic_to_nonhydrophobic' ELSE 'nonhydrophobic_to_hydrophobic' END AS substitution_class,

@@ -234,7 +234,7 @@ def argmax(vec: Column | str) -> Column:
     return let(vec, lambda v: F.array_position(v, F.array_max(v)).cast("int"))
 
 
-def top_margin(vec: Column | str) -> Column:
+def top_gap(vec: Column | str) -> Column:
     return let(F.sort_array(_col(vec), asc=False), lambda s: F.element_at(s, 1) - F.element_at(s, 2))
 
 

@@ -239,11 +239,11 @@ def matched_effects(
     )
 
 
-def state_metrics(pos: DataFrame, keys: Sequence[str], edited: Column, value: str, margin: str, confident: float = 0.50) -> DataFrame:
+def state_metrics(pos: DataFrame, keys: Sequence[str], edited: Column, value: str, gap: str, confident: float = 0.50) -> DataFrame:
     """Per state: mean value at edited positions, share of confident errors, count."""
     return pos.where(edited).groupBy(*keys).agg(
         F.avg(value).alias("mean_value"),
-        F.avg((F.col(margin) >= confident).cast("double")).alias("confident_error_fraction"),
+        F.avg((F.col(gap) >= confident).cast("double")).alias("confident_error_fraction"),
         F.count(F.lit(1)).alias("n_edited"),
     )
 
@@ -350,13 +350,13 @@ def valid_radius(table: DataFrame, by: Sequence[str], level: str = "level", min_
     )
 
 
-def control_margins(df: DataFrame, by: Sequence[str], entity: str, control: str, observed: str, value: str, repeat: str) -> DataFrame:
+def control_gaps(df: DataFrame, by: Sequence[str], entity: str, control: str, observed: str, value: str, repeat: str) -> DataFrame:
     """Observed value minus the one control (and repeat) with the highest mean over entities."""
     obs = df.where(F.col(control) == observed).select(*by, entity, F.col(value).alias("observed_value"))
     means = df.where(F.col(control) != observed).groupBy(*by, control, repeat).agg(F.avg(value).alias("_m"))
     best = first_per(means, by, [(-F.col("_m")).alias("neg"), control, repeat]).drop("_m")
     ctrl = df.join(best, [*by, control, repeat]).select(*by, entity, F.col(control).alias("strongest_control"), F.col(value).alias("control_value"))
-    return obs.join(ctrl, [*by, entity]).withColumn("margin", F.col("observed_value") - F.col("control_value"))
+    return obs.join(ctrl, [*by, entity]).withColumn("gap", F.col("observed_value") - F.col("control_value"))
 
 
 def geometry_summary(df: DataFrame, by: Sequence[str], entity: str, metrics: Sequence[str], **kw) -> DataFrame:

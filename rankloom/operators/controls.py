@@ -44,7 +44,7 @@ def position_shuffle_control(
     """Actual rank correlation per entity against vectors permuted within the entity.
 
     A permuted vector is anchored again at the wild type of its new position.
-    Gives actual, mean over repeats and the margin.
+    Gives actual, mean over repeats and the gap.
     """
     def scored(v: DataFrame, keys: list[str]) -> DataFrame:
         rows = variants.join(v, [entity, position])
@@ -58,4 +58,4 @@ def position_shuffle_control(
     shuffled = scored(mixed, [entity, "repeat"]).groupBy(entity).agg(
         F.avg("spearman").alias("shuffled"), F.count("spearman").alias("n_repeats")
     )
-    return actual.join(shuffled, entity).withColumn("margin", F.col("actual") - F.col("shuffled"))
+    return actual.join(shuffled, entity).withColumn("gap", F.col("actual") - F.col("shuffled"))

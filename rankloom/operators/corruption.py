@@ -232,11 +232,11 @@ def describe_states(states: DataFrame, core: Column | None = None, mask: str = M
 
 
 def describe_scores(positions: DataFrame, by: Sequence[str], logp: str) -> DataFrame:
-    """Mean entropy and mean top-two probability margin of a state's positions."""
+    """Mean entropy and mean top-two probability gap of a state's positions."""
     from rankloom.functions import vectors as V
 
-    margin = V.top_margin(F.transform(logp, lambda x: F.exp(x)))
-    return positions.groupBy(*by).agg(F.avg(V.entropy(logp)).alias("student_entropy"), F.avg(margin).alias("student_top1_margin"))
+    gap = V.top_gap(F.transform(logp, lambda x: F.exp(x)))
+    return positions.groupBy(*by).agg(F.avg(V.entropy(logp)).alias("student_entropy"), F.avg(gap).alias("student_top1_gap"))
 
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]

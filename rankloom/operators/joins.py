@@ -60,7 +60,7 @@ def pairwise(df: DataFrame, id: str, keys: Sequence[str], cols: Sequence[str]) -
     return l.join(r, list(keys)).where(F.col("left_" + id) < F.col("right_" + id))
 
 
-def contrast_margins(metrics: DataFrame, registry: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def contrast_gaps(metrics: DataFrame, registry: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Metric of the method minus that of its comparator, per registered contrast."""
     m = metrics.select(*keys, "method", *[F.col(c).alias("_m_" + c) for c in cols])
     c = metrics.select(*keys, F.col("method").alias("comparator"), *[F.col(x).alias("_c_" + x) for x in cols])

@@ -117,10 +117,10 @@ def job_observability(
 
 def job_on_policy(
     positions: DataFrame, states: DataFrame, *, treat_kind: str, control_kind: str, match: Sequence[str], edited: Column, value: str = "advantage",
-    margin: str = "student_top1_margin", cluster: str = "domain_id", caliper: float = 1.0, **kw,
+    gap: str = "student_top1_gap", cluster: str = "domain_id", caliper: float = 1.0, **kw,
 ) -> Tables:
     """State roll-up, caliper matching, balance before and after, matched effects."""
-    per = A.state_metrics(positions, ["state_id"], edited, value, margin)
+    per = A.state_metrics(positions, ["state_id"], edited, value, gap)
     full = settle(states.join(per, "state_id"))
     left, right = full.where(F.col("state_kind") == treat_kind), full.where(F.col("state_kind") == control_kind)
     pairs = settle(X.caliper_match(left, right, "state_id", [cluster, "level"], match, caliper))
@@ -253,14 +253,14 @@ def job_action_validation(
                "plus_gcu": {base_action: 1.0, "g": scale, "c": scale, "u": scale}}
     metrics = settle(R.entity_metrics(M.method_predictions(rows, methods, [entity, *key, "observed"]), [entity], list(methods), "observed", key))
     reg = M.registry(train.sparkSession, [("u_over_gc", "plus_gcu", "plus_gc"), ("gc_over_base", "plus_gc", "base")], ["contrast", "method", "comparator"])
-    margins = J.contrast_margins(metrics, reg, [entity], ["spearman", "top_ndcg"]).join(variants.select(entity, stratum).distinct(), entity)
-    summary = settle(I.summarize(I.with_scopes(margins, stratum), ["contrast", "scope"], ["spearman", "top_ndcg"], entity, method="stratified", st=stratum, **kw))
+    gaps = J.contrast_gaps(metrics, reg, [entity], ["spearman", "top_ndcg"]).join(variants.select(entity, stratum).distinct(), entity)
+    summary = settle(I.summarize(I.with_scopes(gaps, stratum), ["contrast", "scope"], ["spearman", "top_ndcg"], entity, method="stratified", st=stratum, **kw))
     gates = D.gate_registry(train.sparkSession, ["contrast", "scope", "metric"], [
-        ("rank_margin_ci_positive", "u_over_gc", "all", "spearman", "ci_low", ">", 0.0), ("gain_margin_ci_positive", "u_over_gc", "all", "top_ndcg", "ci_low", ">", 0.0)])
+        ("rank_gap_ci_positive", "u_over_gc", "all", "spearman", "ci_low", ">", 0.0), ("gain_gap_ci_positive", "u_over_gc", "all", "top_ndcg", "ci_low", ">", 0.0)])
     passed = settle(D.gate_table(summary, gates, ["contrast", "scope", "metric"], ["estimate", "ci_low"]))
     return {
         "selection": grid, "checks": checks, "metrics": metrics, "summary": summary, "gates": passed,
-        "decision": D.gate_decision(passed, *ACTION_STATES, ["rank_margin_ci_positive", "gain_margin_ci_positive"]),
+        "decision": D.gate_decision(passed, *ACTION_STATES, ["rank_gap_ci_positive", "gain_gap_ci_positive"]),
     }
 
 
@@ -278,13 +278,13 @@ def job_stability(
     table = settle(M.method_predictions(rows, methods, [entity, *key, "observed", stratum, position]))
     metrics = settle(R.entity_metrics(table, [entity], list(methods), "observed", key))
     full = "+".join(("sequence_action", *scorers))
-    margins = R.metric_increments(metrics, [entity], "sequence_action").join(variants.select(entity, stratum).distinct(), entity)
+    gaps = R.metric_increments(metrics, [entity], "sequence_action").join(variants.select(entity, stratum).distinct(), entity)
     masks = {m: sum(1 << scorers.index(s) for s in m.split("+")[1:]) for m in methods}
     mask = F.create_map(*[v for m, b in masks.items() for v in (F.lit(m), F.lit(b))])
     means = metrics.groupBy("method").agg(F.avg("spearman").alias("value")).select(F.element_at(mask, F.col("method")).alias("mask"), "value")
     return {
         "schemes": schemes, "metrics": metrics,
-        "summary": I.summarize(I.with_scopes(margins, stratum), ["method", "scope"], list(R.METRICS), entity, method="stratified", st=stratum, **kw),
+        "summary": I.summarize(I.with_scopes(gaps, stratum), ["method", "scope"], list(R.METRICS), entity, method="stratified", st=stratum, **kw),
         "group_intervals": I.group_bootstrap_diff(table, [entity], position, full, "sequence_action", "observed", group_replicates),
         "shapley": A.shapley(means, list(scorers)),
     }
@@ -299,13 +299,13 @@ def job_external(
     rows = J.join_checked(M.method_predictions(predictions, methods, [entity, *key]), effects.withColumnRenamed("effect", "observed"), [entity, *key], "inner", "1:1")
     metrics = settle(R.entity_metrics(rows, [entity], list(methods), "observed", key))
     reg = M.registry(predictions.sparkSession, contrasts, ["contrast", "method", "comparator"])
-    margins = settle(J.contrast_margins(metrics, reg, [entity], ["spearman", "top_ndcg"]).withColumn("st", F.lit("all")))
-    summary = settle(I.summarize(margins, ["contrast"], ["spearman", "top_ndcg"], entity, method="stratified", st="st", **kw))
+    gaps = settle(J.contrast_gaps(metrics, reg, [entity], ["spearman", "top_ndcg"]).withColumn("st", F.lit("all")))
+    summary = settle(I.summarize(gaps, ["contrast"], ["spearman", "top_ndcg"], entity, method="stratified", st="st", **kw))
     gates = D.gate_registry(predictions.sparkSession, ["contrast", "metric"], [
-        ("minimum_evaluable_domains", primary, "spearman", "n_clusters", ">=", float(min_entities)), ("spearman_margin_ci_lower_positive", primary, "spearman", "ci_low", ">", 0.0),
-        ("positive_spearman_domain_fraction", primary, "spearman", "positive_fraction", ">=", 0.5), ("ndcg10_margin_point_positive", primary, "top_ndcg", "estimate", ">", 0.0)])
+        ("minimum_evaluable_domains", primary, "spearman", "n_clusters", ">=", float(min_entities)), ("spearman_gap_ci_lower_positive", primary, "spearman", "ci_low", ">", 0.0),
+        ("positive_spearman_domain_fraction", primary, "spearman", "positive_fraction", ">=", 0.5), ("ndcg10_gap_point_positive", primary, "top_ndcg", "estimate", ">", 0.0)])
     passed = settle(D.gate_table(summary, gates, ["contrast", "metric"], ["estimate", "ci_low", "positive_fraction", "n_clusters"]))
-    return {"metrics": metrics, "margins": margins, "summary": summary, "gates": passed,
+    return {"metrics": metrics, "gaps": gaps, "summary": summary, "gates": passed,
             "decision": D.gate_decision(passed, EXTERNAL_STATES[0], EXTERNAL_STATES[1], EXTERNAL_STATES[1])}
 
 

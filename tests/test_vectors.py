@@ -53,8 +53,8 @@ def test_cosine_null_on_zero(spark):
 
 
 def test_topk_overlap_case(spark):
-    df = spark.createDataFrame([(0, [5.0, 4.0, 3.0, 2.0], [5.0, 1.0, 3.0, 4.0])], "id int, l array<double>, r array<double>")
-    assert value(df, V.topk_overlap("l", "r", 2)) == [0.5]
+    df = spark.createDataFrame([(0, [0.5, 9.0, 7.5, -1.0, 8.0], [6.0, 2.5, 7.0, 6.5, 1.0])], "id int, l array<double>, r array<double>")
+    assert value(df, V.topk_overlap("l", "r", 3)) == [pytest.approx(1 / 3)]
 
 
 def test_centre_and_ilr_inverse(rows):
@@ -75,9 +75,9 @@ def test_rank_normal_sums_to_zero(rows):
 
 
 def test_temperature_consensus(spark):
-    df = spark.createDataFrame([(0, "a", [0.0, 2.0], 1.0), (0, "b", [0.0, 4.0], 2.0), (0, "c", [0.0, 8.0], 4.0)], "id int, s string, v array<double>, t double")
+    df = spark.createDataFrame([(0, "a", [1.5, -3.0], 0.5), (0, "b", [9.0, -18.0], 3.0), (0, "c", [4.5, -9.0], 1.5)], "id int, s string, v array<double>, t double")
     out = A.consensus(df, ["id"], "v", "temperature", "t", n=2).first()
-    assert out["v"] == [0.0, 2.0]
+    assert out["v"] == [3.0, -6.0]
 
 
 def test_native_metrics_case(spark):
