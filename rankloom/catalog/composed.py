@@ -10,15 +10,17 @@ from rankloom.catalog.ranked import _strat, entity_metrics_ctes
 from rankloom.catalog.scoring import _jsd, _spear
 from rankloom.catalog.data import long_scorers, r6, rounded, scorers, table
 from rankloom.catalog.fitted import P, Q, _rows
+from rankloom.catalog.selection import _similar
 from rankloom.functions import vectors as V
 from rankloom.operators import aggregates as A
 from rankloom.operators import contracts as K
 from rankloom.operators import inference as I
+from rankloom.operators.similarity import similarity_join
 from rankloom.plans import jobs as Jb
 from rankloom.session import settle
 
 # Replicate counts of the job queries.
-FAST = dict(replicates=50, seed=1)
+FAST = dict(replicates=500, seed=1)
 
 
 def _positions(spark, sf):
@@ -32,21 +34,23 @@ def _positions(spark, sf):
 def _scores(spark, sf):
     paired = long_scorers(spark, sf).select(F.col("vec_id").alias("state_id"), (F.col("vec_id") % 50).alias("position"), F.col("scorer").alias("teacher_id"), F.lit("paired").alias("structure_role"), "logp")
     decoy = paired.where("teacher_id <> 'base'").withColumn("structure_role", F.lit("matched")).withColumn("logp", V.temper("logp", 2.0))
-    return paired.unionByName(decoy)
+    # Another decoy role, which decides nothing.
+    other = paired.where("teacher_id <> 'base'").withColumn("structure_role", F.lit("global")).withColumn("logp", V.temper("logp", 8.0))
+    return paired.unionByName(decoy).unionByName(other)
 
 
 AX = ["burial", "secondary_structure"]
 
 
 def _value(spark, sf):
-    return Jb.job_teacher_value(_scores(spark, sf).where("teacher_id <> 'base' OR structure_role = 'paired'"), _positions(spark, sf), "base", decoys=["matched"], axes=AX, **FAST)
+    return Jb.job_teacher_value(_scores(spark, sf).where("teacher_id <> 'base' OR structure_role = 'paired'"), _positions(spark, sf), "base", decoys=["matched", "global"], axes=AX, **FAST)
 
 
 def registry_job(spark, sf):
     d = table(spark, sf, "documents").withColumn("class_h", F.concat("lang", "source")).withColumnRenamed("doc_id", "domain_id").select("domain_id", "text", "class_h", "n_chars")
     b = d.join(table(spark, sf, "labels").where("toxic = 1").withColumnRenamed("doc_id", "domain_id"), "domain_id", "left_semi").withColumnRenamed("domain_id", "benchmark_id")
-    hits = d.where(F.lit(False)).select("domain_id", F.lit(0).alias("benchmark_id"), F.lit(0.0).alias("sequence_identity"), F.lit(0.0).alias("query_coverage"), F.lit(0.0).alias("target_coverage"))
-    out = Jb.job_registry(d, b, hits, [("short", F.col("n_chars") >= 300)], exact=[("exact_sequence", ["text"])], classes=[("same_class", "class_h")])
+    hits = similarity_join(b, d, qid="benchmark_id", tid="domain_id", qseq="text", tseq="text", k=8, min_fraction=0.5)
+    out = Jb.job_registry(d, b, hits.select("domain_id", "benchmark_id", "sequence_identity", "query_coverage", "target_coverage"), [("short", F.col("n_chars") >= 300)], exact=[("exact_sequence", ["text"])], classes=[("same_class", "class_h")])
     return out["summary"]
 
 
@@ -86,7 +90,7 @@ def foundation_job(spark, sf):
     rel = long.groupBy(*A.MAP_KEYS).agg(F.avg("level").alias("scaffold_reliability"))
     pooled = settle(I.cluster_bootstrap(val["position_metrics"].where("structure_role = 'paired'"), ["teacher_id"], "native_logp", "domain_id", **FAST))
     cover = pooled.select("teacher_id", F.lit("complete").alias("status"))
-    out = Jb.job_foundation(val, obs, pol, rel, cover, pooled, primary="sa", baseline="base", **FAST)
+    out = Jb.job_foundation(val, obs, pol, rel, cover, pooled, primary="sa", baseline="base", matched="matched", **FAST)
     return out["decision"]
 
 
@@ -129,9 +133,9 @@ def action_validation_job(spark, sf):
 
 def stability_job(spark, sf):
     s = scorers(spark, sf).withColumns({c + "_a": V.anchor(c, "native") for c in ("base", "sa", "sb")})
-    out = Jb.job_stability(s.where("vec_id % 2 = 0"), s.select("vec_id", "base_a", "sa_a", "sb_a"), _variants(spark, sf).withColumn("pos", F.col("vec_id") % 10), base="base", base_action="base_a",
-                           scorers=["sa_a", "sb_a"], native="native", key=["vec_id"], entity="label", stratum="stratum", position="pos", on=["vec_id"], group_replicates=5,
-                           search=dict(points=3, rounds=1, sweeps=1), **FAST)
+    parts = F.element_at(F.array(*[F.lit(p) for p in ("train", "validation", "locked_test")]), (F.col("vec_id") % 3 + 1).cast("int"))
+    out = Jb.job_stability(s.withColumn("split", parts), s.select("vec_id", "base_a", "sa_a", "sb_a"), _variants(spark, sf).withColumn("pos", F.col("vec_id") % 10), base="base", base_action="base_a",
+                           scorers=["sa_a", "sb_a"], native="native", key=["vec_id"], entity="label", stratum="stratum", position="pos", on=["vec_id"], group_replicates=500, **FAST)
     return rounded(out["summary"])
 
 
@@ -165,20 +169,21 @@ ml AS (SELECT l_suppkey, l_partkey, 0 AS l_orderkey, 0 AS l_linenumber, 0 AS l_s
 {entity_metrics_ctes('ml', 'l_suppkey')},
 mg AS (SELECT a.l_suppkey, 'all' AS st, a.spearman - b.spearman AS sp, a.top_ndcg - b.top_ndcg AS tn FROM em a JOIN em b ON a.l_suppkey = b.l_suppkey AND a.method = 'qd' AND b.method = 'q'),
 lm AS (SELECT metric, l_suppkey, st, value FROM (SELECT 'spearman' AS metric, l_suppkey, st, sp AS value FROM mg UNION ALL SELECT 'top_ndcg', l_suppkey, st, tn FROM mg) WHERE value IS NOT NULL),
-{_strat('lm', 'metric', 'l_suppkey', 'st', 50, 1)}"""
+{_strat('lm', 'metric', 'l_suppkey', 'st', 500, 1)}"""
 _ENVROWS = """ps AS (SELECT vec_id, label, vec_id % 3 * 0.05::double + 0.05::double AS level, CASE WHEN vec_id % 2 = 0 THEN 'on_policy' ELSE 'model_aware' END AS state_kind, ['buried', 'intermediate', 'exposed'][vec_id % 3 + 1] AS burial, ['helix', 'strand', 'turn_or_coil', 'helix'][vec_id % 4 + 1] AS ss FROM embeddings)"""
 
 SQL = {
     "registry_job": """WITH t AS (SELECT doc_id, text, lang || source AS h, n_chars FROM documents), k AS (SELECT * FROM t WHERE n_chars >= 300), b AS (SELECT t.* FROM t JOIN labels USING (doc_id) WHERE toxic = 1),
-rl AS (SELECT DISTINCT k.doc_id, b.doc_id::varchar AS b, 'exact_sequence' AS reason FROM k JOIN b ON k.text = b.text WHERE trim(k.text) <> '' UNION ALL SELECT doc_id, '*', 'same_class' FROM k WHERE h IN (SELECT h FROM b))
+bq AS (SELECT doc_id AS id, text FROM b), dt AS (SELECT doc_id AS id, text FROM documents),""" + _similar("bq", "dt", 8, 0.5) + """,
+rl AS (SELECT doc_id, 'exact' AS b, 'exact_sequence' AS reason FROM k WHERE text IN (SELECT text FROM b) AND trim(text) <> '' UNION ALL SELECT t, q::varchar, 'sequence_identity' FROM hit WHERE sequence_identity >= 0.3 AND t IN (SELECT doc_id FROM k) UNION ALL SELECT doc_id, '*', 'same_class' FROM k WHERE h IN (SELECT h FROM b))
 SELECT 'total' AS measure, count(*) AS n FROM k UNION ALL SELECT 'excluded', count(DISTINCT doc_id) FROM rl UNION ALL SELECT 'eligible', (SELECT count(*) FROM k) - (SELECT count(DISTINCT doc_id) FROM rl) UNION ALL SELECT 'relations_' || reason, count(*) FROM rl GROUP BY reason""",
     "teacher_value_job": f"""WITH {S.LONG_SCORERS}, {_ENVROWS}, a AS (SELECT l.scorer AS teacher_id, l.vec_id, l.label, l.logp[l.native] - b.logp[b.native] AS adv FROM long l JOIN long b ON l.vec_id = b.vec_id AND b.scorer = 'base' WHERE l.scorer <> 'base'),
 x AS (SELECT a.*, level, state_kind, ax AS environment_axis, CASE ax WHEN 'burial' THEN burial ELSE ss END AS environment FROM a JOIN ps USING (vec_id), (VALUES ('burial'), ('secondary_structure')) v(ax)),
-m AS (SELECT teacher_id || '|' || state_kind || '|' || round(level, 2) || '|' || environment_axis || '|' || environment AS g, teacher_id, state_kind, round(level, 2) AS lv, environment_axis, environment, label, avg(adv) AS value, count(*) AS k FROM x GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 50, 1)}
+m AS (SELECT teacher_id || '|' || state_kind || '|' || round(level, 2) || '|' || environment_axis || '|' || environment AS g, teacher_id, state_kind, round(level, 2) AS lv, environment_axis, environment, label, avg(adv) AS value, count(*) AS k FROM x GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 500, 1)}
 SELECT 'main' AS analysis_role, teacher_id, 'paired' AS structure_role, state_kind, {r('lv', 'level')}, environment_axis, environment, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters,
  CASE WHEN count(*) > 1 THEN {r('any_value(ci_low)', 'x').rsplit(' AS ', 1)[0]} END AS ci_low, CASE WHEN count(*) > 1 THEN {r('any_value(ci_high)', 'x').rsplit(' AS ', 1)[0]} END AS ci_high FROM m JOIN ci USING (g) GROUP BY teacher_id, state_kind, lv, environment_axis, environment""",
     "scorer_agreement_job": f"""WITH {S.LONG_SCORERS}, x AS (SELECT l.scorer AS left_teacher_id, p.scorer AS right_teacher_id, l.label, {_jsd('l.logp', 'p.logp')} AS jsd, {_spear('l.logp', 'p.logp')} AS rank_agreement FROM long l JOIN long p ON l.vec_id = p.vec_id AND l.scorer < p.scorer),
-u AS (UNPIVOT x ON jsd, rank_agreement INTO NAME metric VALUE v), m AS (SELECT left_teacher_id || right_teacher_id || metric AS g, left_teacher_id, right_teacher_id, metric, label, avg(v) AS value, count(*) AS k FROM u GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 50, 1)}
+u AS (UNPIVOT x ON jsd, rank_agreement INTO NAME metric VALUE v), m AS (SELECT left_teacher_id || right_teacher_id || metric AS g, left_teacher_id, right_teacher_id, metric, label, avg(v) AS value, count(*) AS k FROM u GROUP BY ALL), {S.bootstrap('m', 'g', 'label', 500, 1)}
 SELECT left_teacher_id, right_teacher_id, metric, {r('avg(value)', 'estimate')}, sum(k)::bigint AS n_rows, count(*) AS n_clusters, {r('any_value(ci_low)', 'ci_low')}, {r('any_value(ci_high)', 'ci_high')} FROM m JOIN ci USING (g) GROUP BY ALL""",
     "external_job": f"""WITH {_EXT}, gt AS (SELECT * FROM (VALUES ('minimum_evaluable_domains', 'spearman', 'n_clusters', '>=', 10.0::double), ('spearman_gap_ci_lower_positive', 'spearman', 'ci_low', '>', 0.0), ('positive_spearman_domain_fraction', 'spearman', 'positive_fraction', '>=', 0.5), ('ndcg10_gap_point_positive', 'top_ndcg', 'estimate', '>', 0.0)) v(gate, metric, field, op, threshold)),
 gv AS (SELECT gt.*, CASE field WHEN 'n_clusters' THEN n_clusters WHEN 'ci_low' THEN ci_low WHEN 'positive_fraction' THEN positive_fraction ELSE estimate END AS value FROM gt JOIN pt USING (metric) JOIN ci USING (metric))

@@ -469,5 +469,5 @@ FROM ev LEFT JOIN s USING (environment_id) LEFT JOIN ci USING (environment_id)""
  max(l_returnflag) FILTER (l_linenumber = 1) AS sequence, max(l_linestatus) FILTER (l_linenumber = 1) AS cluster, count(DISTINCT l_linestatus) AS n_clusters FROM lineitem GROUP BY l_suppkey""",
     "packed_scores": f"WITH {S.SCORERS} SELECT vec_id, {r('list_sum(sa)', 'total')}, {r('sa[20]', 'last')} FROM s",
     "scope_filter": "SELECT 'F' AS scope, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders UNION ALL SELECT 'all', count(*) FROM orders UNION ALL SELECT 'absent', 0",
-    "state_keys": "SELECT o_orderkey, o_custkey || '__' || o_orderstatus || '__r' || lpad(round(o_orderkey % 40 / 40 * 1000, 0)::int::varchar, 3, '0') || '__s' || lpad((o_orderkey % 12)::varchar, 2, '0') AS state_id FROM orders",
+    "state_keys": "SELECT o_orderkey, o_custkey || ':' || o_orderstatus || ':c' || lpad(round(o_orderkey % 40 / 40 * 1000, 0)::int::varchar, 3, '0') || ':r' || lpad((o_orderkey % 12)::varchar, 3, '0') AS state_id FROM orders",
 }

@@ -228,7 +228,7 @@ _DOCS = "d AS (SELECT documents.*, quality, toxic FROM documents LEFT JOIN label
 _CASE = "CASE " + " ".join(f"WHEN NOT coalesce({e}, false) THEN '{n}'" for n, e in RULES)
 _BENCH = """t AS (SELECT doc_id, text, lang, source, lang || source AS class_h FROM documents),
 b AS (SELECT t.* FROM t JOIN labels USING (doc_id) WHERE toxic = 1),
-rel AS (SELECT DISTINCT t.doc_id, b.doc_id::varchar AS bench_id, 'exact_sequence' AS reason, 1.0::double AS sequence_identity, 1.0::double AS query_coverage FROM t JOIN b ON t.text = b.text
+rel AS (SELECT DISTINCT t.doc_id, b.doc_id::varchar AS bench_id, 'exact_sequence' AS reason, 1.0::double AS sequence_identity, 1.0::double AS query_coverage FROM t JOIN (SELECT text, min(doc_id) AS doc_id FROM b WHERE trim(text) <> '' GROUP BY text) b ON t.text = b.text
  UNION ALL SELECT doc_id, '*', 'same_class', NULL, NULL FROM t WHERE class_h IN (SELECT class_h FROM b)),
 el AS (SELECT t.doc_id, rel.doc_id IS NULL AS eligible_for_training, coalesce(rs, '') AS reasons FROM t LEFT JOIN (SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS rs FROM rel GROUP BY doc_id) rel ON t.doc_id = rel.doc_id)"""
 

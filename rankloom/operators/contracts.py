@@ -219,9 +219,11 @@ def make_key(*parts: Column | str) -> Column:
 
 
 def state_id(entity: Column | str, kind: Column | str, ratio: Column | str, replicate: Column | str) -> Column:
-    level = F.lpad(F.round((F.col(ratio) if isinstance(ratio, str) else ratio) * 1000).cast("int").cast("string"), 3, "0")
-    rep = F.lpad((F.col(replicate) if isinstance(replicate, str) else replicate).cast("string"), 2, "0")
-    return make_key(entity, kind, F.concat(F.lit("r"), level), F.concat(F.lit("s"), rep))
+    """Key of a state: entity, kind, level in thousandths and replicate, with at least three digits."""
+    code = F.bround((F.col(ratio) if isinstance(ratio, str) else ratio) * 1000).cast("int")
+    rep = (F.col(replicate) if isinstance(replicate, str) else replicate).cast("int")
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    return F.concat_ws(":", text(entity), text(kind), F.format_string("c%03d", code), F.format_string("r%03d", rep))
 
 
 def validate_decoys(decoys: DataFrame, rows: DataFrame, entities: DataFrame) -> DataFrame:

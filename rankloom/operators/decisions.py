@@ -29,7 +29,8 @@ def _status(known: Column, passed: Column) -> Column:
 
 
 def criterion(summary: DataFrame, name: str, threshold: float, *, positive_ci: bool = True, also: Column | None = None, detail: Sequence[str] = ()) -> DataFrame:
-    """Status row of a one-row estimate. No rows, or an empty table, is INCOMPLETE."""
+    """Status row of a one-row estimate. No rows, or an empty table, is INCOMPLETE;
+    several rows are an error, since no one of them is the estimate."""
     ok = F.col("estimate") >= threshold
     if positive_ci:
         ok = ok & (F.col("ci_low") > 0)
@@ -37,8 +38,10 @@ def criterion(summary: DataFrame, name: str, threshold: float, *, positive_ci: b
         ok = ok & also
     # A global aggregate gives one row even when the summary is empty.
     one = summary.agg(
-        *[F.first(c, True).alias(c) for c in ("estimate", "ci_low", "ci_high", "n_rows", "n_clusters", *detail)]
+        *[F.first(c).alias(c) for c in ("estimate", "ci_low", "ci_high", "n_rows", "n_clusters", *detail)], F.count(F.lit(1)).alias("_k")
     )
+    several = F.raise_error(F.concat(F.lit(f"{name}: one estimate expected, found "), F.col("_k").cast("string"))).cast("long")
+    one = one.withColumn("n_rows", F.when(F.col("_k") > 1, several).otherwise(F.col("n_rows")))
     return one.select(
         F.lit(name).alias("criterion"), _status(F.coalesce("n_rows", F.lit(0)) > 0, ok).alias("status"),
         "estimate", "ci_low", "ci_high", F.lit(float(threshold)).alias("threshold"), "n_rows", "n_clusters",

@@ -190,7 +190,7 @@ def cross_fit(df: DataFrame, group: str, x: str, y: str, p: int, q: int, folds:
     """Held-out predictions with folds that keep groups together.
 
     A fold's training sums are the total minus its own. Controls fit targets
-    permuted among the training rows (within folds), once per repeat.
+    permuted among all rows outside the fold, once per repeat.
     Adds fold, control, repeat and prediction.
     """
     from rankloom.operators.controls import shuffle_targets
@@ -208,8 +208,12 @@ def cross_fit(df: DataFrame, group: str, x: str, y: str, p: int, q: int, folds:
     base = predict(rows, [])[()]
     out = rows.withColumn("prediction", _by_case(base, "fold", x)).withColumns({"control": F.lit("observed"), "repeat": F.lit(0)})
     if repeats:
-        mixed = shuffle_targets(rows.select("fold", *key, x, y), ["fold"], key, [y], numeric, repeats, seed).drop("moved")
-        for (rep,), models in sorted(predict(mixed, ["repeat"]).items()):
+        # A row trains the model of every other fold.
+        others = F.filter(F.array(*[F.lit(f) for f in sorted(base)]), lambda f: f != F.col("fold"))
+        mixed = shuffle_targets(rows.select(F.explode(others).alias("held"), *key, x, y), ["held"], key, [y], numeric, repeats, seed).drop("moved")
+        per = moments(mixed, x, y, p, q, ["held", "repeat"])
+        for rep in range(1, repeats + 1):
+            models = {f: solve_ridge(m, alpha) for (f, n), m in per.items() if n == rep}
             ctrl = rows.withColumn("prediction", _by_case(models, "fold", x)).withColumns({"control": F.lit("shuffled"), "repeat": F.lit(rep)})
             out = out.unionByName(ctrl)
     return out
@@ -375,8 +379,12 @@ def strong_control(df: DataFrame, *, blocks: Sequence[str], sizes: Sequence[int]
     return A.anchored_fit(pred, [split], "prediction", y, native), grid
 
 
-def class_probabilities(df: DataFrame, x: str, label: str, train: Column, classes: Sequence[str], *, max_iter: int = 50, reg: float = 0.01) -> DataFrame:
-    """Balanced multinomial logistic probabilities for all rows (array, class order)."""
+def class_probabilities(df: DataFrame, x: str, label: str, train: Column, classes: Sequence[str], *, max_iter: int = 300, c: float = 1.0) -> DataFrame:
+    """Balanced multinomial logistic probabilities for all rows (array, class order).
+
+    ``c`` weighs the summed loss against half the squared weights of standardised
+    features, so the penalty of the mean loss is 1 / (c n): balanced weights sum to n.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -386,7 +394,8 @@ def class_probabilities(df: DataFrame, x: str, label: str, train: Column, classe
     counts = fit.groupBy("_y").agg(F.count(F.lit(1)).alias("_k"))  # one row per class
     total = counts.agg(F.sum("_k").alias("_n"), F.count(F.lit(1)).alias("_c"))
     w = counts.join(F.broadcast(total)).select("_y", (F.col("_n") / (F.col("_c") * F.col("_k"))).alias("_w"))
-    model = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=reg, family="multinomial", probabilityCol="_p").fit(fit.join(F.broadcast(w), "_y"))
+    reg = 1.0 / (c * max(1, fit.count()))
+    model = LogisticRegression(featuresCol="_f", labelCol="_y", weightCol="_w", maxIter=max_iter, tol=1e-9, regParam=reg, family="multinomial", probabilityCol="_p").fit(fit.join(F.broadcast(w), "_y"))
     return model.transform(rows).withColumn("probabilities", vector_to_array("_p")).select(*df.columns, "probabilities")
 
 
@@ -475,8 +484,8 @@ def fit_joint(df: DataFrame, base: str, vecs: Sequence[str], idx: str, make: Cal
     return params, value
 
 
-def fit_calibration(df: DataFrame, base: str, base_action: str, vecs: Sequence[str], idx: str, n: int = 20, **kw) -> tuple[str, dict[str, list[tuple[str, float]]], DataFrame]:
-    """Fit all four schemes on a split; the scheme with the lowest likelihood loss wins."""
+def fit_schemes(df: DataFrame, base: str, base_action: str, vecs: Sequence[str], idx: str, n: int = 20, **kw) -> dict[str, list[tuple[str, float]]]:
+    """Parameters of all four schemes, fitted to these rows."""
     names = list(vecs)
     sizes = df.agg(*[F.sqrt(F.avg(V.vsumsq(c) / (n - 1))).alias(c) for c in [base_action, *names]]).first()
     params: dict[str, list[tuple[str, float]]] = {
@@ -487,12 +496,53 @@ def fit_calibration(df: DataFrame, base: str, base_action: str, vecs: Sequence[s
     params["joint_temperature_native_nll"] = list(zip(names, temps))
     rank, _ = fit_joint(df, base, names[:1], idx, lambda t: A.apply_calibration("rowwise_rank_normalized", [(v, t[0]) for v in names], n=n), **kw)
     params["rowwise_rank_normalized"] = [(v, rank[0]) for v in names]
-    scored = df.agg(*[
-        F.avg(-F.element_at(V.log_normalize(V.add(base, A.apply_calibration(s, p, n=n))), F.col(idx))).alias(s) for s, p in params.items()
-    ]).first()
-    best = min(A.SCHEMES, key=lambda s: (scored[s], A.SCHEMES.index(s)))
-    table = df.sparkSession.createDataFrame([(s, float(scored[s]), s == best) for s in A.SCHEMES], "scheme string, native_nll double, chosen boolean")
-    return best, params, table
+    return params
+
+
+@dataclass
+class Calibration:
+    """The chosen scheme, its parameters by split, and its measures.
+
+    ``train`` and ``final`` hold the parameters of all schemes, fitted to the
+    training rows and to training and validation rows. ``validation`` has a row
+    per scheme, ``audit`` one for the final rows and one for the locked ones.
+    """
+
+    scheme: str
+    train: dict[str, list[tuple[str, float]]]
+    final: dict[str, list[tuple[str, float]]]
+    validation: DataFrame
+    audit: DataFrame
+
+
+def _scheme_losses(df: DataFrame, base: str, idx: str, params: Mapping[str, list[tuple[str, float]]], n: int) -> dict[str, float]:
+    """Mean native negative log-likelihood of each scheme, in one scan."""
+    nll = [F.avg(-F.element_at(V.log_normalize(V.add(base, A.apply_calibration(s, p, n=n))), F.col(idx))).alias(s) for s, p in params.items()]
+    row = df.agg(*nll, F.count(F.lit(1)).alias("_n")).first()
+    if not row["_n"]:
+        raise ValueError("a split of the calibration has no rows")
+    return {s: float(row[s]) for s in params} | {"n_rows": row["_n"]}
+
+
+def select_calibration(
+    df: DataFrame, base: str, base_action: str, vecs: Sequence[str], idx: str, *, split: str = "split", train: str = "train", selection: str = "validation", locked: str = "locked_test", n: int = 20, **kw
+) -> Calibration:
+    """Fit all four schemes to the training rows, choose the one of lowest loss on the
+    validation rows (ties by name), fit it again to both and measure it there and on
+    the locked rows, which take no part before."""
+    of = lambda *names: df.where(F.col(split).isin(*names))
+    first = fit_schemes(of(train), base, base_action, vecs, idx, n, **kw)
+    losses = _scheme_losses(of(selection), base, idx, first, n)
+    best = min(first, key=lambda s: (losses[s], s))
+    final = fit_schemes(of(train, selection), base, base_action, vecs, idx, n, **kw)
+    spark = df.sparkSession
+    validation = spark.createDataFrame([(s, train, selection, losses[s], losses["n_rows"], s == best) for s in sorted(first)], "scheme string, fit_split string, evaluation_split string, native_nll double, n_rows long, chosen boolean")
+    rows = []
+    for name, parts in (("development_train_plus_validation", (train, selection)), (locked, (locked,))):
+        measured = _scheme_losses(of(*parts), base, idx, {best: final[best]}, n)
+        rows.append((best, name, measured[best], measured["n_rows"]))
+    audit = spark.createDataFrame(rows, "scheme string, evaluation_split string, native_nll double, n_rows long")
+    return Calibration(best, first, final, validation, audit)
 
 
 def residual_pca(df: DataFrame, vec: str, n: int, k: int) -> tuple[np.ndarray, DataFrame, DataFrame]:

@@ -47,6 +47,8 @@ def job_registry(
     """Quality filter, leakage relations, eligibility, and union with the audit set."""
     kept, excluded = K.quality_filter(domains, rules)
     kept = settle(kept)
+    # Hits of rows that the filter took out are no relations of the registry.
+    hits = hits.join(kept.select(id), id, "left_semi")
     relations = settle(L.leakage_relations(kept, benchmarks, hits, train_id=id, bench_id=bench_id, exact=exact, classes=classes, threshold=threshold))
     eligible = L.leakage_eligibility(kept, relations, id)
     out = {"excluded": excluded, "relations": relations, "eligibility": eligible, "summary": L.leakage_summary(kept, relations, id)}
@@ -145,15 +147,20 @@ def job_on_policy(
 
 def job_foundation(
     value: Tables, observability: Tables, on_policy: Tables, reliability: DataFrame, coverage: DataFrame, pooled: DataFrame, *, primary: str, baseline: str,
-    paired: str = "paired", cluster: str = "domain_id", max_level: float = 0.15, scope: str | None = None, real: bool = True, **kw,
+    paired: str = "paired", cluster: str = "domain_id", max_level: float = 0.15, scope: str | None = None, real: bool = True,
+    matched: str = "matched_cath", **kw,
 ) -> Tables:
-    """Map of environments, valid radius, nine criteria and the branch."""
+    """Map of environments, valid radius, nine criteria and the branch.
+
+    Specificity is the lift over the decoys of role ``matched``; others take no part.
+    """
     pos = value["position_metrics"].where((F.col("structure_role") == paired))
     own = pos.where((F.col("teacher_id") == primary) & (F.col("level") <= max_level + 1e-12))
     env = lambda axis, names: I.cluster_bootstrap(own.where(F.col(axis).isin(*names)), [], "advantage", cluster, **kw)
     k = A.MAP_KEYS
     val = value["environment_summary"].where(F.col("teacher_id") == primary).select(*k, "estimate", "ci_low", "ci_high", "n_rows")
-    spec = value["specificity_summary"].where(F.col("teacher_id") == primary).groupBy(*k).agg(F.max("estimate").alias("lift"))
+    of_role = (F.col("teacher_id") == primary) & (F.col("decoy_role") == matched)
+    spec = value["specificity_summary"].where(of_role).select(*k, F.col("estimate").alias("lift"))
     obs = A.pivot_first(observability["environment_summary"], k, "metric", "estimate", ["jsd_reduction", "residual_cosine"])
     table = settle(A.distillability_map(val, spec, obs, reliability))
     radius = settle(A.valid_radius(table, ["analysis_role", "environment_axis", "environment"]))
@@ -161,7 +168,7 @@ def job_foundation(
     criteria = settle(D.union_criteria([
         D.criterion(env("burial", ["buried"]), D.CORE, 0.02),
         D.criterion(env("secondary_structure", ["helix", "strand"]), D.REGULAR, 0.02),
-        D.criterion(value["specificity"].where(F.col("teacher_id") == primary), D.SPECIFIC, 0.02),
+        D.criterion(value["specificity"].where(of_role), D.SPECIFIC, 0.02),
         D.assay_criterion(coverage, pooled, primary, baseline),
         D.access_criterion(observability["summary"]),
         D.count_criterion(table, D.ENVIRONMENT, F.col("distillable"), 1),
@@ -266,11 +273,12 @@ def job_action_validation(
 
 def job_stability(
     calibration: DataFrame, panel: DataFrame, variants: DataFrame, *, base: str, base_action: str, scorers: Sequence[str], native: str, key: Sequence[str], entity: str,
-    stratum: str, position: str, on: Sequence[str], group_replicates: int = 50, search: Mapping | None = None, **kw,
+    stratum: str, position: str, on: Sequence[str], group_replicates: int = 50, search: Mapping | None = None, split: str = "split", **kw,
 ) -> Tables:
     """Choose a calibration on other rows, rank by every scorer subset, contrasts with
     stratified and position-group intervals, and Shapley values of the scorers."""
-    best, params, schemes = F_.fit_calibration(settle(calibration), base, base_action, scorers, native, **(search or {}))
+    chosen = F_.select_calibration(settle(calibration), base, base_action, scorers, native, split=split, **(search or {}))
+    best, params, schemes = chosen.scheme, chosen.final, chosen.validation
     scaled = {name: A.apply_calibration(best, [(name, dict(params[best])[name])]) for name in scorers}
     vec = panel.select(*on, F.col(base_action).alias("sequence_action"), *[scaled[s].alias(s) for s in scorers])
     rows = settle(_variant_scores(variants, vec, ["sequence_action", *scorers], on))
@@ -283,7 +291,7 @@ def job_stability(
     mask = F.create_map(*[v for m, b in masks.items() for v in (F.lit(m), F.lit(b))])
     means = metrics.groupBy("method").agg(F.avg("spearman").alias("value")).select(F.element_at(mask, F.col("method")).alias("mask"), "value")
     return {
-        "schemes": schemes, "metrics": metrics,
+        "schemes": schemes, "calibration_audit": chosen.audit, "metrics": metrics,
         "summary": I.summarize(I.with_scopes(gaps, stratum), ["method", "scope"], list(R.METRICS), entity, method="stratified", st=stratum, **kw),
         "group_intervals": I.group_bootstrap_diff(table, [entity], position, full, "sequence_action", "observed", group_replicates),
         "shapley": A.shapley(means, list(scorers)),

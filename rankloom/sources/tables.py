@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
@@ -72,13 +73,29 @@ def pack_prefix(df: DataFrame, prefix: str, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace a result table; readers see the old or the new one."""
+    """Replace a result table once the new one is whole.
+
+    It is written beside the old one, which two renames then put away; a failed
+    job leaves the old table. Between the renames there is no table for a moment.
+    """
+    if fmt not in ("parquet", "csv", "tsv"):
+        raise ContractError(f"unsupported format: {fmt}")
+    tag = uuid.uuid4().hex
+    fresh, former = f"{path.rstrip('/')}.{tag}.new", f"{path.rstrip('/')}.{tag}.old"
     if fmt == "parquet":
-        df.write.mode("overwrite").parquet(path)
-    elif fmt in ("csv", "tsv"):
-        df.write.mode("overwrite").option("header", True).option("sep", "," if fmt == "csv" else "\t").option("escape", '"').csv(path)
+        df.write.parquet(fresh)
     else:
-        raise ContractError(f"unsupported format: {fmt}")
+        df.write.option("header", True).option("sep", "," if fmt == "csv" else "\t").option("escape", '"').csv(fresh)
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(former)) or not fs.rename(at(fresh), at(path)):
+        if had and not fs.exists(at(path)) and fs.exists(at(former)):
+            fs.rename(at(former), at(path))
+        raise OSError(f"{path}: the new table could not take the old one's place")
+    if had:
+        fs.delete(at(former), True)
 
 
 def write_sharded(df: DataFrame, path: str, rows_per_file: int, sort: Sequence[str] = ()) -> None:

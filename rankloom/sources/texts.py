@@ -35,11 +35,12 @@ def read_hierarchy_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta_rows(records: DataFrame, record: str = "value") -> DataFrame:
-    """(id, sequence) from text split at ``>``. A header such as
+    """(id, sequence) from text split where a line begins with ``>``. A header such as
     ``db|version|id/range`` gives its third part up to the slash; a plain one
     gives its first word. Sequences are upper-case without white space."""
-    head = F.regexp_extract(record, r"^([^\n\r]*)", 1)
-    body = F.regexp_replace(F.regexp_replace(record, r"^[^\n\r]*", ""), r"\s+", "")
+    text = F.regexp_replace(record, r"^\s*>", "")  # the first record of a file keeps its mark
+    head = F.regexp_extract(text, r"^([^\n\r]*)", 1)
+    body = F.regexp_replace(F.regexp_replace(text, r"^[^\n\r]*", ""), r"\s+", "")
     parts = F.split(F.trim(head), r"\|")
     name = F.when(F.size(parts) >= 3, F.element_at(F.split(F.element_at(parts, 3), "/"), 1)).otherwise(F.element_at(F.split(F.trim(head), r"\s+"), 1))
     rows = records.where(F.trim(record) != "").select(name.alias("id"), F.upper(body).alias("sequence"))
@@ -47,7 +48,7 @@ def fasta_rows(records: DataFrame, record: str = "value") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return fasta_rows(spark.read.text(path, lineSep=">"))
+    return fasta_rows(spark.read.text(path, lineSep="\n>"))
 
 
 def write_fasta(df: DataFrame, path: str, id: str = "id", sequence: str = "sequence") -> None:
