@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions import vectors as V
@@ -456,46 +457,85 @@ def _zoom(evaluate: Callable[[list[float]], list[float]], lo: float, hi: float,
     return best[1], best[0]
 
 
+def grid_losses(rows: DataFrame, base: str | None, units: Sequence[str], idx: str, grid: np.ndarray) -> tuple[np.ndarray, int]:
+    """Mean native negative log-likelihood at each point of a grid, and the number of rows.
+
+    A point holds one coefficient per unit vector: the vector scored is ``base``
+    (or nothing) plus their weighted sum. Tasks add up one number per point, so the
+    whole grid takes one scan. Rows that lack a vector or the native entry are left out.
+    """
+    columns = ([base] if base else []) + list(units)
+    known = rows.select(*[V.as_double(c).alias(f"u{i}") for i, c in enumerate(columns)], F.col(idx).cast("int").alias("at")).dropna()
+
+    def run(batches):
+        sums, n = np.zeros(len(grid)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vecs = [batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in range(len(columns))]
+            at = batch.column(len(columns)).to_numpy() - 1
+            fixed, moving = (vecs[0], vecs[1:]) if base else (0.0, vecs)
+            for g, point in enumerate(grid):
+                z = fixed + sum(c * u for c, u in zip(point, moving))
+                top = z.max(1)
+                sums[g] += (np.log(np.exp(z - top[:, None]).sum(1)) + top - z[np.arange(len(z)), at]).sum()
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["sums", "n"])
+
+    parts = known.mapInArrow(run, "sums array<double>, n long")
+    added = parts.select(F.posexplode("sums").alias("g", "s"), "n").groupBy("g").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toArrow()  # a row per point
+    order = np.argsort(added.column("g").to_numpy())
+    n = int(added.column("n")[0].as_py()) if added.num_rows else 0
+    return (added.column("s").to_numpy()[order] / n, n) if n else (np.full(len(grid), np.nan), 0)
+
+
 def fit_temperature(df: DataFrame, vec: str, idx: str, lo: float = 0.25, hi: float = 4.0, points: int = 17, rounds: int = 5) -> tuple[float, float]:
     """Temperature with the lowest native negative log-likelihood, and that value."""
-    def evaluate(grid: list[float]) -> list[float]:
-        nll = [F.avg(-F.element_at(V.temper(vec, t), F.col(idx))).alias(f"v{i}") for i, t in enumerate(grid)]
-        row = df.agg(*nll).first()  # one row per round
-        return [row[f"v{i}"] for i in range(len(grid))]
-
-    return _zoom(evaluate, lo, hi, points, rounds)
-
-
-def fit_joint(df: DataFrame, base: str, vecs: Sequence[str], idx: str, make: Callable[[Sequence[float]], Column], lo: float = 0.25, hi: float = 4.0, points: int = 9, rounds: int = 3, sweeps: int = 3) -> tuple[list[float], float]:
-    """Parameters, one per vector, with the lowest native negative log-likelihood of
-    base + make(parameters), by coordinate search; each step is one aggregate."""
-    params, value = [1.0] * len(vecs), math.inf
-    for _ in range(sweeps):
-        for k in range(len(params)):
-            def evaluate(grid: list[float], k: int = k) -> list[float]:
-                cols = []
-                for i, t in enumerate(grid):
-                    action = make([*params[:k], t, *params[k + 1:]])
-                    cols.append(F.avg(-F.element_at(V.log_normalize(V.add(base, action)), F.col(idx))).alias(f"v{i}"))
-                row = df.agg(*cols).first()
-                return [row[f"v{i}"] for i in range(len(grid))]
-
-            params[k], value = _zoom(evaluate, lo, hi, points, rounds)
+    rows = settle(df.select(vec, idx))
+    return _zoom(lambda grid: grid_losses(rows, None, [vec], idx, np.array([[1.0 / t] for t in grid]))[0].tolist(), lo, hi, points, rounds)
+
+
+def fit_joint(rows: DataFrame, base: str, units: Sequence[str], idx: str, k: int, make: Callable[[Sequence[float]], Sequence[float]], lo: float = 0.25, hi: float = 4.0, points: int = 9, rounds: int = 3, sweeps: int = 3) -> tuple[list[float], float]:
+    """``k`` parameters with the lowest native negative log-likelihood, by coordinate
+    search; ``make`` gives the units' coefficients. Each step is one scan."""
+    params, value = [1.0] * k, math.inf
+    for _ in range(sweeps if k > 1 else 1):
+        for j in range(k):
+            def evaluate(grid: list[float], j: int = j) -> list[float]:
+                return grid_losses(rows, base, units, idx, np.array([make([*params[:j], t, *params[j + 1:]]) for t in grid]))[0].tolist()
+
+            params[j], value = _zoom(evaluate, lo, hi, points, rounds)
     return params, value
 
 
-def fit_schemes(df: DataFrame, base: str, base_action: str, vecs: Sequence[str], idx: str, n: int = 20, **kw) -> dict[str, list[tuple[str, float]]]:
+def _units(df: DataFrame, base: str, base_action: str, vecs: Sequence[str], idx: str, n: int, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Written rows with each action vector and its rank-normal form: all schemes are weighted sums of these."""
+    ranks = {f"_rank{i}": V.rank_normal(v, n) for i, v in enumerate(vecs)}
+    rows = settle(df.withColumns(ranks).select(*dict.fromkeys([base, base_action, *vecs, *ranks, idx, *keep])))
+    return rows, [*vecs, *ranks]
+
+
+def _coefficients(scheme: str, params: Sequence[tuple[str, float]]) -> list[float]:
+    """Weights of the vectors, then of their rank-normal forms."""
+    k, none = len(params), [0.0] * len(params)
+    values = [p for _, p in params]
+    if scheme == "rowwise_rank_normalized":
+        return none + [p / k for p in values]
+    return [(1.0 / p if scheme == "joint_temperature_native_nll" else p) / k for p in values] + none
+
+
+def fit_schemes(rows: DataFrame, base: str, base_action: str, vecs: Sequence[str], units: Sequence[str], idx: str, n: int = 20, **kw) -> dict[str, list[tuple[str, float]]]:
     """Parameters of all four schemes, fitted to these rows."""
     names = list(vecs)
-    sizes = df.agg(*[F.sqrt(F.avg(V.vsumsq(c) / (n - 1))).alias(c) for c in [base_action, *names]]).first()
+    sizes = rows.agg(*[F.sqrt(F.avg(V.vsumsq(c) / (n - 1))).alias(c) for c in [base_action, *names]]).first()
     params: dict[str, list[tuple[str, float]]] = {
         "unscaled_equal": [(v, 1.0) for v in names],
         "action_rms_matched": [(v, sizes[base_action] / sizes[v]) for v in names],
     }
-    temps, _ = fit_joint(df, base, names, idx, lambda t: A.apply_calibration("joint_temperature_native_nll", list(zip(names, t))), **kw)
-    params["joint_temperature_native_nll"] = list(zip(names, temps))
-    rank, _ = fit_joint(df, base, names[:1], idx, lambda t: A.apply_calibration("rowwise_rank_normalized", [(v, t[0]) for v in names], n=n), **kw)
-    params["rowwise_rank_normalized"] = [(v, rank[0]) for v in names]
+    for scheme, k in (("joint_temperature_native_nll", len(names)), ("rowwise_rank_normalized", 1)):
+        pairs = lambda t, k=k: list(zip(names, t if k > 1 or len(names) == 1 else [t[0]] * len(names)))
+        best, _ = fit_joint(rows, base, units, idx, k, lambda t: _coefficients(scheme, pairs(t)), **kw)
+        params[scheme] = pairs(best)
     return params
 
 
@@ -515,13 +555,12 @@ class Calibration:
     audit: DataFrame
 
 
-def _scheme_losses(df: DataFrame, base: str, idx: str, params: Mapping[str, list[tuple[str, float]]], n: int) -> dict[str, float]:
+def _scheme_losses(rows: DataFrame, base: str, units: Sequence[str], idx: str, params: Mapping[str, list[tuple[str, float]]]) -> dict[str, float]:
     """Mean native negative log-likelihood of each scheme, in one scan."""
-    nll = [F.avg(-F.element_at(V.log_normalize(V.add(base, A.apply_calibration(s, p, n=n))), F.col(idx))).alias(s) for s, p in params.items()]
-    row = df.agg(*nll, F.count(F.lit(1)).alias("_n")).first()
-    if not row["_n"]:
+    losses, n = grid_losses(rows, base, units, idx, np.array([_coefficients(s, p) for s, p in params.items()]))
+    if not n:
         raise ValueError("a split of the calibration has no rows")
-    return {s: float(row[s]) for s in params} | {"n_rows": row["_n"]}
+    return {s: float(x) for s, x in zip(params, losses)} | {"n_rows": n}
 
 
 def select_calibration(
@@ -530,18 +569,19 @@ def select_calibration(
     """Fit all four schemes to the training rows, choose the one of lowest loss on the
     validation rows (ties by name), fit it again to both and measure it there and on
     the locked rows, which take no part before."""
-    of = lambda *names: df.where(F.col(split).isin(*names))
-    first = fit_schemes(of(train), base, base_action, vecs, idx, n, **kw)
-    losses = _scheme_losses(of(selection), base, idx, first, n)
+    rows, units = _units(df, base, base_action, vecs, idx, n, [split])
+    of = lambda *names: rows.where(F.col(split).isin(*names))
+    first = fit_schemes(of(train), base, base_action, vecs, units, idx, n, **kw)
+    losses = _scheme_losses(of(selection), base, units, idx, first)
     best = min(first, key=lambda s: (losses[s], s))
-    final = fit_schemes(of(train, selection), base, base_action, vecs, idx, n, **kw)
+    final = fit_schemes(of(train, selection), base, base_action, vecs, units, idx, n, **kw)
     spark = df.sparkSession
     validation = spark.createDataFrame([(s, train, selection, losses[s], losses["n_rows"], s == best) for s in sorted(first)], "scheme string, fit_split string, evaluation_split string, native_nll double, n_rows long, chosen boolean")
-    rows = []
+    audits = []
     for name, parts in (("development_train_plus_validation", (train, selection)), (locked, (locked,))):
-        measured = _scheme_losses(of(*parts), base, idx, {best: final[best]}, n)
-        rows.append((best, name, measured[best], measured["n_rows"]))
-    audit = spark.createDataFrame(rows, "scheme string, evaluation_split string, native_nll double, n_rows long")
+        measured = _scheme_losses(of(*parts), base, units, idx, {best: final[best]})
+        audits.append((best, name, measured[best], measured["n_rows"]))
+    audit = spark.createDataFrame(audits, "scheme string, evaluation_split string, native_nll double, n_rows long")
     return Calibration(best, first, final, validation, audit)
 
 

@@ -125,3 +125,39 @@ def test_physchem_equals_row_fit(spark):
     all_ = np.array([feat(i, j) for i in range(3) for j in range(3)])
     want = ridge(f, y.reshape(-1, 1), 1.5, all_)[:, 0]
     assert np.allclose([got[a, b] for a in syms for b in syms], want)
+
+
+def test_grid_losses_equal_direct_computation(spark):
+    rng = np.random.default_rng(9)
+    base, u, idx = rng.normal(size=(30, 5)), rng.normal(size=(2, 30, 5)), rng.integers(1, 6, 30)
+    rows = spark.createDataFrame([(base[i].tolist(), u[0, i].tolist(), u[1, i].tolist(), int(idx[i])) for i in range(30)] + [(None, [0.0] * 5, [0.0] * 5, 1)], "b array<double>, u array<double>, w array<double>, idx int")
+    grid = np.array([[0.0, 0.0], [0.5, 1.0], [-1.0, 3.0]])
+    got, n = M.grid_losses(rows.repartition(5), "b", ["u", "w"], "idx", grid)
+    z = base + np.einsum("gk,kij->gij", grid, u)
+    want = (np.log(np.exp(z).sum(2)) - np.take_along_axis(z, (idx - 1)[None, :, None].repeat(3, 0), 2)[..., 0]).mean(1)
+    assert n == 30 and np.allclose(got, want)
+
+
+def test_calibration_is_chosen_on_validation_rows(spark):
+    """Two signals whose right temperatures differ; the locked rows follow another law and must not matter."""
+    rng = np.random.default_rng(10)
+    n = 600
+    a, b = rng.normal(size=(2, n, 4)) * np.array([1.0, 4.0])[:, None, None]
+    z = a / 2 + b / 8
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    idx = np.array([rng.choice(4, p=q) for q in p])
+    split = np.array(["train", "validation", "locked_test"])[np.arange(n) % 3]
+    rows = [([0.0] * 4, a[i].tolist(), a[i].tolist(), b[i].tolist(), int(idx[i]) + 1, split[i]) for i in range(n)]
+    schema = "base array<double>, act array<double>, a array<double>, b array<double>, idx int, split string"
+    choose = lambda r: M.select_calibration(spark.createDataFrame(r, schema), "base", "act", ["a", "b"], "idx", n=4, points=7, rounds=2, sweeps=2)
+    found = choose(rows)
+    table = {r["scheme"]: r for r in found.validation.collect()}
+    assert len(table) == 4 and table[found.scheme]["chosen"] and min(table.values(), key=lambda r: r["native_nll"])["scheme"] == found.scheme
+    fitted = dict(found.train["joint_temperature_native_nll"])
+    assert 0.5 < fitted["a"] < 2 and fitted["b"] > 2
+    audit = {r["evaluation_split"]: r["n_rows"] for r in found.audit.collect()}
+    assert audit == {"development_train_plus_validation": 400, "locked_test": 200}
+    other = choose([(*r[:4], r[4] % 4 + 1, r[5]) if r[5] == "locked_test" else r for r in rows])
+    assert other.scheme == found.scheme and other.final == found.final
+    with pytest.raises(ValueError):
+        choose([r for r in rows if r[5] != "validation"])
