@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankloom.functions import vectors as V
 from rankloom.functions.classes import edge_signature
@@ -68,35 +69,88 @@ def structure_descriptors(res: DataFrame, edges: DataFrame, by: Sequence[str], p
     }).drop("_gap", "_e")
 
 
+def crop_table(position: np.ndarray, points: np.ndarray, codes: np.ndarray, source: np.ndarray, target: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
+    """(start, radius, helix, strand, contact order, degree) of all crops of a length.
+
+    Rows add to running sums along the entity and a contact to the starts of the
+    crops that hold both its ends, so a crop is a difference of two look-ups.
+    NaN stands for a value that is not known.
+    """
+    starts = size - length + 1
+
+    def window(values: np.ndarray) -> np.ndarray:
+        sums = np.zeros(size + 1)
+        np.add.at(sums, position + 1, values)
+        sums = np.cumsum(sums)
+        return sums[length:] - sums[:starts]
+
+    def share(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.divide(total, count, out=np.full(starts, np.nan), where=count > 0)
+
+    rows = window(np.ones(len(position)))
+    spread = np.zeros(starts)
+    for axis in points:
+        known = ~np.isnan(axis)
+        # Sums about the entity's centre lose no digits.
+        value = np.where(known, axis - (axis[known].mean() if known.any() else 0.0), 0.0)
+        count = window(known.astype(float))
+        spread += np.maximum(share(window(value * value), count) - share(window(value), count) ** 2, 0.0)
+    coded = window((codes >= 0).astype(float))
+    fractions = [share(window((codes == c).astype(float)), coded) for c in (0, 1)]
+    inside = target - source < length
+    first, last = np.maximum(target[inside] - length + 1, 0), np.minimum(source[inside], starts - 1)
+    held = first <= last
+    first, last, apart = first[held], last[held], (target - source)[inside][held]
+
+    def contacts(weight: np.ndarray) -> np.ndarray:
+        steps = np.zeros(starts + 1)
+        np.add.at(steps, first, weight)
+        np.add.at(steps, last + 1, -weight)
+        return np.cumsum(steps)[:starts]
+
+    n = contacts(np.ones(len(first)))
+    order = np.divide(contacts(apart.astype(float)), n, out=np.zeros(starts), where=n > 0.5) / length
+    there = rows > 0
+    return tuple(c[there] for c in (np.arange(starts), np.sqrt(spread), *fractions, order, 2 * n / length))
+
+
 def window_descriptors(
     res: DataFrame, edges: DataFrame, by: Sequence[str], position: str, lengths: DataFrame, ss: str, max_excess: int | None = None
 ) -> DataFrame:
     """Descriptors of every crop of the wanted ``lengths`` (column ``crop_length``).
 
-    Rows and edges are copied to the crops that contain them, then folded. An
-    entity is cropped to lengths not above its own, and at most ``max_excess`` below.
+    An entity is cropped to lengths not above its own, and at most ``max_excess``
+    below. Its rows and contacts travel as one row of arrays, whose running sums
+    give each crop; nothing is copied per crop. Crops without any row are left out.
     """
-    size = res.groupBy(*by).agg(F.max(position).cast("int").alias("_last"))
-    shortest = F.lit(1) if max_excess is None else F.greatest(F.lit(1), F.col("_last") + 1 - max_excess)
-    crops = size.withColumn("crop_length", F.explode(F.sequence(shortest, F.col("_last") + 1))).join(
-        lengths.select(F.col("crop_length").cast("int").alias("crop_length")).distinct(), "crop_length", "left_semi"
-    )
-    inside = lambda lo, hi: F.sequence(
-        F.greatest(F.lit(0), hi - F.col("crop_length") + 1), F.least(lo, F.col("_last") + 1 - F.col("crop_length"))
-    )
-    rows = res.join(crops, list(by)).withColumn("crop_start", F.explode(inside(F.col(position), F.col(position))))
-    keys = [*by, "crop_length", "crop_start"]
-    shape = rows.groupBy(*keys).agg(
-        F.sqrt(sum((F.var_pop(a) for a in AXES), F.lit(0.0))).alias("radius_of_gyration"),
-        *[F.avg((F.col(ss) == c).cast("double")).alias(f"{c}_fraction") for c in ("helix", "strand")],
-    )
-    fits = F.col("target") - F.col("source") < F.col("crop_length")
-    e = edges.join(crops, list(by)).where(fits).withColumn("crop_start", F.explode(inside(F.col("source"), F.col("target"))))
-    contacts = e.groupBy(*keys).agg(F.avg(F.col("target") - F.col("source")).alias("_gap"), F.count(F.lit(1)).alias("_e"))
-    return shape.join(contacts, keys, "left").withColumns({
-        "mean_contact_order": F.coalesce(F.col("_gap") / F.col("crop_length"), F.lit(0.0)),
-        "mean_contact_degree": F.coalesce(2 * F.col("_e") / F.col("crop_length"), F.lit(0.0)),
-    }).drop("_gap", "_e")
+    by = list(by)
+    size = F.max(position).cast("int") + 1
+    code = F.when(F.col(ss) == "helix", 0).when(F.col(ss) == "strand", 1).when(F.col(ss).isNotNull(), 2).otherwise(-1)
+    point = F.struct(F.col(position).cast("int").alias("at"), *[F.col(a).cast("double").alias(a) for a in AXES], code.alias("code"))
+    shape = res.dropna(subset=by).groupBy(*by).agg(F.collect_list(point).alias("rows"), size.alias("size"))
+    contacts = edges.groupBy(*by).agg(F.collect_list(F.struct(F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))).alias("edges"))
+    shortest = F.lit(1) if max_excess is None else F.greatest(F.lit(1), F.col("size") - max_excess)
+    wanted = lengths.select(F.col("crop_length").cast("int").alias("crop_length")).distinct()
+    crops = shape.select(*by, F.explode(F.sequence(shortest, F.col("size"))).alias("crop_length")).join(wanted, "crop_length", "left_semi")
+    crops = crops.groupBy(*by).agg(F.array_sort(F.collect_list("crop_length")).alias("lengths"))
+    whole = shape.join(crops, by).join(contacts, by, "left")
+    names = ("radius_of_gyration", "helix_fraction", "strand_fraction", "mean_contact_order", "mean_contact_degree")
+    schema = T.StructType([*[res.schema[c] for c in by], T.StructField("crop_length", T.IntegerType()), T.StructField("crop_start", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = lambda c, i=i: batch.column(c).slice(i, 1).flatten()
+                rows, pairs = one("rows"), one("edges")
+                at, *axes, codes = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("at", *AXES, "code"))
+                source, target = (pairs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("source", "target"))
+                for length in one("lengths").to_pylist():
+                    start, *values = crop_table(at, np.array(axes, float), codes, source, target, batch.column("size")[i].as_py(), length)
+                    n = len(start)
+                    keys = [pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type) for c in by]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(n, length, np.int32)), pa.array(start.astype(np.int32)), *(pa.array(v, pa.float64(), from_pandas=True) for v in values)], names=schema.names)
+
+    return whole.mapInArrow(run, schema)
 
 
 def edge_signatures(edges: DataFrame, nodes: DataFrame, by: Sequence[str], length: DataFrame, cls: str) -> DataFrame:

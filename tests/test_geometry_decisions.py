@@ -118,3 +118,31 @@ def test_map_class_order(spark):
     t = spark.createDataFrame(rows, "k string, estimate double, ci_low double, lift double, jsd_reduction double, residual_cosine double")
     out = A.distillability_map(t.select("k", "estimate", "ci_low"), t.select("k", "lift"), t.select("k", "jsd_reduction", "residual_cosine"), t.select("k"), ["k"])
     assert {r["k"]: r["map_class"] for r in out.collect()} == {"a": "distillable", "b": "valuable_but_unobservable", "c": "nonspecific", "d": "low_value"}
+
+
+def test_crop_descriptors_equal_direct_computation(spark):
+    rng = np.random.default_rng(11)
+    rows, edges = [], []
+    for e, n in (("a", 12), ("b", 7), ("c", 1)):
+        for i in range(n):
+            if not (e == "a" and i in (3, 4)):
+                rows.append((e, i, *(float(v) for v in rng.normal(size=3) + 1000), ["helix", "strand", "coil", None][rng.integers(4)]))
+        edges += [(e, i, j) for i in range(n) for j in range(i + 3, n) if rng.random() < 0.4]
+    rows[5] = (*rows[5][:2], None, *rows[5][3:])
+    res = spark.createDataFrame(rows, "e string, position int, x double, y double, z double, ss string")
+    got = {(r.e, r.crop_length, r.crop_start): tuple(r)[3:] for r in G.window_descriptors(res, spark.createDataFrame(edges, "e string, source int, target int"), ["e"], "position", spark.createDataFrame([(1,), (2,), (5,), (7,), (12,), (40,)], "crop_length int"), "ss").collect()}
+    want = {}
+    for e, n in (("a", 12), ("b", 7), ("c", 1)):
+        for length in (1, 2, 5, 7, 12):
+            for s in range(n - length + 1):
+                part = [r for r in rows if r[0] == e and s <= r[1] < s + length]
+                inside = [j - i for x, i, j in edges if x == e and s <= i and j < s + length]
+                if part:
+                    axes = [[r[k] for r in part if r[k] is not None] for k in (2, 3, 4)]
+                    named = [r[5] for r in part if r[5] is not None]
+                    share = lambda c: sum(x == c for x in named) / len(named) if named else None  # noqa: B023, E731
+                    want[e, length, s] = (np.sqrt(sum(np.var(a) for a in axes)) if all(axes) else None, share("helix"), share("strand"), np.mean(inside) / length if inside else 0.0, 2 * len(inside) / length)
+    assert got.keys() == want.keys() and len(want) > 30
+    for k, values in want.items():
+        for a, b in zip(got[k], values):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6), (k, got[k], values)
