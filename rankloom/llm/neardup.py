@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from rankloom.llm.graphs import labels, settle_rows, stars
-from rankloom.llm.texts import dense, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
+from rankloom.llm.texts import bound_batches, dense, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
 from rankloom.session import settle
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ RARE = 16
 FILLS = tuple(f"f{i}" for i in range(16))
 #: Pairs that one task aligns.
 TASK_PAIRS = 5_000
+#: Bytes of words and shingles that a task keeps for further pairs of a batch.
+HELD_BYTES = 16 << 20
 #: Bytes of the bitmap of texts that have candidates.
 BITMAP = 1 << 18
 
@@ -187,7 +189,7 @@ def packed_words(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         words.append(hashes[a:b].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(words, pa.binary())], names=["content", "words"])
 
-    some = docs.select(text).mapInArrow(run, "content binary, words binary")
+    some = bound_batches(docs).select(text).mapInArrow(run, "content binary, words binary")
     return some.join(wanted, "content", "left_semi").groupBy("content").agg(F.first("words").alias("words"))
 
 
@@ -198,12 +200,16 @@ def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             shingles: dict[bytes, np.ndarray] = {}
+            held = 0
 
             def of(packed: bytes) -> np.ndarray:
+                nonlocal held
                 if packed not in shingles:
-                    if len(shingles) > 256:
+                    if held + 3 * len(packed) > HELD_BYTES:
                         shingles.clear()
+                        held = 0
                     shingles[packed] = labelled_shingles(np.frombuffer(packed, np.uint32))
+                    held += 3 * len(packed)
                 return shingles[packed]
 
             good = [aligned_similarity(of(x.as_py()), of(y.as_py())) >= SIMILARITY - 1e-12 for x, y in zip(batch.column("wa"), batch.column("wb"))]
@@ -211,7 +217,7 @@ def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     joined = pairs.join(words.select(F.col("content").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("content").alias("b"), F.col("words").alias("wb")), "b")
     few = joined.select("a", "b", "wa", "wb").coalesce(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_PAIRS)))
-    return settle(few.mapInArrow(run, "a binary, b binary"))
+    return settle(bound_batches(few).mapInArrow(run, "a binary, b binary"))
 
 
 def _pair(left, right):
@@ -295,6 +301,11 @@ def _overlapping(x, y):
     return (F.least(x["common"], y["common"]) >= (x["n"] + y["n"]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6) & _alike_slots(x, y)
 
 
+def _at_home(x: str, y: str):
+    """Is this bucket the least of those that two texts share? Only there do they meet."""
+    return F.col("bucket") == F.array_min(F.array_intersect(x, y))
+
+
 def rare_pairs(texts: DataFrame) -> DataFrame:
     """Pairs of texts of unlike class that list one rare shingle; at most ``RARE`` list one."""
     fields = ["content", "comp", "n", *FILLS]
@@ -363,17 +374,18 @@ def linked_contents(sketched: DataFrame, docs: DataFrame, text: str) -> DataFram
             large = held.where(F.col("total") > SMALL)
             if bounds is None:
                 texts = settle_rows(large.select("content", "comp", "n").distinct(), rows)
-                bounds = settle(shingle_bounds(texts.select("content", "n"), words))
+                sketches = sketched.select("content", "sketch").join(texts.select("content"), "content", "left_semi").dropDuplicates(["content"])
+                bounds = settle(shingle_bounds(texts.select("content", "n"), words).join(sketches, "content"))
                 by_pair = by_pair.select("p.*").unionByName(rare_pairs(texts.join(bounds, "content"))).select(F.struct("a", "b").alias("p"))
             large = large.join(bounds.drop("rarest"), "content").where(F.col("common") >= SIMILARITY * F.col("n") - 1e-6)
             rivals = large if turn == 3 else large.where(F.col("comp") != F.col("largest"))
             first = (F.col("n") - 2 * F.col("common")).alias("first")
-            seats = _few(rivals.select("bucket", F.struct(first, F.xxhash64("bucket", "content").alias("h"), *seat, "common", *FILLS).alias("c")), centres)
+            seats = _few(rivals.select("bucket", F.struct(first, F.xxhash64("bucket", "content").alias("h"), *seat, "common", *FILLS, "sketch").alias("c")), centres)
             centres = CENTRES if turn == 3 else centres * GROWTH
         seats = settle_rows(seats, rows)
         fields = traits if turn <= 2 else ["n", "common", *FILLS]
         own, centre = {m: F.col(m) for m in fields}, {m: F.col(f"c.{m}") for m in fields}
-        fits = _promising(own, centre) if turn <= 2 else _overlapping(own, centre)
+        fits = _promising(own, centre) if turn <= 2 else _overlapping(own, centre) & _at_home("sketch", "c.sketch")
         pairs = large.join(seats, "bucket").where((F.col("comp") != F.col("c.comp")) & fits).select(_pair(F.col("content"), F.col("c.content")).alias("p"))
         pairs = (pairs if by_pair is None else pairs.unionByName(by_pair)).select("p.*").distinct()
         pairs = settle_rows(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows)

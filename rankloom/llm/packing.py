@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from rankloom.llm.bpe import unpack, word_bpe
-from rankloom.llm.texts import text_slices
+from rankloom.llm.texts import bound_batches, text_slices
 from rankloom.session import settle
 
 #: Patterns are fitted on lengths rounded up to so many steps of a sequence.
@@ -232,7 +232,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, encoder: Callable[[], Ca
                 columns += [pa.array(c, pa.int64()) for c in zip(*table)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.list_(pa.int64()))] * ids, names=schema.names)
 
-    return df.select(doc_id, text).mapInArrow(run, schema)
+    return bound_batches(df).select(doc_id, text).mapInArrow(run, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, *, steps: int = STEPS) -> DataFrame:

@@ -7,6 +7,7 @@ memory follows ``SLICE_BYTES`` and the longest single text, not the batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 SLICE_BYTES = 1 << 20
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 16
+#: Bytes of an Arrow batch, where the session does not say.
+BATCH_BYTES = 4 << 20
+#: What Spark gives for a bound that nobody set.
+_DEFAULT_BATCH = f"{64 << 20}b"
 #: The white space that bounds a word: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,6 +29,16 @@ WORDS = r"[^\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Have Spark cut Arrow batches at ``BATCH_BYTES`` too, not at a number of rows
+    alone; a bound that the session sets itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(name) == _DEFAULT_BATCH:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``limit`` text bytes, or one row."""
     if not batch.num_rows:
@@ -62,26 +79,34 @@ def seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP)
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 to the 64th, up to a block's length."""
+    out = []
+    for b in (int(_STEP), pow(int(_STEP), -1, 1 << 64)):
+        steps = np.full(BLOCK + 1, b, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 to the 64th."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        base = int(_STEP)
-        for i, b in enumerate((base, pow(base, -1, 1 << 64))):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps)
-    return _POWERS
+def _long_word(word: np.ndarray) -> np.ndarray:
+    """The polynomial of one word that is longer than a block, block by block."""
+    up, down = _powers()
+    value = np.zeros(1, np.uint64)
+    for lo in range(0, len(word), BLOCK):
+        part = word[lo : lo + BLOCK].astype(np.uint64) + np.uint64(1)
+        n = len(part)
+        value = (value + (part * down[:n]).sum(keepdims=True)) * up[n]
+    return value
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word of each text, and the rows' offsets in the words.
 
     A word is a run of bytes other than white space inside one text. Prefix sums
-    of a polynomial give all hashes of a slice at once.
+    of a polynomial give the hashes of a block of words at once; a longer word is a
+    block of its own, so that memory beside the text follows ``BLOCK``.
     """
     n = len(data)
     if not n:
@@ -97,10 +122,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1] = False
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * up[ends]
+    up, down = _powers()
+    value = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = int(np.searchsorted(ends, lo + BLOCK, side="right"))
+        if j == i:
+            value[i : i + 1] = _long_word(data[lo : ends[i]])
+            i += 1
+            continue
+        part = data[lo : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * down[: len(part)], out=sums[1:])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        value[i:j] = (sums[b] - sums[a]) * up[b]
+        i = j
     return mix(value ^ (ends - starts).astype(np.uint64) * _STEP), np.searchsorted(starts, offsets)
 
 
@@ -172,7 +209,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: Se
                 columns = [part.column(c) for c in kept] + list(fn(part.column(text)))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
-    return df.mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(run, schema)
 
 
 def sparse_counts(df: DataFrame, columns: Sequence[str], make: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
@@ -193,7 +230,7 @@ def sparse_counts(df: DataFrame, columns: Sequence[str], make: Callable[[], tupl
             s = slots[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(flat[s].astype(np.int64))], names=["slot", "n"])
 
-    return df.select(*columns).mapInArrow(run, "slot long, n long").groupBy("slot").sum("n").withColumnRenamed("sum(n)", "n")
+    return bound_batches(df).select(*columns).mapInArrow(run, "slot long, n long").groupBy("slot").sum("n").withColumnRenamed("sum(n)", "n")
 
 
 def dense(counts: DataFrame, size: int) -> np.ndarray:

@@ -91,6 +91,19 @@ def test_word_hashes_respect_rows_and_white_space():
     assert got[0] == got[4][::-1] and got[1] != got[0]
 
 
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    from rankloom.llm import texts as module
+
+    some = ["a bb  ccc", "x" * 100 + " tail", None, "y" * 33, "", " ".join(map(str, range(50)))]
+    want, rows = word_hashes(*text_bytes(pa.array(some)))
+    for size in (1, 7, 32, 33):
+        monkeypatch.setattr(module, "BLOCK", size)
+        module._powers.cache_clear()
+        got, same = word_hashes(*text_bytes(pa.array(some)))
+        assert got.tolist() == want.tolist() and same.tolist() == rows.tolist()
+    module._powers.cache_clear()
+
+
 def test_gram_sums_equal_loop():
     texts = ["abcd", "abc", "", "abcdefgh", "zz" * 50]
     data, offsets = text_bytes(pa.array(texts))
