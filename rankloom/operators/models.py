@@ -158,25 +158,49 @@ def standardize(df: DataFrame, vec: str, train: DataFrame, p: int, name: str = "
     return out.withColumn(name, F.zip_with(V.subtract(V.as_double(vec), F.col("_m")), safe, lambda a, b: a / b)).drop("_m", "_s")
 
 
+def deal(counts: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """Deal groups, largest first, each to the lightest fold, lower numbers first.
+
+    ``counts`` lists (size, number of groups of it) by descending size. Gives runs
+    (size, first, length, order): of the groups of that size, those from ``first``
+    on go to the folds of ``order`` in turn. The lightest folds take turns until
+    they reach the next one, so runs number at most ``folds`` squared per size,
+    whatever the number of groups.
+    """
+    load, runs = [0] * folds, []
+    for size, number in counts:
+        at = 0
+        while at < number:
+            ranked = sorted(range(folds), key=lambda f: (load[f], f))
+            # The longest head of folds that would all be served before its first is due again.
+            again = (load[ranked[0]] + size, ranked[0])
+            turn = [f for f in ranked if (load[f], f) < again]
+            cycles = (number - at) // len(turn)
+            if len(turn) < folds:
+                f, o = turn[-1], ranked[len(turn)]
+                cycles = min(cycles, (load[o] - load[f] - (f > o)) // size + 1)
+            length = cycles * len(turn) if cycles > 0 else min(len(turn), number - at)
+            for i, f in enumerate(turn):
+                load[f] += size * (cycles if cycles > 0 else int(i < length))
+            runs.append((size, at, length, turn))
+            at += length
+    return runs
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): groups by descending size, each to the lightest fold.
 
-    Up to ``MAX_GROUPS`` group sizes are dealt on the driver; with more groups
-    than that they are dealt back and forth in size order, which balances as well.
+    Groups of one size are told apart by their order alone, so the driver deals
+    sizes, not groups: n rows have at most the root of 2 n distinct ones. Rows
+    without a group are left out; no rows give no groups.
     """
-    sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
-    rows = sizes.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        o = ordinals(sizes, [], [(-F.col("n")).alias("neg"), group], pos="_p", total="_t")
-        turn, place = F.floor((F.col("_p") - 1) / folds), (F.col("_p") - 1) % folds
-        return o.select(group, F.when(turn % 2 == 0, place).otherwise(folds - 1 - place).cast("int").alias("fold"))
-    load, out = [0] * folds, []
-    for r in sorted(rows, key=lambda r: (-r["n"], r[group])):
-        f = load.index(min(load))
-        load[f] += r["n"]
-        out.append((r[group], f))
-    kind = dict(sizes.dtypes)[group]
-    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
+    sizes = settle(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    counts = [(r["n"], r["k"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()]
+    runs = df.sparkSession.createDataFrame(deal(counts, folds), "n long, _first long, _length long, _order array<int>")
+    placed = ordinals(sizes, ["n"], [group], pos="_p", total="_t").withColumn("_at", F.col("_p") - 1).join(runs, "n")
+    inside = F.col("_at") - F.col("_first")
+    turn = (inside % F.size("_order")).cast("int")
+    return placed.where((inside >= 0) & (inside < F.col("_length"))).select(group, F.get("_order", turn).alias("fold"))
 
 
 def _by_case(models: Mapping, col: str, x: str) -> Column:

@@ -161,3 +161,44 @@ def test_calibration_is_chosen_on_validation_rows(spark):
     assert other.scheme == found.scheme and other.final == found.final
     with pytest.raises(ValueError):
         choose([r for r in rows if r[5] != "validation"])
+
+
+def test_folds_are_dealt_to_the_lightest_at_any_number_of_groups():
+    import random
+
+    from rankloom.operators.models import deal
+
+    rng = random.Random(5)
+    for case in range(300):
+        folds = rng.randint(1, 6)
+        sizes = sorted({rng.choice([rng.randint(1, 9), rng.randint(1, 400)]) for _ in range(rng.randint(1, 6))}, reverse=True)
+        counts = [(n, rng.choice([1, 2, 7, 60])) for n in sizes]
+        load, want = [0] * folds, []
+        for n, k in counts:
+            for i in range(k):
+                f = load.index(min(load))
+                load[f] += n
+                want.append((n, i, f))
+        runs = deal(counts, folds)
+        got = [(n, first + i, turn[i % len(turn)]) for n, first, length, turn in runs for i in range(length)]
+        assert got == want, (case, counts, folds)
+    # A size that very many groups share takes no more runs.
+    assert len(deal([(10**9, 3), (7, 10**12), (1, 10**12 + 1)], 5)) <= 75
+
+
+def test_group_folds_equal_the_sequential_deal(spark):
+    rows = [(f"g{i:03d}", j) for i in range(60) for j in range(1 + (i * 7) % 5)] + [(None, 0)]
+    df = spark.createDataFrame(rows, "g string, j int")
+    sizes: dict[str, int] = {}
+    for g, _ in rows:
+        if g is not None:
+            sizes[g] = sizes.get(g, 0) + 1
+    load, want = [0] * 4, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        f = load.index(min(load))
+        load[f] += sizes[g]
+        want[g] = f
+    from rankloom.operators.models import group_folds
+
+    assert {r["g"]: r["fold"] for r in group_folds(df, "g", 4).collect()} == want
+    assert group_folds(df.where("j < 0"), "g", 4).count() == 0
