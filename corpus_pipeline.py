@@ -6,6 +6,7 @@ Each stage reads the whole output of the stage before it, written as Parquet.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,28 @@ from rankloom.llm.queries import PII_KEY, vocabulary
 from rankloom.session import ensure_checkpoint_dir, settle
 
 
+#: The columns of ``documents`` that stages read.
+READ = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def carries(stage):
+    """Keep further columns of the input out of a stage's way, in one column that no
+    other is named like, and give them back in their places."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in READ]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        held = "extra" + "_" * max(map(len, extra))
+        own = [c for c in docs.columns if c in READ]
+        out = stage(spark, docs.select(*own, F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra)]).alias(held)), sf_dir)
+        return out.select(*[F.col(held)[f"c{extra.index(c)}"].alias(c) if c in extra else F.col(c) for c in docs.columns])
+
+    return run_stage
+
+
+@carries
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language stays undecided; ``lang`` becomes the one found.
 
@@ -36,17 +59,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("lang", F.coalesce("_language", "lang")).select(docs.columns)
 
 
+@carries
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the countable rules or the n-gram ratio."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels).where("kept").select(docs.columns)
 
 
+@carries
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates."""
     return drop_near_duplicates(docs).select(docs.columns)
 
 
+@carries
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal values by pseudonyms of the same format."""
     return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
