@@ -18,17 +18,30 @@ ROUNDS = 8
 #: Classes of characters that a string's pseudonym keeps, place by place.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def _short(sign: str) -> str:
+    """Month and day without leading zeros, of which at least one has one digit."""
+    return f"[1-9]{sign}(?:[1-9]|[12][0-9]|3[01]){sign}|1[0-2]{sign}[1-9]{sign}"
+
+
 #: Formats in order of precedence. Lookarounds keep matches off longer words and numbers.
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "worldphone": r"(?<![A-Za-z0-9+])\+[1-9](?:[ .-]?[0-9]){9,14}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])",
-    "iso": r"(?<![A-Za-z0-9/-])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![A-Za-z0-9/-])",
+    "iso": r"(?<![A-Za-z0-9/-])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?:(?=T[0-9]{2}:?[0-9]{2})|(?![A-Za-z0-9/-]))",
     "dotted": r"(?<![A-Za-z0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![A-Za-z0-9])",
     "monthfirst": r"(?<![A-Za-z0-9/-])(?:(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/|(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])-)(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
     "dayfirst": r"(?<![A-Za-z0-9/-])(?:(?:1[3-9]|2[0-9]|3[01])/(?:0[1-9]|1[0-2])/|(?:1[3-9]|2[0-9]|3[01])-(?:0[1-9]|1[0-2])-)(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
+    "shortmonth": rf"(?<![A-Za-z0-9/-])(?:{_short('/')}|{_short('-')})(?:19|20)[0-9]{{2}}(?![A-Za-z0-9/-])",
+    "shortday": r"(?<![A-Za-z0-9/-])(?:(?:1[3-9]|2[0-9]|3[01])/[1-9]/|(?:1[3-9]|2[0-9]|3[01])-[1-9]-)(?:19|20)[0-9]{2}(?![A-Za-z0-9/-])",
+    "dayword": rf"(?<![A-Za-z0-9.,/-])(?:[1-9]|[12][0-9]|3[01]) (?:{_MONTHS}) (?:19|20)[0-9]{{2}}(?![A-Za-z0-9])",
+    "monthword": rf"(?<![A-Za-z0-9])(?:{_MONTHS}) (?:[1-9]|[12][0-9]|3[01]), (?:19|20)[0-9]{{2}}(?![A-Za-z0-9])",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![A-Za-z0-9]|\.[0-9])",
 }
 #: Of 1900 to 2099, all days count: 17 x 4297.
@@ -211,6 +224,19 @@ def _phone(m: Column, key: str) -> Column:
     return refill(m, F.concat(F.substr(number, F.lit(1), F.length(number) - 10), new))
 
 
+def _worldphone(m: Column, key: str) -> Column:
+    """The first three digits, which hold the country, stay; the others are permuted.
+    Numbers of country code 1 fare as in the other notations of phone numbers."""
+    number = digits_of(m)
+    k = F.length(number) - 3
+    low = F.floor(k / 2).cast("int")
+    power = lambda n: F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).cast("long")
+    rest = F.substr(number, F.lit(4), k).cast("long")
+    new = F.lpad(permute_number(rest, power(k - low), power(low), key, F.concat(F.lit("phone"), F.substr(number, F.lit(1), F.lit(3)), k.cast("string"))).cast("string"), k, F.lit("0"))
+    american = number.startswith("1") & (F.length(number) == 11)
+    return F.when(american, _phone(m, key)).otherwise(refill(m, F.concat(F.substr(number, F.lit(1), F.lit(3)), new)))
+
+
 def _ssn(m: Column, key: str) -> Column:
     part = lambda a, k: F.substr(m, F.lit(a), F.lit(k)).cast("long")
     area = part(1, 3) - 1 - F.when(part(1, 3) > 666, 1).otherwise(0)
@@ -255,11 +281,16 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole("iban"), _iban(m, key))
         .when(whole("card"), _card(m, key))
         .when(whole("phone"), _phone(m, key))
+        .when(whole("worldphone"), _worldphone(m, key))
         .when(whole("ssn"), _ssn(m, key))
         .when(whole("iso"), _date(m, key, "yyyy-MM-dd", "yyyy/MM/dd"))
         .when(whole("dotted"), _date(m, key, "dd.MM.yyyy"))
         .when(whole("monthfirst"), _date(m, key, "MM/dd/yyyy", "MM-dd-yyyy"))
         .when(whole("dayfirst"), _date(m, key, "dd/MM/yyyy", "dd-MM-yyyy", late=True))
+        .when(whole("shortmonth"), _date(m, key, "M/d/yyyy", "M-d-yyyy"))
+        .when(whole("shortday"), _date(m, key, "d/M/yyyy", "d-M-yyyy", late=True))
+        .when(whole("dayword"), _date(m, key, "d MMMM yyyy"))
+        .when(whole("monthword"), _date(m, key, "MMMM d, yyyy"))
         .otherwise(_ip(m, key))
     )
     return F.coalesce(new, m)
@@ -272,8 +303,16 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", changed: str
     repeated rows fare alike. ``changed`` names a column for the number of values
     replaced, which takes the place of an input column of that name. A permutation
     may leave single values as they are. Whoever holds the key can invert it.
+
+    A date's pseudonym is a date in the same notation, equal days stay equal in all
+    notations but day-first ones; without leading zeros, its length may change. Phone
+    numbers after a plus sign keep their first three digits, and take in digits that
+    follow them after one blank.
     """
-    out = docs.withColumn("_checked", F.when(F.col(text).rlike("[0-9]"), checked_values(F.col(text))))
+    extra = [c for c in docs.columns if c != text and c != changed]
+    held = "_held" + "_" * max(map(len, docs.columns))
+    out = docs.select(F.struct(*extra).alias(held) if extra else F.lit(0).alias(held), text)
+    out = out.withColumn("_checked", F.when(F.col(text).rlike("[0-9]"), checked_values(F.col(text))))
     out = out.withColumn("_format", F.coalesce(format_with(F.col("_checked")), F.lit(any_format())))
     has = F.col(text).rlike("[0-9@]") & ((F.size("_checked") > 0) | F.col(text).rlike(any_format()))
     matches = F.when(has, F.regexp_extract_all(F.col(text), F.col("_format"), F.lit(0)))
@@ -282,4 +321,6 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", changed: str
     pieces = F.zip_with(gaps, "_new", lambda g, n: F.concat(g, F.coalesce(n, F.lit(""))))
     if changed:
         out = out.withColumn(changed, F.coalesce(F.size(F.filter(F.arrays_zip(F.col("_matches").alias("a"), F.col("_new").alias("b")), lambda p: p["a"] != p["b"])), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_matches").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))).drop("_checked", "_format", "_matches", "_new")
+    replaced = F.when(F.col("_matches").isNull(), F.col(text)).otherwise(F.array_join(pieces, "")).alias(text)
+    names = [c for c in docs.columns if c != changed] + ([changed] if changed else [])
+    return out.select(*[replaced if c == text else F.col(c) if c == changed else F.col(held)[c].alias(c) for c in names])
