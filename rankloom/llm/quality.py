@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rankloom.llm.ngrams import LABELLED, UNIT, Ratio, fit_ratio, labelled_sample
-from rankloom.llm.texts import gram_counts, gram_sums, map_texts, text_bytes
+from rankloom.llm.ngrams import LABELLED, UNIT, Ratio, fit_ratio, labelled_ids, labelled_sample
+from rankloom.llm.texts import SPACE, bound_batches, gram_counts, gram_sums, map_texts, text_bytes, text_slices
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _SOLID = re.compile(r"[^\x20\x09-\x0D]").search
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-#: Share of the trusted sample that the threshold must let pass.
+#: Share of the trusted documents that the threshold must let pass.
 PASS = 0.998
 #: Scores are compared in steps of this size where the threshold is set.
 STEP = 1 / 512
@@ -38,34 +38,40 @@ def rule_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated
 
 
-def ratio_scores(docs: DataFrame, ratio: Ratio, text: str, name: str = "llr") -> DataFrame:
-    """Add the mean log-likelihood ratio per window; a text without windows has 0."""
+def ratio_bins(docs: DataFrame, ratio: Ratio, doc_id: str, text: str) -> DataFrame:
+    """(_doc, b): the step that the mean log-likelihood ratio per window of each text
+    lies in, without the texts too short for the rules."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio.table)
     bits = ratio.bits
 
-    def make():
-        def fn(column):
-            data, offsets = text_bytes(column)
-            n = gram_counts(offsets)
-            return [pa.array(gram_sums(data, offsets, bits, [shared.value])[0] / np.maximum(n, 1) / UNIT)]
-
-        return fn
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                data, offsets = text_bytes(part.column("_text"))
+                solid = ~SPACE[data]
+                begins = solid.copy()
+                begins[1:] &= ~solid[:-1]
+                edges = offsets[:-1][offsets[:-1] < len(data)]
+                begins[edges] = solid[edges]
+                words = np.diff(np.concatenate(([0], np.cumsum(begins)))[offsets])
+                llr = gram_sums(data, offsets, bits, [shared.value])[0] / np.maximum(gram_counts(offsets), 1) / UNIT
+                steps = pa.array(np.floor(np.clip(llr, -20, 20) / STEP).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), steps], names=["_doc", "b"]).filter(pa.array(words >= LEAST_WORDS))
 
-    return map_texts(docs, text, make, [T.StructField(name, T.DoubleType(), False)])
+    some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    return bound_batches(some).mapInArrow(run, T.StructType([T.StructField("_doc", docs.schema[doc_id].dataType), T.StructField("b", T.IntegerType())]))
 
 
-def threshold(docs: DataFrame, sample: DataFrame, ratio: Ratio, doc_id: str, text: str) -> float:
-    """The ratio below which documents fail, set on the labelled sample.
+def threshold(docs: DataFrame, labelled: DataFrame, ratio: Ratio, doc_id: str, text: str) -> float:
+    """The ratio below which documents fail, set on all labelled documents.
 
     The largest value that ``PASS`` of the trusted documents reach; where the
     other documents lie clear below it, half-way to all but their highest 5 per
     cent. Documents too short for the rules say nothing about the ratio. Without
-    trusted documents nothing fails.
+    trusted documents nothing fails. Ids and steps alone are shuffled.
     """
-    long_enough = F.size(F.split(text, r"[\x20\x09-\x0D]+")) >= LEAST_WORDS
-    known = docs.select(doc_id, text).where(long_enough).join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select(text, "_trusted")
-    step = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("llr"))) / STEP
-    bins = ratio_scores(known, ratio, text).groupBy("_trusted", F.floor(step).cast("int").alias("b")).count().toPandas()
+    each = ratio_bins(docs, ratio, doc_id, text).groupBy("_doc", "b").agg(F.count(F.lit(1)).alias("n"))
+    bins = each.join(labelled, F.col("_doc") == F.col("_id")).groupBy("_trusted", "b").agg(F.sum("n").alias("count")).toPandas()
 
     def quantile(own: int, q: float) -> float | None:
         part = bins[bins["_trusted"] == own].sort_values("b")
@@ -85,12 +91,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
 
     A null text reads as empty and fails the rules. Every row is judged on its
     own text, so ties and repeated rows fare alike; null ids are only never
-    labelled. Without documents there are no rows, without trusted labels the
+    labelled. The target is fitted on at most ``most_labelled`` labelled ids, the
+    threshold on all. Without documents there are no rows, without trusted labels the
     ratio fails none. Input columns with the names of new ones give way.
     """
     sample = labelled_sample(labels, doc_id, quality, toxic, most_labelled)
     ratio = fit_ratio(docs, sample, doc_id, text)
-    least = threshold(docs, sample, ratio, doc_id, text)
+    least = threshold(docs, labelled_ids(labels, doc_id, quality, toxic), ratio, doc_id, text)
     shared = docs.sparkSession.sparkContext.broadcast(ratio.table)
     bits = ratio.bits
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
