@@ -18,6 +18,9 @@ EVIDENCE = 0.25
 #: Strength, in documents, of the suffix over the host and of all over the suffix.
 HOST_STRENGTH = 5.0
 SUFFIX_STRENGTH = 20.0
+#: A host or suffix of more than one in so many documents is looked up without a
+#: shuffle: there are fewer of these than this.
+FREQUENT = 1000
 
 
 def language_code(value: Column) -> Column:
@@ -113,7 +116,18 @@ def identify_languages(docs: DataFrame, *, text: str = "text", declared: Column,
     error = (wrong + 1.0) / (stated + 2.0 * max(1, len(langs)))
     n = sum(total.values())
     overall = F.create_map(*[x for c in codes for x in (F.lit(c), F.lit((total.get(c, 0) + 1.0) / (n + len(codes))))])
-    fused = scored.join(counts("_host"), "_host", "left").join(counts("_suffix"), "_suffix", "left")
+
+    def counted(rows: DataFrame, by: str) -> DataFrame:
+        """Rows with the counts of their host or suffix. The few frequent ones are broadcast;
+        only rows of the others meet their counts in a shuffle, and null ones none."""
+        table = settle(counts(by))
+        frequent = F.col(f"_of{by}") * FREQUENT > n
+        near = rows.join(F.broadcast(table.where(frequent)), by, "left")
+        far = F.col(by).isNotNull() & F.col(f"_of{by}").isNull()
+        rest = near.where(far).select(*rows.columns).join(table.where(~frequent), by, "left")
+        return near.where(~far).unionByName(rest)
+
+    fused = counted(counted(scored, "_host"), "_suffix")
 
     def log_posterior(x: Column) -> Column:
         code = x["code"]
