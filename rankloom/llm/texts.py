@@ -208,6 +208,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: Se
             for part in text_slices(batch, text):
                 columns = [part.column(c) for c in kept] + list(fn(part.column(text)))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
+        pa.default_memory_pool().release_unused()
 
     return bound_batches(df).mapInArrow(run, schema)
 
@@ -229,6 +230,7 @@ def sparse_counts(df: DataFrame, columns: Sequence[str], make: Callable[[], tupl
         for at in range(0, len(slots), 1 << 16):
             s = slots[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(flat[s].astype(np.int64))], names=["slot", "n"])
+        pa.default_memory_pool().release_unused()
 
     return bound_batches(df).select(*columns).mapInArrow(run, "slot long, n long").groupBy("slot").sum("n").withColumnRenamed("sum(n)", "n")
 
