@@ -105,6 +105,83 @@ def test_quality(docs, labels):
     assert all(r.kept != r.base_failed for r in quality_rules(docs, empty(labels)).collect())
 
 
+def window_counts(text, code={}):
+    """Windows of four bytes by bucket, one at a time."""
+    out, data = {}, (text or "").encode()
+    for w in (data[i : i + 4] for i in range(len(data) - 3)):
+        if w not in code:
+            x = int.from_bytes(w, "little")
+            code[w] = ((x ^ x >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+        out[code[w]] = out.get(code[w], 0) + 1
+    return out
+
+
+def plain_ratio(rows, trusted):
+    """Log ratio of each bucket, by plain counts."""
+    raw, target = {}, {}
+    for i, t in rows:
+        for c, n in window_counts(t).items():
+            raw[c] = raw.get(c, 0) + n
+            if i in trusted:
+                target[c] = target.get(c, 0) + n
+    scale = sum(target.values()) / sum(raw.values())
+    return {c: math.log((target.get(c, 0) + 1) / (n * scale + 1)) for c, n in raw.items()}
+
+
+def judged_corpus(spark, tmp_path=None):
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        good = i % 3 > 0
+        mixed = prose(rng, 70, "etaoinshr" if good else "qxzjkvw")
+        rows.append((i, mixed if i % 50 else prose(rng, rng.randrange(60))))
+    rows += [(3, rows[1][1]), (None, rows[2][1]), (901, None)]
+    told = [(i, int(i % 3 > 0), int(i % 11 == 0)) for i in range(0, 900, 2)] + [(4, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = {i for i, q, t in told if q and not t} - {4}
+    return rows, docs, spark.createDataFrame(told, "doc_id long, quality int, toxic int"), trusted, {i for i, *_ in told}
+
+
+def test_quality_equals_plain_python(spark):
+    """Ratio, threshold over all labelled documents, and verdict; the fit sees all labels, then 100."""
+    rows, docs, labels, trusted, told = judged_corpus(spark)
+    ratio = plain_ratio(rows, trusted)
+    mean = [sum(ratio[c] * n for c, n in w.items()) / max(1, sum(w.values())) for w in (window_counts(t) for _, t in rows)]
+    got = quality_rules(docs, labels).collect()
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or "")
+    want = sorted(zip(rows, mean), key=lambda p: (-1 if p[0][0] is None else p[0][0], p[0][1] or ""))
+    got.sort(key=key)
+    assert [r.llr for r in got] == pytest.approx([m for _, m in want], abs=1e-4)
+
+    def cut(scored):
+        known = {1: [], 0: []}
+        for i, n, llr in scored:
+            if i in told and n >= 50:
+                known[i in trusted].append(math.floor(llr * 512))
+        low, high = (sorted(known[k])[min(len(known[k]) - 1, int(q * len(known[k])))] / 512 for k, q in ((1, 1 - 0.998), (0, 0.95)))
+        return low if high >= low else (low + high) / 2
+
+    for most in (40_000, 100):
+        out = quality_rules(docs, labels, most_labelled=most).collect()
+        least = cut([(r.doc_id, r.n_words, r.llr) for r in out])
+        assert all(r.kept == (not r.base_failed and r.llr >= least) for r in out)
+        assert 0 < sum(r.kept for r in out) < len(out)
+
+
+def test_importance_equals_plain_python(spark):
+    rows, docs, labels, trusted, told = judged_corpus(spark)
+    ratio = plain_ratio(rows, trusted)
+    got = importance_sample(docs, labels, toxic="toxic").collect()
+    want = {i: sum(ratio[c] * n for c, n in window_counts(t).items()) for i, t in rows if i not in (3, None)}
+    assert all(r.log_weight == pytest.approx(want[r.doc_id], abs=0.05) for r in got if r.doc_id in want) and len(got) == len(rows)
+    k = round(len(rows) * len(trusted) / len(told))
+    assert sum(r.selected for r in got) == k
+    best = sorted(got, key=lambda r: -r.gumbel_key)
+    assert all(r.selected for r in best[:k])
+    noise = sorted(r.gumbel_key - r.log_weight for r in got)
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.15 and abs(noise[len(noise) // 2] - 0.3665) < 0.15
+
+
 def test_importance(docs, labels):
     rows = importance_sample(docs, labels, k=5).collect()
     assert len(rows) == 14 and sum(r.selected for r in rows) == 5
@@ -141,6 +218,81 @@ def test_language(spark):
     assert identify_languages(empty(df), declared=F.col("lang"), host=F.col("source")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1000, 2])
+def test_language_equals_plain_python(spark, monkeypatch, frequent):
+    """Posteriors from plain counts, with hosts and suffixes broadcast and shuffled."""
+    monkeypatch.setattr("rankloom.llm.language.FREQUENT", frequent)
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randrange(1, 6), "abcdef" if i % 2 else "defghi"), rng.choice(["aa", "bb", "bb" if i % 2 else "aa", None]), rng.choice([None, "plain", "h1.x.fr", "h2.x.fr", f"h{i}.org"])) for i in range(150)]
+    rows += [(500, None, "aa", "h1.x.fr"), (501, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in identify_languages(df, declared=F.col("lang"), host=F.col("source"), keep=["doc_id"]).collect()}
+    size, langs, count = 1 << 14, ["aa", "bb"], {}
+    grams = lambda t: {c: n for c, n in _buckets(t or "", 14)}
+    for _, t, lang, _h in rows:
+        for c, n in grams(t).items():
+            if lang:
+                count.setdefault(lang, {})[c] = count.get(lang, {}).get(c, 0) + n
+    whole = sum(sum(v.values()) for v in count.values())
+
+    def log_p(lang, c):
+        every = (sum(count[x].get(c, 0) for x in langs) + 1) / (whole + size)
+        return math.log((count[lang].get(c, 0) + 0.01 * size * (0.5 * every + 0.5 / size)) / (sum(count[lang].values()) + 0.01 * size))
+
+    logs = {i: [0.25 * sum(n * log_p(x, c) for c, n in grams(t).items()) for x in langs] + [0.25 * -14 * math.log(2) * sum(grams(t).values())] for i, t, *_ in rows}
+    codes = [*langs, "und"]
+    first = {i: codes[logs[i].index(max(logs[i]))] if grams(t) else lang or "und" for i, t, lang, _ in rows}
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    wrong, stated = (sum(1 for i, t, lang, _ in rows if lang and grams(t) and f(i, lang)) for f in (lambda i, lang: lang != first[i], lambda i, lang: True))
+    error = (wrong + 1) / (stated + 4)
+    for i, t, lang, host in rows:
+        out = []
+        for code, log in zip(codes, logs[i]):
+            prior = (sum(f == code for f in first.values()) + 1) / (len(rows) + 3)
+            for of, strength in ((suffix, 20), (lambda h: h, 5)):
+                if of(host) is not None:
+                    same = [j for j, *_, h in rows if of(h) == of(host)]
+                    prior = (sum(first[j] == code for j in same) - (first[i] == code) + strength * prior) / (len(same) - 1 + strength)
+            claim = 1 if not lang else 1 / 2 if code == "und" else 1 - error if code == lang else error
+            out.append(log + math.log(prior) + math.log(claim))
+        best = max(out)
+        assert got[i].language == codes[out.index(best)] and got[i].posterior == pytest.approx(1 / sum(math.exp(x - best) for x in out), abs=1e-3)
+    assert len(got) == len(rows)
+
+
+def _buckets(text, bits):
+    out, data = {}, text.encode()
+    for i in range(len(data) - 3):
+        x = int.from_bytes(data[i : i + 4], "little")
+        c = ((x ^ x >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)
+        out[c] = out.get(c, 0) + 1
+    return out.items()
+
+
+def test_pseudonyms_of_more_formats(spark):
+    same_day = ["2021-03-04", "03/04/2021", "3/4/2021", "4 March 2021", "March 4, 2021"]
+    stamps, phones = ["2021-03-04T10:00:00Z", "x 2021-03-04T10:00"], ["+44 20 7946 0958", "+442079460958", "+17435553824", "+1 (743) 555-3824"]
+    others = ["25/3/2021", "31 February 2021", "12/25/2021", "+123 4567", "2021-03-04Txx"]
+    df = spark.createDataFrame(list(enumerate(same_day + stamps + phones + others)), "doc_id long, text string")
+    got = [r.text for r in pseudonymise(df, "k").orderBy("doc_id").collect()]
+    from datetime import datetime
+
+    days = {datetime.strptime(t, p).date() for t, p in zip(got, ["%Y-%m-%d", "%m/%d/%Y", "%m/%d/%Y", "%d %B %Y", "%B %d, %Y"])}
+    assert len(days) == 1 and str(days.pop()) == got[0] != same_day[0]
+    assert got[5] == got[0] + "T10:00:00Z" and got[6] == "x " + got[0] + "T10:00"
+    assert got[7].replace(" ", "") == got[8] != phones[1] and got[8].startswith("+442") and len(got[8]) == 13
+    assert got[9][1:] == "".join(c for c in got[10] if c.isdigit()) != phones[2][1:]
+    assert got[11] != others[0] and int(got[11].split("/")[0]) > 12 and [got[i] for i in (12, 14, 15)] == [others[i] for i in (1, 3, 4)]
+    n = spark.range(10_000).select(F.concat(F.lit("+49151"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"))
+    assert pseudonymise(n, "k").where("text rlike '^[+]491[0-9]{8}$'").distinct().count() == 10_000
+
+
+def test_pseudonyms_keep_columns_of_inner_names(spark):
+    df = spark.createDataFrame([(1, "4785380592391139", "a", "b", "c", "d", "e")], "doc_id long, text string, _checked string, _format string, _matches string, _new string, _held string")
+    row = pseudonymise(df, "k", changed="n").collect()[0]
+    assert row.asDict() == df.collect()[0].asDict() | {"text": row.text, "n": 1} and row.text != "4785380592391139"
+
+
 def test_pseudonyms(spark):
     values = ["a.b12@mail.example.com", "4785380592391139", "4785-3805-9239-1139", "4785380592391138", "+1 (743) 555-3824", "10.20.30.40", "123-45-6789", "DE89370400440532013000", "1985-02-28", "28.02.1985", "1985-02-30", "plain words", "", None]
     df = spark.createDataFrame([(i, v, "x") for i, v in enumerate(values)] + [(1, values[1], "y")], "doc_id long, text string, n_replaced string")
@@ -239,6 +391,50 @@ def test_secrets_far_apart_and_prefixed(spark):
     assert find_secrets(df, reach=200).where("doc_id = 0 AND size(secrets) > 0").count() == 0
 
 
+def test_secrets_need_other_parts(spark):
+    """Parts complete none that they overlap, and addresses and long names are no secrets."""
+    value = "Zm9vYmFyMTIzNDU2Nzg5MAxyz"
+    cases = {
+        "see https://example.com/Abc123DEF456ghi789jkl0 ok": [],
+        "https://example.com/articles/2021/03/SomeLongTitle-about-things": [],
+        "username: alice https://example.com/Abc123DEF456ghi789jkl0": [],
+        "https://example.com/a CamelCaseIdentifier2021Version": [],
+        "username: alice CamelCaseIdentifier2021Version": [],
+        f"https://example.com/a {value}": [],
+        f"user={value}": [],
+        f"https://db@example.com/a {value}": ["endpoint", "secret"],
+        f"https://example.com/a username: alice {value}": ["endpoint", "identifier", "secret"],
+        f"username: alice https://example.com/a?v={value}": ["identifier", "secret"],
+        "postgres://admin:s3cr-tpw@db.example.com/x": ["endpoint", "identifier", "secret"],
+        "https://example.com/a password=hunter22": ["endpoint", "assign"],
+        "https://example.com/a\n\npassword=hunter22": ["assign"],
+        "aB1aB1aB1aB1aB1aB1aB1aB1 username: alice": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in find_secrets(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_secrets_planted(spark):
+    """Precision and recall of planted credential sets among links, digests and names."""
+    import base64
+
+    rng = random.Random(21)
+    rows, planted = [], {}
+    for i in range(400):
+        noise = [f"https://site{i}.example.com/{base64.urlsafe_b64encode(rng.randbytes(18)).decode()}", "SomeLongClassName2024ForTests", prose(rng, 30), "PROCESS_EVERYTHING_2020_nightly_run"]
+        rng.shuffle(noise)
+        if i % 4 == 0:
+            secret = base64.b64encode(rng.randbytes(24)).decode()
+            parts = [rng.choice(["user=", "DB_USER: ", "client_id = "]) + f"svc{i}", secret]
+            noise[1:1], noise[3:3] = [parts[0]], [parts[1]]
+            planted[i] = secret
+        rows.append((i, " ".join(noise)))
+    got = {r.doc_id: {r.text[s.start : s.end].rstrip("=") for s in r.secrets if s.kind == "secret"} for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = sum(planted[i].rstrip("=") in got[i] for i in planted)
+    assert true >= 0.95 * len(planted) and sum(map(len, got.values())) <= true / 0.98
+
+
 def test_top_k(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(120)] + [(120, [0.0] * 5), (121, None), (122, [None, 1.0]), (123, [float("nan")]), (124, [0.5]), (3, [0.25] * 5), (None, [1.0])]
@@ -283,11 +479,15 @@ def test_packing_round_trip(docs):
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
 
-    docs.drop("kept", "spans").write.parquet(str(tmp_path / "documents.parquet"))
+    # Names of columns that stages add, in both cases, and of inner ones.
+    clash = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["llr", "Accepted", "_id", "_d", "_l", "_digest", "_language", "_accepted", "_own", "_checked", "_new", "content", "language", "a.b"])])
+    clash.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0), (9, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {None, 1, 5, 6, 9}
     base = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in p.STAGES[:-1]:
-        assert stage(spark, base, str(tmp_path)).columns == base.columns
+        out = stage(spark, base, str(tmp_path))
+        assert out.columns == base.columns
+        assert out.select("kept", "spans", "llr", "_own", "`a.b`").distinct().collect() == [("clash", 1, 0, 8, 13)]
         assert stage(spark, empty(base), str(tmp_path)).count() == 0
