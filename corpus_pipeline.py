@@ -19,6 +19,8 @@ from rankloom.llm.queries import PII_KEY, vocabulary
 from rankloom.session import ensure_checkpoint_dir, settle
 
 
+#: Bytes of word tables in a worker of the packing stage, which still holds what earlier stages left.
+TABLES = 40 << 20
 #: The columns of ``documents`` that stages read.
 READ = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -80,7 +82,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2,048 tokens."""
-    return pack_texts(docs, vocabulary(), ids=False)
+    return pack_texts(docs, vocabulary(), ids=False, tables=TABLES)
 
 
 STAGES = [
