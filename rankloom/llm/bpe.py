@@ -21,8 +21,15 @@ from pyspark.sql import DataFrame, types as T
 
 from rankloom.llm.texts import map_texts
 
-#: Above this many trie nodes a task starts a new trie and word table.
-MAX_NODES = 1_000_000
+#: Bytes of the word tables, by estimate, above which a worker begins new ones and
+#: keeps the last ones to look words up in; and bytes that an entry and a character take.
+TABLE_BYTES, ENTRY_BYTES, LETTER_BYTES = 256 << 20, 200, 6
+#: A worker begins a new trie at one node for so many bytes of these.
+NODE_BYTES = 400
+#: A worker forgets what it knows of pairs above so many.
+MAX_PAIRS = 150_000
+#: Words that are encoded at once.
+WORDS_AT_ONCE = 20_000
 #: Code points below this have neither combining marks nor case rules of context.
 PLAIN_END = 0x250
 
@@ -51,6 +58,8 @@ class WordTrie:
         self.left = {t: self._spine(t, made, 0) for t in vocab}
         #: Beginnings of tokens: what a suffix can still grow into.
         self.begun = {t[:i] for t in vocab for i in range(len(t) - len(end) * t.endswith(end) + 1)}
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.grown: dict[tuple[str, str], tuple[str, list[tuple[str, int]]]] = {}
         self.clear()
 
     @staticmethod
@@ -69,8 +78,9 @@ class WordTrie:
         self.last: list[str] = [""]
         self.back: list[int] = [0]
         self.tail: list[str] = [""]
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.grown: dict[tuple[str, str], tuple[str, list[tuple[str, int]]]] = {}
+        for pairs in (self.fits, self.grown):
+            if len(pairs) > MAX_PAIRS:
+                pairs.clear()
 
     def adjacent(self, left: str, right: str) -> bool:
         """May ``right`` follow ``left`` in an encoding?
@@ -161,9 +171,10 @@ class WordBpe:
     are normalised and cut by the library's own components, then encoded alike.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, tables: int = TABLE_BYTES) -> None:
         from tokenizers import Tokenizer
 
+        self.tables = tables
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -193,30 +204,49 @@ class WordBpe:
         self.trie.clear()
         self.known: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.renew()
+
+    def renew(self) -> None:
+        """Begin new tables; words of the last ones move over when they are met again."""
+        self.known_before, self.known = self.known, {}
+        self.runs_before, self.runs = self.runs, {}
+        self.held = 0
+
+    def hold(self, table: dict[str, bytes], entries: dict[str, bytes]) -> None:
+        table.update(entries)
+        self.held += ENTRY_BYTES * len(entries) + LETTER_BYTES * sum(map(len, entries))
 
     def learn(self, words: set[str]) -> None:
-        """Encode byte-level words that are new to the task, all at once."""
+        """Encode byte-level words that are new to the tables, many at once."""
         fresh = words.difference(self.known)
-        self.known.update(self.trie.encode(fresh))
+        again = {w: self.known_before[w] for w in fresh.intersection(self.known_before)}
+        self.hold(self.known, again)
+        new = sorted(fresh.difference(again))
+        for lo in range(0, len(new), WORDS_AT_ONCE):
+            if len(self.trie.last) > self.tables // NODE_BYTES:
+                self.trie.clear()
+            self.hold(self.known, self.trie.encode(new[lo : lo + WORDS_AT_ONCE]))
 
     def learn_runs(self, fresh: set[str]) -> None:
         """Encode runs of plain text without white space; no word crosses their ends."""
         level, cut, spelt, whole = self.byte_level, self.cut, {}, {}
-        for run in fresh:
+        again = {r: self.runs_before[r] for r in fresh.intersection(self.runs_before)}
+        self.hold(self.runs, again)
+        for run in fresh.difference(again):
             if run.isascii() and run.isalpha():
                 whole[run] = run.lower()
             else:
                 spelt[run] = [w if w.isascii() and w.isprintable() else level(w) for w in cut(run.lower())]
         self.learn({w for ws in spelt.values() for w in ws}.union(whole.values()))
         look = self.known.__getitem__
-        self.runs.update({r: look(w) for r, w in whole.items()})
-        self.runs.update({r: b"".join(map(look, ws)) for r, ws in spelt.items()})
+        self.hold(self.runs, {r: look(w) for r, w in whole.items()})
+        self.hold(self.runs, {r: b"".join(map(look, ws)) for r, ws in spelt.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as the tokenizers library gives without added special
         tokens, packed as little-endian unsigned 32-bit integers."""
-        if len(self.trie.last) > MAX_NODES or len(self.runs) > MAX_NODES:
-            self.clear()
+        if self.held > self.tables:
+            self.renew()
         parts, fresh_runs, fresh_words = [], set(), set()
         for text in texts:
             cut = []
@@ -248,10 +278,12 @@ def unpack(ids: bytes) -> list[int]:
 _OPEN: dict[str, WordBpe] = {}
 
 
-def word_bpe(path: str) -> WordBpe:
-    """The encoder of a file, opened once per worker process."""
+def word_bpe(path: str, tables: int = TABLE_BYTES) -> WordBpe:
+    """The encoder of a file, opened once per worker process. ``tables`` bounds its
+    word tables, in bytes: less memory, more words encoded again, equal ids."""
     if path not in _OPEN:
         _OPEN[path] = WordBpe(path)
+    _OPEN[path].tables = tables
     return _OPEN[path]
 
 

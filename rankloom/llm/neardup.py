@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from rankloom.llm.graphs import labels, settle_rows, stars
-from rankloom.llm.texts import bound_batches, dense, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
+from rankloom.llm.texts import bound_batches, dense, give_back, map_texts, mix, seeds, text_bytes, text_slices, word_hashes
 from rankloom.session import settle
 
 SHINGLE = 5
@@ -188,6 +188,7 @@ def packed_words(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                         content.append(d)
                         words.append(hashes[a:b].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(content, pa.binary()), pa.array(words, pa.binary())], names=["content", "words"])
+        give_back()
 
     some = bound_batches(docs).select(text).mapInArrow(run, "content binary, words binary")
     return some.join(wanted, "content", "left_semi").groupBy("content").agg(F.first("words").alias("words"))
@@ -214,6 +215,8 @@ def similar_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
             good = [aligned_similarity(of(x.as_py()), of(y.as_py())) >= SIMILARITY - 1e-12 for x, y in zip(batch.column("wa"), batch.column("wb"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        shingles = {}
+        give_back()
 
     joined = pairs.join(words.select(F.col("content").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("content").alias("b"), F.col("words").alias("wb")), "b")
     few = joined.select("a", "b", "wa", "wb").coalesce(max(pairs.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_PAIRS)))

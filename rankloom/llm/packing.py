@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from rankloom.llm.bpe import unpack, word_bpe
-from rankloom.llm.texts import bound_batches, text_slices
+from rankloom.llm.bpe import TABLE_BYTES, unpack, word_bpe
+from rankloom.llm.texts import bound_batches, give_back, text_slices
 from rankloom.session import settle
 
 #: Patterns are fitted on lengths rounded up to so many steps of a sequence.
@@ -231,6 +231,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, encoder: Callable[[], Ca
                 columns = [rows.column(doc_id).take(pa.array(doc, pa.int64()))]
                 columns += [pa.array(c, pa.int64()) for c in zip(*table)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces, pa.list_(pa.int64()))] * ids, names=schema.names)
+        give_back()
 
     return bound_batches(df).select(doc_id, text).mapInArrow(run, schema)
 
@@ -263,13 +264,13 @@ def pack_pieces(pieces: DataFrame, capacity: int, *, steps: int = STEPS) -> Data
     return ranked.mapInArrow(run, schema)
 
 
-def pack_texts(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, ids: bool = True, steps: int = STEPS) -> DataFrame:
+def pack_texts(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, ids: bool = True, steps: int = STEPS, tables: int = TABLE_BYTES) -> DataFrame:
     """Tokenise texts, cut what is longer than ``capacity`` and pack the pieces.
 
     A null or empty text is ``end_id`` alone. Null ids stay null. Other columns
-    of the input are left out. ``sequences`` puts the packed ids together.
+    of the input are left out. ``tables`` bounds a worker's word tables in bytes. ``sequences`` puts the packed ids together.
     """
-    pieces = settle(token_pieces(df, doc_id, text, lambda: word_bpe(vocabulary).encode, capacity, end_id, ids=ids))
+    pieces = settle(token_pieces(df, doc_id, text, lambda: word_bpe(vocabulary, tables).encode, capacity, end_id, ids=ids))
     return pack_pieces(pieces, capacity, steps=steps)
 
 

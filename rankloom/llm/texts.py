@@ -6,6 +6,7 @@ memory follows ``SLICE_BYTES`` and the longest single text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
@@ -29,6 +30,15 @@ WORDS = r"[^\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Return memory that nothing uses to the system: workers outlive their tasks, and
+    stages would add up what each kept."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bound_batches(df: DataFrame) -> DataFrame:
     """Have Spark cut Arrow batches at ``BATCH_BYTES`` too, not at a number of rows
     alone; a bound that the session sets itself stays."""
@@ -208,7 +218,7 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable], fields: Se
             for part in text_slices(batch, text):
                 columns = [part.column(c) for c in kept] + list(fn(part.column(text)))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return bound_batches(df).mapInArrow(run, schema)
 
@@ -230,7 +240,7 @@ def sparse_counts(df: DataFrame, columns: Sequence[str], make: Callable[[], tupl
         for at in range(0, len(slots), 1 << 16):
             s = slots[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(flat[s].astype(np.int64))], names=["slot", "n"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return bound_batches(df).select(*columns).mapInArrow(run, "slot long, n long").groupBy("slot").sum("n").withColumnRenamed("sum(n)", "n")
 

@@ -30,12 +30,18 @@ def test_bpe_equals_library():
         assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
-def test_bpe_forgets_without_harm(monkeypatch):
+@pytest.mark.parametrize("tables", [0, 900, 40_000])
+def test_bpe_forgets_without_harm(monkeypatch, tables):
     import rankloom.llm.bpe as bpe
 
-    monkeypatch.setattr(bpe, "MAX_NODES", 3)
-    own = WordBpe(vocabulary())
-    assert own.encode(["some words here"]) == own.encode(["some words here"]) == WordBpe(vocabulary()).encode(["some words here"])
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 2)
+    own, other = WordBpe(vocabulary(), tables), WordBpe(vocabulary())
+    rng = random.Random(tables)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["some", "Words", "here,", "x’s", "<|endoftext|>", "日本語", str(rng.randrange(9))]) for _ in range(20))]
+        assert own.encode(texts) == other.encode(texts)
+    assert len(own.runs) + len(own.runs_before) <= (30 if tables < 40_000 else 60)
 
 
 @pytest.mark.parametrize("lengths", [[], [5], [2048] * 7, [1500] * 40, [3] * 900, list(range(1, 2049, 7)), [int(x) for x in np.random.default_rng(2).lognormal(6, 1, 3000).clip(1, 2048)]])
