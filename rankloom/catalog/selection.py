@@ -58,15 +58,15 @@ def _train(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", F.concat("lang", "source").alias("class_h"))
 
 
-def _relations(spark, sf):
+def _relations(spark, sf, every=False):
     t = _train(spark, sf)
     bench = t.join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi").withColumnRenamed("doc_id", "bench_id")
     return L.leakage_relations(t, bench, train_id="doc_id", bench_id="bench_id",
-                               exact=[("exact_sequence", ["text"])], classes=[("same_class", "class_h")])
+                               exact=[("exact_sequence", ["text"])], classes=[("same_class", "class_h")], every=every)
 
 
 def leakage_exact(spark, sf):
-    return _relations(spark, sf).select("doc_id", "bench_id", "reason", "sequence_identity", "query_coverage")
+    return _relations(spark, sf, every=True).select("doc_id", "bench_id", "reason", "sequence_identity", "query_coverage")
 
 
 def leakage_eligibility(spark, sf):
@@ -75,7 +75,7 @@ def leakage_eligibility(spark, sf):
 
 
 def leakage_summary(spark, sf):
-    return L.leakage_summary(_train(spark, sf), settle(_relations(spark, sf)), "doc_id")
+    return L.leakage_summary(_train(spark, sf), settle(_relations(spark, sf, every=True)), "doc_id")
 
 
 def train_bench_overlap(spark, sf):
@@ -231,6 +231,8 @@ b AS (SELECT t.* FROM t JOIN labels USING (doc_id) WHERE toxic = 1),
 rel AS (SELECT DISTINCT t.doc_id, b.doc_id::varchar AS bench_id, 'exact_sequence' AS reason, 1.0::double AS sequence_identity, 1.0::double AS query_coverage FROM t JOIN (SELECT text, min(doc_id) AS doc_id FROM b WHERE trim(text) <> '' GROUP BY text) b ON t.text = b.text
  UNION ALL SELECT doc_id, '*', 'same_class', NULL, NULL FROM t WHERE class_h IN (SELECT class_h FROM b)),
 el AS (SELECT t.doc_id, rel.doc_id IS NULL AS eligible_for_training, coalesce(rs, '') AS reasons FROM t LEFT JOIN (SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS rs FROM rel GROUP BY doc_id) rel ON t.doc_id = rel.doc_id)"""
+#: The same with every benchmark row of a text, not the least alone.
+_EVERY = _BENCH.replace("(SELECT text, min(doc_id) AS doc_id FROM b WHERE trim(text) <> '' GROUP BY text)", "(SELECT text, doc_id FROM b WHERE trim(text) <> '')")
 
 
 #: Letters beyond ASCII, for an edit distance that counts bytes.
@@ -276,9 +278,9 @@ SQL = {
     "candidate_funnel": f"""WITH {_DOCS}, c AS (SELECT doc_id, lang || source AS grp, n_chars, count(*) OVER (PARTITION BY lower(md5(text))) AS k FROM documents),
 p AS (SELECT DISTINCT lang || source AS grp FROM d WHERE toxic = 1)
 SELECT doc_id, grp, n_chars FROM c WHERE k = 1 AND n_chars >= 100 AND grp NOT IN (SELECT grp FROM p) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n_chars, doc_id) = 1""",
-    "leakage_exact": f"WITH {_BENCH} SELECT * FROM rel",
+    "leakage_exact": f"WITH {_EVERY} SELECT * FROM rel",
     "leakage_eligibility": f"WITH {_BENCH} SELECT * FROM el",
-    "leakage_summary": f"WITH {_BENCH} SELECT 'total' AS measure, count(*) AS n FROM el UNION ALL SELECT 'eligible', count(*) FILTER (eligible_for_training) FROM el UNION ALL SELECT 'excluded', count(*) FILTER (NOT eligible_for_training) FROM el UNION ALL SELECT 'relations_' || reason, count(*) FROM rel GROUP BY reason",
+    "leakage_summary": f"WITH {_EVERY} SELECT 'total' AS measure, count(*) AS n FROM el UNION ALL SELECT 'eligible', count(*) FILTER (eligible_for_training) FROM el UNION ALL SELECT 'excluded', count(*) FILTER (NOT eligible_for_training) FROM el UNION ALL SELECT 'relations_' || reason, count(*) FROM rel GROUP BY reason",
     "train_bench_overlap": """WITH t AS (SELECT lang || source AS class_h, quality FROM documents JOIN labels USING (doc_id)), s AS (SELECT class_h, bool_or(quality = 1) AS g, bool_or(quality = 0) AS b FROM t GROUP BY ALL)
 SELECT class_h, CASE WHEN g AND b THEN 'both' WHEN g THEN 'left' ELSE 'right' END AS side FROM s""",
     "kmer_similarity": f"WITH bq AS (SELECT item_id AS id, text FROM benchmark), dt AS (SELECT doc_id AS id, text FROM documents), {_similar('bq', 'dt', 8, 0.3)} SELECT q AS item_id, t AS doc_id, {_HIT}, {_SIM} FROM hit",

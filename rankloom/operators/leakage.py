@@ -20,13 +20,15 @@ def _known(c: str) -> Column:
 def leakage_relations(
     train: DataFrame, bench: DataFrame, hits: DataFrame | None = None, *, train_id: str, bench_id: str,
     exact: Sequence[tuple[str, Sequence[str]]] = (), classes: Sequence[tuple[str, str]] = (), threshold: float = 0.30, caseless: Sequence[str] = (),
+    every: bool = False,
 ) -> DataFrame:
     """Distinct (train id, benchmark id, reason, similarity) relations.
 
     ``exact`` pairs a reason with the columns that must agree, those in ``caseless``
     in either case; ``classes`` pairs a reason with a class column, reported once
     against ``*``. Rows of one key are named by the least id among the benchmark's,
-    so neither a common text nor a common class multiplies rows.
+    so neither a common text nor a common class multiplies rows; with ``every``,
+    an exact key gives one row for each benchmark row that holds it.
     """
     none = F.lit(None).cast("double")
     tail = lambda i, q, t: [i.alias("sequence_identity"), q.alias("query_coverage"), t.alias("target_coverage")]
@@ -35,7 +37,9 @@ def leakage_relations(
         keys = [(F.lower(c) if c in caseless else F.col(c)).alias(f"_k{i}") for i, c in enumerate(cols)]
         names = [f"_k{i}" for i in range(len(cols))]
         ok_t = train.where(_all([_known(c) for c in cols])).select(train_id, *keys)
-        ok_b = bench.where(_all([_known(c) for c in cols])).select(bench_id, *keys).groupBy(*names).agg(F.min(bench_id).alias(bench_id))
+        ok_b = bench.where(_all([_known(c) for c in cols])).select(bench_id, *keys)
+        if not every:
+            ok_b = ok_b.groupBy(*names).agg(F.min(bench_id).alias(bench_id))
         one = F.lit(1.0)
         cover = one if "sequence" in reason else none
         parts.append(ok_t.join(ok_b, names).select(
