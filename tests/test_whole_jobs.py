@@ -18,3 +18,8 @@ def copies(spark, tmp_path):
 def test_exact_leakage_names_every_benchmark_row(spark, copies):
     rows = S.leakage_exact(spark, copies).where("reason = 'exact_sequence'").collect()
     assert sorted((r["doc_id"], r["bench_id"]) for r in rows) == [(d, b) for d in (1, 2, 4) for b in ("2", "4")]
+
+
+def test_leakage_summary_counts_every_relation(spark, copies):
+    counts = {r["measure"]: r["n"] for r in S.leakage_summary(spark, copies).collect()}
+    assert counts["relations_exact_sequence"] == 6 and counts["total"] == 6
