@@ -16,6 +16,7 @@ from rankloom.operators import geometry as G
 from rankloom.operators import matching as X
 from rankloom.operators import ordering as O
 from rankloom.operators import profiles as P
+from rankloom.operators import similarity as M
 from rankloom.session import settle
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -112,12 +113,7 @@ def mutation_parse(spark, sf):
 
 def unique_substring(spark, sf):
     """Where a benchmark passage starts in a document, if it occurs once."""
-    from rankloom.catalog.selection import _hits
-
-    h = _hits(spark, sf).where("sequence_identity = 1 AND query_coverage = 1").select("item_id", "doc_id")
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("part"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return h.join(b, "item_id").join(d, "doc_id").select("item_id", "doc_id", Q.occurrences_start("text", "part").alias("start"))
+    return M.contained(table(spark, sf, "benchmark"), table(spark, sf, "documents"), qid="item_id", tid="doc_id", qseq="text", tseq="text")
 
 
 def _points(spark, sf, start=1, prefix=""):

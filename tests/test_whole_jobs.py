@@ -3,6 +3,7 @@
 import pytest
 
 from rankloom.catalog import selection as S
+from rankloom.catalog import structures as T
 from rankloom.operators import leakage as L
 
 
@@ -23,3 +24,12 @@ def test_exact_leakage_names_every_benchmark_row(spark, copies):
 def test_leakage_summary_counts_every_relation(spark, copies):
     counts = {r["measure"]: r["n"] for r in S.leakage_summary(spark, copies).collect()}
     assert counts["relations_exact_sequence"] == 6 and counts["total"] == 6
+
+
+def test_a_passage_is_found_behind_earlier_copies_of_its_words(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    texts = {1: passage[30:] + " and " + passage[:40] + " then " + passage, 2: passage + passage, 3: passage[1:], 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("p", passage), ("q", "aa"), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {(r["item_id"], r["doc_id"]): r["start"] for r in T.unique_substring(spark, str(tmp_path)).collect()}
+    assert rows == {("p", 1): texts[1].index(passage), ("p", 2): None}
