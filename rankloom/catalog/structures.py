@@ -132,7 +132,7 @@ def contact_edges(spark, sf):
 
 
 def contact_degrees(spark, sf):
-    return G.contact_degrees(G.contact_edges(_points(spark, sf), ["label"], "position", CUT, 3), ["label"])
+    return G.degrees_within(_points(spark, sf), ["label"], "position", CUT, 3)
 
 
 def _with_ss(df):

@@ -1,12 +1,13 @@
 """Contact edges, mappings and structure measures over coordinate tables.
 
 Coordinates are columns x, y, z (one row per position) or ``array<double>``
-atoms. Neighbours meet on grid cells, so the work grows with the contacts.
+atoms. Neighbours meet as blocks of points on grid cells; pairs become rows only
+where a query returns them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,36 +18,133 @@ from rankloom.functions import vectors as V
 from rankloom.functions.classes import edge_signature
 from rankloom.operators.inference import mix_value
 from rankloom.operators.ordering import ordinals, shuffle_within
+from rankloom.session import settle
 
 AXES = ("x", "y", "z")
 
 
-def neighbours(res: DataFrame, by: Sequence[str], position: str, cutoff: float) -> DataFrame:
-    """Ordered pairs (p, q) of one entity at most ``cutoff`` apart, p <> q.
+#: Points of one cell that travel as one row of arrays.
+BLOCK = 1024
+#: Pairs of points that a task compares in one step.
+STEP_PAIRS = 1 << 18
+#: Points whose sums a task holds before it passes them on.
+HELD_POINTS = 1 << 20
 
-    A row is copied to the 27 cells around it; pairs then meet by cell.
+_PART = ["_px", "_py", "_pz", "_part"]
+
+
+def _near_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float, carried: Sequence[str] = ()) -> DataFrame:
+    """(by, block, p, q): the points of a block, and those of a block in the same or a
+    next cell. Points without coordinates have no neighbours. All rows of a block are
+    in one partition."""
+    by = list(by)
+    clean = res.select(*by, F.col(position).cast("long").alias("at"), *[V.finite(a).alias(a) for a in AXES], *carried).dropna(subset=[*by, "at", *AXES])
+    cells = ["_px", "_py", "_pz"]
+    clean = clean.withColumns({c: F.floor(F.col(a) / cutoff).cast("long") for c, a in zip(cells, AXES)})
+    parts = clean.groupBy(*by, *cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_parts"))
+    dealt = clean.join(parts, [*by, *cells]).withColumn("_part", F.pmod(F.xxhash64("at", *AXES), F.col("_parts")))
+    blocks = settle(dealt.groupBy(*by, *_PART).agg(F.collect_list(F.struct("at", *AXES, *carried)).alias("p")))
+    near = blocks
+    for c in cells:
+        near = near.withColumn("_q" + c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    own = blocks.select(*by, *[F.col(c).alias("_q" + c) for c in cells], F.col("p").alias("q"))
+    pairs = near.join(own, [*by, *["_q" + c for c in cells]]).select(*by, *_PART, "p", "q")
+    # The work is in the pairs, not in the bytes by which partitions are coalesced.
+    spark = res.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return pairs.repartition(tasks, *by, *_PART)
+
+
+def _points_of(column: pa.Array, i: int) -> dict[str, np.ndarray]:
+    points = column.slice(i, 1).flatten()
+    return {f.name: points.field(f.name).to_numpy(zero_copy_only=False) for f in points.type}
+
+
+def _strips(batch: pa.RecordBatch, i: int, cutoff: float):
+    """(first point, some points of block p, those of q, distances, which are near) for row ``i``."""
+    p, q = _points_of(batch.column("p"), i), _points_of(batch.column("q"), i)
+    step = max(1, STEP_PAIRS // max(len(q["at"]), 1))
+    for lo in range(0, len(p["at"]), step):
+        some = {c: v[lo : lo + step] for c, v in p.items()}
+        d = distances(some, q, AXES)
+        yield lo, some, q, d, (d <= cutoff) & (some["at"][:, None] != q["at"][None, :])
+
+
+def distances(p: dict[str, np.ndarray], q: dict[str, np.ndarray], axes: Sequence[str]) -> np.ndarray:
+    d2 = 0.0
+    for a in axes:
+        gap = p[a][:, None] - q[a][None, :]
+        d2 = d2 + gap * gap
+    return np.sqrt(d2)
+
+
+def near_sums(
+    res: DataFrame, by: Sequence[str], position: str, cutoff: float, fold: Callable[..., dict[str, np.ndarray]], names: Sequence[str], carried: Sequence[str] = ()
+) -> DataFrame:
+    """(by, position, sums): what ``fold`` makes of each point and its neighbours, added up.
+
+    ``fold`` takes some points, the points of a block near them, the distances and
+    which pairs are near, and gives a number per point. No pair leaves its task.
     """
-    clean = res.select(*by, position, *[V.finite(a).alias(a) for a in AXES]).dropna(subset=list(AXES))
-    cell = {a: F.floor(F.col(a) / cutoff).cast("long") for a in AXES}
-    near = clean
-    for a in AXES:
-        near = near.withColumn("_c" + a, F.explode(F.array(cell[a] - 1, cell[a], cell[a] + 1)))
-    near = near.withColumnsRenamed({position: "p", **{a: "p" + a for a in AXES}})
-    own = clean.withColumns({"_c" + a: cell[a] for a in AXES}).withColumnsRenamed({position: "q", **{a: "q" + a for a in AXES}})
-    d2 = sum(((F.col("p" + a) - F.col("q" + a)) * (F.col("p" + a) - F.col("q" + a)) for a in AXES), F.lit(0.0))
-    return (
-        near.join(own, [*by, "_cx", "_cy", "_cz"])
-        .where(F.col("p") != F.col("q"))
-        .withColumn("distance", F.sqrt(d2))
-        .where(F.col("distance") <= cutoff)
-        .select(*by, "p", "q", "distance")
-    )
+    by = list(by)
+    schema = T.StructType([*[res.schema[c] for c in by], T.StructField("_at", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(batches):
+        held: dict[tuple, tuple] = {}
+        points = 0
+
+        def passed_on():
+            for keys, at, sums in held.values():
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(at)) for k in keys), pa.array(at), *(pa.array(sums[n]) for n in names)], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            block = list(zip(*(batch.column(c).to_pylist() for c in [*by, *_PART])))
+            for i in range(batch.num_rows):
+                if block[i] not in held:
+                    at = _points_of(batch.column("p"), i)["at"]
+                    held[block[i]] = (tuple(batch.column(c)[i] for c in by), at, {n: np.zeros(len(at)) for n in names})
+                    points += len(at)
+                sums = held[block[i]][2]
+                for lo, p, q, d, near in _strips(batch, i, cutoff):
+                    for n, v in fold(p, q, d, near).items():
+                        sums[n][lo : lo + len(v)] += v
+                if points >= HELD_POINTS:
+                    yield from passed_on()
+                    points = 0
+        yield from passed_on()
+
+    parted = _near_blocks(res, by, position, cutoff, carried).mapInArrow(run, schema)
+    whole = parted.groupBy(*by, "_at").agg(*[F.sum(n).alias(n) for n in names])
+    return whole.withColumn("_at", F.col("_at").cast(res.schema[position].dataType)).withColumnRenamed("_at", position)
 
 
 def contact_edges(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:
     """Undirected contacts (source < target) at least ``sep`` positions apart."""
-    n = neighbours(res, by, position, cutoff).where(F.col("q") - F.col("p") >= sep)
-    return n.select(*by, F.col("p").alias("source"), F.col("q").alias("target"), "distance")
+    by = list(by)
+    kind = res.schema[position].dataType
+    schema = T.StructType([*[res.schema[c] for c in by], T.StructField("source", T.LongType()), T.StructField("target", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for _, p, q, d, near in _strips(batch, i, cutoff):
+                    at, to = np.nonzero(near & (q["at"][None, :] - p["at"][:, None] >= sep))
+                    keys = [pa.repeat(batch.column(c)[i], len(at)) for c in by]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(p["at"][at]), pa.array(q["at"][to]), pa.array(d[at, to])], names=schema.names)
+
+    edges = _near_blocks(res, by, position, cutoff).mapInArrow(run, schema)
+    return edges.withColumns({c: F.col(c).cast(kind) for c in ("source", "target")})
+
+
+def degrees_within(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:
+    """``contact_degrees`` of the contacts of a table, counted where points meet."""
+
+    def fold(p, q, d, near):
+        return {"contact_degree": (near & (np.abs(q["at"][None, :] - p["at"][:, None]) >= sep)).sum(1)}
+
+    out = near_sums(res, by, position, cutoff, fold, ["contact_degree"])
+    return out.withColumn("contact_degree", F.col("contact_degree").cast("long")).where("contact_degree > 0")
 
 
 def contact_degrees(edges: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries do their whole job, and their steps stay bounded."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
-from rankloom.operators import leakage as L
+from rankloom.operators import geometry as G
 
 
 @pytest.fixture
@@ -33,3 +36,27 @@ def test_a_passage_is_found_behind_earlier_copies_of_its_words(spark, tmp_path):
     spark.createDataFrame([("p", passage), ("q", "aa"), ("n", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = {(r["item_id"], r["doc_id"]): r["start"] for r in T.unique_substring(spark, str(tmp_path)).collect()}
     assert rows == {("p", 1): texts[1].index(passage), ("p", 2): None}
+
+
+def _cloud(spark, n=600, entities=2):
+    """Points of which most lie in few cells, in blocks of their own; (rows, table)."""
+    rng = np.random.default_rng(5)
+    rows = [(e, i, *(float(v) for v in rng.normal(size=3) * 0.2), ["helix", "strand", "turn_or_coil"][(i * 7 + e) % 3]) for e in range(entities) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "label int, position long, x double, y double, z double, ss string")
+
+
+def _contacts(rows, cutoff=0.25, sep=3):
+    out = []
+    for e in sorted({r[0] for r in rows}):
+        at = np.array([r[2:5] for r in rows if r[0] == e])
+        d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+        out += [(e, int(i), int(j), d[i, j]) for i, j in zip(*np.nonzero(d <= cutoff)) if j - i >= sep]
+    return out
+
+
+def test_degrees_are_counted_without_a_row_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 32)
+    rows, table = _cloud(spark)
+    out = G.degrees_within(table, ["label"], "position", 0.25, 3)
+    want = Counter(k for e, i, j, _ in _contacts(rows) for k in ((e, i), (e, j)))
+    assert {(r["label"], r["position"]): r["contact_degree"] for r in out.collect()} == want
