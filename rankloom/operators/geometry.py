@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from rankloom.functions import vectors as V
 from rankloom.functions.classes import edge_signature
@@ -147,19 +147,34 @@ def degrees_within(res: DataFrame, by: Sequence[str], position: str, cutoff: flo
     return out.withColumn("contact_degree", F.col("contact_degree").cast("long")).where("contact_degree > 0")
 
 
+def contact_totals(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:
+    """(by, mean separation, number) of the contacts of each entity, added up where points meet."""
+
+    def fold(p, q, d, near):
+        gap = q["at"][None, :] - p["at"][:, None]
+        held = near & (gap >= sep)
+        return {"gap_": np.where(held, gap, 0).sum(1), "edges_": held.sum(1)}
+
+    out = near_sums(res, by, position, cutoff, fold, ["gap_", "edges_"]).groupBy(*by).agg(F.sum("gap_").alias("_g"), F.sum("edges_").cast("long").alias("_e"))
+    return out.where("_e > 0").select(*by, (F.col("_g") / F.col("_e")).alias("_gap"), "_e")
+
+
 def contact_degrees(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     ends = edges.select(*by, F.explode(F.array("source", "target")).alias("position"))
     return ends.groupBy(*by, "position").agg(F.count(F.lit(1)).alias("contact_degree"))
 
 
-def structure_descriptors(res: DataFrame, edges: DataFrame, by: Sequence[str], position: str, ss: str | None = None) -> DataFrame:
-    """Contact order, radius of gyration, mean degree and class fractions per entity."""
+def structure_descriptors(
+    res: DataFrame, edges: DataFrame | None, by: Sequence[str], position: str, ss: str | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """Contact order, radius of gyration, mean degree and class fractions per entity,
+    from its contacts or from their ``contact_totals``."""
     shape = res.groupBy(*by).agg(
         F.count(F.lit(1)).alias("length"),
         F.sqrt(sum((F.var_pop(a) for a in AXES), F.lit(0.0))).alias("radius_of_gyration"),
         *([F.avg((F.col(ss) == c).cast("double")).alias(f"{c}_fraction") for c in ("helix", "strand")] if ss else []),
     )
-    e = edges.groupBy(*by).agg(F.avg(F.col("target") - F.col("source")).alias("_gap"), F.count(F.lit(1)).alias("_e"))
+    e = totals if totals is not None else edges.groupBy(*by).agg(F.avg(F.col("target") - F.col("source")).alias("_gap"), F.count(F.lit(1)).alias("_e"))
     out = shape.join(e, list(by), "left")
     return out.withColumns({
         "mean_contact_order": F.coalesce(F.col("_gap") / F.col("length"), F.lit(0.0)),
@@ -259,6 +274,63 @@ def edge_signatures(edges: DataFrame, nodes: DataFrame, by: Sequence[str], lengt
     return out.withColumn("_s", sig).select(*edges.columns, "_s.*")
 
 
+def signature_counts(res: DataFrame, by: Sequence[str], position: str, length: DataFrame, cls: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:
+    """Number and mean distance of the contacts of each signature, from sums by
+    separation and classes that tasks make where points meet."""
+    by = list(by)
+    names = ["_gap", "_a", "_b", "_n", "_d"]
+    kinds = [T.LongType(), T.StringType(), T.StringType(), T.LongType(), T.DoubleType()]
+    schema = T.StructType([*[res.schema[c] for c in by], *[T.StructField(n, t) for n, t in zip(names, kinds)]])
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        values: dict[tuple, tuple] = {}
+
+        def rows(keys, a, b, gap, n, d):
+            return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(gap)) for k in values[keys]), pa.array(gap.astype(np.int64)), pa.array([a] * len(gap), pa.string()), pa.array([b] * len(gap), pa.string()), pa.array(n.astype(np.int64)), pa.array(d)], names=schema.names)
+
+        def passed_on():
+            for (keys, a, b), (n, d) in held.items():
+                gap = np.flatnonzero(n)
+                yield rows(keys, a, b, gap, n[gap], d[gap])
+            held.clear()
+
+        for batch in batches:
+            entity = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            for i in range(batch.num_rows):
+                values.setdefault(entity[i], tuple(batch.column(c)[i] for c in by))
+                for _, p, q, d, near in _strips(batch, i, cutoff):
+                    gap = q["at"][None, :] - p["at"][:, None]
+                    near &= gap >= sep
+                    for a in set(p["_cls"]):
+                        for b in set(q["_cls"]):
+                            at = np.ix_(p["_cls"] == a, q["_cls"] == b)
+                            one = near[at]
+                            gaps, far = gap[at][one], d[at][one]
+                            if not len(gaps):
+                                continue
+                            size = int(gaps.max()) + 1
+                            if size > HELD_POINTS:
+                                own, which = np.unique(gaps, return_inverse=True)
+                                yield rows(entity[i], a, b, own, np.bincount(which), np.bincount(which, far))
+                                continue
+                            sums = held.get((entity[i], a, b), np.zeros((2, 0)))
+                            if sums.shape[1] < size:
+                                sums = np.pad(sums, ((0, 0), (0, 2 * size - sums.shape[1])))
+                            sums[0, :size] += np.bincount(gaps, minlength=size)
+                            sums[1, :size] += np.bincount(gaps, far, minlength=size)
+                            held[entity[i], a, b] = sums
+                if sum(v.shape[1] for v in held.values()) >= 4 * HELD_POINTS:
+                    yield from passed_on()
+        yield from passed_on()
+
+    found = _near_blocks(res.withColumn("_cls", F.col(cls)), by, position, cutoff, ["_cls"]).mapInArrow(run, schema)
+    sums = found.groupBy(*by, "_gap", "_a", "_b").agg(F.sum("_n").alias("_n"), F.sum("_d").alias("_d")).join(length, by)
+    sig = edge_signature(F.lit(0), F.col("_gap"), F.col("length"), F.col("_a"), F.col("_b"))
+    return sums.withColumn("_s", sig).groupBy(*by, "_s.separation", "_s.classes", "_s.contact_order").agg(
+        F.sum("_n").alias("n_edges"), (F.sum("_d") / F.sum("_n")).alias("mean_distance"))
+
+
 def residue_summary(res: DataFrame, by: Sequence[str], has: str, ss: str) -> DataFrame:
     """Missing count and share, and helix / strand shares of the resolved rows."""
     ok = F.col(has)
@@ -303,10 +375,20 @@ def apply_map(mapping: DataFrame, rows: DataFrame, entity: str, position: str =
 
 def sample_edges(edges: DataFrame, by: Sequence[str], frac: float, seeds: Sequence[int]) -> DataFrame:
     """Drop a fixed share of the edges of each entity, once per seed; keeps the rest."""
-    e = edges.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    by = list(by)
     x = mix_value(F.col("source") * 100003 + F.col("target"), F.col("seed"), 17)
-    o = ordinals(e.withColumn("_x", x), [*by, "seed"], ["_x", "source", "target"], pos="_p", total="_n")
-    return o.where(F.col("_p") > F.rint(F.col("_n") * frac)).drop("_x", "_p", "_n")
+    e = edges.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_x", x).withColumn("_bucket", F.shiftright("_x", 15))
+    # Counts of buckets of the hash tell where the cut lies; only its bucket is sorted.
+    counts = settle(e.groupBy(*by, "seed", "_bucket").agg(F.count(F.lit(1)).alias("_k")).dropna(subset=by))
+    group = W.partitionBy(*by, "seed")
+    drop = F.rint(F.sum("_k").over(group) * frac)
+    upto = F.sum("_k").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumns({"_drop": drop, "_upto": upto}).where("_upto >= _drop")
+    cut = settle(placed.groupBy(*by, "seed").agg(F.min(F.struct(F.col("_bucket").alias("cut"), (F.col("_drop") - F.col("_upto") + F.col("_k")).alias("left"))).alias("_c")).select(*by, "seed", "_c.*"))
+    met = e.join(cut, [*by, "seed"])
+    kept = met.where("_bucket > cut").select(*edges.columns, "seed")
+    o = ordinals(settle(met.where("_bucket = cut")), [*by, "seed"], ["_x", "source", "target"], pos="_p", total="_n")
+    return kept.unionByName(o.where("_p > left").select(*edges.columns, "seed"))
 
 
 def superpose(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -358,24 +440,28 @@ def local_geometry(
 
     ``pairs`` holds the reference (ax, ay, az) and the laid-on set (mx, my, mz).
     """
-    ref = pairs.select(*by, position, *[F.col("a" + a).alias(a) for a in AXES])
+    by = list(by)
     disp2 = sum(((F.col("a" + a) - F.col("m" + a)) * (F.col("a" + a) - F.col("m" + a)) for a in AXES), F.lit(0.0))
-    info = pairs.select(*by, position, *[F.col("m" + a).alias("_" + a) for a in AXES], disp2.alias("_d2"))
-    near = neighbours(ref, by, position, max(local, lddt, contact))
-    p = info.withColumnsRenamed({position: "p", **{"_" + a: "_p" + a for a in AXES}, "_d2": "_pd2"})
-    q = info.withColumnsRenamed({position: "q", **{"_" + a: "_q" + a for a in AXES}, "_d2": "_qd2"})
-    both = near.join(p, [*by, "p"]).join(q, [*by, "q"])
-    moved = F.sqrt(sum(((F.col("_p" + a) - F.col("_q" + a)) * (F.col("_p" + a) - F.col("_q" + a)) for a in AXES), F.lit(0.0)))
-    both = both.withColumns({"_moved": moved}).withColumn("_err", F.abs(F.col("_moved") - F.col("distance")))
-    close, scored = F.col("distance") <= local, (F.col("distance") > 0) & (F.col("distance") <= lddt)
-    touch = (F.col("distance") <= contact) & (F.abs(F.col("p") - F.col("q")) >= sep)
-    share = sum(((F.col("_err") < t).cast("double") for t in thresholds), F.lit(0.0)) / float(len(thresholds))
-    agg = both.groupBy(*by, F.col("p").alias(position)).agg(
-        F.coalesce(F.sum(F.when(close, F.col("_qd2"))), F.lit(0.0)).alias("_s"),
-        F.count_if(close).alias("_k"),
-        F.avg(F.when(scored, share)).alias("lddt"),
-        F.avg(F.when(touch, (F.col("_moved") <= contact).cast("double"))).alias("contact_retention"),
+    info = pairs.select(*by, position, *[F.col("a" + a).alias(a) for a in AXES], *[F.col("m" + a).cast("double").alias("_" + a) for a in AXES], disp2.cast("double").alias("_d2"))
+    moved_axes = ["_" + a for a in AXES]
+
+    def fold(p, q, d, near):
+        moved = distances(p, q, moved_axes)
+        known = near & ~np.isnan(moved)
+        err = np.abs(moved - d)
+        scored = known & (d > 0) & (d <= lddt)
+        touch = known & (d <= contact) & (np.abs(q["at"][None, :] - p["at"][:, None]) >= sep)
+        close = near & (d <= local)
+        hits = sum(((err < t) & scored).sum(1) for t in thresholds)
+        return {"_s": close @ np.nan_to_num(q["_d2"]), "_k": close.sum(1), "_hits": hits, "_scored": scored.sum(1), "_kept": (touch & (moved <= contact)).sum(1), "_touch": touch.sum(1)}
+
+    sums = near_sums(info, by, position, max(local, lddt, contact), fold, ["_s", "_k", "_hits", "_scored", "_kept", "_touch"], [*moved_axes, "_d2"])
+    agg = sums.select(
+        *by, position, "_s", F.col("_k").cast("long").alias("_k"),
+        (F.col("_hits") / float(len(thresholds)) / F.nullif("_scored", F.lit(0.0))).alias("lddt"),
+        (F.col("_kept") / F.nullif("_touch", F.lit(0.0))).alias("contact_retention"),
     )
+    info = info.drop(*AXES)
     out = info.join(agg, [*by, position], "left").fillna(0, ["_s", "_k"])
     # The position itself belongs to its own neighbourhood.
     return out.select(

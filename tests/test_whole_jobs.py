@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
@@ -60,3 +61,41 @@ def test_degrees_are_counted_without_a_row_per_pair(spark, monkeypatch):
     out = G.degrees_within(table, ["label"], "position", 0.25, 3)
     want = Counter(k for e, i, j, _ in _contacts(rows) for k in ((e, i), (e, j)))
     assert {(r["label"], r["position"]): r["contact_degree"] for r in out.collect()} == want
+
+
+def test_contact_sums_equal_those_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 32)
+    rows, table = _cloud(spark)
+    found = _contacts(rows)
+    totals = {r["label"]: (r["_gap"], r["_e"]) for r in G.contact_totals(table, ["label"], "position", 0.25, 3).collect()}
+    for e in (0, 1):
+        gaps = [j - i for k, i, j, _ in found if k == e]
+        assert totals[e] == (pytest.approx(np.mean(gaps)), len(gaps))
+    cls = {(r[0], r[1]): r[5] for r in rows}
+    length = spark.createDataFrame([(0, 600), (1, 600)], "label int, length long")
+    got = {(r["label"], r["separation"], r["classes"], r["contact_order"]): r["n_edges"] for r in G.signature_counts(table, ["label"], "position", length, "ss", 0.25, 3).collect()}
+    sign = lambda g: ("3_to_5" if g <= 5 else "6_to_11" if g <= 11 else "12_to_23" if g <= 23 else "24_plus", "local" if g / 600 <= 0.1 else "mesoscale" if g / 600 <= 0.25 else "long_range")
+    want = Counter((e, sign(j - i)[0], "__".join(sorted((cls[e, i], cls[e, j]))), sign(j - i)[1]) for e, i, j, _ in found)
+    assert got == want
+
+
+def test_local_geometry_makes_no_row_per_pair(spark):
+    rows, table = _cloud(spark, 40)
+    pairs = table.select("label", "position", *[F.col(a).alias("a" + a) for a in "xyz"], *[(F.col(a) * 1.1).alias("m" + a) for a in "xyz"])
+    out = G.local_geometry(pairs, ["label"], "position", local=0.2, lddt=0.3, thresholds=(0.02,), contact=0.25)
+    assert "MapInArrow" in out._jdf.queryExecution().toString() and out.count() == len(rows)
+    edges = G.contact_edges(table, ["label"], "position", 0.25, 3)
+    assert "MapInArrow" in edges._jdf.queryExecution().toString()
+    assert {(r["label"], r["source"], r["target"]) for r in edges.collect()} == {c[:3] for c in _contacts(rows)}
+
+
+def test_sampled_edges_sort_one_bucket_alone(spark):
+    edges = spark.range(400).select((F.col("id") % 2).alias("e"), F.col("id").alias("source"), (F.col("id") + 3).alias("target"))
+    out = G.sample_edges(edges, ["e"], 0.25, [1, 2])
+    kept = {(r["seed"], r["e"], r["source"]) for r in out.collect()}
+    for seed in (1, 2):
+        x = {i: int(mixed(np.array([i * 100003 + i + 3]), np.array([seed]), 17)[0, 0]) for i in range(400)}
+        for e in (0, 1):
+            own = sorted(range(e, 400, 2), key=lambda i: (x[i], i))
+            assert {i for s, k, i in kept if (s, k) == (seed, e)} == set(own[50:])
+    assert "shiftright" in out._jdf.queryExecution().toString() or "_bucket" in out._jdf.queryExecution().toString()
