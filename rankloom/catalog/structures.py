@@ -141,7 +141,7 @@ def _with_ss(df):
 
 def structure_descriptors(spark, sf):
     p = settle(_with_ss(_points(spark, sf)))
-    return rounded(G.structure_descriptors(p, G.contact_edges(p, ["label"], "position", CUT, 3), ["label"], "position", "ss"))
+    return rounded(G.structure_descriptors(p, None, ["label"], "position", "ss", G.contact_totals(p, ["label"], "position", CUT, 3)))
 
 
 def _windows(spark, sf):
