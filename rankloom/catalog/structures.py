@@ -169,9 +169,8 @@ def match_windows(spark, sf):
 
 def edge_signatures(spark, sf):
     p = settle(_with_ss(_points(spark, sf)))
-    e = G.contact_edges(p, ["label"], "position", CUT, 3)
-    out = G.edge_signatures(e, p, ["label"], p.groupBy("label").agg(F.count(F.lit(1)).alias("length")), "ss")
-    return out.groupBy("label", "separation", "classes", "contact_order").agg(F.count(F.lit(1)).alias("n_edges"), r6(F.avg("distance"), "mean_distance"))
+    out = G.signature_counts(p, ["label"], "position", p.groupBy("label").agg(F.count(F.lit(1)).alias("length")), "ss", CUT, 3)
+    return rounded(out)
 
 
 def sampled_edges(spark, sf):
