@@ -147,8 +147,7 @@ def structure_descriptors(spark, sf):
 def _windows(spark, sf):
     p = settle(_with_ss(_points(spark, sf)))
     size = p.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("crop_length"))
-    e = settle(G.contact_edges(p, ["label"], "position", CUT, 3))
-    return p, size, G.window_descriptors(p, e, ["label"], "position", size, "ss")
+    return p, size, G.window_descriptors(p, None, ["label"], "position", size, "ss", cutoff=CUT, sep=3)
 
 
 def window_descriptors(spark, sf):

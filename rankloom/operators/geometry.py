@@ -33,8 +33,8 @@ HELD_POINTS = 1 << 20
 _PART = ["_px", "_py", "_pz", "_part"]
 
 
-def _near_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float, carried: Sequence[str] = ()) -> DataFrame:
-    """(by, block, p, q): the points of a block, and those of a block in the same or a
+def _near_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float, carried: Sequence[str] = (), entities: DataFrame | None = None) -> DataFrame:
+    """(by, block, p, q, columns of ``entities``): the points of a block, and those of a block in the same or a
     next cell. Points without coordinates have no neighbours. All rows of a block are
     in one partition."""
     by = list(by)
@@ -43,12 +43,14 @@ def _near_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float
     clean = clean.withColumns({c: F.floor(F.col(a) / cutoff).cast("long") for c, a in zip(cells, AXES)})
     parts = clean.groupBy(*by, *cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_parts"))
     dealt = clean.join(parts, [*by, *cells]).withColumn("_part", F.pmod(F.xxhash64("at", *AXES), F.col("_parts")))
-    blocks = settle(dealt.groupBy(*by, *_PART).agg(F.collect_list(F.struct("at", *AXES, *carried)).alias("p")))
+    blocks = dealt.groupBy(*by, *_PART).agg(F.collect_list(F.struct("at", *AXES, *carried)).alias("p"))
+    extra = [c for c in entities.columns if c not in by] if entities is not None else []
+    blocks = settle(blocks.join(entities, by) if extra else blocks)
     near = blocks
     for c in cells:
         near = near.withColumn("_q" + c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     own = blocks.select(*by, *[F.col(c).alias("_q" + c) for c in cells], F.col("p").alias("q"))
-    pairs = near.join(own, [*by, *["_q" + c for c in cells]]).select(*by, *_PART, "p", "q")
+    pairs = near.join(own, [*by, *["_q" + c for c in cells]]).select(*by, *_PART, "p", "q", *extra)
     # The work is in the pairs, not in the bytes by which partitions are coalesced.
     spark = res.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -182,11 +184,11 @@ def structure_descriptors(
     }).drop("_gap", "_e")
 
 
-def crop_table(position: np.ndarray, points: np.ndarray, codes: np.ndarray, source: np.ndarray, target: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
+def crop_table(position: np.ndarray, points: np.ndarray, codes: np.ndarray, steps: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
     """(start, radius, helix, strand, contact order, degree) of all crops of a length.
 
-    Rows add to running sums along the entity and a contact to the starts of the
-    crops that hold both its ends, so a crop is a difference of two look-ups.
+    Rows add to running sums along the entity, so a crop is a difference of two
+    look-ups; ``steps`` are the changes of the contacts held (see ``crop_steps``).
     NaN stands for a value that is not known.
     """
     starts = size - length + 1
@@ -210,43 +212,92 @@ def crop_table(position: np.ndarray, points: np.ndarray, codes: np.ndarray, sour
         spread += np.maximum(share(window(value * value), count) - share(window(value), count) ** 2, 0.0)
     coded = window((codes >= 0).astype(float))
     fractions = [share(window((codes == c).astype(float)), coded) for c in (0, 1)]
-    inside = target - source < length
-    first, last = np.maximum(target[inside] - length + 1, 0), np.minimum(source[inside], starts - 1)
+    n, apart = np.cumsum(steps, axis=1)[:, :starts]
+    order = np.divide(apart, n, out=np.zeros(starts), where=n > 0.5) / length
+    there = rows > 0
+    return tuple(c[there] for c in (np.arange(starts), np.sqrt(spread), *fractions, order, 2 * n / length))
+
+
+def crop_steps(source: np.ndarray, target: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Changes, from one start to the next, of the number and of the summed separation
+    of the contacts that crops of a length hold with both ends."""
+    starts = size - length + 1
+    first, last = np.maximum(target - length + 1, 0), np.minimum(source, starts - 1)
     held = first <= last
-    first, last, apart = first[held], last[held], (target - source)[inside][held]
+    first, last, apart = first[held], last[held], (target - source)[held]
+    come = [np.bincount(first, w, starts + 1) for w in (None, apart)]
+    gone = [np.bincount(last + 1, w, starts + 1) for w in (None, apart)]
+    return np.array(come, float) - np.array(gone, float)
 
-    def contacts(weight: np.ndarray) -> np.ndarray:
-        steps = np.zeros(starts + 1)
-        np.add.at(steps, first, weight)
-        np.add.at(steps, last + 1, -weight)
-        return np.cumsum(steps)[:starts]
 
-    n = contacts(np.ones(len(first)))
-    order = np.divide(contacts(apart.astype(float)), n, out=np.zeros(starts), where=n > 0.5) / length
-    there = rows > 0
-    return tuple(c[there] for c in (np.arange(starts), np.sqrt(spread), *fractions, order, 2 * n / length))
+def _step_rows(pairs: DataFrame, by: Sequence[str], found: Callable) -> DataFrame:
+    """(by, steps): per entity the changes of all its crops, added up over its contacts,
+    which ``found`` yields for a row of a batch; rows have ``size`` and ``lengths``."""
+    by = list(by)
+    schema = T.StructType([*[pairs.schema[c] for c in by], T.StructField("crop_length", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "n", "apart")]])
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        values: dict[tuple, tuple] = {}
+
+        def passed_on():
+            for (keys, length), steps in held.items():
+                at = np.flatnonzero(steps.any(0))
+                n, apart = steps[:, at].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(at)) for k in values[keys]), pa.array(np.full(len(at), length, np.int32)), pa.array(at), pa.array(n), pa.array(apart)], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            entity = list(zip(*(batch.column(c).to_pylist() for c in by)))
+            sizes, lengths = batch.column("size").to_pylist(), batch.column("lengths").to_pylist()
+            for i in range(batch.num_rows):
+                values.setdefault(entity[i], tuple(batch.column(c)[i] for c in by))
+                for source, target in found(batch, i):
+                    for length in lengths[i]:
+                        steps = crop_steps(source, target, sizes[i], length)
+                        held[entity[i], length] = held.get((entity[i], length), 0.0) + steps
+                if sum(v.shape[1] for v in held.values()) >= 4 * HELD_POINTS:
+                    yield from passed_on()
+        yield from passed_on()
+
+    sums = pairs.mapInArrow(run, schema).groupBy(*by, "crop_length", "start").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
+    return sums.groupBy(*by).agg(F.collect_list(F.struct("crop_length", "start", "n", "apart")).alias("steps"))
 
 
 def window_descriptors(
-    res: DataFrame, edges: DataFrame, by: Sequence[str], position: str, lengths: DataFrame, ss: str, max_excess: int | None = None
+    res: DataFrame, edges: DataFrame | None, by: Sequence[str], position: str, lengths: DataFrame, ss: str, max_excess: int | None = None,
+    cutoff: float = 8.0, sep: int = 3,
 ) -> DataFrame:
     """Descriptors of every crop of the wanted ``lengths`` (column ``crop_length``).
 
     An entity is cropped to lengths not above its own, and at most ``max_excess``
-    below. Its rows and contacts travel as one row of arrays, whose running sums
-    give each crop; nothing is copied per crop. Crops without any row are left out.
+    below. Its rows travel as one row of arrays, whose running sums give each crop,
+    with the sums of its contacts: the ``edges``, or without them what lies within
+    ``cutoff``, added up where points meet. Crops without any row are left out.
     """
     by = list(by)
     size = F.max(position).cast("int") + 1
     code = F.when(F.col(ss) == "helix", 0).when(F.col(ss) == "strand", 1).when(F.col(ss).isNotNull(), 2).otherwise(-1)
     point = F.struct(F.col(position).cast("int").alias("at"), *[F.col(a).cast("double").alias(a) for a in AXES], code.alias("code"))
     shape = res.dropna(subset=by).groupBy(*by).agg(F.collect_list(point).alias("rows"), size.alias("size"))
-    contacts = edges.groupBy(*by).agg(F.collect_list(F.struct(F.col("source").cast("int").alias("source"), F.col("target").cast("int").alias("target"))).alias("edges"))
     shortest = F.lit(1) if max_excess is None else F.greatest(F.lit(1), F.col("size") - max_excess)
     wanted = lengths.select(F.col("crop_length").cast("int").alias("crop_length")).distinct()
     crops = shape.select(*by, F.explode(F.sequence(shortest, F.col("size"))).alias("crop_length")).join(wanted, "crop_length", "left_semi")
     crops = crops.groupBy(*by).agg(F.array_sort(F.collect_list("crop_length")).alias("lengths"))
-    whole = shape.join(crops, by).join(contacts, by, "left")
+    sized = settle(shape.select(*by, "size").join(crops, by))
+    if edges is None:
+        def met(batch, i):
+            for _, p, q, _, near in _strips(batch, i, cutoff):
+                at, to = np.nonzero(near & (q["at"][None, :] - p["at"][:, None] >= sep))
+                yield p["at"][at], q["at"][to]
+
+        contacts = _step_rows(_near_blocks(res, by, position, cutoff, entities=sized), by, met)
+    else:
+        def met(batch, i):
+            yield tuple(np.array([batch.column(c)[i].as_py()], np.int64) for c in ("source", "target"))
+
+        contacts = _step_rows(edges.select(*by, "source", "target").join(sized, by), by, met)
+    whole = shape.drop("size").join(sized, by).join(contacts, by, "left")
     names = ("radius_of_gyration", "helix_fraction", "strand_fraction", "mean_contact_order", "mean_contact_degree")
     schema = T.StructType([*[res.schema[c] for c in by], T.StructField("crop_length", T.IntegerType()), T.StructField("crop_start", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
 
@@ -254,14 +305,17 @@ def window_descriptors(
         for batch in batches:
             for i in range(batch.num_rows):
                 one = lambda c, i=i: batch.column(c).slice(i, 1).flatten()
-                rows, pairs = one("rows"), one("edges")
+                rows, changes = one("rows"), one("steps")
                 at, *axes, codes = (rows.field(f).to_numpy(zero_copy_only=False) for f in ("at", *AXES, "code"))
-                source, target = (pairs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("source", "target"))
+                of, start, n_, apart = (changes.field(f).to_numpy(zero_copy_only=False) for f in ("crop_length", "start", "n", "apart"))
+                size = batch.column("size")[i].as_py()
                 for length in one("lengths").to_pylist():
-                    start, *values = crop_table(at, np.array(axes, float), codes, source, target, batch.column("size")[i].as_py(), length)
-                    n = len(start)
+                    steps, own = np.zeros((2, size - length + 2)), of == length
+                    steps[:, start[own]] = n_[own], apart[own]
+                    first, *values = crop_table(at, np.array(axes, float), codes, steps, size, length)
+                    n = len(first)
                     keys = [pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type) for c in by]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(n, length, np.int32)), pa.array(start.astype(np.int32)), *(pa.array(v, pa.float64(), from_pandas=True) for v in values)], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(n, length, np.int32)), pa.array(first.astype(np.int32)), *(pa.array(v, pa.float64(), from_pandas=True) for v in values)], names=schema.names)
 
     return whole.mapInArrow(run, schema)
 

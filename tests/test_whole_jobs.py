@@ -99,3 +99,14 @@ def test_sampled_edges_sort_one_bucket_alone(spark):
             own = sorted(range(e, 400, 2), key=lambda i: (x[i], i))
             assert {i for s, k, i in kept if (s, k) == (seed, e)} == set(own[50:])
     assert "shiftright" in out._jdf.queryExecution().toString() or "_bucket" in out._jdf.queryExecution().toString()
+
+
+def test_crops_count_contacts_where_points_meet(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 16)
+    rows, table = _cloud(spark, 60)
+    lengths = spark.createDataFrame([(50,), (59,), (60,)], "crop_length int")
+    out = G.window_descriptors(table, None, ["label"], "position", lengths, "ss", cutoff=0.25, sep=3)
+    got = {(r["label"], r["crop_length"], r["crop_start"]): r["mean_contact_degree"] for r in out.collect()}
+    found = _contacts(rows)
+    want = {(e, n, s): 2 * sum(k == e and s <= i and j < s + n for k, i, j, _ in found) / n for e in (0, 1) for n in (50, 59, 60) for s in range(61 - n)}
+    assert got == pytest.approx(want)
