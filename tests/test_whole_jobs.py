@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
 from rankloom.operators import geometry as G
+from rankloom.operators.resampling import mixed
 
 
 @pytest.fixture
