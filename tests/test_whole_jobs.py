@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
 from rankloom.operators import geometry as G
+from rankloom.operators import matching as X
 from rankloom.operators.resampling import mixed
 
 
@@ -111,3 +112,25 @@ def test_crops_count_contacts_where_points_meet(spark, monkeypatch):
     found = _contacts(rows)
     want = {(e, n, s): 2 * sum(k == e and s <= i and j < s + n for k, i, j, _ in found) / n for e in (0, 1) for n in (50, 59, 60) for s in range(61 - n)}
     assert got == pytest.approx(want)
+
+
+def test_caliper_match_holds_few_pairs_at_once(spark, monkeypatch):
+    """Pairs in the caliper are many; what a step holds is bounded and the result is the greedy one, with copies and ties."""
+    rng = np.random.default_rng(3)
+    l = [(i, 0, float(u), float(v)) for i, (u, v) in enumerate(np.repeat(rng.integers(0, 60, (80, 2)), 3, 0))]
+    r = [(1000 + i, 0, float(u), float(v)) for i, (u, v) in enumerate(np.repeat(rng.integers(0, 60, (90, 2)), 3, 0))]
+    lt, rt = (spark.createDataFrame(d, "id long, st int, u double, v double") for d in (l, r))
+    edges = X.caliper_edges(lt, rt, "id", ["st"], ["u", "v"], 1.0).collect()
+    monkeypatch.setattr(X, "HELD_PAIRS", 10)
+    monkeypatch.setattr(X, "PAIRS_PER_ROW", 2)
+    held = []
+    plain = X.settle
+    monkeypatch.setattr(X, "settle", lambda d: (held.append(d.count() if "distance" in d.columns else 0), plain(d))[1])
+    got = X.caliper_match(lt, rt, "id", ["st"], ["u", "v"], 1.0).collect()
+    monkeypatch.setattr(X, "settle", plain)
+    used_l, used_r, want = set(), set(), []
+    for d, a, b in sorted((e["distance"], e["l"], e["r"]) for e in edges):
+        if a not in used_l and b not in used_r:
+            used_l.add(a), used_r.add(b), want.append((a, b))
+    assert sorted((g["left_id"], g["right_id"]) for g in got) == sorted(want)
+    assert max(held) < len(edges) / 4
