@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.ordering import ROWS_PER_SPLIT, ordinals, value_ranks
-from rankloom.operators.resampling import MULTIPLIER, PRIME, ROUND_CONSTANTS, RankTerms, array_bounds, rank_sweeps, replicate_means
+from rankloom.operators.resampling import LEVELS, MULTIPLIER, PRIME, ROUND_CONSTANTS, RankTerms, array_bounds, level_sweeps, rank_sweeps, replicate_means
 from rankloom.session import settle
 
 
@@ -198,14 +198,29 @@ def wild_cluster(
     )
 
 
+def _numbered(df: DataFrame, keys: list[str], cl: str, **kw) -> DataFrame:
+    """(keys, cluster, _j, _n): clusters numbered by their key."""
+    names = settle(df.select(*keys, cl).where(F.col(cl).isNotNull()).distinct())
+    return ordinals(names, keys, [cl], pos="_j", total="_n", **kw)
+
+
+def _swept(folded: DataFrame, keys: list[str], terms: RankTerms) -> str | None:
+    """A column in every term whose partners have few distinct values in each group, if there is one."""
+    most = folded.groupBy(*keys).agg(*[F.approx_count_distinct(c).alias(c) for c in terms.columns]).agg(*[F.max(c).alias(c) for c in terms.columns]).first()
+    for column in terms.columns:
+        others = [y if x == column else x if y == column else None for _, x, y in terms.terms]
+        if all(o is not None and (most[o] or 0) <= LEVELS for o in others):
+            return column
+    return None
+
+
 def cluster_draws(df: DataFrame, by: Sequence[str], cl: str, replicates: int, seed: int, **kw) -> DataFrame:
     """(by, replicate, cluster, weight): how often a cluster is drawn.
 
     Replicate 0 is the data as it is. Clusters are numbered by their key.
     """
     keys = list(by)
-    names = settle(df.select(*keys, cl).where(F.col(cl).isNotNull()).distinct())
-    o = ordinals(names, keys, [cl], pos="_j", total="_n", **kw)
+    o = _numbered(df, keys, cl, **kw)
     drawn = _mixed(
         o.select(*keys, "_j", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")),
         "_x", "replicate", "_j", seed,
@@ -228,6 +243,7 @@ def cluster_bootstrap_stat(
 
     Rank correlations (``spearman_stat``) sort each group once for all replicates
     while its distinct rows are at most ``SWEEP_ROWS``; NaN counts as missing there.
+    Larger groups are swept in ranges, where one column meets columns of few levels.
 
     ``stat(rows, keys, weight)`` returns one row per ``keys`` with a column
     ``stat``; ``weight`` counts the copies of a row. Rows that agree in all
@@ -244,6 +260,10 @@ def cluster_bootstrap_stat(
     if largest is not None and largest <= kw.get("rows_per_split", SWEEP_ROWS):
         swept = rank_sweeps(folded, keys, cl, stat, "_copies", replicates, seed, largest)
         out = swept.select(*keys, "estimate", *array_bounds("stats", level))
+    elif largest is not None and (column := _swept(folded, keys, stat)):
+        rows = folded.join(_numbered(folded, keys, cl, **kw), [*keys, cl])
+        swept = level_sweeps(rows, keys, stat, column, "_copies", replicates, seed, **({"rows_per_range": kw["rows_per_split"]} if "rows_per_split" in kw else {}))
+        out = swept.select(*keys, "estimate", *array_bounds("stats", level))
     else:
         draws = cluster_draws(df, keys, cl, replicates, seed, **kw)
         rows = folded.join(draws, [*keys, cl]).withColumn("_w", F.col("_copies") * F.col("weight")).drop("weight", "_copies")

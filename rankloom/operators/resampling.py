@@ -207,3 +207,125 @@ def rank_sweeps(folded: DataFrame, keys: Sequence[str], cl: str, terms: RankTerm
 
     swept = base.select(*keys, "block_", cl, *columns, copies).groupBy(*keys, "block_").applyInArrow(sweep, schema)
     return swept.groupBy(*keys).agg(F.max("estimate").alias("estimate"), F.flatten(F.collect_list("stats")).alias("stats"))
+
+
+#: Distinct values up to which a side of a rank correlation counts as levels.
+LEVELS = 128
+#: Rows of a range of swept values, which one task sorts.
+RANGE_ROWS = 1_000_000
+#: Ranges of one group, and sampled values for each cut between them.
+RANGES, CUT_SAMPLE = 512, 16
+
+
+def value_ranges(rows: DataFrame, keys: Sequence[str], column: str, rows_per_range: int) -> DataFrame:
+    """Rows with ``_b``, the range of their value; equal values share one.
+
+    Cuts come from a sample by hash, so a task that runs again cuts alike.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    pieces = F.least(F.lit(RANGES), F.ceil(F.col("_rows") / rows_per_range))
+    unit = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) / float(1 << 30)
+    sampled = rows.withColumn("_u", unit).join(F.broadcast(sizes), list(keys)).where(F.col("_u") < CUT_SAMPLE * pieces / F.col("_rows"))
+    sample = F.array_sort(F.collect_list(column))
+    cuts = sampled.groupBy(*keys).agg(F.filter(sample, lambda _, i: i % CUT_SAMPLE == CUT_SAMPLE - 1).alias("_cuts"))
+    met = rows.join(F.broadcast(cuts), list(keys), "left")
+    return met.withColumn("_b", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(column))), F.lit(0))).drop("_cuts")
+
+
+def replicate_counts(r: int, n: int, seed: int) -> np.ndarray:
+    """How often replicate ``r`` draws each of ``n`` clusters; once each in replicate 0."""
+    if r == 0:
+        return np.ones(n)
+    return np.bincount(mixed(np.array([r]), np.arange(1, n + 1), seed)[0] % n, minlength=n).astype(float)
+
+
+def _mid(weights: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Weight before each row of a sorted range, with half of its equals'."""
+    if len(starts) == len(weights):
+        return np.cumsum(weights) - weights / 2
+    own = np.add.reduceat(weights, starts)
+    return (np.cumsum(own) - own / 2)[which]
+
+
+def level_sweeps(rows: DataFrame, keys: Sequence[str], terms: RankTerms, swept: str, copies: str, replicates: int, seed: int, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """(keys, estimate, stats) as of ``rank_sweeps`` for groups of any size, where
+    every term pairs ``swept`` with a column of few levels.
+
+    ``rows`` have their cluster's number ``_j`` of ``_n``. A task sorts one range of
+    swept values. Its ranks are those inside the range and the weight of earlier
+    ranges, so per level and replicate the sums of weights and of weights times
+    inner ranks are all that leaves it.
+    """
+    sides = [(factor, y if x == swept else x) for factor, x, y in terms.terms]
+    keys = list(keys)
+    known = rows.where(F.col(swept).isNotNull()).dropna(subset=keys)
+    levels = known.groupBy(*keys).agg(*[F.array_sort(F.collect_set(c)).alias(f"_v{i}") for i, (_, c) in enumerate(sides)])
+    ranged = value_ranges(known, keys, swept, rows_per_range).join(F.broadcast(levels), keys)
+    place = lambda i, c: F.coalesce(F.array_position(f"_v{i}", F.col(c)), F.lit(0)).cast("int").alias(f"_i{i}")
+    base = ranged.select(*keys, "_b", "_j", "_n", swept, copies, *[place(i, c) for i, (_, c) in enumerate(sides)], *[F.size(f"_v{i}").alias(f"_k{i}") for i in range(len(sides))])
+    fields = [base.schema[k] for k in keys]
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("_b", T.IntegerType()), T.StructField("term", T.IntegerType()), *[T.StructField(c, numbers) for c in ("u", "v", "q")]])
+
+    def sweep(group: pa.Table) -> pa.Table:
+        get = lambda c: group.column(c).to_numpy()
+        order = np.argsort(get(swept), kind="stable")
+        value, owner, times = get(swept)[order], (get("_j") - 1)[order], get(copies)[order].astype(float)
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+        n = int(get("_n")[0])
+        at = [get(f"_i{i}")[order] for i in range(len(sides))]
+        size = [int(get(f"_k{i}")[0]) + 1 for i in range(len(sides))]
+        out = [([], [], []) for _ in sides]
+        for r in range(replicates + 1):
+            weights = replicate_counts(r, n, seed)[owner] * times
+            whole = None
+            for i, (u, v, q) in enumerate(out):
+                if at[i].all():
+                    w = weights
+                    inner = whole = _mid(w, starts, which) if whole is None else whole
+                else:
+                    w = weights * (at[i] > 0)
+                    inner = _mid(w, starts, which)
+                both = w * inner
+                u.append(np.bincount(at[i], w, size[i])[1:])
+                v.append(np.bincount(at[i], both, size[i])[1:])
+                q.append(both @ inner)
+        columns = [pa.array([group.column(k)[0].as_py()] * len(sides), group.schema.field(k).type) for k in keys]
+        columns += [pa.array([group.column("_b")[0].as_py()] * len(sides), pa.int32()), pa.array(range(len(sides)), pa.int32())]
+        columns += [pa.array([np.ravel(o[k]) for o in out], pa.list_(pa.float64())) for k in range(3)]
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    def joined(group: pa.Table) -> pa.Table:
+        stats = np.zeros(replicates + 1)
+        group = group.sort_by([("term", "ascending"), ("_b", "ascending")])
+        term = group.column("term").to_numpy()
+        for i, (factor, _) in enumerate(sides):
+            parts = [[np.array(group.column(c)[int(k)].values.to_numpy()) for c in ("u", "v", "q")] for k in np.flatnonzero(term == i)]
+            parts = [(u.reshape(replicates + 1, -1), v.reshape(replicates + 1, -1), q) for u, v, q in parts]
+            level = sum(u for u, _, _ in parts)
+            total = level.sum(1)
+            rx = np.cumsum(level, 1) - level / 2 - total[:, None] / 2
+            xx, xy, yy, before = (level * rx * rx).sum(1), 0.0, 0.0, -total / 2
+            for u, v, q in parts:
+                xy = xy + (rx * (before[:, None] * u + v)).sum(1)
+                yy = yy + before * before * u.sum(1) + 2 * before * v.sum(1) + q
+                before = before + u.sum(1)
+            fits = (xx > 1e-9) & (yy > 1e-9)
+            stats += factor * np.where(fits, xy / np.sqrt(np.where(fits, xx * yy, 1.0)), np.nan)
+        return _stats_row(group, fields, stats)
+
+    swept_ranges = base.groupBy(*keys, "_b").applyInArrow(sweep, schema)
+    return swept_ranges.groupBy(*keys).applyInArrow(joined, T.StructType([*fields, *STATS]))
+
+
+STATS = [T.StructField("estimate", T.DoubleType()), T.StructField("stats", T.ArrayType(T.DoubleType()))]
+
+
+def _stats_row(group: pa.Table, fields: Sequence[T.StructField], stats: np.ndarray) -> pa.Table:
+    """One row of a group's keys, its statistic (replicate 0) and those of the replicates."""
+    none = lambda v: None if np.isnan(v) else float(v)
+    row = [pa.array([group.column(f.name)[0].as_py()], group.schema.field(f.name).type) for f in fields]
+    row += [pa.array([none(stats[0])], pa.float64()), pa.array([[none(v) for v in stats[1:]]], pa.list_(pa.float64()))]
+    return pa.Table.from_arrays(row, names=[*[f.name for f in fields], "estimate", "stats"])

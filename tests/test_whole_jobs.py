@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
 from rankloom.operators import geometry as G
+from rankloom.operators import inference as I
 from rankloom.operators import matching as X
 from rankloom.operators.resampling import mixed
 
@@ -134,3 +135,15 @@ def test_caliper_match_holds_few_pairs_at_once(spark, monkeypatch):
             used_l.add(a), used_r.add(b), want.append((a, b))
     assert sorted((g["left_id"], g["right_id"]) for g in got) == sorted(want)
     assert max(held) < len(edges) / 4
+
+
+def test_large_groups_are_swept_in_ranges_without_a_row_per_draw(spark, monkeypatch):
+    """Groups beyond a sweep give the same interval when one side has few levels; ties, gaps and copies included."""
+    rng = np.random.default_rng(11)
+    rows = [(i % 2, int(rng.integers(0, 30)), float(rng.integers(0, 6)), float(rng.integers(0, 4)), None if i % 17 == 0 else float(rng.integers(0, 300))) for i in range(900)]
+    rows = [(g, c, None if i % 23 == 0 else q, d, y) for i, (g, c, q, d, y) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "g int, c int, q double, d double, y double")
+    run = lambda **kw: sorted(I.group_bootstrap_diff(df, ["g"], "c", "q", "d", "y", 20, 0.9, 2, **kw).collect())
+    whole = run()
+    monkeypatch.setattr(I, "cluster_draws", None)
+    assert [tuple(r) for r in run(rows_per_split=100)] == [pytest.approx(tuple(r)) for r in whole]
