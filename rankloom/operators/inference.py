@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.ordering import ROWS_PER_SPLIT, ordinals, value_ranks
-from rankloom.operators.resampling import LEVELS, MULTIPLIER, PRIME, ROUND_CONSTANTS, RankTerms, array_bounds, level_sweeps, rank_sweeps, replicate_means
+from rankloom.operators.resampling import FEW_CLUSTERS, LEVELS, MULTIPLIER, PRIME, RANGE_ROWS, ROUND_CONSTANTS, RankTerms, array_bounds, level_sweeps, rank_sweeps, replicate_means, tensor_sweeps
 from rankloom.session import settle
 
 
@@ -204,13 +204,17 @@ def _numbered(df: DataFrame, keys: list[str], cl: str, **kw) -> DataFrame:
     return ordinals(names, keys, [cl], pos="_j", total="_n", **kw)
 
 
-def _swept(folded: DataFrame, keys: list[str], terms: RankTerms) -> str | None:
-    """A column in every term whose partners have few distinct values in each group, if there is one."""
+def _swept(folded: DataFrame, keys: list[str], cl: str, terms: RankTerms) -> tuple[str | None, int] | None:
+    """How large groups are swept: none and the most clusters of a group, if these are few;
+    or a column in every term whose partners have few distinct values in each group."""
+    clusters = _largest(folded.select(*keys, cl).where(F.col(cl).isNotNull()).distinct(), keys)
+    if 0 < clusters <= FEW_CLUSTERS:
+        return None, clusters
     most = folded.groupBy(*keys).agg(*[F.approx_count_distinct(c).alias(c) for c in terms.columns]).agg(*[F.max(c).alias(c) for c in terms.columns]).first()
     for column in terms.columns:
         others = [y if x == column else x if y == column else None for _, x, y in terms.terms]
         if all(o is not None and (most[o] or 0) <= LEVELS for o in others):
-            return column
+            return column, clusters
     return None
 
 
@@ -243,7 +247,8 @@ def cluster_bootstrap_stat(
 
     Rank correlations (``spearman_stat``) sort each group once for all replicates
     while its distinct rows are at most ``SWEEP_ROWS``; NaN counts as missing there.
-    Larger groups are swept in ranges, where one column meets columns of few levels.
+    Larger groups are swept in ranges, where clusters are few or one column meets
+    columns of few levels.
 
     ``stat(rows, keys, weight)`` returns one row per ``keys`` with a column
     ``stat``; ``weight`` counts the copies of a row. Rows that agree in all
@@ -260,9 +265,14 @@ def cluster_bootstrap_stat(
     if largest is not None and largest <= kw.get("rows_per_split", SWEEP_ROWS):
         swept = rank_sweeps(folded, keys, cl, stat, "_copies", replicates, seed, largest)
         out = swept.select(*keys, "estimate", *array_bounds("stats", level))
-    elif largest is not None and (column := _swept(folded, keys, stat)):
+    elif largest is not None and (wide := _swept(folded, keys, cl, stat)):
         rows = folded.join(_numbered(folded, keys, cl, **kw), [*keys, cl])
-        swept = level_sweeps(rows, keys, stat, column, "_copies", replicates, seed, **({"rows_per_range": kw["rows_per_split"]} if "rows_per_split" in kw else {}))
+        column, clusters = wide
+        size = kw.get("rows_per_split", RANGE_ROWS)
+        if column is None:
+            swept = tensor_sweeps(rows, keys, stat, "_copies", clusters, replicates, seed, size)
+        else:
+            swept = level_sweeps(rows, keys, stat, column, "_copies", replicates, seed, size)
         out = swept.select(*keys, "estimate", *array_bounds("stats", level))
     else:
         draws = cluster_draws(df, keys, cl, replicates, seed, **kw)

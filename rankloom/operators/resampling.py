@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankloom.functions.vectors import let
+from rankloom.session import settle
 
 # Fixed values of the integer mixing function.
 PRIME = 2147483647
@@ -329,3 +331,95 @@ def _stats_row(group: pa.Table, fields: Sequence[T.StructField], stats: np.ndarr
     row = [pa.array([group.column(f.name)[0].as_py()], group.schema.field(f.name).type) for f in fields]
     row += [pa.array([none(stats[0])], pa.float64()), pa.array([[none(v) for v in stats[1:]]], pa.list_(pa.float64()))]
     return pa.Table.from_arrays(row, names=[*[f.name for f in fields], "estimate", "stats"])
+
+
+#: Clusters of a group up to which ranks are kept as counts per cluster.
+FEW_CLUSTERS = 32
+#: Rows of a range there, each with a number per cluster.
+CUBE_ROWS = 200_000
+
+
+def cluster_ranks(rows: DataFrame, keys: Sequence[str], column: str, copies: str, clusters: int, carried: Sequence[str], name: str, rows_per_range: int) -> DataFrame:
+    """(keys, carried, ``name``): per cluster, the weight of smaller values with half of the
+    equal ones, less half of its total; a rank under any weights of clusters is their sum."""
+    keys = list(keys)
+    ranged = value_ranges(rows, keys, column, rows_per_range)
+    held = ranged.groupBy(*keys, "_b", "_j").agg(F.sum(copies).cast("double").alias("_w"))
+    parts = held.groupBy(*keys, "_b").agg(*[F.coalesce(F.sum(F.when(F.col("_j") == j + 1, F.col("_w"))), F.lit(0.0)).alias(f"_{j}") for j in range(clusters)])
+    inside = W.partitionBy(*keys)
+    before = inside.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_b", F.array(*[F.coalesce(F.sum(f"_{j}").over(before), F.lit(0.0)) - F.sum(f"_{j}").over(inside) / 2 for j in range(clusters)]).alias("_start"))
+    base = ranged.join(F.broadcast(starts), [*keys, "_b"])
+    taken = list(dict.fromkeys([*keys, *carried]))
+    schema = T.StructType([*[base.schema[c] for c in taken], T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def ranks(group: pa.Table) -> pa.Table:
+        group = group.sort_by(column)
+        value, owner = group.column(column).to_numpy(), group.column("_j").to_numpy() - 1
+        own = np.zeros((len(value), clusters))
+        own[np.arange(len(value)), owner] = group.column(copies).to_numpy()
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        equal = np.add.reduceat(own, np.flatnonzero(new), axis=0)
+        rank = (np.cumsum(equal, 0) - equal / 2)[np.cumsum(new) - 1] + np.array(group.column("_start")[0].as_py())
+        out = pa.ListArray.from_arrays(np.arange(0, rank.size + 1, clusters, dtype=np.int32), rank.ravel())
+        return pa.Table.from_arrays([*[group.column(c) for c in taken], out], names=schema.names)
+
+    return base.groupBy(*keys, "_b").applyInArrow(ranks, schema)
+
+
+def tensor_sweeps(rows: DataFrame, keys: Sequence[str], terms: RankTerms, copies: str, clusters: int, replicates: int, seed: int, rows_per_range: int) -> DataFrame:
+    """(keys, estimate, stats) as of ``rank_sweeps`` for groups of any size with few clusters.
+
+    Ranks under a replicate's weights are sums over clusters, so products of ranks
+    summed per cluster, a cube of numbers, hold all replicates. ``rows`` have their
+    cluster's number ``_j`` of ``_n``.
+    """
+    keys, cube = list(keys), clusters**3
+    rows_per_range = min(rows_per_range, CUBE_ROWS)
+    fields = [rows.schema[k] for k in keys]
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField("term", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("cubes", numbers)])
+    parts = None
+    for i, (_, x, y) in enumerate(terms.terms):
+        known = rows.dropna(subset=[*keys, x, y])
+        rx = cluster_ranks(known, keys, x, copies, clusters, [y, "_j", "_n", copies], "_rx", rows_per_range)
+        both = cluster_ranks(settle(rx), keys, y, copies, clusters, ["_j", "_n", copies, "_rx"], "_ry", rows_per_range)
+
+        def summed(batches, i=i):
+            held: dict[tuple, list] = {}
+            for batch in batches:
+                owner, times = batch.column("_j").to_numpy(), batch.column(copies).to_numpy()
+                rx, ry = (batch.column(c).flatten().to_numpy().reshape(-1, clusters) for c in ("_rx", "_ry"))
+                group = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+                places: dict[tuple, list] = {}
+                for at, (g, o) in enumerate(zip(group, owner)):
+                    places.setdefault((g, int(o)), []).append(at)
+                for (g, o), at in places.items():
+                    into = held.setdefault(g, [int(batch.column("_n")[at[0]].as_py()), np.zeros((3, clusters, clusters, clusters))])[1]
+                    a, b, w = rx[at], ry[at], times[at][:, None]
+                    for k, (p, q) in enumerate(((a, b), (a, a), (b, b))):
+                        into[k, o - 1] += (p * w).T @ q
+            if held:
+                columns = [pa.array([g[k] for g in held], types[k]) for k in range(len(keys))]
+                columns += [pa.array([i] * len(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([c.ravel() for _, c in held.values()], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        types = [to_arrow_type(f.dataType) for f in fields]
+        part = both.mapInArrow(summed, schema)
+        parts = part if parts is None else parts.unionByName(part)
+
+    def joined(group: pa.Table) -> pa.Table:
+        term, n = group.column("term").to_numpy(), int(group.column("_n")[0].as_py())
+        weights = np.zeros((replicates + 1, clusters))
+        for r in range(replicates + 1):
+            weights[r, :n] = replicate_counts(r, n, seed)
+        stats = np.zeros(replicates + 1)
+        for i, (factor, _, _) in enumerate(terms.terms):
+            cubes = sum(group.column("cubes")[int(k)].values.to_numpy() for k in np.flatnonzero(term == i)) + np.zeros(3 * cube)
+            xy, xx, yy = (np.einsum("re,rc,rd,ecd->r", weights, weights, weights, c, optimize=True) for c in cubes.reshape(3, clusters, clusters, clusters))
+            fits = (xx > 1e-9) & (yy > 1e-9)
+            stats += factor * np.where(fits, xy / np.sqrt(np.where(fits, xx * yy, 1.0)), np.nan)
+        return _stats_row(group, fields, stats)
+
+    return parts.groupBy(*keys).applyInArrow(joined, T.StructType([*fields, *STATS]))

@@ -140,10 +140,20 @@ def test_caliper_match_holds_few_pairs_at_once(spark, monkeypatch):
 def test_large_groups_are_swept_in_ranges_without_a_row_per_draw(spark, monkeypatch):
     """Groups beyond a sweep give the same interval when one side has few levels; ties, gaps and copies included."""
     rng = np.random.default_rng(11)
-    rows = [(i % 2, int(rng.integers(0, 30)), float(rng.integers(0, 6)), float(rng.integers(0, 4)), None if i % 17 == 0 else float(rng.integers(0, 300))) for i in range(900)]
+    rows = [(i % 2, int(rng.integers(0, 40)), float(rng.integers(0, 6)), float(rng.integers(0, 4)), None if i % 17 == 0 else float(rng.integers(0, 300))) for i in range(900)]
     rows = [(g, c, None if i % 23 == 0 else q, d, y) for i, (g, c, q, d, y) in enumerate(rows)]
     df = spark.createDataFrame(rows, "g int, c int, q double, d double, y double")
     run = lambda **kw: sorted(I.group_bootstrap_diff(df, ["g"], "c", "q", "d", "y", 20, 0.9, 2, **kw).collect())
     whole = run()
     monkeypatch.setattr(I, "cluster_draws", None)
     assert [tuple(r) for r in run(rows_per_split=100)] == [pytest.approx(tuple(r)) for r in whole]
+
+
+def test_large_groups_of_few_clusters_keep_counts_instead_of_draws(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i % 2, int(rng.integers(0, 5 + i % 2)), float(rng.integers(0, 200)), None if i % 17 == 0 else float(rng.integers(0, 300))) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, c int, x double, y double")
+    run = lambda **kw: sorted(I.cluster_bootstrap_stat(df, ["g"], "c", I.spearman_stat("x", "y"), 20, 0.9, 2, **kw).collect())
+    whole = run()
+    monkeypatch.setattr(I, "cluster_draws", None)
+    assert [tuple(r) for r in run(rows_per_split=100)] == [pytest.approx(tuple(r)) for r in whole]
