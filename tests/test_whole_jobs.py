@@ -157,3 +157,14 @@ def test_large_groups_of_few_clusters_keep_counts_instead_of_draws(spark, monkey
     whole = run()
     monkeypatch.setattr(I, "cluster_draws", None)
     assert [tuple(r) for r in run(rows_per_split=100)] == [pytest.approx(tuple(r)) for r in whole]
+
+
+def test_nearest_controls_start_at_a_width_that_meets_few(spark, monkeypatch):
+    rows = [(i, i % 2, i % 5, i * 0.01) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, t int, g int, x double")
+    met = []
+    near = X._near
+    monkeypatch.setattr(X, "_near", lambda *a: (met.append(near(*a).count()), near(*a))[1])
+    got = X.matched_candidates(df, df, "id", exact=["g"], differ=["t"], tolerances={"x": 20.0}, n=2).collect()
+    assert sum(met) < 100 * len(rows) and len(got) == 2 * len(rows)
+    assert {(r["target_id"], r["source_id"]) for r in got if r["target_id"] == 1000} == {(1000, 995), (1000, 1005)}
