@@ -180,8 +180,9 @@ class WordBpe:
         model = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.trie = WordTrie(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"])
+        self.letters = byte_letters()
         self.library = Tokenizer.from_file(path)
+        self.prepare(model)
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         # Fixed by the file: contractions, runs of letters, single numerals, runs of other signs.
         letters = _class(lambda c: unicodedata.category(c)[0] == "L")
@@ -192,13 +193,15 @@ class WordBpe:
         self.odd = re.compile(f"[\x1c-\x1f{chr(PLAIN_END)}-\U0010ffff]").search
         self.clear()
 
+    def prepare(self, model: dict) -> None:
+        self.trie = WordTrie(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["end_of_word_suffix"])
+
     def words(self, text: str) -> list[str]:
         """Byte-level words of any text, by the library's own components."""
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def byte_level(self, word: str) -> str:
-        letters = self.trie.letters
-        return "".join([letters[b] for b in word.encode("utf-8")])
+        return "".join(map(self.letters.__getitem__, word.encode("utf-8")))
 
     def clear(self) -> None:
         self.trie.clear()
@@ -271,20 +274,80 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+class Met(dict):
+    """A table whose entries are made when they are first looked up."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
+class LibraryBpe(WordBpe):
+    """The same ids with each distinct word encoded by the library's own model, when it is first met."""
+
+    def prepare(self, model: dict) -> None:
+        self.model, self.packed = self.library.model, {i: struct.pack("<I", i) for i in self.names}
+
+    def clear(self) -> None:
+        self.known, self.runs = {}, {}
+        self.renew()
+
+    def renew(self) -> None:
+        self.known_before, self.known = self.known, Met(self.encode_word)
+        self.runs_before, self.runs = self.runs, Met(self.encode_run)
+        self.held = 0
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a byte-level word."""
+        self.held += ENTRY_BYTES + LETTER_BYTES * len(word)
+        ids = self.known_before.get(word)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(word)]) if ids is None else ids
+
+    def encode_run(self, run: str) -> bytes:
+        """Ids of a run of plain text without white space; no word crosses its ends."""
+        self.held += ENTRY_BYTES + LETTER_BYTES * len(run)
+        ids = self.runs_before.get(run)
+        if ids is not None:
+            return ids
+        run = run.lower()
+        if run.isascii() and run.isalpha():
+            return self.known[run]
+        return b"".join([self.known[w if w.isascii() and w.isprintable() else self.byte_level(w)] for w in self.cut(run)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > self.tables:
+            self.renew()
+        return list(map(self.encode_text, texts))
+
+    def encode_text(self, text: str) -> bytes:
+        out = []
+        for i, part in enumerate(self.at_special.split(text) if "<|" in text else [text]):
+            if i % 2:
+                out.append(self.packed[self.special[part]])
+            elif not self.odd(part):
+                out += map(self.runs.__getitem__, part.split())
+            else:
+                out += map(self.known.__getitem__, self.words(part))
+        return b"".join(out)
+
+
 def unpack(ids: bytes) -> list[int]:
     return np.frombuffer(ids, "<u4").tolist()
 
 
-_OPEN: dict[str, WordBpe] = {}
+_OPEN: dict[tuple[str, type[WordBpe]], WordBpe] = {}
 
 
-def word_bpe(path: str, tables: int = TABLE_BYTES) -> WordBpe:
+def word_bpe(path: str, tables: int = TABLE_BYTES, kind: type[WordBpe] = WordBpe) -> WordBpe:
     """The encoder of a file, opened once per worker process. ``tables`` bounds its
     word tables, in bytes: less memory, more words encoded again, equal ids."""
-    if path not in _OPEN:
-        _OPEN[path] = WordBpe(path)
-    _OPEN[path].tables = tables
-    return _OPEN[path]
+    if (path, kind) not in _OPEN:
+        _OPEN[path, kind] = kind(path)
+    _OPEN[path, kind].tables = tables
+    return _OPEN[path, kind]
 
 
 def encode_texts(df: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from rankloom.llm.bpe import TABLE_BYTES, unpack, word_bpe
+from rankloom.llm.bpe import TABLE_BYTES, LibraryBpe, unpack, word_bpe
 from rankloom.llm.texts import bound_batches, give_back, text_slices
 from rankloom.session import settle
 
@@ -268,9 +268,10 @@ def pack_texts(df: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", text:
     """Tokenise texts, cut what is longer than ``capacity`` and pack the pieces.
 
     A null or empty text is ``end_id`` alone. Null ids stay null. Other columns
-    of the input are left out. ``tables`` bounds a worker's word tables in bytes. ``sequences`` puts the packed ids together.
+    of the input are left out. The tokenizers library encodes each distinct word that a worker meets; ``tables`` bounds
+    a worker's word tables in bytes. ``sequences`` puts the packed ids together.
     """
-    pieces = settle(token_pieces(df, doc_id, text, lambda: word_bpe(vocabulary, tables).encode, capacity, end_id, ids=ids))
+    pieces = settle(token_pieces(df, doc_id, text, lambda: word_bpe(vocabulary, tables, LibraryBpe).encode, capacity, end_id, ids=ids))
     return pack_pieces(pieces, capacity, steps=steps)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rankloom.llm.bpe import WordBpe, unpack
+from rankloom.llm.bpe import LibraryBpe, WordBpe, unpack
 from rankloom.llm.neardup import aligned_similarity, labelled_shingles, marks, order_minhash
 from rankloom.llm.packing import make_plan
 from rankloom.llm.quality import rule_counts
@@ -44,6 +44,17 @@ def test_bpe_forgets_without_harm(monkeypatch, tables):
     assert len(own.runs) + len(own.runs_before) <= (30 if tables < 40_000 else 60)
 
 
+@pytest.mark.parametrize("tables", [1, 1 << 28])
+def test_words_by_the_library_equal_the_trie(tables):
+    texts = ["it's 12½ İstanbul ﬁn", "ΟΔΟΣ ΣΑΣ naïve <|endoftext|> x\x1cy", "", "日本語 a<|startoftext|>b <|x|>", "Ã© é\x85a\xa0b\x0bc", "ŉ ß\x00\x7f"]
+    own, other = LibraryBpe(vocabulary(), tables), WordBpe(vocabulary())
+    expect = [e.ids for e in other.library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [unpack(x) for x in own.encode(texts)] == expect
+        assert own.encode(texts[::-1]) == other.encode(texts[::-1])
+    assert not hasattr(own, "trie")
+
+
 @pytest.mark.parametrize("lengths", [[], [5], [2048] * 7, [1500] * 40, [3] * 900, list(range(1, 2049, 7)), [int(x) for x in np.random.default_rng(2).lognormal(6, 1, 3000).clip(1, 2048)]])
 def test_plan_places_every_piece_once(lengths):
     lengths = np.array(sorted(lengths, reverse=True), np.int64)
