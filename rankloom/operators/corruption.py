@@ -1,7 +1,7 @@
 """Corrupted states of sequences, chosen by integer hash.
 
-A state is built inside its own row: positions are drawn from the row's letter
-array, so a bank needs no shuffle. Draws depend only on (key, position, seed).
+A state is built inside its own row, from its letters alone, so a bank needs no
+shuffle. Draws depend only on (key, position, seed).
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from math import exp
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankloom.functions.classes import MASK, SYMBOLS
@@ -17,7 +19,11 @@ from rankloom.functions.sequences import letters
 from rankloom.functions.vectors import _col, let
 from rankloom.operators.inference import PRIME, mix_value
 from rankloom.operators.ordering import ordinals
-from rankloom.session import settle, spread
+from rankloom.operators.resampling import MULTIPLIER, ROUND_CONSTANTS
+from rankloom.session import spread
+
+#: Letters that a task draws for at once, or those of one text.
+LETTERS_AT_ONCE = 1 << 19
 
 
 def edit_count(length: Column, ratio: Column | float, least: int = 1) -> Column:
@@ -54,6 +60,27 @@ def _edited(seq: Column | str, key: Column, seed: int, count: Callable[[Column],
     return F.when(F.length(s) > 0, built).otherwise(s)
 
 
+def _mixed(key: np.ndarray, at: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """``mix_value`` for keys, positions and seeds side by side."""
+    a = np.mod(key * 1000003 + at * 7919 + seed, PRIME)
+    for k in ROUND_CONSTANTS:
+        a = np.fmod(np.fmod(a * a + k, PRIME) * MULTIPLIER + at * 31 + key * 17, PRIME)
+    return a
+
+
+def _runs(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of rows of at most ``LETTERS_AT_ONCE`` letters, or one row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LETTERS_AT_ONCE, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def mask_random(seq: Column | str, key: Column, ratio: Column | float, seed: int = 0, mask: str = MASK) -> Column:
     return _edited(seq, key, seed, lambda n: edit_count(n, ratio), lambda c, i: F.lit(mask))
 
@@ -148,39 +175,65 @@ def substitute_policy(positions: DataFrame, by: Sequence[str], position: str, na
     return o.withColumn("current", F.when(chosen, let(w, draw)).otherwise(F.col(native))).drop("_k", "_h", "_p", "_n")
 
 
-def poisson_length(u: Column, mean: float, top: int = 64) -> Column:
-    """Inverse of the Poisson distribution at ``u``, at least 1."""
+def _poisson_steps(mean: float, top: int = 64) -> list[float]:
     cdf, term, acc = [], exp(-mean), 0.0
     for k in range(top):
         acc += term
         cdf.append(acc)
         term *= mean / (k + 1)
-    steps = F.array(*[F.lit(c) for c in cdf])
+    return cdf
+
+
+def poisson_length(u: Column, mean: float, top: int = 64) -> Column:
+    """Inverse of the Poisson distribution at ``u``, at least 1."""
+    steps = F.array(*[F.lit(c) for c in _poisson_steps(mean, top)])
     return F.greatest(F.lit(1), F.size(F.filter(steps, lambda c: c < u)))
 
 
+def _span_rows(n: np.ndarray, key: np.ndarray, count: np.ndarray, mean_length: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the positions that ``span_positions`` keeps."""
+    most = 2 * count + 1
+    span_row = np.repeat(np.arange(len(n)), most)
+    s = np.arange(len(span_row)) - (np.cumsum(most) - most)[span_row]
+    from_ = _mixed(key[span_row], s, seed) % n[span_row]
+    width = np.maximum(1, np.searchsorted(_poisson_steps(mean_length), _mixed(key[span_row], s, seed + 1) / float(PRIME), side="left"))
+    width = np.minimum(width, n[span_row] - from_)
+    start = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - start[row]
+    # First span that reaches a position; those that none reaches follow after all spans.
+    first = most[row]
+    inside = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    np.minimum.at(first, np.repeat(start[span_row] + from_, width) + inside, np.repeat(s, width))
+    order = np.argsort(row * (int(most.max(initial=0)) + 1) + first, kind="stable")
+    last = first[order[start + count - 1]]
+    covered = first <= last[row]
+    turn = np.cumsum(covered)
+    kept = covered & (turn - (turn[start] - covered[start])[row] <= count[row])
+    return row[kept], at[kept]
+
+
 def span_positions(df: DataFrame, id: str, length: str, key: Column, ratio: float, mean_length: float = 4.0, seed: int = 0) -> DataFrame:
     """(id, position): spans are added in draw order until enough positions are
     covered; the lowest ``count`` of the covered positions are kept.
 
     Positions no drawn span reaches follow after all spans, so the count is met.
+    A text's spans are drawn and laid out where its row is: only ids, lengths and
+    keys move, and rows alike count once.
     """
     n = F.col(length)
-    base = df.select(id, length, key.alias("_k"), edit_count(n, ratio).alias("_count")).where(n > 0)
-    k = F.col("_s")
-    spans = base.withColumn("_s", F.explode(F.sequence(F.lit(0), 2 * F.col("_count")))).select(
-        id, length, "_count", "_s",
-        (mix_value(F.col("_k"), k, seed) % n).cast("int").alias("_a"),
-        poisson_length(mix_value(F.col("_k"), k, seed + 1) / float(PRIME), mean_length).alias("_w"),
-    )
-    hit = spans.select(id, length, "_count", "_s", F.explode(F.sequence(F.col("_a"), F.least(n, F.col("_a") + F.col("_w")) - 1)).alias("position"))
-    rest = base.select(id, length, "_count", (2 * F.col("_count") + 1).alias("_s"), F.explode(F.sequence(F.lit(0), n - 1)).alias("position"))
-    first = settle(hit.unionByName(rest).groupBy(id, "_count", "position").agg(F.min("_s").alias("_s")))
-    o = settle(ordinals(first, [id], ["_s", "position"], pos="_p", total="_n"))
-    last = o.where(F.col("_p") == F.col("_count")).select(id, F.col("_s").alias("_last"))
-    covered = o.join(last, id).where(F.col("_s") <= F.col("_last")).drop("_p", "_n")
-    low = ordinals(covered, [id], ["position"], pos="_p", total="_n")
-    return low.where(F.col("_p") <= F.col("_count")).select(id, "position")
+    base = df.select(id, n.cast("long").alias("_n"), key.cast("long").alias("_k"), edit_count(n, ratio).cast("long").alias("_count"))
+    base = base.where((F.col("_n") > 0) & F.col(id).isNotNull()).distinct()
+    schema = T.StructType([df.schema[id], T.StructField("position", T.IntegerType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, counts = (_longs(batch.column(c)) for c in ("_n", "_k", "_count"))
+            for rows in _runs(sizes):
+                row, at = _span_rows(sizes[rows], keys[rows], counts[rows], mean_length, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(id).take(pa.array(row + rows.start)), pa.array(at.astype(np.int32))], names=schema.names)
+
+    return base.mapInArrow(run, schema)
 
 
 def build_bank(entities: DataFrame, id: str, seq: str, numeric: Column, levels: Sequence[float], replicates: int, seed: int = 0, symbols: str = SYMBOLS, mask: str = MASK) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
+from rankloom.operators import corruption as C
 from rankloom.operators import geometry as G
 from rankloom.operators import inference as I
 from rankloom.operators import matching as X
@@ -168,3 +169,29 @@ def test_nearest_controls_start_at_a_width_that_meets_few(spark, monkeypatch):
     got = X.matched_candidates(df, df, "id", exact=["g"], differ=["t"], tolerances={"x": 20.0}, n=2).collect()
     assert sum(met) < 100 * len(rows) and len(got) == 2 * len(rows)
     assert {(r["target_id"], r["source_id"]) for r in got if r["target_id"] == 1000} == {(1000, 995), (1000, 1005)}
+
+
+def plain_spans(key, n, ratio, mean, seed):
+    count = min(n, max(1, round(n * ratio)))
+    first = {}
+    for s in range(2 * count + 1):
+        a, u = int(mixed(np.array([key]), np.array([s]), seed)[0, 0]) % n, mixed(np.array([key]), np.array([s]), seed + 1)[0, 0] / 2147483647.0
+        for p in range(a, min(n, a + max(1, sum(c < u for c in C._poisson_steps(mean))))):
+            first.setdefault(p, s)
+    for p in range(n):
+        first.setdefault(p, 2 * count + 1)
+    last = sorted((s, p) for p, s in first.items())[count - 1][0]
+    return sorted(p for p, s in first.items() if s <= last)[:count]
+
+
+def test_spans_are_laid_out_without_a_row_per_letter(spark, monkeypatch):
+    lengths = [(1, 40), (2, 1), (3, 0), (4, None), (5, 333), (6, 7), (6, 7)]
+    df = spark.createDataFrame(lengths, "id long, n int")
+    for letters in (C.LETTERS_AT_ONCE, 20):
+        monkeypatch.setattr(C, "LETTERS_AT_ONCE", letters)
+        for ratio in (0.15, 0.9):
+            out = C.span_positions(df, "id", "n", F.col("id"), ratio, 4.0, 5)
+            got = sorted((r["id"], r["position"]) for r in out.collect())
+            assert got == [(i, p) for i, n in lengths[:-1] if n for p in plain_spans(i, n, ratio, 4.0, 5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
