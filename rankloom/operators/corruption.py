@@ -81,6 +81,29 @@ def _longs(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
+def _edited_texts(texts: list[str], key: np.ndarray, count: np.ndarray, seed: int, mask: str | None, symbols: str) -> list[str]:
+    """Each text with its ``count`` letters of lowest hash masked, or replaced by
+    another symbol if there is no mask, as ``_edited`` does for one row."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
+    start = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(codes)) - start[row]
+    # A stable sort leaves equal hashes in the order of their positions.
+    order = np.argsort(_mixed(key[row], at, seed) + row * 2 * PRIME, kind="stable")
+    hit = order[at < count[row]]
+    if mask is not None:
+        codes[hit] = ord(mask)
+    else:
+        alphabet = np.frombuffer(symbols.encode("utf-32-le"), np.uint32)
+        same = codes[hit][:, None] == alphabet
+        known = same.any(1)
+        pick = _mixed(key[row[hit]], at[hit], seed + 1) % (len(alphabet) - known)
+        codes[hit] = alphabet[pick + (known & (pick >= same.argmax(1)))]
+    whole = codes.tobytes().decode("utf-32-le")
+    return [whole[a : a + n] for a, n in zip(start.tolist(), sizes.tolist())]
+
+
 def mask_random(seq: Column | str, key: Column, ratio: Column | float, seed: int = 0, mask: str = MASK) -> Column:
     return _edited(seq, key, seed, lambda n: edit_count(n, ratio), lambda c, i: F.lit(mask))
 
@@ -239,22 +262,40 @@ def span_positions(df: DataFrame, id: str, length: str, key: Column, ratio: floa
 def build_bank(entities: DataFrame, id: str, seq: str, numeric: Column, levels: Sequence[float], replicates: int, seed: int = 0, symbols: str = SYMBOLS, mask: str = MASK) -> DataFrame:
     """Native state plus masked and substituted states for every level and replicate.
 
-    The plan is an array of structs exploded per entity, so states are not shuffled.
+    All states of a text are made where its row is, so none are shuffled; the
+    draws are those of ``mask_random`` and ``substitute_uniform``, for many texts at once.
+    ``mask`` is one letter.
     """
     plan = [("native", 0.0, 0)] + [
         (kind, lv, r) for kind in ("random_mask", "random_substitution") for lv in levels for r in range(replicates)
     ]
-    rows = F.array(*[F.struct(F.lit(k).alias("state_kind"), F.lit(lv).alias("level"), F.lit(r).alias("replicate")) for k, lv, r in plan])
-    out = spread(entities, id).select(id, F.col(seq).alias("reference_sequence"), numeric.alias("_k"), F.explode(rows).alias("_p")).select(
-        id, "reference_sequence", "_k", "_p.*"
-    )
-    draw = F.col("_k") * 97 + F.rint(F.col("level") * 1000).cast("long") * 7 + F.col("replicate")
-    state = (
-        F.when(F.col("state_kind") == "random_mask", mask_random("reference_sequence", draw, F.col("level"), seed, mask))
-        .when(F.col("state_kind") == "random_substitution", substitute_uniform("reference_sequence", draw, F.col("level"), seed + 10, symbols))
-        .otherwise(F.col("reference_sequence"))
-    )
-    return out.withColumn("state_sequence", state).drop("_k")
+    schema = T.StructType([
+        entities.schema[id], T.StructField("reference_sequence", T.StringType()), T.StructField("state_kind", T.StringType(), False),
+        T.StructField("level", T.DoubleType(), False), T.StructField("replicate", T.IntegerType(), False), T.StructField("state_sequence", T.StringType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _longs(batch.column("_k"))
+            for rows in _runs(_longs(batch.column("_n"))):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                given = part.column("reference_sequence").to_pylist()
+                texts = [t or "" for t in given]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                for kind, level, replicate in plan:
+                    made = given
+                    if kind != "native":
+                        # As ``edit_count``; an empty or null text stays.
+                        count = np.minimum(sizes, np.maximum(1, np.rint(sizes * level).astype(np.int64)))
+                        draw = keys[rows] * 97 + int(np.rint(level * 1000)) * 7 + replicate
+                        how = (seed, mask) if kind == "random_mask" else (seed + 10, None)
+                        new = _edited_texts(texts, draw, count, *how, symbols)
+                        made = [t if g else g for g, t in zip(given, new)]
+                    fixed = [pa.array([v] * len(texts), k) for v, k in ((kind, pa.string()), (level, pa.float64()), (replicate, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([part.column(id), part.column("reference_sequence"), *fixed, pa.array(made, pa.string())], names=schema.names)
+
+    own = spread(entities, id).select(id, F.col(seq).alias("reference_sequence"), numeric.cast("long").alias("_k"), F.coalesce(F.length(seq), F.lit(0)).alias("_n"))
+    return own.mapInArrow(run, schema)
 
 
 def describe_states(states: DataFrame, core: Column | None = None, mask: str = MASK, decay: float = 3.0, penalty: float = 2.0) -> DataFrame:

@@ -171,6 +171,22 @@ def test_nearest_controls_start_at_a_width_that_meets_few(spark, monkeypatch):
     assert {(r["target_id"], r["source_id"]) for r in got if r["target_id"] == 1000} == {(1000, 995), (1000, 1005)}
 
 
+TEXTS = [(1, "acdefghi klmno"), (2, "z"), (3, ""), (4, None), (5, "日本語 abc" * 9), (9_000_000, "ab" * 700)]
+
+
+def test_bank_draws_texts_at_once(spark, monkeypatch):
+    df = spark.createDataFrame(TEXTS, "id long, seq string")
+    symbols = "abcdefghij語"
+    for letters in (C.LETTERS_AT_ONCE, 20):
+        monkeypatch.setattr(C, "LETTERS_AT_ONCE", letters)
+        bank = C.build_bank(df, "id", "seq", F.col("id"), [0.05, 0.4], 2, 3, symbols, "#")
+        draw = F.col("id") * 97 + F.rint(F.col("level") * 1000).cast("long") * 7 + F.col("replicate")
+        mask, swap = C.mask_random("reference_sequence", draw, F.col("level"), 3, "#"), C.substitute_uniform("reference_sequence", draw, F.col("level"), 13, symbols)
+        want = F.when(F.col("state_kind") == "random_mask", mask).when(F.col("state_kind") == "random_substitution", swap).otherwise(F.col("reference_sequence"))
+        assert bank.count() == len(TEXTS) * 9 and bank.where(~F.col("state_sequence").eqNullSafe(want)).isEmpty()
+    assert "MapInArrow" in bank._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_spans(key, n, ratio, mean, seed):
     count = min(n, max(1, round(n * ratio)))
     first = {}
