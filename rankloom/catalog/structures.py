@@ -103,8 +103,8 @@ def state_scores(spark, sf):
 def mutation_parse(spark, sf):
     """Letter changes written as text are read back and checked against the parent."""
     s = _turns(spark, sf).withColumn("seq", F.upper("seq"))
-    pos = s.select("id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("p"))
-    made = pos.select("id", F.concat(F.substring("seq", F.col("p") + 1, F.lit(1)), (F.col("p") + 1).cast("string"), F.when(F.col("p") % 2 == 0, "A").otherwise("G")).alias("mutation"),
+    pos = s.select("id", F.posexplode(Q.letters("seq")).alias("p", "letter"))
+    made = pos.select("id", F.concat("letter", (F.col("p") + 1).cast("string"), F.when(F.col("p") % 2 == 0, "A").otherwise("G")).alias("mutation"),
                       (F.col("p") / 8).cast("string").alias("effect"))
     out = Q.parse_mutations(made, s, "id", "mutation", "effect", "seq")
     cls = K.substitution_class("wild_type", "mutant")

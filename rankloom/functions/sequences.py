@@ -16,24 +16,29 @@ def parse_mutation(text: Column | str) -> Column:
     """Struct (wild_type, position, mutant) of a text such as ``A123C``; the
     position is 0-based. Anything else gives NULL."""
     t = F.trim(_col(text))
-    pattern = "^([A-Z])([0-9]+)([A-Z])$"
-    at = F.regexp_extract(t, pattern, 2)
+    at = F.regexp_extract(t, "^.([0-9]+)", 1)
+    # Where the pattern holds, the letters stand beside the number.
     return F.when(
-        t.rlike(pattern),
+        t.rlike("^[A-Z][0-9]+[A-Z]$"),
         F.struct(
-            F.regexp_extract(t, pattern, 1).alias("wild_type"),
+            F.substring(t, 1, 1).alias("wild_type"),
             (at.try_cast("int") - 1).alias("position"),
-            F.regexp_extract(t, pattern, 3).alias("mutant"),
+            F.substring(t, F.length(at) + 2, F.lit(1)).alias("mutant"),
         ),
     )
 
 
 def parse_mutations(df: DataFrame, sequences: DataFrame, key: str, text: str, effect: str, sequence: str) -> DataFrame:
-    """Single mutations with a numeric effect whose wild type is the parent's letter."""
+    """Single mutations with a numeric effect whose wild type is the parent's letter.
+
+    The parent's letters are looked up in an array: taking a substring would scan
+    the parent from its start for every mutation.
+    """
     rows = df.withColumn("_m", parse_mutation(text)).withColumn(effect, F.col(effect).try_cast("double"))
     rows = rows.where(F.col("_m").isNotNull() & F.col(effect).isNotNull() & ~F.isnan(effect)).select("*", "_m.*").drop("_m")
-    out = rows.where("wild_type <> mutant").join(sequences.select(key, sequence), key)
-    return out.where(F.substring(sequence, F.col("position") + 1, F.lit(1)) == F.col("wild_type"))
+    parents = sequences.select(key, sequence, letters(sequence).alias("_letters"))
+    out = rows.where("wild_type <> mutant").join(parents, key)
+    return out.where(F.get("_letters", F.col("position")) == F.col("wild_type")).drop("_letters")
 
 
 def hamming_identity(l: Column | str, r: Column | str) -> Column:

@@ -147,3 +147,17 @@ def test_ledgers(spark):
     rules = [("low", F.col("v") >= 10), ("odd", F.col("k") % 2 == 0)]
     assert {r["k"]: r["reason"] for r in K.quality_filter(df, rules)[1].collect()} == {1: "low", 2: "low", 3: "odd"}
     assert K.exclusion_ledger(df, rules).count() == 4 and K.eligible(df, rules).isEmpty()
+
+
+def test_mutations_look_letters_up(spark):
+    """A parent's letter is found without a scan of the parent for every mutation."""
+    parents = spark.createDataFrame([("a", "ACDE"), ("b", "日A")], "id string, seq string")
+    rows = [("a", " A1C ", "1.5"), ("a", "C2D\n", "2"), ("a", "C1D", "1"), ("a", "E4E", "1"), ("a", "E4A", "x"), ("a", "E9A", "1"), ("a", "E0A", "1"), ("a", "E99999999999A", "1"),
+            ("a", "ee4A", "1"), ("a", "", "1"), ("a", None, "1"), ("b", "A2C", "3"), ("c", "A1C", "1")]
+    made = spark.createDataFrame(rows, "id string, mutation string, effect string")
+    out = Q.parse_mutations(made, parents, "id", "mutation", "effect", "seq")
+    assert out.columns == ["id", "mutation", "effect", "wild_type", "position", "mutant", "seq"]
+    assert sorted((r["id"], r["wild_type"], r["position"], r["mutant"], r["effect"], r["seq"]) for r in out.collect()) == [
+        ("a", "A", 0, "C", 1.5, "ACDE"), ("a", "C", 1, "D", 2.0, "ACDE"), ("b", "A", 1, "C", 3.0, "日A")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(seq" not in plan and "_letters" in plan
