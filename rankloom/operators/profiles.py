@@ -10,17 +10,22 @@ from rankloom.functions.sequences import align_stats, aligned_pairs, letters
 from rankloom.session import spread
 
 
-def aligned_columns(hits: DataFrame, symbols: str = SYMBOLS) -> DataFrame:
+def aligned_columns(hits: DataFrame, symbols: str = SYMBOLS, native: str | None = None) -> DataFrame:
     """(query, position, symbol) for every aligned symbol of the alphabet.
 
     Query gaps are dropped before numbering, so the running position is the
-    index in the remaining array. ``qstart`` is 1-based.
+    index in the remaining array. ``qstart`` is 1-based. ``native`` names an array
+    of the query's letters, of which each row gets its own as ``native``.
     """
     kept = F.filter(aligned_pairs("qaln", "taln"), lambda s: (s["q"] != "-") & (s["q"] != ""))
+    if native:
+        at = lambda i: F.col("qstart") - 1 + i
+        # Looked up before rows are made, so that no row carries the letters.
+        kept = F.transform(kept, lambda s, i: F.struct(s["t"].alias("t"), F.when(at(i) >= 0, F.get(native, at(i).cast("int"))).alias("native")))
     cols = spread(hits, "query", "target").select("query", "qstart", F.posexplode(kept).alias("_i", "_s"))
     sym = F.col("_s.t")
     return cols.where((F.instr(F.lit(symbols), sym) > 0) & (sym != "")).select(
-        "query", (F.col("qstart") - 1 + F.col("_i")).alias("position"), sym.alias("symbol")
+        "query", (F.col("qstart") - 1 + F.col("_i")).alias("position"), sym.alias("symbol"), *[F.col("_s.native")] * bool(native)
     )
 
 
@@ -31,16 +36,15 @@ def position_grid(seqs: DataFrame, id: str, sequence: str) -> DataFrame:
 def conservation(hits: DataFrame, seqs: DataFrame, id: str, sequence: str, symbols: str = SYMBOLS) -> DataFrame:
     """Share of aligned symbols equal to the native one; 0.5 where none aligned.
 
-    A query's hit on itself does not count.
+    A query's hit on itself does not count. Texts meet their hits whole, so letters
+    are summed in one grouping and are not joined.
     """
-    seen = aligned_columns(hits.where("query <> target"), symbols).groupBy("query", "position", "symbol").agg(
-        F.count(F.lit(1)).alias("k")
-    )
-    grid = position_grid(seqs, id, sequence)
-    out = grid.join(seen, ["query", "position"], "left").groupBy("query", "position", "native").agg(
-        F.coalesce(F.sum("k"), F.lit(0)).alias("homolog_observations"),
-        F.coalesce(F.sum(F.when(F.col("symbol") == F.col("native"), F.col("k"))), F.lit(0)).alias("_m"),
-    )
+    own = seqs.select(F.col(id).alias("query"), letters(F.upper(sequence)).alias("_own"))
+    one = lambda c: c.cast("long")
+    seen = aligned_columns(hits.where("query <> target").join(own, "query"), symbols, "_own").where("native <> ''").select(
+        "query", "position", "native", one(F.lit(1)).alias("_k"), one(F.col("symbol") == F.col("native")).alias("_m"))
+    grid = position_grid(seqs, id, sequence).select("query", "position", "native", one(F.lit(0)).alias("_k"), one(F.lit(0)).alias("_m"))
+    out = grid.unionByName(seen).groupBy("query", "position", "native").agg(F.sum("_k").alias("homolog_observations"), F.sum("_m").alias("_m"))
     n = F.col("homolog_observations")
     return out.withColumn("conservation_score", F.when(n > 0, F.col("_m") / F.nullif(n, F.lit(0))).otherwise(0.5)).drop("_m")
 

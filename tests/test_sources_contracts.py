@@ -161,3 +161,14 @@ def test_mutations_look_letters_up(spark):
         ("a", "A", 0, "C", 1.5, "ACDE"), ("a", "C", 1, "D", 2.0, "ACDE"), ("b", "A", 1, "C", 3.0, "日A")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(seq" not in plan and "_letters" in plan
+
+
+def test_conservation_joins_no_letters(spark):
+    seqs = spark.createDataFrame([("q", "ACDE"), ("p", "AC"), ("e", ""), ("n", None)], "id string, seq string")
+    rows = [("q", "h", 1, "ACDE", "ACWE"), ("q", "q", 1, "ACDE", "ACDE"), ("q", "i", 2, "C-DEY", "CWDAY"), ("q", "j", 0, "AA", "AA"), ("x", "h", 1, "AC", "AC")]
+    hits = spark.createDataFrame(rows, "query string, target string, qstart int, qaln string, taln string")
+    out = P.conservation(hits, seqs, "id", "seq")
+    got = sorted((r["query"], r["position"], r["native"], r["homolog_observations"], r["conservation_score"]) for r in out.collect())
+    assert got == [("p", 0, "A", 0, 0.5), ("p", 1, "C", 0, 0.5), ("q", 0, "A", 2, 1.0), ("q", 1, "C", 2, 1.0), ("q", 2, "D", 2, 0.5), ("q", 3, "E", 2, 0.5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
