@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions import vectors as V
 from rankloom.functions.classes import SYMBOLS
@@ -29,8 +29,8 @@ def aligned_columns(hits: DataFrame, symbols: str = SYMBOLS, native: str | None
     )
 
 
-def position_grid(seqs: DataFrame, id: str, sequence: str) -> DataFrame:
-    return seqs.select(F.col(id).alias("query"), F.posexplode(letters(F.upper(sequence))).alias("position", "native")).where("native <> ''")
+def position_grid(seqs: DataFrame, id: str, sequence: str, *extra: Column) -> DataFrame:
+    return seqs.select(F.col(id).alias("query"), *extra, F.posexplode(letters(F.upper(sequence))).alias("position", "native")).where("native <> ''")
 
 
 def conservation(hits: DataFrame, seqs: DataFrame, id: str, sequence: str, symbols: str = SYMBOLS) -> DataFrame:
@@ -51,8 +51,9 @@ def conservation(hits: DataFrame, seqs: DataFrame, id: str, sequence: str, symbo
 
 def accepted_hits(hits: DataFrame, seqs: DataFrame, id: str, sequence: str, lo: float, hi: float, coverage: float, symbols: str = SYMBOLS) -> DataFrame:
     q = seqs.select(F.col(id).alias("query"), F.length(sequence).alias("_len"))
-    s = hits.join(q, "query").withColumn("_s", align_stats("qaln", "taln", F.col("_len"), symbols))
-    ok = (F.col("_s.identity") >= lo) & (F.col("_s.identity") < hi) & (F.col("_s.query_coverage") >= coverage)
+    # Letters of the query that are aligned, then by its length: a length inside the lambda can be lost when Spark moves the filter.
+    s = hits.withColumn("_s", align_stats("qaln", "taln", F.lit(1), symbols)).join(q, "query")
+    ok = (F.col("_s.identity") >= lo) & (F.col("_s.identity") < hi) & (F.col("_s.query_coverage") / F.greatest("_len", F.lit(1)) >= coverage)
     return s.where(ok).drop("_s", "_len")
 
 
@@ -60,17 +61,20 @@ def homolog_profile(
     seqs: DataFrame, hits: DataFrame, id: str, sequence: str, *, lo: float = 0.20, hi: float = 0.80, coverage: float = 0.70,
     pseudocount: float = 0.5, symbols: str = SYMBOLS,
 ) -> DataFrame:
-    """Pseudocounted symbol frequencies per position from accepted hits."""
+    """Pseudocounted symbol frequencies per position from accepted hits.
+
+    Counts travel as a map of the symbols seen, not as a column per symbol.
+    """
     good = accepted_hits(hits, seqs, id, sequence, lo, hi, coverage, symbols)
-    n_hits = good.groupBy("query").agg(F.count(F.lit(1)).alias("accepted_hits"))
-    counts = aligned_columns(good, symbols).groupBy("query", "position").agg(
-        F.count(F.lit(1)).alias("observed"), *[F.count_if(F.col("symbol") == s).alias("n_" + s) for s in symbols]
-    )
-    grid = position_grid(seqs, id, sequence)
-    out = grid.join(counts, ["query", "position"], "left").join(n_hits, "query", "left")
-    out = out.fillna(0, ["observed", "accepted_hits", *["n_" + s for s in symbols]])
+    n_hits = good.groupBy("query").agg(F.count(F.lit(1)).alias("_hits"))
+    seen = aligned_columns(good, symbols).groupBy("query", "position", "symbol").agg(F.count(F.lit(1)).alias("_k"))
+    # As many entries as the alphabet has symbols at most.
+    counts = seen.groupBy("query", "position").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "_k"))).alias("_seen"), F.sum("_k").alias("_n"))
+    texts = seqs.select(F.col(id).alias("query"), F.col(sequence).alias("_text")).join(n_hits, "query", "left")
+    grid = position_grid(texts, "query", "_text", F.coalesce("_hits", F.lit(0)).alias("accepted_hits"))
+    out = grid.join(counts, ["query", "position"], "left").withColumn("observed", F.coalesce("_n", F.lit(0)))
     total = F.col("observed") + pseudocount * len(symbols)
-    freq = F.array(*[(F.col("n_" + s) + pseudocount) / total for s in symbols])
+    freq = F.array(*[(F.coalesce(F.try_element_at("_seen", F.lit(s)), F.lit(0)) + pseudocount) / total for s in symbols])
     return (
         out.select("query", "position", "native", "observed", "accepted_hits", freq.alias("profile"))
         .withColumn("profile_entropy", V.vsum(F.transform("profile", lambda p: -p * F.log(p))))

@@ -172,3 +172,14 @@ def test_conservation_joins_no_letters(spark):
     assert got == [("p", 0, "A", 0, 0.5), ("p", 1, "C", 0, 0.5), ("q", 0, "A", 2, 1.0), ("q", 1, "C", 2, 1.0), ("q", 2, "D", 2, 0.5), ("q", 3, "E", 2, 0.5)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
+
+
+def test_profile_counts_travel_as_a_map(spark):
+    seqs = spark.createDataFrame([("q", "ACDE"), ("p", "AC")], "id string, seq string")
+    hits = spark.createDataFrame([("q", "h", 1, "ACDE", "AFGE"), ("q", "i", 1, "ACDE", "AF-E")], "query string, target string, qstart int, qaln string, taln string")
+    out = P.homolog_profile(seqs, hits, "id", "seq", lo=0.2, hi=0.8, coverage=0.7)
+    rows = {(r["query"], r["position"]): r for r in out.collect()}
+    assert len(rows) == 6 and [rows["q", i]["observed"] for i in range(4)] == [2, 2, 1, 2]
+    assert rows["q", 1]["profile"][4] == 2.5 / 12 and rows["q", 2]["profile"][5] == 1.5 / 11 and rows["p", 0]["profile"] == [0.05] * 20
+    assert (rows["q", 0]["accepted_hits"], rows["p", 0]["accepted_hits"]) == (2, 0)
+    assert "n_W" not in out._jdf.queryExecution().optimizedPlan().toString()
