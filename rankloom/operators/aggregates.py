@@ -286,10 +286,10 @@ def collapse_measurements(df: DataFrame, keys: Sequence[str], value: str, flip:
     v = V.finite(value)
     v = -v if flip else v
     rows = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL")
-    extent = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_measurements"), F.min("_v").alias("effect_min"), F.max("_v").alias("effect_max")
-    )
-    return extent.join(quantiles(rows, keys, "_v", {"effect": 0.5}), list(keys))
+    # The ends are quantiles too, so nothing is grouped twice or joined.
+    out = quantiles(rows, keys, "_v", {"effect_min": 0.0, "effect_max": 1.0, "effect": 0.5}, count="n_measurements")
+    known = out.dropna(subset=list(keys))
+    return known.select(*keys, "n_measurements", "effect_min", "effect_max", "effect")
 
 
 def shapley(subset_means: DataFrame, players: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -125,8 +125,9 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, *, weight: str | N
     ).drop("_before")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, float], **kw) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per name.
+def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, float], *, count: str | None = None, **kw) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one column per name, and the
+    number of values as ``count``.
 
     The ``percentile`` aggregate holds all distinct values of a group in one
     task; here values are folded with their counts, placed by ``ordinals`` and
@@ -136,6 +137,9 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, flo
     o = ordinals(settle(v), by, ["_q"], pos="_before", total="_tot", weight="_w", **kw)
     aggs = []
     for i, q in enumerate(qs.values()):
+        if q in (0, 1):
+            aggs.append((F.max if q else F.min)("_q").alias(f"_end{i}"))
+            continue
         at = (F.col("_tot") - 1) * q
         for side, pos in (("lo", F.floor(at)), ("hi", F.least(F.floor(at) + 1, F.col("_tot") - 1))):
             hit = (F.col("_before") <= pos) & (pos < F.col("_before") + F.col("_w"))
@@ -143,8 +147,13 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, flo
     out = o.groupBy(*by).agg(F.max("_tot").alias("_tot"), *aggs)
     cols = []
     for i, (name, q) in enumerate(qs.items()):
+        if q in (0, 1):
+            cols.append(F.col(f"_end{i}").alias(name))
+            continue
         part = (F.col("_tot") - 1) * q - F.floor((F.col("_tot") - 1) * q)
         cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(name))
+    if count:
+        cols.append(F.col("_tot").cast("long").alias(count))
     return out.select(*by, *cols)
 
 

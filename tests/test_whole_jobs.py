@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog import selection as S
 from rankloom.catalog import structures as T
+from rankloom.operators import aggregates as A
 from rankloom.operators import corruption as C
 from rankloom.operators import geometry as G
 from rankloom.operators import inference as I
@@ -211,3 +212,12 @@ def test_spans_are_laid_out_without_a_row_per_letter(spark, monkeypatch):
             assert got == [(i, p) for i, n in lengths[:-1] if n for p in plain_spans(i, n, ratio, 4.0, 5)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_measurements_are_grouped_once(spark):
+    rows = [(1, 1, 0.5), (1, 1, 0.1), (1, 1, 0.1), (1, 1, 0.9), (1, 2, 0.3), (2, 1, None), (2, 2, float("nan")), (None, 1, 0.2)]
+    df = spark.createDataFrame(rows, "a int, b int, v double")
+    out = A.collapse_measurements(df, ["a", "b"], "v")
+    assert out.columns == ["a", "b", "n_measurements", "effect_min", "effect_max", "effect"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 4, -0.9, -0.1, -0.3), (1, 2, 1, -0.3, -0.3, -0.3)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
