@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.ordering import ROWS_PER_SPLIT, ordinals, value_ranks
@@ -297,38 +297,58 @@ def weighted_mean_stat(value: str) -> Statistic:
     return stat
 
 
-def weighted_spearman(rows: DataFrame, keys: list[str], x: str, y: str, w: str, **kw) -> DataFrame:
-    """Rank correlation where a row counts ``w`` times (column ``stat``)."""
-    pairs = settle(
-        rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*keys, x, y)
-        .agg(F.sum(w).alias("_w"))
-    )
-    rx = value_ranks(pairs, keys, x, weight="_w", **kw).select(*keys, x, F.col("_rank_centred").alias("_rx"))
-    ry = value_ranks(pairs, keys, y, weight="_w", **kw).select(*keys, y, F.col("_rank_centred").alias("_ry"))
-    half = (
-        pairs.join(ry, [*keys, y])
-        .groupBy(*keys, x)
-        .agg(
-            F.sum("_w").alias("_w"),
-            F.sum(F.col("_w") * F.col("_ry")).alias("_sy"),
-            F.sum(F.col("_w") * F.col("_ry") * F.col("_ry")).alias("_syy"),
-        )
-    )
-    sums = (
-        half.join(rx, [*keys, x])
-        .groupBy(*keys)
-        .agg(
-            F.sum(F.col("_rx") * F.col("_sy")).alias("_xy"),
+def weighted_spearman(rows: DataFrame, keys: list[str], x: str, y: str, w: str, rows_per_split: int = ROWS_PER_SPLIT, **kw) -> DataFrame:
+    """Rank correlation where a row counts ``w`` times (column ``stat``).
+
+    Groups of up to ``rows_per_split`` rows meet in one shuffle and are sorted twice
+    where they are. For larger ones ranks of ``x`` come from its folded values, rows
+    fold by ``y`` with the sums of these ranks, and only what is folded is sorted.
+    """
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).dropna(subset=keys).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(w).alias("_w"))
+    if _largest(known, keys) <= rows_per_split:
+        group = W.partitionBy(*keys)
+        mid = lambda c: F.sum("_w").over(group.orderBy(c)) - F.sum("_w").over(W.partitionBy(*keys, c)) / 2 - F.sum("_w").over(group) / 2
+        ranked = known.withColumn("_rx", mid("_x")).withColumn("_ry", mid("_y"))
+        sums = ranked.groupBy(*keys).agg(
+            F.sum(F.col("_w") * F.col("_rx") * F.col("_ry")).alias("_xy"),
             F.sum(F.col("_w") * F.col("_rx") * F.col("_rx")).alias("_xx"),
-            F.sum("_syy").alias("_yy"),
+            F.sum(F.col("_w") * F.col("_ry") * F.col("_ry")).alias("_yy"),
             F.sum("_w").alias("n_rows"),
         )
+    else:
+        met = ranked_columns(known, keys, ["_x"], "_w", rows_per_split=rows_per_split, **kw)
+        sums = rank_sums(met, keys, ["_x"], "_y", "_w", rows_per_split=rows_per_split, **kw).withColumnsRenamed({"_xy0": "_xy", "_xx0": "_xx"})
+    return sums.select(*keys, "n_rows", rank_ratio("_xy", "_xx", "_yy").alias("stat"))
+
+
+def rank_ratio(xy: str, xx: str, yy: str) -> Column:
+    return F.when((F.col(xx) > 0) & (F.col(yy) > 0), F.col(xy) / F.sqrt(F.nullif(F.col(xx) * F.col(yy), F.lit(0.0))))
+
+
+def ranked_columns(rows: DataFrame, keys: list[str], xs: Sequence[str], w: str, **kw) -> DataFrame:
+    """Rows with ``_r0``, ``_r1``, ...: the centred average rank of each column in its group."""
+    for i, x in enumerate(xs):
+        ranks = settle(value_ranks(rows.select(*keys, x, w), keys, x, weight=w, **kw).select(*keys, x, F.col("_rank_centred").alias(f"_r{i}")))
+        rows = rows.join(ranks, [*keys, x])
+    return rows
+
+
+def rank_sums(rows: DataFrame, keys: list[str], xs: Sequence[str], y: str, w: str, **kw) -> DataFrame:
+    """(keys, n_rows, _yy, _xy0, _xx0, ...): sums of products of the ranks of every ``xs``
+    with those of ``y``, from rows of ``ranked_columns``; only rows folded by ``y`` are sorted."""
+    r = [F.col(f"_r{i}") for i in range(len(xs))]
+    folded = rows.groupBy(*keys, y).agg(
+        F.sum(w).alias("_m"),
+        *[F.sum(F.col(w) * c).alias(f"_s{i}") for i, c in enumerate(r)],
+        *[F.sum(F.col(w) * c * c).alias(f"_q{i}") for i, c in enumerate(r)],
     )
-    return sums.select(
-        *keys,
-        "n_rows",
-        F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.nullif(F.col("_xx") * F.col("_yy"), F.lit(0.0)))).alias("stat"),
+    placed = ordinals(settle(folded), keys, [y], pos="_before", total="_n", weight="_m", **kw)
+    ry = F.col("_before") + F.col("_m") / 2 - F.col("_n") / 2
+    return placed.withColumn("_ry", ry).groupBy(*keys).agg(
+        F.sum("_m").alias("n_rows"),
+        F.sum(F.col("_m") * F.col("_ry") * F.col("_ry")).alias("_yy"),
+        *[F.sum(F.col("_ry") * F.col(f"_s{i}")).alias(f"_xy{i}") for i in range(len(xs))],
+        *[F.sum(f"_q{i}").alias(f"_xx{i}") for i in range(len(xs))],
     )
 
 

@@ -134,3 +134,17 @@ def test_replicates_of_large_groups_are_dealt_over_tasks(spark, monkeypatch):
     for x, y in zip(f(), want, strict=True):
         got = x.first().asDict()
         assert all(np.isclose(got[k], v) for k, v in y.asDict().items())
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 20])
+def test_rank_correlation_folds_no_pairs(spark, monkeypatch, rows):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 300), "x": rng.integers(0, 5, 300) * 1.0, "y": rng.normal(size=300).round(2), "w": 1})
+    written = []
+    kept = I.settle
+    monkeypatch.setattr(I, "settle", lambda df: written.append(df.count()) or kept(df))
+    got = {r["g"]: r["stat"] for r in I.weighted_spearman(spark.createDataFrame(pdf), ["g"], "x", "y", "w", rows_per_split=rows).collect()}
+    for g, part in pdf.groupby("g"):
+        assert np.isclose(got[g], part[["x", "y"]].rank().corr().iloc[0, 1])
+    # Distinct values are written, never distinct pairs of them.
+    assert sum(written) <= (0 if rows > 300 else len(pdf[["g", "x"]].drop_duplicates()) + len(pdf[["g", "y"]].drop_duplicates()))
