@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankloom.functions.vectors import finite
-from rankloom.operators.inference import weighted_spearman
+from rankloom.operators.inference import rank_ratio, rank_sums, ranked_columns, weighted_spearman
 from rankloom.operators.ordering import ROWS_PER_SPLIT, desc, ordinals
 from rankloom.operators.resampling import rank_correlations
 from rankloom.session import settle
@@ -260,17 +260,27 @@ def assay_spearman(df: DataFrame, by: Sequence[str], score: str, y: str, min_n:
 
 
 def correlation_table(df: DataFrame, by: Sequence[str], xs: Sequence[str], ys: Sequence[str], min_rows: int = 3, **kw) -> DataFrame:
-    """Rank correlation of every x column with every y column."""
-    keep = [c for c in by]
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, *ys])])
-    long = wide.select(
-        *keep,
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(x).alias("x"), F.col(y).alias("y"))
-                for x in xs for y in ys
-            ])
-        ).alias("_p"),
-    ).select(*keep, "_p.*")
-    out = spearman(long, [*keep, "x_name", "y_name"], "x", "y", **kw)
+    """Rank correlation of every x column with every y column.
+
+    Where no value is missing and groups are large, each column is ranked once for
+    all its pairs; otherwise a pair is ranked on the rows that have both.
+    """
+    keys, columns = list(by), list(dict.fromkeys([*xs, *ys]))
+    wide = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=keys)
+    limit = kw.get("rows_per_split", ROWS_PER_SPLIT)
+    sizes = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))).alias("gaps"))
+    largest, gaps = sizes.agg(F.max("n"), F.sum("gaps")).first()
+    if (largest or 0) > limit and not gaps:
+        named = wide.select(*keys, *[F.col(c).alias(f"_x{i}") for i, c in enumerate(xs)], *[F.col(c).alias(f"_y{j}") for j, c in enumerate(ys)], F.lit(1).cast("long").alias("_w"))
+        inner = [f"_x{i}" for i in range(len(xs))]
+        met = ranked_columns(named, keys, inner, "_w", **kw)
+        out = None
+        for j, y in enumerate(ys):
+            sums = settle(rank_sums(met, keys, inner, f"_y{j}", "_w", **kw))
+            for i, x in enumerate(xs):
+                one = sums.select(*keys, F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), "n_rows", rank_ratio(f"_xy{i}", f"_xx{i}", "_yy").alias("spearman"))
+                out = one if out is None else out.unionByName(one)
+    else:
+        pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(x).alias("x"), F.col(y).alias("y")) for x in xs for y in ys]))
+        out = spearman(wide.select(*keys, pairs.alias("_p")).select(*keys, "_p.*"), [*keys, "x_name", "y_name"], "x", "y", **kw)
     return out.where(F.col("n_rows") >= min_rows)

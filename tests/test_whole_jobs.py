@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from rankloom.operators import corruption as C
 from rankloom.operators import geometry as G
 from rankloom.operators import inference as I
 from rankloom.operators import matching as X
+from rankloom.operators import ranking as R
 from rankloom.operators.resampling import mixed
 
 
@@ -221,3 +223,26 @@ def test_measurements_are_grouped_once(spark):
     assert out.columns == ["a", "b", "n_measurements", "effect_min", "effect_max", "effect"]
     assert sorted(map(tuple, out.collect())) == [(1, 1, 4, -0.9, -0.1, -0.3), (1, 2, 1, -0.3, -0.3, -0.3)]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [10_000, 40])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_a_correlation_table_sorts_folded_values_alone(spark, monkeypatch, rows, gaps):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 400), "a": rng.integers(0, 7, 400) * 1.0, "b": rng.normal(size=400), "c": rng.normal(size=400).round(1), "d": rng.integers(0, 3, 400) * 1.0})
+    if gaps:
+        pdf.loc[::9, "a"] = np.nan
+        pdf.loc[::7, "c"] = np.inf
+    sorted_rows, kept = [], I.ordinals
+    monkeypatch.setattr(I, "ordinals", lambda df, *args, **kw: sorted_rows.append(df.count()) or kept(df, *args, **kw))
+    got = {(r["g"], r["x_name"], r["y_name"]): (r["n_rows"], r["spearman"]) for r in R.correlation_table(spark.createDataFrame(pdf), ["g"], ["a", "b"], ["c", "d"], rows_per_split=rows).collect()}
+    clean = pdf.replace(np.inf, np.nan)
+    for g, part in clean.groupby("g"):
+        for x in "ab":
+            for y in "cd":
+                both = part[[x, y]].dropna()
+                n, rho = got.pop((g, x, y))
+                assert n == len(both) and np.isclose(rho, both.rank().corr().iloc[0, 1])
+    assert not got
+    # No row per pair is sorted, and in small groups nothing is folded first.
+    assert sum(sorted_rows) <= (0 if rows > 400 else 2 * len(pdf))
