@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rankloom.functions.vectors import finite
 from rankloom.operators.inference import rank_ratio, rank_sums, ranked_columns, weighted_spearman
@@ -107,32 +108,37 @@ def topk_recall(df: DataFrame, by: Sequence[str], score: str, y: str, key: Seque
 
 
 def entity_metrics(
-    df: DataFrame, entity: Sequence[str], methods: Sequence[str], y: str, key: Sequence[str], fraction: float = 0.1, **kw
+    df: DataFrame, entity: Sequence[str], methods: Sequence[str], y: str, key: Sequence[str], fraction: float = 0.1, min_rows: int = 0, settled: bool = False, **kw
 ) -> DataFrame:
     """Long table (entity, method): rank correlation, full and top gain, recall, slope.
 
     A method is measured on the rows that have its score and the outcome: ranks,
     lowest outcome, ideal gain and cut all come from these, so a missing score
-    counts for that method alone. ``key`` orders rows of equal value. Entities
+    counts for that method alone. Methods with fewer than ``min_rows`` such rows are
+    left out; an entity that has no more outcomes is not measured. ``settled`` rows are cheap to read again. ``key`` orders rows of equal value. Entities
     of up to ``rows_per_split`` rows are measured by one task each, with one sort
     per method; larger ones are ranked over many tasks.
     """
     entity, key, methods = list(entity), list(key), list(methods)
     known = df.select(*entity, *key, finite(y).alias("_y"), *[finite(m).alias(m) for m in methods]).dropna(subset=["_y", *entity])
-    rows = settle(known)
+    rows = known if settled else settle(known)
     largest = rows.groupBy(*entity).count().agg(F.max("count")).first()[0] or 0
     if largest > kw.get("rows_per_split", ROWS_PER_SPLIT):
-        return _ranked_metrics(rows, entity, methods, key, fraction, **kw)
+        return _ranked_metrics(rows, entity, methods, key, fraction, **kw).where(F.col("n_rows") >= min_rows)
     schema = T.StructType([*[rows.schema[e] for e in entity], T.StructField("method", T.StringType(), False), T.StructField("n_rows", T.LongType(), False), *[T.StructField(m, T.DoubleType()) for m in (*METRICS, "slope")]])
 
+    types = [to_arrow_type(f.dataType) for f in schema]
+
     def measure(group: pa.Table) -> pa.Table:
+        if group.num_rows < min_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=schema.names)
         order = pc.sort_indices(group, sort_keys=[(k, "ascending") for k in key], null_placement="at_start").to_numpy() if key else np.arange(group.num_rows)
         outcome = group.column("_y").to_numpy()[order]
         out = []
         for m in methods:
             score = group.column(m).to_numpy().astype(float)[order]
             there = ~np.isnan(score)
-            if there.any():
+            if there.any() and there.sum() >= min_rows:
                 out.append((m, int(there.sum()), *measures(score[there], outcome[there], fraction)))
         columns = [pa.array([group.column(e)[0].as_py()] * len(out), group.schema.field(e).type) for e in entity]
         values = list(zip(*out)) or [()] * (len(METRICS) + 3)
@@ -238,11 +244,12 @@ def subgroup_metrics(
     min_rows: int = 10, fraction: float = 0.1, **kw,
 ) -> DataFrame:
     """Entity metrics inside every level of every dimension that has enough rows."""
-    long = df.select(*entity, *key, y, *methods, *[F.col(d).cast("string").alias(d) for d in dims]).unpivot(
+    # Written before each row stands once per dimension.
+    wide = settle(df.select(*entity, *key, y, *methods, *[F.col(d).cast("string").alias(d) for d in dims]))
+    long = wide.unpivot(
         [*entity, *key, y, *methods], list(dims), "dimension", "level"
     ).dropna(subset=["level"])
-    out = entity_metrics(long, [*entity, "dimension", "level"], methods, y, key, fraction, **kw)
-    return out.where(F.col("n_rows") >= min_rows)
+    return entity_metrics(long, [*entity, "dimension", "level"], methods, y, key, fraction, min_rows, settled=True, **kw)
 
 
 def concordance(df: DataFrame, entity: Sequence[str], role: str, ref: str, key: Sequence[str], value: str, **kw) -> DataFrame:

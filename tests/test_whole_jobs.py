@@ -246,3 +246,20 @@ def test_a_correlation_table_sorts_folded_values_alone(spark, monkeypatch, rows,
     assert not got
     # No row per pair is sorted, and in small groups nothing is folded first.
     assert sum(sorted_rows) <= (0 if rows > 400 else 2 * len(pdf))
+
+
+@pytest.mark.parametrize("split", [1_000_000, 30])
+def test_subgroups_of_few_rows_are_not_measured(spark, tmp_path, monkeypatch, split):
+    rows = [(1, i, "many" if i < 45 else f"few{i // 3}", float(i * 7 % 11), None if i % 9 == 0 else float(i * i % 13)) for i in range(60)]
+    df = spark.createDataFrame(rows, "e long, i long, d string, m double, y double")
+    kept = R.measures
+
+    def noted(score, outcome, fraction):
+        (tmp_path / f"{len(score)}-{outcome.sum()}").touch()
+        return kept(score, outcome, fraction)
+
+    monkeypatch.setattr(R, "measures", noted)
+    got = R.subgroup_metrics(df, ["e"], ["d"], ["m"], "y", ["i"], min_rows=40, rows_per_split=split).collect()
+    assert [(r["level"], r["n_rows"]) for r in got] == [("many", 40)]
+    assert R.subgroup_metrics(df, ["e"], ["d"], ["m"], "y", ["i"], min_rows=41, rows_per_split=split).count() == 0
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == (["40"] if split > 40 else [])
