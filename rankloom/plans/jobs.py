@@ -303,8 +303,10 @@ def job_external(
     key: Sequence[str], value: str, min_entities: int, primary: str, **kw,
 ) -> Tables:
     """Open outcomes after scoring: collapse replicates, join, rank, contrast, gate."""
-    effects = A.collapse_measurements(measurements, [entity, *key], value)
-    rows = J.join_checked(M.method_predictions(predictions, methods, [entity, *key]), effects.withColumnRenamed("effect", "observed"), [entity, *key], "inner", "1:1")
+    # Written, so that a task does not hold the sorts of both sides at once.
+    effects = settle(A.collapse_measurements(measurements, [entity, *key], value).select(entity, *key, "effect"))
+    scored = settle(M.method_predictions(predictions, methods, [entity, *key]))
+    rows = J.join_checked(scored, effects.withColumnRenamed("effect", "observed"), [entity, *key], "inner", "1:1")
     metrics = settle(R.entity_metrics(rows, [entity], list(methods), "observed", key))
     reg = M.registry(predictions.sparkSession, contrasts, ["contrast", "method", "comparator"])
     gaps = settle(J.contrast_gaps(metrics, reg, [entity], ["spearman", "top_ndcg"]).withColumn("st", F.lit("all")))

@@ -16,6 +16,7 @@ from rankloom.operators import inference as I
 from rankloom.operators import matching as X
 from rankloom.operators import ranking as R
 from rankloom.operators.resampling import mixed
+from rankloom.plans import jobs as Jb
 
 
 @pytest.fixture
@@ -263,3 +264,13 @@ def test_subgroups_of_few_rows_are_not_measured(spark, tmp_path, monkeypatch, sp
     assert [(r["level"], r["n_rows"]) for r in got] == [("many", 40)]
     assert R.subgroup_metrics(df, ["e"], ["d"], ["m"], "y", ["i"], min_rows=41, rows_per_split=split).count() == 0
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == (["40"] if split > 40 else [])
+
+
+def test_an_external_job_writes_both_sides_before_they_meet(spark, monkeypatch):
+    written, kept = [], Jb.settle
+    monkeypatch.setattr(Jb, "settle", lambda df: written.append(df.columns) or kept(df))
+    pred = spark.createDataFrame([(e, k, float(k * e % 5), 1.0) for e in (1, 2) for k in range(6)], "e long, k long, q double, d double")
+    meas = spark.createDataFrame([(e, k, float(-k - i)) for e in (1, 2) for k in range(6) for i in range(3)], "e long, k long, v double")
+    out = Jb.job_external(pred, meas, {"a": {"q": 1.0}, "b": {"q": 1.0, "d": 2.0}}, [("b_over_a", "b", "a")], entity="e", key=["k"], value="v", min_entities=1, primary="b_over_a", replicates=20, seed=1)
+    assert written[:2] == [["e", "k", "effect"], ["e", "k", "a", "b"]]
+    assert {(r["e"], r["method"], r["n_rows"]) for r in out["metrics"].collect()} == {(e, m, 6) for e in (1, 2) for m in "ab"}
