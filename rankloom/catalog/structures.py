@@ -127,8 +127,7 @@ CUT = 0.25
 
 
 def contact_edges(spark, sf):
-    e = G.contact_edges(_points(spark, sf), ["label"], "position", CUT, 3)
-    return e.select("label", "source", "target", r6("distance", "distance"))
+    return G.contact_edges(_points(spark, sf), ["label"], "position", CUT, 3, digits=6)
 
 
 def contact_degrees(spark, sf):

@@ -7,7 +7,8 @@ where a query returns them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -29,32 +30,106 @@ BLOCK = 1024
 STEP_PAIRS = 1 << 18
 #: Points whose sums a task holds before it passes them on.
 HELD_POINTS = 1 << 20
+#: The same for contacts, whose steps stay in a core's own memory.
+CONTACT_PAIRS = 1 << 16
+#: Contacts that a task orders at once before it passes them on, and those of a batch of them.
+HELD_EDGES = 1 << 21
+BATCH_EDGES = 1 << 17
 
 _PART = ["_px", "_py", "_pz", "_part"]
+_QPART = ["_q_px", "_q_py", "_q_pz", "_q_part"]
 
 
 def _near_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float, carried: Sequence[str] = (), entities: DataFrame | None = None) -> DataFrame:
     """(by, block, p, q, columns of ``entities``): the points of a block, and those of a block in the same or a
     next cell. Points without coordinates have no neighbours. All rows of a block are
     in one partition."""
+    extra = [c for c in entities.columns if c not in by] if entities is not None else []
+    pairs = _met(_point_blocks(res, by, position, cutoff, carried, entities), by)
+    return pairs.select(*by, *_PART, "p", "q", *extra).repartition(_tasks(res), *by, *_PART)
+
+
+def _tasks(df: DataFrame) -> int:
+    # The work is in the pairs, not in the bytes by which partitions are coalesced.
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _point_blocks(res: DataFrame, by: Sequence[str], position: str, cutoff: float, carried: Sequence[str] = (), entities: DataFrame | None = None) -> DataFrame:
+    """(by, block, p, columns of ``entities``): the points of each block."""
     by = list(by)
     clean = res.select(*by, F.col(position).cast("long").alias("at"), *[V.finite(a).alias(a) for a in AXES], *carried).dropna(subset=[*by, "at", *AXES])
-    cells = ["_px", "_py", "_pz"]
+    cells = _PART[:3]
     clean = clean.withColumns({c: F.floor(F.col(a) / cutoff).cast("long") for c, a in zip(cells, AXES)})
     parts = clean.groupBy(*by, *cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_parts"))
     dealt = clean.join(parts, [*by, *cells]).withColumn("_part", F.pmod(F.xxhash64("at", *AXES), F.col("_parts")))
     blocks = dealt.groupBy(*by, *_PART).agg(F.collect_list(F.struct("at", *AXES, *carried)).alias("p"))
-    extra = [c for c in entities.columns if c not in by] if entities is not None else []
-    blocks = settle(blocks.join(entities, by) if extra else blocks)
+    return settle(blocks.join(entities, by) if entities is not None and len(entities.columns) > len(by) else blocks)
+
+
+def _met(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Blocks with each block of the same or a next cell: its points q and its name."""
     near = blocks
-    for c in cells:
+    for c in _PART[:3]:
         near = near.withColumn("_q" + c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    own = blocks.select(*by, *[F.col(c).alias("_q" + c) for c in cells], F.col("p").alias("q"))
-    pairs = near.join(own, [*by, *["_q" + c for c in cells]]).select(*by, *_PART, "p", "q", *extra)
-    # The work is in the pairs, not in the bytes by which partitions are coalesced.
-    spark = res.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs.repartition(tasks, *by, *_PART)
+    own = blocks.select(*by, *[F.col(c).alias("_q" + c) for c in _PART], F.col("p").alias("q"))
+    return near.join(own, [*by, *_QPART[:3]])
+
+
+def _blocks_once(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Near blocks, each two of them once, dealt over tasks whatever their entity; rows of an entity follow one another."""
+    pairs = _met(blocks, by)
+    own, other = F.struct(*_PART), F.struct(*[F.col(q).alias(c) for c, q in zip(_PART, _QPART)])
+    once = pairs.where(own <= other).withColumn("_same", own == other)
+    return once.repartition(_tasks(blocks), *by, *_PART, *_QPART).sortWithinPartitions(*by).drop(*_PART, *_QPART)
+
+
+def _contacts(batch: pa.RecordBatch, i: int, cutoff: float, sep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(source, target, distance) of the contacts of two blocks that meet once."""
+    p, q = _points_of(batch.column("p"), i), _points_of(batch.column("q"), i)
+    same, n = batch.column("_same")[i].as_py(), len(q["at"])
+    step = max(1, CONTACT_PAIRS // max(n, 1))
+    limit = cutoff * cutoff * (1 + 1e-9)
+    for lo in range(0, len(p["at"]), step):
+        d2 = 0.0
+        for a in AXES:
+            gap = p[a][lo : lo + step, None] - q[a][None, :]
+            gap *= gap
+            d2 = np.add(d2, gap, out=gap)
+        d2 = d2.ravel()
+        at = np.flatnonzero(d2 <= limit)
+        d = np.sqrt(d2[at])
+        row = at // n
+        source, target = p["at"][lo + row], q["at"][at - row * n]
+        gap = target - source
+        held = ((gap if same else np.abs(gap)) >= max(sep, 1)) & (d <= cutoff)
+        source, target, d = source[held], target[held], d[held]
+        yield (source, target, d) if same else (np.minimum(source, target), np.maximum(source, target), d)
+
+
+def decimal_steps(x: np.ndarray, digits: int) -> np.ndarray:
+    """Numbers from zero on in units of the last digit, rounded by their decimal form, half up, as Spark's ``round`` does."""
+    whole = x * 10.0**digits
+    out = np.floor(whole + 0.5)
+    for i in np.flatnonzero(np.abs(whole - np.floor(whole) - 0.5) <= 1e-9 + 1e-15 * whole):
+        out[i] = int(Decimal(repr(float(x[i]))).scaleb(digits).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+def by_step(step: np.ndarray, source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their steps. They are sorted as one number each, or if 64 bits don't hold them, by places."""
+    low = min(int(source.min()), int(target.min()))
+    bits = (max(int(source.max()), int(target.max())) - low).bit_length()
+    if int(step.max()).bit_length() + 2 * bits > 63:
+        order = np.argsort(step, kind="stable")
+        return step[order], source[order], target[order]
+    whole = step.astype(np.int64)
+    for end in (source, target):
+        whole <<= bits
+        whole |= end - low
+    whole.sort()
+    mask = (1 << bits) - 1
+    return whole >> 2 * bits, (whole >> bits & mask) + low, (whole & mask) + low
 
 
 def _points_of(column: pa.Array, i: int) -> dict[str, np.ndarray]:
@@ -121,22 +196,47 @@ def near_sums(
     return whole.withColumn("_at", F.col("_at").cast(res.schema[position].dataType)).withColumnRenamed("_at", position)
 
 
-def contact_edges(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:
-    """Undirected contacts (source < target) at least ``sep`` positions apart."""
+def contact_edges(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3, digits: int | None = None) -> DataFrame:
+    """Undirected contacts (source < target) at least ``sep`` positions apart.
+
+    With ``digits``, distances are rounded where points meet, and contacts of one
+    distance follow one another: rows then take about half the room in files.
+    """
     by = list(by)
     kind = res.schema[position].dataType
-    schema = T.StructType([*[res.schema[c] for c in by], T.StructField("source", T.LongType()), T.StructField("target", T.LongType()), T.StructField("distance", T.DoubleType())])
+    ends = pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
+    schema = T.StructType([*[res.schema[c] for c in by], *(T.StructField(c, T.IntegerType() if ends == pa.int32() else T.LongType()) for c in ("source", "target")), T.StructField("distance", T.DoubleType())])
+
+    def rows(keys, source, target, distance):
+        for lo in range(0, len(source), BATCH_EDGES):
+            part = slice(lo, lo + BATCH_EDGES)
+            n = len(source[part])
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(k, n) for k in keys), pa.array(source[part], ends), pa.array(target[part], ends), pa.array(distance[part])], names=schema.names)
+
+    def passed_on(keys, held):
+        step, source, target = by_step(*(np.concatenate(c) for c in zip(*held)))
+        yield from rows(keys, source, target, step / 10.0**digits)
 
     def run(batches):
+        entity, keys, held, n = None, (), [], 0
         for batch in batches:
+            block = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
             for i in range(batch.num_rows):
-                for _, p, q, d, near in _strips(batch, i, cutoff):
-                    at, to = np.nonzero(near & (q["at"][None, :] - p["at"][:, None] >= sep))
-                    keys = [pa.repeat(batch.column(c)[i], len(at)) for c in by]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(p["at"][at]), pa.array(q["at"][to]), pa.array(d[at, to])], names=schema.names)
-
-    edges = _near_blocks(res, by, position, cutoff).mapInArrow(run, schema)
-    return edges.withColumns({c: F.col(c).cast(kind) for c in ("source", "target")})
+                if held and (block[i] != entity or n >= HELD_EDGES):
+                    yield from passed_on(keys, held)
+                    held, n = [], 0
+                entity, keys = block[i], tuple(batch.column(c)[i] for c in by)
+                for found in _contacts(batch, i, cutoff, sep):
+                    if digits is None:
+                        yield from rows(keys, *found)
+                    elif len(found[0]):
+                        held.append((decimal_steps(found[2], digits), *found[:2]))
+                        n += len(found[0])
+        if held:
+            yield from passed_on(keys, held)
+
+    edges = _blocks_once(_point_blocks(res, by, position, cutoff), by).mapInArrow(run, schema)
+    return edges if schema["source"].dataType == kind else edges.withColumns({c: F.col(c).cast(kind) for c in ("source", "target")})
 
 
 def degrees_within(res: DataFrame, by: Sequence[str], position: str, cutoff: float = 8.0, sep: int = 3) -> DataFrame:

@@ -97,6 +97,33 @@ def test_local_geometry_makes_no_row_per_pair(spark):
     assert {(r["label"], r["source"], r["target"]) for r in edges.collect()} == {c[:3] for c in _contacts(rows)}
 
 
+def test_blocks_of_contacts_meet_once_and_equal_distances_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK", 32)
+    rows, table = _cloud(spark, 200)
+    every = G._near_blocks(table, ["label"], "position", 0.25).count()
+    blocks = G._point_blocks(table, ["label"], "position", 0.25)
+    assert G._blocks_once(blocks, ["label"]).count() == (every + blocks.count()) // 2
+    out = G.contact_edges(table, ["label"], "position", 0.25, 3, digits=2)
+    plain = spark.createDataFrame([(*c[:3], float(c[3])) for c in _contacts(rows)], "label int, source long, target long, d double").withColumn("d", F.round("d", 2))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    runs = out.select("label", "distance").rdd.glom().map(lambda part: sum((a["label"], a["distance"]) != (b["label"], b["distance"]) for a, b in zip(part, part[1:])))
+    assert sum(runs.collect()) < plain.count() / 3
+
+
+@pytest.mark.parametrize("far", [0, 1 << 40])
+def test_contacts_are_ordered_as_numbers_or_by_place(far):
+    rng = np.random.default_rng(2)
+    step, ends = rng.integers(0, 50, 300).astype(float), rng.integers(0, 1000, (2, 300)) + np.array([[0], [far]])
+    got = G.by_step(step, *ends)
+    assert sorted(zip(*got)) == sorted(zip(step, *ends)) and (np.diff(got[0]) >= 0).all()
+
+
+def test_steps_are_rounded_as_decimals(spark):
+    x = np.array([0.0, 0.0000005, 0.1234565, 0.2499995, 0.0000015, 0.24999949999999999, 7.1234565])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
+    assert (G.decimal_steps(x, 6) / 1e6).tolist() == want
+
+
 def test_sampled_edges_sort_one_bucket_alone(spark):
     edges = spark.range(400).select((F.col("id") % 2).alias("e"), F.col("id").alias("source"), (F.col("id") + 3).alias("target"))
     out = G.sample_edges(edges, ["e"], 0.25, [1, 2])
