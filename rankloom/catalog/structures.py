@@ -172,9 +172,7 @@ def edge_signatures(spark, sf):
 
 
 def sampled_edges(spark, sf):
-    # Contacts are made again for each reading: cheaper than to keep them all.
-    e = G.contact_edges(_points(spark, sf), ["label"], "position", CUT, 3)
-    return G.sample_edges(e, ["label"], 0.25, [1, 2]).select("label", "seed", "source", "target")
+    return G.sample_contacts(_points(spark, sf), ["label"], "position", CUT, 3, 0.25, [1, 2]).select("label", "seed", "source", "target")
 
 
 def residue_maps(spark, sf):

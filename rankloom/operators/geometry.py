@@ -19,6 +19,7 @@ from rankloom.functions import vectors as V
 from rankloom.functions.classes import edge_signature
 from rankloom.operators.inference import mix_value
 from rankloom.operators.ordering import ordinals, shuffle_within
+from rankloom.operators.resampling import MULTIPLIER, PRIME, ROUND_CONSTANTS
 from rankloom.session import settle
 
 AXES = ("x", "y", "z")
@@ -534,17 +535,126 @@ def sample_edges(edges: DataFrame, by: Sequence[str], frac: float, seeds: Sequen
     e = edges.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_x", x).withColumn("_bucket", F.shiftright("_x", 15))
     # Counts of buckets of the hash tell where the cut lies; only its bucket is sorted.
     counts = settle(e.groupBy(*by, "seed", "_bucket").agg(F.count(F.lit(1)).alias("_k")).dropna(subset=by))
-    group = W.partitionBy(*by, "seed")
-    drop = F.rint(F.sum("_k").over(group) * frac)
-    upto = F.sum("_k").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.withColumns({"_drop": drop, "_upto": upto}).where("_upto >= _drop")
-    cut = settle(placed.groupBy(*by, "seed").agg(F.min(F.struct(F.col("_bucket").alias("cut"), (F.col("_drop") - F.col("_upto") + F.col("_k")).alias("left"))).alias("_c")).select(*by, "seed", "_c.*"))
+    cut = settle(_cut_buckets(counts, by, frac))
     met = e.join(cut, [*by, "seed"])
     kept = met.where("_bucket > cut").select(*edges.columns, "seed")
     o = ordinals(settle(met.where("_bucket = cut")), [*by, "seed"], ["_x", "source", "target"], pos="_p", total="_n")
     return kept.unionByName(o.where("_p > left").select(*edges.columns, "seed"))
 
 
+def _cut_buckets(counts: DataFrame, by: Sequence[str], frac: float) -> DataFrame:
+    """(by, seed, cut, left): the bucket in which the dropped share ends, and how many of its edges are dropped."""
+    group = W.partitionBy(*by, "seed")
+    drop = F.rint(F.sum("_k").over(group) * frac)
+    upto = F.sum("_k").over(group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumns({"_drop": drop, "_upto": upto}).where("_upto >= _drop")
+    first = F.min(F.struct(F.col("_bucket").alias("cut"), (F.col("_drop") - F.col("_upto") + F.col("_k")).alias("left")))
+    return placed.groupBy(*by, "seed").agg(first.alias("_c")).select(*by, "seed", "_c.*")
+
+
+def edge_mix(source: np.ndarray, target: np.ndarray, seed: int) -> np.ndarray:
+    """``mix_value`` of an edge under a seed, as ``sample_edges`` orders them."""
+    b, j = source * 100003 + target, int(seed)
+
+    def rest(x):
+        # Division by a number known beforehand is faster than the remainder.
+        return x - x // PRIME * PRIME
+
+    fixed = b * 17 + j * 31
+    a = rest(b * 1000003 + (j * 7919 + 17))
+    for k in ROUND_CONSTANTS:
+        a = rest(rest(a * a + k) * MULTIPLIER + fixed)
+    return a
+
+
+def sample_contacts(res: DataFrame, by: Sequence[str], position: str, cutoff: float, sep: int, frac: float, seeds: Sequence[int]) -> DataFrame:
+    """``sample_edges`` of the contacts of a table: (by, source, target, seed), drawn where points meet.
+
+    Tasks make the contacts three times: to count the buckets of their hash, for the
+    bucket in which the cut lies, and for those behind the last one dropped. Only
+    the last ones and those of one bucket become rows.
+    """
+    by = list(by)
+    keys = [res.schema[c] for c in by]
+    ends = [T.StructField(c, T.LongType()) for c in ("source", "target")]
+    seed = T.StructField("seed", T.IntegerType())
+    blocks = _point_blocks(res, by, position, cutoff)
+    size = 1 << 16
+
+    def table(names, fixed, *columns):
+        return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(columns[0])) for k in fixed), *(pa.array(c) for c in columns)], names=names)
+
+    counted = T.StructType([*keys, seed, T.StructField("_bucket", T.LongType()), T.StructField("_k", T.LongType())])
+
+    def count(batches):
+        held: dict[tuple, tuple] = {}
+
+        def passed_on():
+            for fixed, sums in held.values():
+                for at, n in zip(seeds, sums):
+                    bucket = np.flatnonzero(n)
+                    yield table(counted.names, fixed, np.full(len(bucket), at, np.int32), bucket, n[bucket])
+            held.clear()
+
+        for batch in batches:
+            entity = list(zip(*(batch.column(c).to_pylist() for c in by))) if by else [()] * batch.num_rows
+            for i in range(batch.num_rows):
+                # Rows of an entity follow one another.
+                if entity[i] not in held:
+                    yield from passed_on()
+                    held[entity[i]] = tuple(batch.column(c)[i] for c in by), np.zeros((len(seeds), size), np.int64)
+                for source, target, _ in _contacts(batch, i, cutoff, sep):
+                    for at, n in zip(seeds, held[entity[i]][1]):
+                        n += np.bincount(edge_mix(source, target, at) >> 15, minlength=size)
+        yield from passed_on()
+
+    def chosen(schema, keep):
+        """Contacts of each seed that ``keep`` takes by their hash and the seed's cut."""
+
+        def run(batches):
+            for batch in batches:
+                cuts = batch.column("_cuts").to_pylist()
+                for i in range(batch.num_rows):
+                    fixed = tuple(batch.column(c)[i] for c in by)
+                    for source, target, _ in _contacts(batch, i, cutoff, sep):
+                        for cut in cuts[i]:
+                            x = edge_mix(source, target, cut["seed"])
+                            held = keep(x, source, target, cut)
+                            n = int(held.sum())
+                            columns = {"_x": x, "source": source, "target": target}
+                            if n:
+                                yield table(schema.names, fixed, *(np.full(n, cut["seed"], np.int32) if c == "seed" else columns[c][held] for c in schema.names[len(by):]))
+
+        return run
+
+    def met(cuts):
+        one = cuts.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in cuts.columns if c not in by])).alias("_cuts"))
+        return _blocks_once(blocks, by).join(F.broadcast(one), by) if by else _blocks_once(blocks, by).crossJoin(one)
+
+    counts = settle(_blocks_once(blocks, by).mapInArrow(count, counted).groupBy(*by, "seed", "_bucket").agg(F.sum("_k").alias("_k")))
+    cut = settle(_cut_buckets(counts, by, frac))
+    tied = T.StructType([*keys, seed, T.StructField("_x", T.LongType()), *ends])
+    bucket = met(cut).mapInArrow(chosen(tied, lambda x, s, t, cut: x >> 15 == cut["cut"]), tied)
+    placed = ordinals(settle(bucket), [*by, "seed"], ["_x", "source", "target"], pos="_p", total="_n")
+    last = placed.join(cut, [*by, "seed"]).where("_p = left").select(*by, "seed", F.struct("_x", "source", "target").alias("last"))
+    # Where nothing is dropped there is no last one.
+    behind = settle(cut.select(*by, "seed").join(last, [*by, "seed"], "left"))
+
+    def later(x, source, target, cut):
+        last = cut["last"]
+        if last is None:
+            return np.ones(len(x), bool)
+        held = x > last["_x"]
+        for i in np.flatnonzero(x == last["_x"]):
+            held[i] = (source[i], target[i]) > (last["source"], last["target"])
+        return held
+
+    out = T.StructType([*keys, *ends, seed])
+    kind = res.schema[position].dataType
+    kept = met(behind).mapInArrow(chosen(out, later), out)
+    return kept if kind == T.LongType() else kept.withColumns({c: F.col(c).cast(kind) for c in ("source", "target")})
+
+
 def superpose(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rotation, centres and RMSD that best lay set b on set a (columns ax..bz).
 

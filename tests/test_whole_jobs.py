@@ -136,6 +136,20 @@ def test_sampled_edges_sort_one_bucket_alone(spark):
     assert "shiftright" in out._jdf.queryExecution().toString() or "_bucket" in out._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("frac", [0.25, 0.0, 1.0])
+def test_contacts_are_sampled_where_points_meet(spark, monkeypatch, frac):
+    monkeypatch.setattr(G, "BLOCK", 32)
+    rows, table = _cloud(spark, 80)
+    held, plain = [], G.ordinals
+    monkeypatch.setattr(G, "ordinals", lambda df, *a, **kw: held.append(df.count()) or plain(df, *a, **kw))
+    out = G.sample_contacts(table, ["label"], "position", 0.25, 3, frac, [1, 2])
+    edges = spark.createDataFrame([c[:3] for c in _contacts(rows)], "label int, source long, target long")
+    want = G.sample_edges(edges, ["label"], frac, [1, 2]).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert held[0] < edges.count() / 20
+    assert out.columns == ["label", "source", "target", "seed"]
+
+
 def test_crops_count_contacts_where_points_meet(spark, monkeypatch):
     monkeypatch.setattr(G, "BLOCK", 16)
     rows, table = _cloud(spark, 60)
