@@ -157,12 +157,13 @@ def match_windows(spark, sf):
     p, size, w = _windows(spark, sf)
     w = settle(w)
     names = ["radius_of_gyration", "helix_fraction", "strand_fraction", "mean_contact_order", "mean_contact_degree"]
-    # The letter at a position follows from the label, so a crop's sequence is made in its own row.
-    spell = F.expr("array_join(transform(sequence(crop_start, crop_start + crop_length - 1), i -> cast((i * (label % 3 + 1) + label) % 7 AS string)), '')")
-    full = w.withColumns({"sequence": spell, "stratum": F.col("label") % 2})
-    targets = full.join(size, ["label", "crop_length"]).select(F.col("label").alias("target_id"), "stratum", "sequence", *names)
-    windows = full.select(F.col("label").alias("donor_id"), "crop_start", "stratum", "sequence", *names)
-    return rounded(X.match_windows(targets, windows, descriptors=names, scales={n: 0.1 for n in names}, n=2))
+    # The letter at a position follows from the label.
+    spell = F.expr("array_join(transform(sequence(0, crop_length - 1), i -> cast((i * (label % 3 + 1) + label) % 7 AS string)), '')")
+    sequences = size.select(F.col("label").alias("donor_id"), spell.alias("sequence"))
+    full = w.withColumn("stratum", F.col("label") % 2)
+    targets = full.join(size, ["label", "crop_length"]).withColumn("sequence", spell).select(F.col("label").alias("target_id"), "stratum", "sequence", *names)
+    windows = full.select(F.col("label").alias("donor_id"), "crop_start", "crop_length", "stratum", *names)
+    return rounded(X.match_windows(targets, windows, sequences, descriptors=names, scales={n: 0.1 for n in names}, n=2))
 
 
 def edge_signatures(spark, sf):

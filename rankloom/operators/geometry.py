@@ -331,6 +331,20 @@ def crop_steps(source: np.ndarray, target: np.ndarray, size: int, length: int) -
     return np.array(come, float) - np.array(gone, float)
 
 
+def add_crop_steps(steps: dict[int, np.ndarray], source: np.ndarray, target: np.ndarray, size: int) -> None:
+    """Add contacts to the changes of each length. Those that every crop of every
+    length holds are counted at the first start alone."""
+    shortest = min(steps)
+    inner = (source >= size - shortest) & (target < shortest)
+    whole = int(inner.sum()), int((target - source)[inner].sum())
+    source, target = source[~inner], target[~inner]
+    for length, sums in steps.items():
+        sums[:, 0] += whole
+        sums[:, -1] -= whole
+        if len(source):
+            sums += crop_steps(source, target, size, length)
+
+
 def _step_rows(pairs: DataFrame, by: Sequence[str], found: Callable) -> DataFrame:
     """(by, steps): per entity the changes of all its crops, added up over its contacts,
     which ``found`` yields for a row of a batch; rows have ``size`` and ``lengths``."""
@@ -353,10 +367,12 @@ def _step_rows(pairs: DataFrame, by: Sequence[str], found: Callable) -> DataFram
             sizes, lengths = batch.column("size").to_pylist(), batch.column("lengths").to_pylist()
             for i in range(batch.num_rows):
                 values.setdefault(entity[i], tuple(batch.column(c)[i] for c in by))
+                for length in lengths[i]:
+                    if (entity[i], length) not in held:
+                        held[entity[i], length] = np.zeros((2, sizes[i] - length + 2))
+                steps = {length: held[entity[i], length] for length in lengths[i]}
                 for source, target in found(batch, i):
-                    for length in lengths[i]:
-                        steps = crop_steps(source, target, sizes[i], length)
-                        held[entity[i], length] = held.get((entity[i], length), 0.0) + steps
+                    add_crop_steps(steps, source, target, sizes[i])
                 if sum(v.shape[1] for v in held.values()) >= 4 * HELD_POINTS:
                     yield from passed_on()
         yield from passed_on()
@@ -388,11 +404,10 @@ def window_descriptors(
     sized = settle(shape.select(*by, "size").join(crops, by))
     if edges is None:
         def met(batch, i):
-            for _, p, q, _, near in _strips(batch, i, cutoff):
-                at, to = np.nonzero(near & (q["at"][None, :] - p["at"][:, None] >= sep))
-                yield p["at"][at], q["at"][to]
+            for source, target, _ in _contacts(batch, i, cutoff, sep):
+                yield source, target
 
-        contacts = _step_rows(_near_blocks(res, by, position, cutoff, entities=sized), by, met)
+        contacts = _step_rows(_blocks_once(_point_blocks(res, by, position, cutoff, entities=sized), by), by, met)
     else:
         def met(batch, i):
             yield tuple(np.array([batch.column(c)[i].as_py()], np.int64) for c in ("source", "target"))

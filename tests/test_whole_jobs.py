@@ -161,6 +161,39 @@ def test_crops_count_contacts_where_points_meet(spark, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_windows_meet_targets_without_their_letters(spark, monkeypatch):
+    monkeypatch.setattr(X, "RUN_STARTS", 2)
+    whole = {1: "abcde", 2: "abxdeabcdz", 3: "zzzzzzzz"}
+    crops = [(d, s, 5, d % 2, float(s * d)) for d in (2, 3) for s in range(len(whole[d]) - 4)]
+    targets = spark.createDataFrame([(1, 1, whole[1], 4.0)], "target_id int, stratum int, sequence string, v double")
+    windows = spark.createDataFrame(crops, "donor_id int, crop_start int, crop_length int, stratum int, v double")
+    sequences = spark.createDataFrame(list(whole.items()), "donor_id int, sequence string")
+    out = X.match_windows(targets, windows, sequences, descriptors=["v"], scales={"v": 2.0}, n=2)
+    assert "_tq" not in out.columns and not any("sequence" in c and "identity" not in c for c in out.columns)
+    got = {r["donor_id"]: (r["crop_start"], r["sequence_identity"], r["descriptor_distance"], r["objective"]) for r in out.collect()}
+    same = lambda a, b: sum(x == y for x, y in zip(a, b)) / 5
+    want = {}
+    for d, s, _, st, v in crops:
+        i, far = same(whole[1], whole[d][s : s + 5]), abs(v - 4.0) / 2
+        if i < 0.3:
+            one = (far + 0.25 * (st != 1), i, s, far)
+            want[d] = min(want.get(d, one), one)
+    assert got == {d: (s, i, far, o) for d, (o, i, s, far) in want.items()} and len(got) == 2
+
+
+def test_contacts_inside_every_crop_are_counted_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    source = rng.integers(0, 190, 3000)
+    target = np.minimum(source + rng.integers(3, 100, 3000), 199)
+    plain, met = G.crop_steps, []
+    monkeypatch.setattr(G, "crop_steps", lambda s, *a: met.append(len(s)) or plain(s, *a))
+    steps = {n: np.zeros((2, 202 - n)) for n in (195, 198, 200)}
+    G.add_crop_steps(steps, source, target, 200)
+    for n, got in steps.items():
+        assert (got == plain(source, target, 200, n)).all()
+    assert max(met) < 1000
+
+
 def test_caliper_match_holds_few_pairs_at_once(spark, monkeypatch):
     """Pairs in the caliper are many; what a step holds is bounded and the result is the greedy one, with copies and ties."""
     rng = np.random.default_rng(3)
